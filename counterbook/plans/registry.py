@@ -39,7 +39,7 @@ def register(name: str, views: list[str] | None = None, oracle: str | None = Non
     return deco
 
 
-MODULES = ["q_reports"]
+MODULES = ["q_reports", "q_cash"]
 
 
 def load_all() -> None:
