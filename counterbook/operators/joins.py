@@ -54,3 +54,58 @@ def mark_first_in_key(df: DataFrame, key: str | list[str], seq: str, eligible: C
     joined = tagged.join(firsts, keys, "left")
     return (joined.withColumn(out, F.when(F.col("__elig"), F.coalesce(F.col(seq) == F.col("__min_seq"), F.lit(True))))
             .drop("__elig", "__min_seq"))
+
+
+def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eligible: Column,
+                       out: str = "batch_reason") -> DataFrame:
+    """Serial-insert semantics over several unique keys at once: taking rows
+    in ``seq`` order, a row is accepted iff no earlier *accepted* row shares a
+    value of any key; otherwise ``out`` gets the message of the first key (in
+    the given check order) it shares. Ineligible rows get NULL.
+
+    Exact, computed in rounds: a row that is the earliest undecided row of
+    every key value it holds is decided in the current round (accepted, or
+    rejected if it meets an accepted row). The globally earliest undecided row
+    is always decided, and in practice one or two rounds settle a batch.
+    Each round's state is checkpointed to the shared checkpoint folder.
+    ``seq`` must be unique."""
+    from ..session import cut_lineage
+
+    names = [k for k, _ in keys]
+    cand = df.filter(eligible).select(F.col(seq).alias("__s"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)])
+    spark = df.sparkSession
+    decided = None  # (__s, __msg, __acc)
+    und = cand
+    while True:
+        if und.limit(1).count() == 0:
+            break
+        state = und
+        for i, (_, msg) in enumerate(keys):
+            k = f"__k{i}"
+            mins = und.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("__s").alias(f"__min{i}"))
+            state = state.join(mins, k, "left")
+            if decided is not None:
+                acc = (decided.filter("__acc").select(F.col(k)).filter(F.col(k).isNotNull()).distinct()
+                       .withColumn(f"__hit{i}", F.lit(True)))
+                state = state.join(acc, k, "left")
+            else:
+                state = state.withColumn(f"__hit{i}", F.lit(None).cast("boolean"))
+        hit_msg = None
+        for i, (_, msg) in reversed(list(enumerate(keys))):
+            cond = F.coalesce(F.col(f"__hit{i}"), F.lit(False))
+            hit_msg = F.when(cond, F.lit(msg)) if hit_msg is None else F.when(cond, F.lit(msg)).otherwise(hit_msg)
+        earliest = reduce(lambda a, b: a & b, [F.col(f"__k{i}").isNull() | (F.col("__s") == F.col(f"__min{i}"))
+                                               for i in range(len(keys))])
+        state = state.select("__s", *[f"__k{i}" for i in range(len(keys))],
+                             hit_msg.alias("__msg"), earliest.alias("__earliest"))
+        state = cut_lineage(state)
+        now_decided = state.filter(F.col("__msg").isNotNull() | F.col("__earliest")).select(
+            "__s", *[f"__k{i}" for i in range(len(keys))], "__msg", F.col("__msg").isNull().alias("__acc"))
+        decided = now_decided if decided is None else cut_lineage(decided.unionByName(now_decided))
+        und = state.filter(F.col("__msg").isNull() & ~F.col("__earliest")).select(
+            "__s", *[f"__k{i}" for i in range(len(keys))])
+    if decided is None:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    res = decided.select(F.col("__s"), F.col("__msg").alias(out))
+    _ = spark
+    return df.join(res, df[seq] == res["__s"], "left").drop("__s")

@@ -33,13 +33,16 @@ def register(name: str, views: list[str] | None = None, oracle: str | None = Non
         if oracle is not None:
             body = oracle.strip()
             head = duckdb_ctes(views or [])
-            ORACLE[name] = head + ("\n" + body if body.startswith(",") else "\n" + body)
+            sql = head + "\n" + body
+            if "WITH RECURSIVE" not in sql and " walk AS (" in sql and sql.startswith("WITH "):
+                sql = "WITH RECURSIVE " + sql[len("WITH "):]
+            ORACLE[name] = sql
         return fn
 
     return deco
 
 
-MODULES = ["q_reports", "q_cash"]
+MODULES = ["q_reports", "q_cash", "q_ledgers"]
 
 
 def load_all() -> None:

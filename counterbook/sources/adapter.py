@@ -287,6 +287,109 @@ WHERE po.status = 'received' AND i.product_variant_id IS NOT NULL""", ("r_po_ite
 SELECT branch_id, product_variant_id, CAST(SUM(quantity) AS INT) AS quantity_on_hand
 FROM {r_movements}
 GROUP BY branch_id, product_variant_id""", ("r_movements",)),
+
+    # ---- request batches and legacy rows (inputs of the posting / audit operators).
+    # Built from the 'click' events so they grow with the data; key arithmetic
+    # injects the defects each check must catch.
+    "r_deposit_requests": ("""
+SELECT event_id AS seq,
+       CASE WHEN event_id % 13 = 0 THEN NULL
+            WHEN event_id % 4 = 0 AND event_id % 3 = 0 THEN (user_id + 1) % 25
+            ELSE user_id % 25 END AS branch_id,
+       CASE WHEN event_id % 4 = 0
+            THEN (user_id % 25) * 100000000 + year(d) * 10000 + month(d) * 100 + day(d)
+            WHEN event_id % 10 = 1 THEN 999 END AS cash_reconciliation_id,
+       CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '1996/01/05'
+            ELSE CAST(d AS STRING) END AS business_date,
+       CASE WHEN event_id % 11 = 0 THEN -value ELSE value END AS amount,
+       CASE WHEN event_id % 19 = 0 THEN '  ' ELSE CONCAT('ACCT-', CAST(user_id % 25 AS STRING)) END AS bank_account,
+       CASE WHEN event_id % 23 = 0 THEN CONCAT('BD-', CAST(event_id - 1 AS STRING))
+            ELSE CONCAT('DEP-', CAST(event_id - event_id % 2 AS STRING)) END AS reference_number,
+       CONCAT(' Depositor ', CAST(user_id AS STRING)) AS depositor_name,
+       CONCAT('proof://dep/', CAST(event_id AS STRING)) AS photo_proof_url,
+       user_id AS deposited_by,
+       ts - INTERVAL '28' YEAR AS deposited_at
+FROM (SELECT event_id, user_id, value, ts, CAST(ts - INTERVAL '28' YEAR AS DATE) AS d
+      FROM {events} WHERE event_type = 'click') e""", ("events",)),
+
+    "r_reversal_requests": ("""
+SELECT event_id AS seq,
+       CASE WHEN event_id % 7 = 0 THEN -(event_id - event_id % 2)
+            ELSE event_id - 1 - event_id % 2 END AS id,
+       CASE WHEN event_id % 29 = 0 THEN '' ELSE 'customer dispute' END AS reversal_reason,
+       CASE WHEN event_id % 11 = 0 THEN CONCAT('BD-', CAST(event_id - 1 AS STRING))
+            WHEN event_id % 5 = 0 THEN CONCAT('REV-', CAST(event_id - 5 AS STRING))
+            ELSE CONCAT('REV-', CAST(event_id AS STRING)) END AS reference_number,
+       CONCAT('Teller ', CAST(user_id AS STRING)) AS depositor_name,
+       CONCAT('proof://rev/', CAST(event_id AS STRING)) AS photo_proof_url,
+       user_id AS deposited_by,
+       ts - INTERVAL '28' YEAR + INTERVAL '2' HOUR AS deposited_at
+FROM {events}
+WHERE event_type = 'click'""", ("events",)),
+
+    "r_wallet_requests": ("""
+SELECT event_id AS seq,
+       CASE WHEN event_id % 31 = 0 THEN 'bogus' WHEN event_id % 2 = 0 THEN 'cash_in' ELSE 'cash_out' END
+         AS service_type,
+       CASE WHEN event_id % 37 = 0 THEN ' '
+            WHEN event_id % 9 = 0 THEN CONCAT('GC-', CAST(event_id - 1 AS STRING))
+            ELSE CONCAT('W-', CAST(event_id - event_id % 3 AS STRING)) END AS reference_number,
+       CASE WHEN event_id % 41 = 0 THEN -value ELSE value END AS principal_amount,
+       user_id % 25 AS branch_id,
+       user_id AS customer_id,
+       ts - INTERVAL '28' YEAR AS created_at
+FROM {events}
+WHERE event_type = 'click'""", ("events",)),
+
+    "r_catalog_current": ("""
+SELECT id, carrier, product_code, product_name,
+       CAST(NULL AS STRING) AS description, load_type,
+       face_value + CAST(1 AS DECIMAL(12,2)) AS face_value,
+       CAST(id % 3 AS DECIMAL(12,2)) AS markup_amount,
+       validity_days,
+       id % 10 <> 9 AS is_active, source_url
+FROM {r_prepaid_catalog}
+WHERE id IN (SELECT product_id FROM {r_prepaid})""", ("r_prepaid_catalog", "r_prepaid")),
+
+    "r_prepaid_requests": ("""
+SELECT event_id AS seq,
+       CASE WHEN event_id % 43 = 0 THEN NULL ELSE event_id % 45 END AS product_id,
+       CASE WHEN event_id % 37 = 0 THEN ''
+            WHEN event_id % 8 = 0 THEN CONCAT('PL-', CAST(event_id - 1 AS STRING))
+            ELSE CONCAT('P-', CAST(event_id - event_id % 3 AS STRING)) END AS reference_number,
+       CASE event_id % 5
+            WHEN 0 THEN CONCAT('+63 9', LPAD(CAST(user_id AS STRING), 9, '0'))
+            WHEN 1 THEN CONCAT('09', LPAD(CAST(user_id AS STRING), 9, '0'))
+            WHEN 2 THEN CONCAT('639', LPAD(CAST(user_id AS STRING), 9, '0'))
+            WHEN 3 THEN CONCAT('12345', CAST(user_id AS STRING))
+            ELSE '  ' END AS recipient_mobile_no,
+       user_id % 25 AS branch_id,
+       user_id AS customer_id
+FROM {events}
+WHERE event_type = 'click'""", ("events",)),
+
+    "r_fee_candidates": ("""
+SELECT event_id AS seq,
+       CASE WHEN event_id % 17 = 0 THEN event_id % 9 + 1 END AS id,
+       CASE WHEN event_id % 23 = 0 THEN 'bogus' WHEN event_id % 2 = 0 THEN 'cash_in' ELSE 'cash_out' END
+         AS service_type,
+       CASE WHEN event_id % 19 = 0 THEN -5.0 ELSE value END AS min_amount,
+       CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 13 = 0 THEN value - 10
+            ELSE value + event_id % 3 END AS max_amount,
+       CAST(event_id % 10 AS DOUBLE) AS fee_amount,
+       event_id % 3 <> 0 AS is_active
+FROM {events}
+WHERE event_type = 'click'""", ("events",)),
+
+    "r_deposits_legacy": ("""
+SELECT id, branch_id, amount,
+       CASE WHEN id % 7 = 0 THEN '' ELSE bank_account END AS bank_account,
+       CASE WHEN id % 11 = 0 THEN NULL WHEN id % 29 = 0 THEN '' ELSE reference_number END AS reference_number,
+       CASE WHEN id % 19 = 0 THEN '' ELSE depositor_name END AS depositor_name,
+       CASE WHEN id % 23 = 0 THEN NULL ELSE photo_proof_url END AS photo_proof_url,
+       CASE WHEN id % 13 = 0 THEN NULL ELSE business_date END AS business_date,
+       CASE WHEN id % 17 = 0 THEN NULL ELSE status END AS status
+FROM {r_deposits}""", ("r_deposits",)),
 }
 
 
