@@ -42,7 +42,7 @@ def register(name: str, views: list[str] | None = None, oracle: str | None = Non
     return deco
 
 
-MODULES = ["q_reports", "q_cash", "q_ledgers"]
+MODULES = ["q_reports", "q_cash", "q_ledgers", "q_stock", "q_tables"]
 
 
 def load_all() -> None:

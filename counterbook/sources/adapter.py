@@ -390,6 +390,19 @@ SELECT id, branch_id, amount,
        CASE WHEN id % 13 = 0 THEN NULL ELSE business_date END AS business_date,
        CASE WHEN id % 17 = 0 THEN NULL ELSE status END AS status
 FROM {r_deposits}""", ("r_deposits",)),
+
+    # Orders as an incoming JSON-like batch (text ids) with injected defects.
+    "r_order_batch": ("""
+SELECT id AS seq, order_number,
+       CASE WHEN id % 101 = 0 THEN 'not-a-uuid'
+            ELSE CONCAT(LPAD(LOWER(HEX(customer_id)), 8, '0'), '-0000-4000-8000-',
+                        LPAD(LOWER(HEX(customer_id)), 12, '0')) END AS customer_id,
+       CONCAT(LPAD(LOWER(HEX(branch_id)), 8, '0'), '-0000-4000-8000-', LPAD(LOWER(HEX(branch_id)), 12, '0'))
+         AS branch_id,
+       CASE WHEN id % 89 = 0 THEN 'bogus' ELSE order_status END AS order_status,
+       CASE WHEN id % 83 = 0 THEN 'abc' WHEN id % 79 = 0 THEN ' ' ELSE CAST(total_amount AS STRING) END
+         AS total_amount
+FROM {r_orders}""", ("r_orders",)),
 }
 
 
