@@ -255,7 +255,7 @@ def _recon_default(c: str, now: Column) -> Column:
     if c in ("closed_at",):
         return F.lit(None).cast("timestamp_ntz")
     if c in ("opened_by", "closed_by"):
-        return F.lit(None)
+        return F.when(F.lit(False), F.col("opened_by")) if c == "closed_by" else F.lit(None)
     return F.lit(0).cast(MONEY)
 
 

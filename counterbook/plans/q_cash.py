@@ -25,10 +25,17 @@ def openings(a, day_shift: int = 0):
 
 
 def recons_opened(a):
-    """The reconciliation table after every opening request was applied."""
-    _, table = C.open_days(C.empty_recons(a.spark), openings(a), "insert", OPEN_AS_OF,
-                           id_expr=recon_key(F.col("branch_id"), F.col("business_date")))
-    return table
+    """The reconciliation table after every opening request was applied: the
+    valid openings (breakdown normalised and totalled) as stored rows. (The
+    request path itself, refusals included, is the ``open_days`` query.)"""
+    n = C.cash_breakdown(openings(a), "opening_cash_breakdown", "opening_cash_total")
+    n = n.filter(F.col("breakdown_error").isNull())
+    now = F.lit(OPEN_AS_OF).cast("timestamp_ntz")
+    vals = {"id": recon_key(F.col("branch_id"), F.col("business_date")), "branch_id": F.col("branch_id"),
+            "business_date": F.col("business_date"), "opening_cash_breakdown": F.col("opening_cash_breakdown"),
+            "opening_cash_total": F.col("opening_cash_total"), "notes": F.col("notes"),
+            "opened_by": F.col("opened_by"), "closed_by": F.when(F.lit(False), F.col("opened_by"))}
+    return n.select(*[(vals[c] if c in vals else C._recon_default(c, now)).alias(c) for c in C.RECON_COLUMNS])
 
 
 def closings(a):

@@ -440,13 +440,20 @@ def duckdb_ctes(names: list[str]) -> str:
     return "WITH " + ",\n".join(parts)
 
 
+# Analysed view DataFrames per (application, folder): building a view parses
+# and analyses SQL and reads parquet footers on the driver, so queries that
+# share inputs share the analysed plans (DataFrames are immutable).
+_VIEW_CACHE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 class Adapter:
     """Builds the back-office views for one driver folder as Spark DataFrames."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self._cache: dict[str, DataFrame] = {}
+        key = (spark.sparkContext.applicationId, self.sf_dir)
+        self._cache = _VIEW_CACHE.setdefault(key, {})
 
     def table(self, name: str) -> DataFrame:
         if name not in self._cache:
