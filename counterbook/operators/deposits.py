@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions.money import MONEY, MONEY_OUT
 from ..functions.predicates import date_between, optional_filters
 from ..functions.text import required_text
-from .joins import left_join_nullable, mark_first_in_key, mark_greedy_unique
+from .joins import keys_present, left_join_nullable, mark_first_in_key, mark_greedy_unique
 from .reports import _page
 
 # Rejection texts.
@@ -106,7 +106,7 @@ def post_deposits(requests: DataFrame, recons: DataFrame, ledger: DataFrame, as_
               .when(has_recon & branch_in.isNotNull() & (branch_in != F.col("__rbranch")), F.lit(ERR_BRANCH_MISMATCH))
               .when(F.col("__branch").isNull(), F.lit(ERR_BRANCH_REQUIRED)))
     out = out.withColumn("__pre", reason)
-    refs = ledger.select(F.col("reference_number").alias("__lref")).distinct()
+    refs = keys_present(ledger, "reference_number", out, "__reference_number", "__lref")
     out = out.join(refs, out["__reference_number"] == refs["__lref"], "left")
     out = out.withColumn("__pre", F.coalesce(F.col("__pre"),
                                              F.when(F.col("__lref").isNotNull(), F.lit(ERR_REFERENCE_UNIQUE))))
@@ -167,9 +167,8 @@ def reverse_deposits(requests: DataFrame, ledger: DataFrame, as_of="1970-01-01 0
     )
     orig = ledger.select(F.col("id").alias("__oid"), F.col("reversal_of_id").alias("__o_rev_of"),
                          F.col("status").alias("__o_status"))
-    already = (ledger.filter(F.col("reversal_of_id").isNotNull())
-               .select(F.col("reversal_of_id").alias("__rev_target")).distinct())
-    refs = ledger.select(F.col("reference_number").alias("__lref")).distinct()
+    already = keys_present(ledger, "reversal_of_id", r, "id", "__rev_target")
+    refs = keys_present(ledger, "reference_number", r, "__ref", "__lref")
     r = (r.join(orig, r["id"] == orig["__oid"], "left")
          .join(already, r["id"] == already["__rev_target"], "left")
          .join(refs, F.col("__ref") == refs["__lref"], "left"))

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.money import MONEY
 from ..functions.text import id_ok, id_or_null, required_text
-from .joins import mark_first_in_key
+from .joins import keys_present, mark_first_in_key
 
 INLINE_RULES_MAX = 512
 BUCKETS_PER_RANGE = 1024
@@ -271,7 +271,7 @@ def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: Data
         if f in r.columns:
             reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(f"{f} must be a UUID"))
     m = matched.withColumn("__pre", reason)
-    refs = ledger.select(F.col("reference_number").alias("__lref")).distinct()
+    refs = keys_present(ledger, "reference_number", m, "__ref", "__lref")
     m = m.join(refs, F.col("__ref") == refs["__lref"], "left")
     m = m.withColumn("__pre", F.coalesce(F.col("__pre"), F.when(F.col("__lref").isNotNull(), F.lit(ERR_DUPLICATE))))
     m = mark_first_in_key(m, "__ref", seq, F.col("__pre").isNull(), "__first")

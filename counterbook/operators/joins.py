@@ -30,6 +30,17 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tupl
     return df, False
 
 
+def keys_present(ledger: DataFrame, ledger_col: str, probe: DataFrame, probe_col: str, out: str) -> DataFrame:
+    """Distinct values of ``probe_col`` that already exist in ``ledger_col``,
+    as a one-column frame named ``out``. The (large) ledger is semi-joined
+    against the (small) batch of probe keys first, so only matching ledger
+    rows are shuffled; the planner / AQE broadcasts the batch keys when their
+    measured size allows."""
+    batch = probe.select(F.col(probe_col).alias("__probe")).filter(F.col("__probe").isNotNull()).distinct()
+    hits = ledger.select(F.col(ledger_col).alias(out))
+    return hits.join(batch, hits[out] == batch["__probe"], "left_semi").distinct()
+
+
 def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                        right_cols: dict[str, str]) -> DataFrame:
     """``left LEFT JOIN right ON left.left_key = right.right_key`` adding

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.money import MONEY
 from ..functions.text import id_ok, id_or_null, normalize_mobile, required_text
-from .joins import mark_first_in_key
+from .joins import keys_present, mark_first_in_key
 
 # Columns a re-seed overwrites on a product_code conflict; the others
 # (markup_amount, is_active, description, ids, created_at) are kept.
@@ -99,7 +99,7 @@ def post_prepaid_sales(requests: DataFrame, catalog: DataFrame, ledger: DataFram
         if f in r.columns:
             reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(f"{f} must be a UUID"))
     j = j.withColumn("__pre", reason)
-    refs = ledger.select(F.col("reference_number").alias("__lref")).distinct()
+    refs = keys_present(ledger, "reference_number", j, "__ref", "__lref")
     j = j.join(refs, F.col("__ref") == refs["__lref"], "left")
     j = j.withColumn("__pre", F.coalesce(F.col("__pre"), F.when(F.col("__lref").isNotNull(), F.lit(ERR_DUPLICATE))))
     j = mark_first_in_key(j, "__ref", seq, F.col("__pre").isNull(), "__first")
