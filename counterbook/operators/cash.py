@@ -95,6 +95,17 @@ def cash_breakdown(df: DataFrame, col: str, total_col: str, error_col: str = "br
             .withColumn(col, F.when(err.isNull(), ordered.cast(BREAKDOWN))))
 
 
+def breakdown_to_json(c: Column | str) -> Column:
+    """JSON text of a breakdown array (for a JSONB column or an HTTP body);
+    inside Spark the breakdown stays ``array<struct>``."""
+    return F.to_json(F.col(c) if isinstance(c, str) else c)
+
+
+def breakdown_from_json(c: Column | str) -> Column:
+    """Parse breakdown JSON text back into ``array<struct>``."""
+    return F.from_json(F.col(c) if isinstance(c, str) else c, BREAKDOWN)
+
+
 def breakdown_from_counts(counts: dict[int | float, str]) -> Column:
     """Array of ``{denomination, quantity}`` from per-denomination count columns."""
     return F.array(*[F.struct(F.lit(d).cast(MONEY).alias("denomination"), F.col(c).cast("int").alias("quantity"))

@@ -303,3 +303,64 @@ def q_reconciliation_register(a):
     out = C.reconciliation_register(recons_closed(a), a.r_deposits, start="1996-01-10", end="1996-01-20", limit=None)
     return out.select("id", "branch_id", "business_date", "opening_cash_total", "actual_cash_on_hand", "closed_at",
                       "total_bank_deposit_amount", "remaining_cash_on_register")
+
+
+AUDIT_SQL_FIELDS = """
+       CAST(cash_sales_amount AS DECIMAL(38,2)) AS cash_sales_amount,
+       CAST(gcash_cash_in_total AS DECIMAL(38,2)) AS gcash_cash_in_total,
+       CAST(gcash_cash_out_total AS DECIMAL(38,2)) AS gcash_cash_out_total,
+       prepaid_load_total, total_bank_deposit_amount,
+       CAST(other_cash_impact_amount AS DECIMAL(38,2)) AS net_other_cash_impact_amount,
+       CAST(cash_sales_amount + gcash_cash_in_total AS DECIMAL(38,2)) AS total_cash_inflows,
+       CAST(gcash_cash_out_total + total_bank_deposit_amount AS DECIMAL(38,2)) AS total_cash_outflows,
+       CAST(expected_cash_on_hand AS DECIMAL(38,2)) AS expected_cash_on_hand,
+       CAST(actual_cash_on_hand AS DECIMAL(38,2)) AS actual_cash_on_hand,
+       CAST(CASE WHEN closed_at IS NULL THEN 0
+                 ELSE GREATEST(COALESCE(actual_cash_on_hand, 0) - total_bank_deposit_amount, 0) END AS DECIMAL(38,2))
+         AS remaining_cash_on_register,
+       CAST(variance_amount AS DECIMAL(38,2)) AS variance_amount,
+       COALESCE(is_short, FALSE) AS is_short"""
+
+
+@register("audit_summary",
+          ["r_recons", "r_closings", "r_orders", "r_payments", "r_gcash", "r_prepaid", "r_deposits", "r_branches"],
+          CLOSED_SQL + """
+, rep AS (
+  SELECT c.*,
+         CAST(COALESCE((SELECT SUM(p.gross_amount) FROM r_prepaid p WHERE p.branch_id = c.branch_id
+                        AND CAST(p.created_at AS DATE) = c.business_date), 0) AS DECIMAL(38,2)) AS prepaid_load_total,
+         CAST(COALESCE((SELECT SUM(d.amount) FROM r_deposits d WHERE d.branch_id = c.branch_id
+                        AND d.business_date = c.business_date), 0) AS DECIMAL(38,2)) AS total_bank_deposit_amount
+  FROM closed c
+)
+SELECT id,""" + AUDIT_SQL_FIELDS + """
+FROM rep""")
+def q_audit_summary(a):
+    """The 13-field audit summary of every branch-day report."""
+    rep = C.audit_summary(C.cash_reconciliation_report(recons_closed(a), a.r_branches, a.r_prepaid, a.r_deposits))
+    return rep.select("id", "audit_summary.*")
+
+
+@register("breakdown_json", ["r_recons"], """
+, checked AS (
+  SELECT id, open_q1000 >= 0 AND open_q500 >= 0 AND open_q100 >= 0 AND open_q20 >= 0 AND open_q1 >= 0 AS ok,
+         open_q1000, open_q500, open_q100, open_q20, open_q1
+  FROM r_recons
+), elems AS (
+  SELECT id, 0 AS pos, 1000 AS d, open_q1000 AS q FROM checked WHERE ok
+  UNION ALL SELECT id, 1, 500, open_q500 FROM checked WHERE ok
+  UNION ALL SELECT id, 2, 100, open_q100 FROM checked WHERE ok
+  UNION ALL SELECT id, 3, 20, open_q20 FROM checked WHERE ok
+  UNION ALL SELECT id, 4, 1, open_q1 FROM checked WHERE ok
+)
+SELECT id, CAST(pos AS INT) AS pos, CAST(d AS DECIMAL(12,2)) AS denomination, CAST(q AS INT) AS quantity,
+       CAST(d * q AS DECIMAL(12,2)) AS amount
+FROM elems""")
+def q_breakdown_json(a):
+    """Normalised opening breakdowns written as JSON text and parsed back
+    (the JSONB edge), one row per element."""
+    r = a.r_recons.select("id", C.breakdown_from_counts(OPEN_COUNTS).alias("b"))
+    n = C.cash_breakdown(r, "b", "total").filter(F.col("breakdown_error").isNull())
+    j = n.select("id", C.breakdown_to_json("b").alias("b_json"))
+    back = j.select("id", F.posexplode(C.breakdown_from_json("b_json")).alias("pos", "e"))
+    return back.select("id", F.col("pos").cast("int").alias("pos"), "e.denomination", "e.quantity", "e.amount")

@@ -43,16 +43,23 @@ def read_envelopes(spark: SparkSession, path: str, resource: str, schema: T.Stru
     wrapped as ``{resource: {...}}`` or ``{resource + "s": {...}}``; the first
     non-empty of wrapped, plural-wrapped and bare wins. Returns rows with
     ``schema``'s columns."""
-    plural = resource + "s"
-    full = T.StructType(list(schema.fields) + [T.StructField(resource, schema), T.StructField(plural, schema)])
-    raw = spark.read.schema(full).json(path)
+    raw = spark.read.schema(envelope_schema(resource, schema)).json(path)
+    return envelope_body(raw, resource, schema)
 
+
+def envelope_schema(resource: str, schema: T.StructType) -> T.StructType:
+    """Read schema covering the bare and both wrapped shapes of a body."""
+    return T.StructType(list(schema.fields) + [T.StructField(resource, schema), T.StructField(resource + "s", schema)])
+
+
+def envelope_body(raw: DataFrame, resource: str, schema: T.StructType) -> DataFrame:
+    """Unwrap bodies read with ``envelope_schema`` (batch or streaming frame)."""
     def non_empty(c):
         return F.when(F.greatest(*[c[f.name].isNotNull() for f in schema.fields]) if len(schema.fields) > 1
                       else c[schema.fields[0].name].isNotNull(), c)
 
     bare = F.struct(*[F.col(f.name) for f in schema.fields])
-    body = F.coalesce(non_empty(F.col(resource)), non_empty(F.col(plural)), bare)
+    body = F.coalesce(non_empty(F.col(resource)), non_empty(F.col(resource + "s")), bare)
     return raw.select(body.alias("__b")).select("__b.*")
 
 

@@ -1,0 +1 @@
+"""Streaming execution of the posting operators (see ``requests``)."""
