@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import MONEY, MONEY_OUT, zero_money
-from ..functions.predicates import date_between, not_cancelled, optional_filters
+from ..functions.predicates import date_between, day_range, not_cancelled, optional_filters
 from .reports import _page
 
 BREAKDOWN_ELEMENT = T.StructType([
@@ -118,7 +118,8 @@ TOTAL_COLUMNS = ["total_sales_amount", "cash_sales_amount", "other_cash_impact_a
                  "gcash_cash_in_total", "gcash_cash_out_total"]
 
 
-def daily_cash_totals(orders: DataFrame, payments: DataFrame, gcash: DataFrame, prepaid: DataFrame) -> DataFrame:
+def daily_cash_totals(orders: DataFrame, payments: DataFrame, gcash: DataFrame, prepaid: DataFrame,
+                      start=None, end=None) -> DataFrame:
     """Per (branch_id, business_date): total_sales_amount (orders by
     created_at), cash_sales_amount (cash payments by payment_date),
     other_cash_impact_amount (signed wallet effect + prepaid impact),
@@ -126,8 +127,14 @@ def daily_cash_totals(orders: DataFrame, payments: DataFrame, gcash: DataFrame,
 
     The four per-day queries of the reference become one union of measure
     rows and a single aggregate (one shuffle on the branch-day key, combined
-    map-side per source)."""
+    map-side per source). ``start`` / ``end`` (inclusive days) restrict every
+    ledger by its own time column with predicates that reach the scans."""
     nul = F.lit(None).cast(MONEY)
+    if start is not None or end is not None:
+        orders = orders.filter(day_range("created_at", start, end))
+        payments = payments.filter(day_range("payment_date", start, end))
+        gcash = gcash.filter(day_range("created_at", start, end))
+        prepaid = prepaid.filter(day_range("created_at", start, end))
 
     def rows(df, branch, ts, **measures):
         return df.select(F.col(branch).alias("branch_id"), F.to_date(F.col(ts)).alias("business_date"),
@@ -286,6 +293,16 @@ def empty_recons(spark, id_type: T.DataType = T.LongType(), key_type: T.DataType
     return spark.createDataFrame([], schema)
 
 
+def closing_window(recons: DataFrame, closings: DataFrame) -> tuple:
+    """(first, last) business day among the reconciliations being closed --
+    one small aggregate whose two values bound the ledger scans of
+    ``daily_cash_totals`` for a closing run."""
+    ids = closings.select(F.col("id").alias("__cid")).distinct()
+    r = recons.join(ids, recons["id"] == ids["__cid"], "left_semi")
+    row = r.agg(F.min("business_date").alias("lo"), F.max("business_date").alias("hi")).first()
+    return row["lo"], row["hi"]
+
+
 def close_days(recons: DataFrame, closings: DataFrame, totals: DataFrame, as_of="1970-01-01 00:00:00",
                seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """Close business days. ``closings``: id (reconciliation), closing_cash_breakdown,
