@@ -2,8 +2,8 @@
 
 * ``left_join_nullable``: a left join whose probe key is mostly NULL (reversal
   links, optional user references). NULL keys never match, but a shuffle join
-  would still hash every NULL-key row into one partition; those rows are
-  routed around the join instead.
+  would still hash every NULL-key row into one partition; those rows probe
+  with a spread-out surrogate key that the join condition never lets match.
 * ``mark_first_in_key``: "first request wins" per key (serial-insert semantics of a
   unique index inside one batch) with an aggregate + join instead of a window,
   so a hot key is combined map-side rather than sorted in one task.
@@ -42,16 +42,19 @@ def keys_present(ledger: DataFrame, ledger_col: str, probe: DataFrame, probe_col
 
 
 def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                       right_cols: dict[str, str]) -> DataFrame:
+                       right_cols: dict[str, str], salt_buckets: int = 4096) -> DataFrame:
     """``left LEFT JOIN right ON left.left_key = right.right_key`` adding
-    ``right_cols`` (right column -> output name). Rows with a NULL key skip
-    the join and get NULLs. ``right_key`` must be unique in ``right``."""
+    ``right_cols`` (right column -> output name), for a probe key that is
+    mostly NULL. A NULL key never matches, but a shuffle join would hash all
+    NULL-key rows into one partition; here they probe with a surrogate key
+    spread over ``salt_buckets`` values (a hash of the row) while the join
+    condition keeps ``left_key IS NOT NULL``, so they still match nothing.
+    One pass over ``left`` (no split and union)."""
     r = right.select(F.col(right_key).alias("__rk"), *[F.col(c).alias(o) for c, o in right_cols.items()])
-    with_key = left.filter(F.col(left_key).isNotNull())
-    without = left.filter(F.col(left_key).isNull())
-    joined = with_key.join(r, with_key[left_key] == r["__rk"], "left").drop("__rk")
-    nulls = without.select("*", *[F.lit(None).cast(r.schema[o].dataType).alias(o) for o in right_cols.values()])
-    return joined.unionByName(nulls)
+    kt = left.schema[left_key].dataType
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt_buckets)).cast(kt)
+    probe = F.coalesce(F.col(left_key), salt)
+    return left.join(r, (probe == r["__rk"]) & F.col(left_key).isNotNull(), "left").drop("__rk")
 
 
 def mark_first_in_key(df: DataFrame, key: str | list[str], seq: str, eligible: Column | None = None,
