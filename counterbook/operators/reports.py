@@ -85,6 +85,14 @@ def _sum_measures() -> list[Column]:
     ]
 
 
+def _bucket(unit: str) -> Column:
+    """Period bucket of ``created_at``. ``date_trunc`` yields a zoned
+    timestamp; casting back to TIMESTAMP_NTZ keeps the wall-clock bucket, so
+    results do not depend on the session or client time zone."""
+    c = F.col("created_at")
+    return F.date_trunc(unit, c).cast("timestamp_ntz")
+
+
 def sales_summary(orders: DataFrame, items: DataFrame, prepaid: DataFrame, period: str = "daily",
                   start=None, end=None, branch_id=None, channel_id=None, as_of=None,
                   fan_out: bool = True) -> DataFrame:
@@ -94,11 +102,9 @@ def sales_summary(orders: DataFrame, items: DataFrame, prepaid: DataFrame, perio
     reference's per-item repetition of order amounts (T1)."""
     unit, start, end = resolve_report_dates(period, start, end, _today(as_of))
     include_prepaid = channel_id is None or channel_id == ""
-    rows = _order_measure_rows(orders, items, start, end, branch_id, channel_id, fan_out,
-                               F.date_trunc(unit, F.col("created_at")))
+    rows = _order_measure_rows(orders, items, start, end, branch_id, channel_id, fan_out, _bucket(unit))
     if include_prepaid:
-        rows = rows.unionByName(_prepaid_measure_rows(prepaid, start, end, branch_id,
-                                                      F.date_trunc(unit, F.col("created_at"))))
+        rows = rows.unionByName(_prepaid_measure_rows(prepaid, start, end, branch_id, _bucket(unit)))
     return rows.groupBy("period").agg(*_sum_measures()).orderBy("period")
 
 
