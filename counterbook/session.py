@@ -23,6 +23,24 @@ SESSION_CONF = {
 }
 
 
+# Suggested settings for a large cluster (the library never sets them): AQE
+# picks the number of post-shuffle partitions from measured sizes, splits
+# skewed join partitions and turns sort-merge joins into broadcasts when a side
+# turns out small; scans split into ~256 MB tasks.
+CLUSTER_CONF = {
+    **SESSION_CONF,
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "20000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512m",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.parquet.filterPushdown": "true",
+    "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+}
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "counterbook") -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")

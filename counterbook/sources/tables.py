@@ -15,10 +15,10 @@ def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType |
     """Full scan of one table by name (``root/name`` or ``root/name.parquet``).
     With a schema only those columns are read (projection reaches the scan)."""
     path = f"{root.rstrip('/')}/{name}"
-    if fmt == "parquet" and not name.endswith(".parquet"):
+    if fmt == "parquet" and not name.endswith(".parquet") and "://" not in root:
         import os
-        if os.path.exists(path + ".parquet") or not os.path.exists(path):
-            path = path + ".parquet"
+        if not os.path.exists(path) and os.path.exists(path + ".parquet"):
+            path = path + ".parquet"  # single-file tables of the local test folders
     reader = spark.read.format(fmt)
     df = reader.load(path)
     if schema is not None:
@@ -63,9 +63,23 @@ def envelope_body(raw: DataFrame, resource: str, schema: T.StructType) -> DataFr
     return raw.select(body.alias("__b")).select("__b.*")
 
 
-def write_version(df: DataFrame, root: str, name: str, mode: str = "errorifexists") -> str:
+def write_version(df: DataFrame, root: str, name: str, mode: str = "errorifexists",
+                  partition_by: list[str] | None = None, cluster_by: list[str] | None = None,
+                  max_records_per_file: int | None = None) -> str:
     """Write a new table version to a fresh path (``root/name/v=<uuid>``);
-    never over a path that is being read."""
+    never over a path that is being read. ``partition_by`` lays the version out
+    in folders (e.g. ledgers by ``business_date``, so daily closing runs and
+    registers prune to the days they read); ``cluster_by`` sorts rows within
+    each output task by the given keys (min/max statistics then skip row
+    groups for point and range probes on those keys)."""
     path = f"{root.rstrip('/')}/{name}/v={uuid.uuid4().hex}"
-    df.write.mode(mode).parquet(path)
+    out = df
+    if cluster_by:
+        out = out.sortWithinPartitions(*(list(partition_by or []) + list(cluster_by)))
+    w = out.write.mode(mode)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    if max_records_per_file:
+        w = w.option("maxRecordsPerFile", int(max_records_per_file))
+    w.parquet(path)
     return path

@@ -229,3 +229,14 @@ def test_first_in_key(spark):
                                "seq int, k string, ok boolean")
     got = {x["seq"]: x["f"] for x in rows(mark_first_in_key(df, "k", "seq", F.col("ok"), "f"))}
     assert got == {1: True, 2: False, 3: True, 4: None, 5: True}
+
+
+def test_write_version_partitioned(spark):
+    root = tempfile.mkdtemp(prefix="cb-ver-")
+    df = spark.createDataFrame([(1, dt.date(2024, 1, 2), D("1.00")), (2, dt.date(2024, 1, 3), D("2.00"))],
+                               "id bigint, business_date date, amount decimal(12,2)")
+    p1 = TB.write_version(df, root, "deposits", partition_by=["business_date"], cluster_by=["id"])
+    p2 = TB.write_version(df, root, "deposits")
+    assert p1 != p2
+    back = spark.read.parquet(p1).filter(F.col("business_date") == F.lit("2024-01-03").cast("date"))
+    assert [r["id"] for r in back.collect()] == [2]
