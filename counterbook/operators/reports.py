@@ -271,7 +271,8 @@ def variants_with_product(variants: DataFrame, products: DataFrame, product_id=N
     v = variants
     if product_id not in (None, ""):
         v = v.filter(F.col("product_id") == F.lit(product_id))
-    if is_active is not None and is_active != "":
+    if is_active is not None:
+        # any given value filters: 'true' / '1' (or True) mean active, anything else inactive
         flag = truthy_text(F.lit(str(is_active).lower() if isinstance(is_active, bool) else str(is_active)))
         v = v.filter(F.col("is_active") == flag)
     p = products.select(F.col("id").alias("__p_id"), F.col("product_name").alias("__p_name"))

@@ -38,28 +38,31 @@ def read_jdbc_table(spark: SparkSession, url: str, table: str, properties: dict
     return spark.read.jdbc(url, table, properties=opts)
 
 
-def read_envelopes(spark: SparkSession, path: str, resource: str, schema: T.StructType) -> DataFrame:
+def read_envelopes(spark: SparkSession, path: str, resource: str, schema: T.StructType,
+                   wrappers: list[str] | None = None) -> DataFrame:
     """JSON request bodies, one per line, either bare (``{...fields}``) or
-    wrapped as ``{resource: {...}}`` or ``{resource + "s": {...}}``; the first
-    non-empty of wrapped, plural-wrapped and bare wins. Returns rows with
-    ``schema``'s columns."""
-    raw = spark.read.schema(envelope_schema(resource, schema)).json(path)
-    return envelope_body(raw, resource, schema)
-
-
-def envelope_schema(resource: str, schema: T.StructType) -> T.StructType:
-    """Read schema covering the bare and both wrapped shapes of a body."""
-    return T.StructType(list(schema.fields) + [T.StructField(resource, schema), T.StructField(resource + "s", schema)])
-
-
-def envelope_body(raw: DataFrame, resource: str, schema: T.StructType) -> DataFrame:
-    """Unwrap bodies read with ``envelope_schema`` (batch or streaming frame)."""
-    def non_empty(c):
-        return F.when(F.greatest(*[c[f.name].isNotNull() for f in schema.fields]) if len(schema.fields) > 1
-                      else c[schema.fields[0].name].isNotNull(), c)
-
+    wrapped under one of ``wrappers`` (default ``[resource, resource + "s"]``;
+    the reversal endpoint uses ``["bank_deposit_reversal", "bank_deposit"]``).
+    The first wrapper holding an object wins, else the bare fields. Returns
+    rows with ``schema``'s columns."""
+    names = wrappers or [resource, resource + "s"]
+    raw = spark.read.schema(envelope_schema(resource, schema, names)).json(path)
+    return envelope_body(raw, resource, schema, names)
+
+
+def envelope_schema(resource: str, schema: T.StructType, wrappers: list[str] | None = None) -> T.StructType:
+    """Read schema covering the bare and the wrapped shapes of a body."""
+    names = wrappers or [resource, resource + "s"]
+    return T.StructType(list(schema.fields) + [T.StructField(w, schema) for w in names])
+
+
+def envelope_body(raw: DataFrame, resource: str, schema: T.StructType, wrappers: list[str] | None = None) -> DataFrame:
+    """Unwrap bodies read with ``envelope_schema`` (batch or streaming frame):
+    a wrapped object wins whenever its key holds an object, even an empty one
+    (any object is truthy); a missing or null wrapper falls through."""
+    names = wrappers or [resource, resource + "s"]
     bare = F.struct(*[F.col(f.name) for f in schema.fields])
-    body = F.coalesce(non_empty(F.col(resource)), non_empty(F.col(resource + "s")), bare)
+    body = F.coalesce(*[F.col(w) for w in names], bare)
     return raw.select(body.alias("__b")).select("__b.*")
 
 

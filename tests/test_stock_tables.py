@@ -181,9 +181,15 @@ def test_read_envelopes_and_table(spark):
         f.write('{"bank_deposits": {"amount": 3.5, "reference_number": "C"}}\n')
         f.write('{"bank_deposit": {}, "amount": 4.5, "reference_number": "D"}\n')
     schema = T.StructType([T.StructField("amount", T.DoubleType()), T.StructField("reference_number", T.StringType())])
-    out = sorted((x["reference_number"], x["amount"]) for x in rows(TB.read_envelopes(spark, d, "bank_deposit",
-                                                                                     schema)))
-    assert out == [("A", 1.5), ("B", 2.5), ("C", 3.5), ("D", 4.5)]
+    out = sorted(((x["reference_number"], x["amount"]) for x in rows(TB.read_envelopes(spark, d, "bank_deposit",
+                                                                                      schema))),
+                 key=lambda t: (t[0] is None, t))
+    # an empty wrapped object still wins over the bare fields
+    assert out == [("A", 1.5), ("B", 2.5), ("C", 3.5), (None, None)]
+    with open(os.path.join(d, "part.json"), "a") as f:
+        f.write('{"bank_deposit_reversal": {"amount": 5.5, "reference_number": "E"}, "bank_deposit": {}}\n')
+    rev = TB.read_envelopes(spark, d, "bank_deposit", schema, wrappers=["bank_deposit_reversal", "bank_deposit"])
+    assert ("E", 5.5) in {(x["reference_number"], x["amount"]) for x in rows(rev)}
     t = TB.read_table(spark, "/root/testdata/sf0.001", "nation",
                       T.StructType([T.StructField("n_nationkey", T.LongType())]))
     assert t.columns == ["n_nationkey"] and t.count() == 25
