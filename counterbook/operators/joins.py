@@ -70,6 +70,9 @@ def mark_first_in_key(df: DataFrame, key: str | list[str], seq: str, eligible: C
             .drop("__elig", "__min_seq"))
 
 
+_ROUND_LOG: list[int] | None = None  # tests and tuning read the rounds used
+
+
 def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eligible: Column,
                        out: str = "batch_reason") -> DataFrame:
     """Serial-insert semantics over several unique keys at once: taking rows
@@ -90,7 +93,9 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
     spark = df.sparkSession
     decided = None  # (__s, __msg, __acc)
     und = cand
+    rounds = 0
     while True:
+        rounds += 1
         if und.limit(1).count() == 0:
             break
         state = und
@@ -118,6 +123,8 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
         decided = now_decided if decided is None else cut_lineage(decided.unionByName(now_decided))
         und = state.filter(F.col("__msg").isNull() & ~F.col("__earliest")).select(
             "__s", *[f"__k{i}" for i in range(len(keys))])
+    if _ROUND_LOG is not None:
+        _ROUND_LOG.append(rounds)
     if decided is None:
         return df.withColumn(out, F.lit(None).cast("string"))
     res = decided.select(F.col("__s"), F.col("__msg").alias(out))

@@ -368,14 +368,17 @@ SELECT event_id AS seq,
 FROM {events}
 WHERE event_type = 'click'""", ("events",)),
 
+    # Proposed bands: each block of 1000 events proposes bands inside its own
+    # 1000-wide amount range, so band density (and overlap pairs per band)
+    # stays constant as the data grows.
     "r_fee_candidates": ("""
 SELECT event_id AS seq,
        CASE WHEN event_id % 17 = 0 THEN event_id % 9 + 1 END AS id,
        CASE WHEN event_id % 23 = 0 THEN 'bogus' WHEN event_id % 2 = 0 THEN 'cash_in' ELSE 'cash_out' END
          AS service_type,
-       CASE WHEN event_id % 19 = 0 THEN -5.0 ELSE value END AS min_amount,
-       CASE WHEN event_id % 97 = 0 THEN NULL WHEN event_id % 13 = 0 THEN value - 10
-            ELSE value + event_id % 3 END AS max_amount,
+       CASE WHEN event_id % 19 = 0 THEN -5.0 ELSE value + FLOOR(event_id / 1000) * 1000.0 END AS min_amount,
+       CASE WHEN event_id % 13 = 0 THEN value + FLOOR(event_id / 1000) * 1000.0 - 10
+            ELSE value + FLOOR(event_id / 1000) * 1000.0 + event_id % 3 END AS max_amount,
        CAST(event_id % 10 AS DOUBLE) AS fee_amount,
        event_id % 3 <> 0 AS is_active
 FROM {events}
