@@ -66,7 +66,7 @@ FROM {customer}""", ("customer",)),
 SELECT o.o_orderkey AS id,
        CONCAT('ORD-', CAST(o.o_orderkey AS STRING)) AS order_number,
        o.o_custkey AS customer_id,
-       CAST(c.c_nationkey AS BIGINT) AS branch_id,
+       o.o_custkey % 25 AS branch_id,
        o.o_orderpriority AS sales_channel_id,
        CASE WHEN o.o_orderkey % 10 = 0 THEN 'cancelled'
             WHEN o.o_orderkey % 97 = 0 THEN NULL
@@ -78,7 +78,7 @@ SELECT o.o_orderkey AS id,
        CASE WHEN o.o_orderkey % 7 = 0 THEN NULL
             ELSE CAST(o.o_orderkey % 50 AS DECIMAL(12,2)) END AS discount_amount,
        o.o_orderdate AS created_at
-FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey""", ("orders", "customer")),
+FROM {orders} o""", ("orders",)),
 
     "r_items": ("""
 SELECT l_orderkey AS order_id,
