@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from ..functions.money import MONEY
 from ..functions.text import id_ok, id_or_null, required_text
-from .joins import keys_present, mark_first_in_key
+from ..session import cut_lineage
+from .joins import keys_present, mark_first_in_key, mark_greedy_conflicts
 
 INLINE_RULES_MAX = 512
 BUCKETS_PER_RANGE = 1024
@@ -155,8 +156,10 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
     rule is an update: provided columns overlay the stored row. Checks:
     numeric min/max/fee, known service type, min ≥ 0, max ≥ min; an active
     rule may not overlap another active rule of its type (itself excluded on
-    update). Amounts are rounded to cents. Candidates are checked against
-    the stored rules (not against each other). Returns (outcome, new rules)."""
+    update). Amounts are rounded to cents. Candidates apply in ``seq`` order:
+    the stored rules are those at the start of the batch, and an accepted
+    active candidate blocks later candidates whose bands overlap it (the
+    message names the blocking band). Returns (outcome, new rules)."""
     now = F.lit(str(as_of)).cast("timestamp_ntz")
     c = candidates
     cur = rules.select(*[F.col(x).alias("__old_" + x) for x in rules.columns])
@@ -209,10 +212,28 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
                                                   F.struct("__o_min", F.col("__o_created").isNull(), "__o_created",
                                                            "__o_id")).alias("__h"))
     c = c.join(first_hit, "__cid", "left")
-    # stored NUMERIC(12,2) values print with their two decimals
-    ovl_msg = F.concat(F.lit("fee range overlaps existing active rule ("), F.col("__h.__o_min").cast("string"),
-                       F.lit(" - "), F.coalesce(F.col("__h.__o_max").cast("string"), F.lit("infinity")), F.lit(")"))
-    c = c.withColumn("reject_reason", F.coalesce(F.col("__pre"), F.when(F.col("__h").isNotNull(), ovl_msg)))
+    # in-batch: an earlier accepted active candidate is an existing rule for
+    # the later ones (serial submission order)
+    live = c.filter(F.col("__pre").isNull() & F.col("__act") & F.col("__h").isNull()).select(
+        F.col("__cid").alias("id"), F.col("__st").alias("service_type"), F.col("__min").alias("min_amount"),
+        F.col("__max").alias("max_amount"), F.lit(True).alias("is_active"),
+        F.lit(None).cast("timestamp_ntz").alias("created_at"))
+    live = cut_lineage(live)
+    pairs = fee_rule_overlaps(live).select(F.col("rule_id").alias("a"), F.col("other_rule_id").alias("b"))
+    decided = cut_lineage(mark_greedy_conflicts(live.select(F.col("id").alias("__cid")), "__cid", pairs, "__by"))
+    # name the overlapping accepted band with the smallest min_amount
+    accepted = decided.filter(F.col("__by").isNull()).select(F.col("__cid").alias("a"))
+    bands = live.select(F.col("id").alias("a"), F.col("min_amount").alias("__o_min"),
+                        F.col("max_amount").alias("__o_max"))
+    named = (pairs.join(accepted, "a", "left_semi").join(bands, "a")
+             .groupBy(F.col("b").alias("__cid"))
+             .agg(F.min_by(F.struct("__o_min", "__o_max"), F.struct("__o_min", "a")).alias("__hb")))
+    c = c.join(named, "__cid", "left")
+    h = F.coalesce(F.col("__h"), F.col("__hb"))
+    # NUMERIC(12,2) values print with their two decimals
+    ovl_msg = F.concat(F.lit("fee range overlaps existing active rule ("), h["__o_min"].cast("string"),
+                       F.lit(" - "), F.coalesce(h["__o_max"].cast("string"), F.lit("infinity")), F.lit(")"))
+    c = c.withColumn("reject_reason", F.coalesce(F.col("__pre"), F.when(h.isNotNull(), ovl_msg)))
     outcome = c.select(*[F.col(x) for x in candidates.columns if x in c.columns],
                        F.col("__st").alias("service_type_final"), F.col("__min").alias("min_amount_final"),
                        F.col("__max").alias("max_amount_final"), F.col("__fee_m").alias("fee_amount_final"),

@@ -130,3 +130,51 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
     res = decided.select(F.col("__s"), F.col("__msg").alias(out))
     _ = spark
     return df.join(res, df[seq] == res["__s"], "left").drop("__s")
+
+
+def mark_greedy_conflicts(cands: DataFrame, seq: str, pairs: DataFrame, out: str = "conflict_with") -> DataFrame:
+    """Serial acceptance over a conflict graph: taking candidates in ``seq``
+    order, a candidate is accepted unless an earlier *accepted* candidate
+    conflicts with it. ``pairs`` holds conflicts as (``a``, ``b``) with
+    ``a < b`` (both ``seq`` values). Adds ``out``: NULL when accepted, else
+    the smallest accepted earlier ``seq`` it conflicts with.
+
+    Exact, in rounds: a candidate is decided rejected as soon as an earlier
+    neighbour is accepted, and accepted once all its earlier neighbours are
+    rejected; every round decides at least the earliest undecided candidate.
+    Each round's state is checkpointed to the shared checkpoint folder."""
+    from ..session import cut_lineage
+
+    p = pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+    und = cands.select(F.col(seq).alias("__s")).distinct()
+    acc = None   # (__s)
+    rej = None   # (__s, __by)
+    rounds = 0
+    while und.limit(1).count() > 0:
+        rounds += 1
+        edges = p.join(und.select(F.col("__s").alias("__b")), "__b", "left_semi")  # edges into undecided
+        if acc is not None:
+            hit = (edges.join(acc.select(F.col("__s").alias("__a")), "__a", "left_semi")
+                   .groupBy("__b").agg(F.min("__a").alias("__by")))
+        else:
+            hit = None
+        waiting = (edges.join(und.select(F.col("__s").alias("__a")), "__a", "left_semi")
+                   .select("__b").distinct())
+        state = und
+        if hit is not None:
+            state = state.join(hit, state["__s"] == hit["__b"], "left").drop("__b")
+        else:
+            state = state.withColumn("__by", F.lit(None).cast(und.schema["__s"].dataType))
+        state = state.join(waiting.withColumn("__wait", F.lit(True)), state["__s"] == waiting["__b"], "left") \
+            .drop("__b")
+        state = cut_lineage(state.select("__s", "__by", F.coalesce("__wait", F.lit(False)).alias("__wait")))
+        new_rej = state.filter(F.col("__by").isNotNull()).select("__s", "__by")
+        new_acc = state.filter(F.col("__by").isNull() & ~F.col("__wait")).select("__s")
+        rej = new_rej if rej is None else cut_lineage(rej.unionByName(new_rej))
+        acc = new_acc if acc is None else cut_lineage(acc.unionByName(new_acc))
+        und = state.filter(F.col("__by").isNull() & F.col("__wait")).select("__s")
+    if _ROUND_LOG is not None:
+        _ROUND_LOG.append(rounds)
+    if rej is None:
+        return cands.withColumn(out, F.lit(None).cast(cands.schema[seq].dataType))
+    return cands.join(rej, cands[seq] == rej["__s"], "left").drop("__s").withColumnRenamed("__by", out)

@@ -246,12 +246,35 @@ def q_fee_rule_overlaps(a):
        AND (r.max_amount IS NULL OR r.max_amount >= v.mn2) AND (v.mx2 IS NULL OR v.mx2 >= r.min_amount)
        AND (v.old_id IS NULL OR r.id <> v.old_id)
 )
+, live AS (
+  SELECT v.seq, v.st, v.mn2, v.mx2, ROW_NUMBER() OVER (ORDER BY v.seq) AS rn
+  FROM v LEFT JOIN hits h ON h.seq = v.seq AND h.rn = 1
+  WHERE v.why IS NULL AND v.act AND h.seq IS NULL
+), walk AS (
+  SELECT CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq,
+         CAST([] AS STRUCT(st VARCHAR, mn DECIMAL(12,2), sq BIGINT, mx DECIMAL(12,2))[]) AS acc,
+         CAST(NULL AS STRUCT(st VARCHAR, mn DECIMAL(12,2), sq BIGINT, mx DECIMAL(12,2))) AS blocker
+  UNION ALL
+  SELECT l.rn, l.seq,
+         CASE WHEN len(list_filter(w.acc, lambda x: x.st = l.st AND (x.mx IS NULL OR x.mx >= l.mn2)
+                                                    AND (l.mx2 IS NULL OR l.mx2 >= x.mn))) > 0
+              THEN w.acc
+              ELSE list_append(w.acc, {'st': l.st, 'mn': l.mn2, 'sq': l.seq, 'mx': l.mx2}) END,
+         list_sort(list_filter(w.acc, lambda x: x.st = l.st AND (x.mx IS NULL OR x.mx >= l.mn2)
+                                                AND (l.mx2 IS NULL OR l.mx2 >= x.mn)))[1]
+  FROM walk w JOIN live l ON l.rn = w.rn + 1
+)
 SELECT v.seq, v.st AS service_type_final, v.mn2 AS min_amount_final, v.mx2 AS max_amount_final,
        v.fee2 AS fee_amount_final, v.act AS is_active_final, v.old_id IS NOT NULL AS is_update,
-       COALESCE(v.why, CASE WHEN h.seq IS NOT NULL THEN 'fee range overlaps existing active rule ('
-                || CAST(h.min_amount AS VARCHAR) || ' - ' || COALESCE(CAST(h.max_amount AS VARCHAR), 'infinity') || ')'
-                END) AS reject_reason
-FROM v LEFT JOIN hits h ON h.seq = v.seq AND h.rn = 1""")
+       COALESCE(v.why,
+                CASE WHEN h.seq IS NOT NULL THEN 'fee range overlaps existing active rule ('
+                     || CAST(h.min_amount AS VARCHAR) || ' - ' || COALESCE(CAST(h.max_amount AS VARCHAR), 'infinity')
+                     || ')' END,
+                CASE WHEN w.blocker IS NOT NULL THEN 'fee range overlaps existing active rule ('
+                     || CAST(w.blocker.mn AS VARCHAR) || ' - '
+                     || COALESCE(CAST(w.blocker.mx AS VARCHAR), 'infinity') || ')' END) AS reject_reason
+FROM v LEFT JOIN hits h ON h.seq = v.seq AND h.rn = 1
+LEFT JOIN walk w ON w.seq = v.seq""")
 def q_load_fee_rules(a):
     """Proposed rules (new and updates) checked against the stored bands."""
     outcome, _ = FE.load_fee_rules(a.r_fee_candidates, a.r_fee_rules, POST_AS_OF)

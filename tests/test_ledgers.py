@@ -261,3 +261,48 @@ def test_post_prepaid_sales(spark):
     assert out[6]["reject_reason"] == P.ERR_PRODUCT_REQUIRED
     assert out[7]["reject_reason"] == P.ERR_DUPLICATE and out[8]["reject_reason"] == P.ERR_DUPLICATE
     assert out[9]["reject_reason"] == P.ERR_MOBILE_REQUIRED
+
+
+def test_load_fee_rules_in_batch_serial_order(spark, rules):
+    cand = spark.createDataFrame([
+        (1, "cash_out", "60", "70"), (2, "cash_out", "65", "80"), (3, "cash_out", "75", "90"),
+        (4, "cash_out", "85", "100"), (5, "cash_out", "64", "76"), (6, "cash_in", "600", "700"),
+    ], "seq int, service_type string, min_amount string, max_amount string")
+    cand = cand.withColumn("fee_amount", F.lit("1"))
+    outcome, new = FE.load_fee_rules(cand, rules.filter(F.col("service_type") == "cash_out"),
+                                     id_expr=F.lit(None).cast("bigint"))
+    r = {x["seq"]: x["reject_reason"] for x in rows(outcome)}
+    # 1 accepted; 2 overlaps 1; 3 overlaps only the rejected 2 -> accepted; 4 overlaps 3;
+    # 5 overlaps 1 and 3 -> the band with the smaller min is named
+    assert r == {1: None, 2: "fee range overlaps existing active rule (60.00 - 70.00)", 3: None,
+                 4: "fee range overlaps existing active rule (75.00 - 90.00)",
+                 5: "fee range overlaps existing active rule (60.00 - 70.00)", 6: None}
+    assert new.count() == 2 + 3
+
+
+def _serial_intervals(cands):
+    acc = []
+    out = {}
+    for s, lo, hi in sorted(cands):
+        hits = [a for a in acc if a[1] <= hi and lo <= a[2]]
+        out[s] = min(h[0] for h in hits) if hits else None
+        if not hits:
+            acc.append((s, lo, hi))
+    return out
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 6)), min_size=1, max_size=20))
+def test_greedy_conflicts_match_serial(spark, spans):
+    from counterbook.operators.joins import mark_greedy_conflicts
+    cands = [(i, lo, lo + w) for i, (lo, w) in enumerate(spans)]
+    df = spark.createDataFrame(cands, "seq int, lo int, hi int")
+    l, r = df.alias("l"), df.alias("r")
+    pairs = l.join(r, (F.col("l.seq") < F.col("r.seq")) & (F.col("l.lo") <= F.col("r.hi"))
+                   & (F.col("r.lo") <= F.col("l.hi"))).select(F.col("l.seq").alias("a"), F.col("r.seq").alias("b"))
+    got = {x["seq"]: x["by"] for x in rows(mark_greedy_conflicts(df, "seq", pairs, "by"))}
+    assert got == _serial_intervals(cands)
