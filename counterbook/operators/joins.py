@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A side is broadcast only when a count proves it is at most this many rows.
-BROADCAST_MAX_ROWS = 2_000_000
+BROADCAST_MAX_ROWS = 1_000_000
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
@@ -80,10 +80,11 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
     value of any key; otherwise ``out`` gets the message of the first key (in
     the given check order) it shares. Ineligible rows get NULL.
 
-    Exact, computed in rounds: a row that is the earliest undecided row of
-    every key value it holds is decided in the current round (accepted, or
-    rejected if it meets an accepted row). The globally earliest undecided row
-    is always decided, and in practice one or two rounds settle a batch.
+    Exact, computed in rounds: a row meeting an accepted row on key k is
+    rejected once no undecided earlier row shares any key checked before k; a
+    row that is the earliest undecided row of every key value it holds and
+    meets no accepted row is accepted. The globally earliest undecided row is
+    always decided, and in practice a few rounds settle a batch.
     Each round's state is checkpointed to the shared checkpoint folder.
     ``seq`` must be unique."""
     from ..session import cut_lineage
@@ -109,12 +110,18 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
                 state = state.join(acc, k, "left")
             else:
                 state = state.withColumn(f"__hit{i}", F.lit(None).cast("boolean"))
+        # early_i: no undecided earlier row shares key i. A hit on key k is
+        # final only when every key checked before k is early (an undecided
+        # earlier row sharing such a key could still be accepted and then be
+        # the first failing check).
+        early = [F.col(f"__k{i}").isNull() | (F.col("__s") == F.col(f"__min{i}")) for i in range(len(keys))]
         hit_msg = None
-        for i, (_, msg) in reversed(list(enumerate(keys))):
+        for i, (_, msg) in enumerate(keys):
             cond = F.coalesce(F.col(f"__hit{i}"), F.lit(False))
-            hit_msg = F.when(cond, F.lit(msg)) if hit_msg is None else F.when(cond, F.lit(msg)).otherwise(hit_msg)
-        earliest = reduce(lambda a, b: a & b, [F.col(f"__k{i}").isNull() | (F.col("__s") == F.col(f"__min{i}"))
-                                               for i in range(len(keys))])
+            for j in range(i):
+                cond = cond & early[j]
+            hit_msg = F.when(cond, F.lit(msg)) if hit_msg is None else hit_msg.when(cond, F.lit(msg))
+        earliest = reduce(lambda a, b: a & b, early)
         state = state.select("__s", *[f"__k{i}" for i in range(len(keys))],
                              hit_msg.alias("__msg"), earliest.alias("__earliest"))
         state = cut_lineage(state)
