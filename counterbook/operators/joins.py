@@ -184,4 +184,9 @@ def mark_greedy_conflicts(cands: DataFrame, seq: str, pairs: DataFrame, out: str
         _ROUND_LOG.append(rounds)
     if rej is None:
         return cands.withColumn(out, F.lit(None).cast(cands.schema[seq].dataType))
-    return cands.join(rej, cands[seq] == rej["__s"], "left").drop("__s").withColumnRenamed("__by", out)
+    # name the smallest accepted earlier neighbour from the final accepted set
+    # (a smaller one may have been accepted after the row was rejected)
+    by = (p.join(acc.select(F.col("__s").alias("__a")), "__a", "left_semi")
+          .join(rej.select(F.col("__s").alias("__b")), "__b", "left_semi")
+          .groupBy(F.col("__b").alias("__s")).agg(F.min("__a").alias(out)))
+    return cands.join(by, cands[seq] == by["__s"], "left").drop("__s")
