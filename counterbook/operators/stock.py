@@ -9,9 +9,11 @@ loop; here a receipt batch becomes one set of movements, one aggregate per
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Rejection texts.
 ERR_PO_REQUIRED = "purchase_order_id is required"
 ERR_PO_NOT_FOUND = "purchase order not found"
@@ -63,19 +65,35 @@ def _restock_rows(items: DataFrame, as_of) -> DataFrame:
 
 
 def receive_purchase_orders(pos: DataFrame, po_items: DataFrame, transitions: DataFrame, inventories: DataFrame,
-                            as_of="1970-01-01 00:00:00") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Apply status changes (``transitions``: purchase_order_id, status). A PO
-    going from any other status to 'received' posts one 'restock' movement
-    per item that has a variant and adds its quantity to the inventory of
-    (PO branch, variant). Every item is posted (no 1000-item cap, T30).
-    Returns (movements, new inventories, new purchase orders)."""
-    t = transitions.select(F.col("purchase_order_id").alias("__tid"), F.col("status").alias("__new"))
-    p = pos.join(t, pos["id"] == t["__tid"], "left")
-    new_pos = p.select(*[F.coalesce(F.col("__new"), pos["status"]).alias(c) if c == "status" else pos[c]
+                            as_of="1970-01-01 00:00:00", seq: str | None = None
+                            ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Apply status changes (``transitions``: purchase_order_id, status and,
+    when a PO may change more than once in a batch, a request order ``seq``).
+    Every change of a PO from another status to 'received' posts one
+    'restock' movement per item that has a variant (posting is not
+    idempotent: received -> ordered -> received posts twice) and adds the
+    quantity to the inventory of (PO branch, variant). Every item is posted
+    (no 1000-item cap, T30). Returns (movements, new inventories, new
+    purchase orders with each PO's last status)."""
+    t = transitions.select(F.col("purchase_order_id").alias("__tid"), F.col("status").alias("__new"),
+                           (F.col(seq) if seq else F.lit(0)).alias("__seq"))
+    stored = pos.select(F.col("id").alias("__tid"), F.col("status").alias("__old"))
+    t = t.join(stored, "__tid", "inner")  # changes to unknown POs do nothing
+    # previous status of each change: the stored one, then the prior change's
+    # (changes of one PO are a handful of requests, ordered per PO)
+    w = Window.partitionBy("__tid").orderBy("__seq")
+    t = t.withColumn("__prev", F.coalesce(F.lag("__new").over(w), F.col("__old")))
+    t = cut_lineage(t) if seq else t
+    posts = (t.filter((F.col("__new") == "received") & ~F.coalesce(F.col("__prev") == "received", F.lit(False)))
+             .groupBy("__tid").agg(F.count(F.lit(1)).alias("__times")))
+    last = t.groupBy("__tid").agg(F.max_by("__new", "__seq").alias("__last"))
+    p = pos.join(last, pos["id"] == last["__tid"], "left")
+    new_pos = p.select(*[F.coalesce(F.col("__last"), pos["status"]).alias(c) if c == "status" else pos[c]
                          for c in pos.columns])
-    received = p.filter((F.col("__new") == "received") & ~F.coalesce(pos["status"] == "received", F.lit(False)))
-    received = received.select(F.col("id").alias("__po_id"), F.col("branch_id").alias("__po_branch"))
+    received = pos.join(posts, pos["id"] == posts["__tid"], "inner").select(
+        F.col("id").alias("__po_id"), F.col("branch_id").alias("__po_branch"), "__times")
     items = po_items.join(received, po_items["purchase_order_id"] == received["__po_id"], "inner")
+    items = items.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__times").cast("int"))))
     movements = _restock_rows(items, as_of)
     return movements, merge_stock(inventories, movements), new_pos
 

@@ -45,6 +45,16 @@ def test_receive_purchase_orders(spark, po):
     assert stock == {(7, 10): 105, (7, 11): 2}
     assert sum(stock.values()) - 100 == sum(x["quantity"] for x in m)  # stock added = Σ movements
     assert {x["id"]: x["status"] for x in rows(new_pos)} == {1: "received", 2: "received", 3: "cancelled"}
+    # several changes of one PO in a batch apply in order; each move into 'received' posts again
+    trans = spark.createDataFrame([(1, "received", 1), (1, "ordered", 2), (1, "received", 3), (3, "received", 4),
+                                   (3, "received", 5), (9, "received", 6)],
+                                  "purchase_order_id bigint, status string, seq int")
+    moves, new_inv, new_pos = S.receive_purchase_orders(pos, items, trans, inv, seq="seq")
+    assert sorted((x["reference_id"], x["product_variant_id"]) for x in rows(moves)) == \
+        [(1, 10), (1, 10), (1, 11), (1, 11), (3, 12)]
+    assert {x["id"]: x["status"] for x in rows(new_pos)} == {1: "received", 2: "received", 3: "received"}
+    stock = {(x["branch_id"], x["product_variant_id"]): x["quantity_on_hand"] for x in rows(new_inv)}
+    assert stock == {(7, 10): 110, (7, 11): 4, (8, 12): 4}
 
 
 def test_post_received_items_and_estimate_guards(spark, po):
