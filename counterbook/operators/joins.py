@@ -91,7 +91,6 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
 
     names = [k for k, _ in keys]
     cand = df.filter(eligible).select(F.col(seq).alias("__s"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)])
-    spark = df.sparkSession
     decided = None  # (__s, __msg, __acc)
     und = cand
     rounds = 0
@@ -135,7 +134,6 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
     if decided is None:
         return df.withColumn(out, F.lit(None).cast("string"))
     res = decided.select(F.col("__s"), F.col("__msg").alias(out))
-    _ = spark
     return df.join(res, df[seq] == res["__s"], "left").drop("__s")
 
 
