@@ -54,3 +54,15 @@ def normalize_mobile(c: Column | str) -> Column:
     digits = F.regexp_replace(col_of(c).cast("string"), r"[^0-9]", "")
     return (F.when(digits.rlike(MOBILE_LOCAL), digits)
             .when(digits.rlike(MOBILE_INTL), F.concat(F.lit("0"), F.substring(digits, 3, 100))))
+
+
+def stable_id(namespace: str, *cols: Column | str) -> Column:
+    """Deterministic UUID-shaped id (version-5 layout, RFC variant) from a
+    namespace and a row's natural unique key. Unlike ``uuid()`` it is the
+    same on every evaluation, so a recomputed task (after an executor loss)
+    or a second action over the same plan produces the same ids."""
+    parts = [F.lit(namespace)] + [F.coalesce(col_of(c).cast("string"), F.lit("∅")) for c in cols]
+    h = F.sha2(F.concat_ws("|", *parts), 256)
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
+                       F.concat(F.lit("5"), F.substring(h, 14, 3)),
+                       F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))

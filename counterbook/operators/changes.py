@@ -11,15 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import stable_id
 from ..sources.schemas import FOREIGN_KEYS
 from .quality import validation_errors
 
 
 def append_rows(target: DataFrame, incoming: DataFrame, table: str | None = None,
-                defaults: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame]:
+                defaults: dict[str, Column] | None = None, key_cols: list[str] | None = None
+                ) -> tuple[DataFrame, DataFrame]:
     """Validated INSERT: rows are checked against the table's input rules
     (all required fields); keys that are not target columns are dropped;
-    columns not given take ``defaults`` (default: ``id`` = uuid(),
+    columns not given take ``defaults`` (default: ``id`` derived from
+    ``key_cols`` when given, else uuid(),
     ``created_at`` / ``updated_at`` = current time, else NULL). A batch with
     no target column at all is refused. Returns (outcome with ``errors``,
     new table)."""
@@ -29,7 +32,10 @@ def append_rows(target: DataFrame, incoming: DataFrame, table: str | None = None
     checked = incoming.withColumn("errors", validation_errors(incoming, table, True) if table
                                   else F.array().cast("array<string>"))
     ok = checked.filter(F.size("errors") == 0)
-    dflt = {"id": F.expr("uuid()"), "created_at": F.localtimestamp(), "updated_at": F.localtimestamp()}
+    # ids from the batch's natural key when one is named (same on every
+    # evaluation); uuid() otherwise
+    new_id = stable_id(table or "row", *key_cols) if key_cols else F.expr("uuid()")
+    dflt = {"id": new_id, "created_at": F.localtimestamp(), "updated_at": F.localtimestamp()}
     dflt.update(defaults or {})
     rows = ok.select(*[
         (F.col(c) if c in common else dflt.get(c, F.lit(None))).cast(target.schema[c].dataType).alias(c)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import stable_id
 from ..sources.tables import envelope_body, envelope_schema
 
 PostFn = Callable[[DataFrame, DataFrame], DataFrame]
@@ -34,8 +35,9 @@ def post_request_stream(spark: SparkSession, source_dir: str, resource: str, sch
                         id_column: str = "id", available_now: bool = True):
     """Start the stream; returns the ``StreamingQuery``. ``post(batch,
     ledger)`` must return the batch with the ledger's columns (except ids)
-    and ``reject_reason``; accepted rows are appended to the ledger with a
-    new ``uuid()`` id when the ledger has an id column the outcome lacks."""
+    and ``reject_reason``; accepted rows are appended to the ledger with an id
+    derived from their unique reference number when the ledger has an id
+    column the outcome lacks."""
     raw = spark.readStream.schema(envelope_schema(resource, schema)).json(source_dir)
     requests = envelope_body(raw, resource, schema)
 
@@ -51,7 +53,10 @@ def post_request_stream(spark: SparkSession, source_dir: str, resource: str, sch
             if f.name in ok.columns:
                 cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
             elif f.name == id_column:
-                cols.append(F.expr("uuid()").cast(f.dataType).alias(f.name))
+                # same id on a replayed micro-batch when the reference is known
+                new_id = (stable_id(resource, "reference_number") if "reference_number" in ok.columns
+                          else F.expr("uuid()"))
+                cols.append(new_id.cast(f.dataType).alias(f.name))
             else:
                 cols.append(F.lit(None).cast(f.dataType).alias(f.name))
         ok.select(*cols).write.mode("overwrite").parquet(f"{ledger_path.rstrip('/')}/epoch={epoch_id}")

@@ -306,3 +306,20 @@ def test_greedy_conflicts_match_serial(spark, spans):
                    & (F.col("r.lo") <= F.col("l.hi"))).select(F.col("l.seq").alias("a"), F.col("r.seq").alias("b"))
     got = {x["seq"]: x["by"] for x in rows(mark_greedy_conflicts(df, "seq", pairs, "by"))}
     assert got == _serial_intervals(cands)
+
+
+def test_new_ids_are_stable_and_uuid_shaped(spark, ledger):
+    from counterbook.functions.text import UUID_RFC
+    req = spark.createDataFrame([(1, 1, "dup", "X1", "Ann", "p")],
+                                "seq int, id bigint, reversal_reason string, reference_number string, "
+                                "depositor_name string, photo_proof_url string")
+    led = ledger.withColumn("id", F.col("id").cast("string")).withColumn(
+        "reversal_of_id", F.col("reversal_of_id").cast("string"))
+    req = req.withColumn("id", F.col("id").cast("string"))
+    _, new1 = DP.reverse_deposits(req, led)
+    _, new2 = DP.reverse_deposits(req, led)
+    ids1 = {r["id"] for r in new1.collect()} - {r["id"] for r in led.collect()}
+    ids2 = {r["id"] for r in new2.collect()} - {r["id"] for r in led.collect()}
+    assert len(ids1) == 1 and ids1 == ids2
+    import re
+    assert re.match(UUID_RFC, ids1.pop())
