@@ -209,6 +209,8 @@ def open_days(recons: DataFrame, openings: DataFrame, mode: str = "insert", as_o
     if mode not in ("insert", "upsert"):
         raise ValueError("mode must be 'insert' or 'upsert'")
     now = _ts(as_of)
+    if "notes" in openings.columns:  # an empty note is no note
+        openings = openings.withColumn("notes", F.nullif(F.col("notes"), F.lit("")))
     req = cash_breakdown(openings, "opening_cash_breakdown", "opening_cash_total")
     bdate, date_ok = _business_date(F.col("business_date"), openings.schema["business_date"].dataType, now)
     req = req.withColumn("__date_ok", date_ok).withColumn("business_date", bdate)
@@ -317,6 +319,8 @@ def close_days(recons: DataFrame, closings: DataFrame, totals: DataFrame, as_of=
 
     Returns (outcome: closings + closing_cash_total + reject_reason, new recons table)."""
     now = _ts(as_of)
+    if "notes" in closings.columns:  # an empty note is no note
+        closings = closings.withColumn("notes", F.nullif(F.col("notes"), F.lit("")))
     req = cash_breakdown(closings, "closing_cash_breakdown", "closing_cash_total")
     if "closed_at" not in req.columns:
         req = req.withColumn("closed_at", now)

@@ -124,7 +124,7 @@ def post_deposits(requests: DataFrame, recons: DataFrame, ledger: DataFrame, as_
         F.col("__depositor_name").alias("depositor_name"),
         F.col("__photo_proof_url").alias("photo_proof_url"),
         F.lit("posted").alias("status"),
-        _opt(r, "notes").alias("notes"),
+        F.nullif(_opt(r, "notes"), F.lit("")).alias("notes"),  # an empty note is no note
         _opt(r, "deposited_by", ledger.schema["deposited_by"].dataType).alias("deposited_by"),
         F.coalesce(_opt(r, "deposited_at", T.TimestampNTZType()).cast("timestamp_ntz"), now).alias("deposited_at"),
         "reject_reason",
@@ -193,7 +193,7 @@ def reverse_deposits(requests: DataFrame, ledger: DataFrame, as_of="1970-01-01 0
     accepted = ok.select(F.col("id").alias("__target"), F.col("__reason").alias("__a_reason"),
                          F.col("__ref").alias("__a_ref"), F.col("__dep_name").alias("__a_dep"),
                          F.col("__proof").alias("__a_proof"),
-                         _opt(ok, "notes").alias("__a_notes"),
+                         F.nullif(_opt(ok, "notes"), F.lit("")).alias("__a_notes"),
                          _opt(ok, "deposited_by", ledger.schema["deposited_by"].dataType).alias("__a_by"),
                          F.coalesce(_opt(ok, "deposited_at", T.TimestampNTZType()).cast("timestamp_ntz"), now)
                          .alias("__a_at"))

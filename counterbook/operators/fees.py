@@ -306,6 +306,6 @@ def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: Data
         F.col("__amt").cast(MONEY).alias("principal_amount"),
         fee.alias("fee_amount"), gross.alias("gross_amount"), impact.alias("cash_impact"),
         F.col("__ref").alias("reference_number"), F.col("__rule_id").alias("fee_rule_id"),
-        *([F.col("notes").cast("string").alias("notes")] if "notes" in r.columns else []),
+        *([F.nullif(F.col("notes").cast("string"), F.lit("")).alias("notes")] if "notes" in r.columns else []),
         F.coalesce(F.col("__pre"), F.when(~F.col("__first"), F.lit(ERR_DUPLICATE))).alias("reject_reason"),
     )
