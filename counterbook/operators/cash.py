@@ -390,6 +390,11 @@ def cash_reconciliation_report(recons: DataFrame, branches: DataFrame, prepaid:
     total_bank_deposit_amount, remaining_cash_on_register (NULL while open,
     else max(actual − deposits, 0)) and branch_name."""
     r = optional_filters(recons, {"branch_id": branch_id, "business_date": business_date})
+    # the same filters on the ledgers, as raw-column predicates that reach their scans
+    prepaid = optional_filters(prepaid, {"branch_id": branch_id})
+    deposits = optional_filters(deposits, {"branch_id": branch_id, "business_date": business_date})
+    if business_date not in (None, ""):
+        prepaid = prepaid.filter(day_range("created_at", business_date, business_date))
     pre = prepaid.groupBy(F.col("branch_id").alias("__pb"), F.to_date("created_at").alias("__pd")).agg(
         F.sum("gross_amount").alias("__pre"))
     r = r.join(pre, (r["branch_id"] == pre["__pb"]) & (r["business_date"] == pre["__pd"]), "left")
@@ -435,6 +440,7 @@ def reconciliation_register(recons: DataFrame, deposits: DataFrame, branch_id=No
     """Reconciliations with deposit totals and remaining cash, newest business
     date first (then newest created, then id)."""
     r = optional_filters(recons, {"branch_id": branch_id}).filter(date_between("business_date", start, end))
+    deposits = optional_filters(deposits, {"branch_id": branch_id}).filter(date_between("business_date", start, end))
     r = _with_deposits(r, deposits)
     return _page(r, [F.desc_nulls_first("business_date"), F.desc_nulls_first("created_at"), F.asc("id")],
                  limit if limit is None else (int(limit) or 100), offset)

@@ -189,3 +189,17 @@ def test_open_days_insert_and_upsert(spark):
     assert t[(7, dt.date(2024, 1, 4))]["opening_cash_total"] == D("20.00")  # last request wins
     assert t[(7, dt.date(2024, 1, 4))]["notes"] == "second" and t[(7, dt.date(2024, 1, 4))]["opened_by"] == 4
     assert t[(7, dt.date(2024, 1, 2))]["opening_cash_total"] == D("1000.00")  # closed day untouched
+
+
+def test_report_filters_reach_the_ledgers(spark):
+    orders, payments, gcash, prepaid = _ledgers(spark)
+    recons = _recons(spark)
+    branches = spark.createDataFrame([(7, "Main")], "id bigint, branch_name string")
+    deposits = spark.createDataFrame([(7, dt.date(2024, 1, 2), D("5.00")), (7, dt.date(2024, 1, 3), D("6.00"))],
+                                     "branch_id bigint, business_date date, amount decimal(12,2)")
+    one = rows(C.cash_reconciliation_report(recons, branches, prepaid, deposits, branch_id=7,
+                                            business_date=dt.date(2024, 1, 2)))
+    assert len(one) == 1 and one[0]["total_bank_deposit_amount"] == D("5.00")
+    assert one[0]["prepaid_load_total"] == D("51.00")
+    reg = rows(C.reconciliation_register(recons, deposits, start="2024-01-03", end="2024-01-03"))
+    assert [(r["id"], r["total_bank_deposit_amount"]) for r in reg] == [(2, D("6.00"))]
