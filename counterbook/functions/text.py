@@ -66,3 +66,16 @@ def stable_id(namespace: str, *cols: Column | str) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4),
                        F.concat(F.lit("5"), F.substring(h, 14, 3)),
                        F.concat(F.lit("8"), F.substring(h, 18, 3)), F.substring(h, 21, 12))
+
+
+def new_id(namespace: str, dtype: T.DataType, *cols: Column | str) -> Column:
+    """Deterministic id of a new row for an id column of type ``dtype``:
+    UUID-shaped text (``stable_id``) for text ids; for numeric ids a 64-bit
+    (BIGINT) or 32-bit (INT) hash of the same key -- supply ``id_expr`` to the
+    operator when numeric ids must be collision-free at very large counts."""
+    if isinstance(dtype, T.StringType):
+        return stable_id(namespace, *cols)
+    parts = [F.lit(namespace)] + [col_of(c) for c in cols]
+    if isinstance(dtype, (T.IntegerType, T.ShortType, T.ByteType)):
+        return F.hash(*parts).cast(dtype)
+    return F.xxhash64(*parts).cast(dtype)

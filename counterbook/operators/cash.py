@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.money import MONEY, MONEY_OUT, zero_money
 from ..functions.predicates import date_between, day_range, not_cancelled, optional_filters
-from ..functions.text import stable_id
+from ..functions.text import new_id
 from .joins import mark_first_in_key
 from .reports import _page
 
@@ -250,7 +250,8 @@ def open_days(recons: DataFrame, openings: DataFrame, mode: str = "insert", as_o
                     if c == "updated_at" else recons[c])
                    for c in recons.columns]))
     new_keys = last.join(recons.select("branch_id", "business_date"), ["branch_id", "business_date"], "left_anti")
-    id_col = id_expr if id_expr is not None else stable_id("cash_reconciliation", "branch_id", "business_date")
+    id_col = (id_expr if id_expr is not None
+              else new_id("cash_reconciliation", recons.schema["id"].dataType, "branch_id", "business_date"))
     inserted = new_keys.select(
         "branch_id", "business_date",
         F.col("__last.opening_cash_breakdown").alias("opening_cash_breakdown"),

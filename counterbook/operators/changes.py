@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import stable_id
+from ..functions.text import new_id
 from ..sources.schemas import FOREIGN_KEYS
 from .quality import validation_errors
 
@@ -34,8 +34,9 @@ def append_rows(target: DataFrame, incoming: DataFrame, table: str | None = None
     ok = checked.filter(F.size("errors") == 0)
     # ids from the batch's natural key when one is named (same on every
     # evaluation); uuid() otherwise
-    new_id = stable_id(table or "row", *key_cols) if key_cols else F.expr("uuid()")
-    dflt = {"id": new_id, "created_at": F.localtimestamp(), "updated_at": F.localtimestamp()}
+    row_id = (new_id(table or "row", target.schema["id"].dataType, *key_cols)
+              if key_cols and "id" in target.columns else F.expr("uuid()"))
+    dflt = {"id": row_id, "created_at": F.localtimestamp(), "updated_at": F.localtimestamp()}
     dflt.update(defaults or {})
     rows = ok.select(*[
         (F.col(c) if c in common else dflt.get(c, F.lit(None))).cast(target.schema[c].dataType).alias(c)

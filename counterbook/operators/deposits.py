@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ..functions.money import MONEY, MONEY_OUT
 from ..functions.predicates import date_between, optional_filters
-from ..functions.text import required_text, stable_id
+from ..functions.text import new_id, required_text
 from .joins import keys_present, left_join_nullable, mark_first_in_key, mark_greedy_unique
 from .reports import _page
 
@@ -138,7 +138,7 @@ def append_deposits(ledger: DataFrame, outcome: DataFrame, id_expr: Column | Non
     now = _ts(as_of)
     ok = outcome.filter(F.col("reject_reason").isNull())
     new = ok.select(*[
-        (id_expr if id_expr is not None else stable_id("bank_deposit", "reference_number"))
+        (id_expr if id_expr is not None else new_id("bank_deposit", ledger.schema["id"].dataType, "reference_number"))
         .cast(ledger.schema["id"].dataType).alias(c) if c == "id"
         else F.col(c).cast(ledger.schema[c].dataType).alias(c) if c in ok.columns
         else (now if c in ("created_at", "updated_at") else F.lit(None).cast(ledger.schema[c].dataType)).alias(c)
@@ -210,7 +210,8 @@ def reverse_deposits(requests: DataFrame, ledger: DataFrame, as_of="1970-01-01 0
         for c in ledger.columns])
     pdate = F.lit(str(posting_date)).cast("date") if posting_date is not None else F.col("L.business_date")
     contra_vals = {
-        "id": (id_expr if id_expr is not None else stable_id("bank_deposit", F.col("__a_ref"))),
+        "id": (id_expr if id_expr is not None
+               else new_id("bank_deposit", ledger.schema["id"].dataType, F.col("__a_ref"))),
         "business_date": pdate,
         "amount": (-F.abs(F.col("L.amount"))).cast(MONEY),
         "reference_number": F.col("__a_ref"),

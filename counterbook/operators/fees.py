@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
-from ..functions.text import id_ok, id_or_null, required_text, stable_id
+from ..functions.text import id_ok, id_or_null, new_id, required_text
 from ..session import cut_lineage
 from .joins import keys_present, mark_first_in_key, mark_greedy_conflicts
 
@@ -248,10 +248,11 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
                          .cast(rules.schema[x].dataType).alias(x) if x in vals else rules[x] for x in rules.columns])
     ins = ok.filter(~F.col("__is_update"))
     # no natural key: the batch time and request order identify a new rule
-    new_id = id_expr if id_expr is not None else stable_id("gcash_fee_rule", F.lit(str(as_of)), F.col("__cid"))
+    rule_id = (id_expr if id_expr is not None
+               else new_id("gcash_fee_rule", rules.schema["id"].dataType, F.lit(str(as_of)), F.col("__cid")))
     other = {"effective_from": "effective_from", "effective_to": "effective_to"}
     inserted = ins.select(*[
-        (vals[x] if x in vals else new_id if x == "id" else now if x == "created_at"
+        (vals[x] if x in vals else rule_id if x == "id" else now if x == "created_at"
          else F.col(other[x]) if x in other and x in candidates.columns else F.lit(None))
         .cast(rules.schema[x].dataType).alias(x) for x in rules.columns])
     return outcome, updated.unionByName(inserted)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.money import MONEY
-from ..functions.text import id_ok, id_or_null, normalize_mobile, required_text, stable_id
+from ..functions.text import id_ok, id_or_null, new_id, normalize_mobile, required_text
 from .joins import keys_present, mark_first_in_key
 
 # Columns a re-seed overwrites on a product_code conflict; the others
@@ -57,7 +57,7 @@ def upsert_catalog(catalog: DataFrame, incoming: DataFrame, as_of="1970-01-01 00
             v = F.when(in_cat, catalog[c]).otherwise(now)
         elif c == "id":
             v = F.when(in_cat, catalog[c]).otherwise(
-                (id_expr if id_expr is not None else stable_id("prepaid_load_product", "__n_product_code")).cast(dt))
+                (id_expr if id_expr is not None else new_id("prepaid_load_product", dt, "__n_product_code")).cast(dt))
         elif c == "markup_amount":
             v = F.when(in_cat, catalog[c]).otherwise(F.coalesce(new_val, F.lit(0)).cast(dt) if new_val is not None
                                                      else F.lit(0).cast(dt))

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import stable_id
+from ..functions.text import new_id
 from ..session import cut_lineage
 
 # Rejection texts.
@@ -50,7 +50,7 @@ def merge_stock(inventories: DataFrame, movements: DataFrame, id_expr: Column |
             v = F.coalesce(inventories[c], F.lit(0)) + F.coalesce(F.col("__add"), F.lit(0))
         elif c == "id":
             v = F.when(have, inventories[c]).otherwise(
-                id_expr if id_expr is not None else stable_id("inventory", F.col("__b"), F.col("__v")))
+                id_expr if id_expr is not None else new_id("inventory", dt, F.col("__b"), F.col("__v")))
         elif c == "reorder_level":
             v = F.when(have, inventories[c]).otherwise(F.lit(0))
         else:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import stable_id
+from ..functions.text import new_id
 from ..sources.tables import envelope_body, envelope_schema
 
 PostFn = Callable[[DataFrame, DataFrame], DataFrame]
@@ -54,9 +54,9 @@ def post_request_stream(spark: SparkSession, source_dir: str, resource: str, sch
                 cols.append(F.col(f.name).cast(f.dataType).alias(f.name))
             elif f.name == id_column:
                 # same id on a replayed micro-batch when the reference is known
-                new_id = (stable_id(resource, "reference_number") if "reference_number" in ok.columns
+                row_id = (new_id(resource, f.dataType, "reference_number") if "reference_number" in ok.columns
                           else F.expr("uuid()"))
-                cols.append(new_id.cast(f.dataType).alias(f.name))
+                cols.append(row_id.cast(f.dataType).alias(f.name))
             else:
                 cols.append(F.lit(None).cast(f.dataType).alias(f.name))
         ok.select(*cols).write.mode("overwrite").parquet(f"{ledger_path.rstrip('/')}/epoch={epoch_id}")

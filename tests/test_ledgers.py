@@ -323,3 +323,21 @@ def test_new_ids_are_stable_and_uuid_shaped(spark, ledger):
     assert len(ids1) == 1 and ids1 == ids2
     import re
     assert re.match(UUID_RFC, ids1.pop())
+
+
+def test_upsert_catalog_repeated_codes_last_wins(spark):
+    existing = spark.createDataFrame([(1, "smart", "S50", "Old", D("49.00"), D("2.00"), True)],
+                                     "id bigint, carrier string, product_code string, product_name string, "
+                                     "face_value decimal(12,2), markup_amount decimal(12,2), is_active boolean")
+    inc = spark.createDataFrame([("smart", "S50", "First", D("50.00"), 1), ("smart", "S50", "Second", D("51.00"), 2),
+                                 ("tnt", "T1", "New", D("10.00"), 3)],
+                                "carrier string, product_code string, product_name string, face_value decimal(12,2), "
+                                "seq int")
+    out = {r["product_code"]: r for r in rows(P.upsert_catalog(existing, inc, seq="seq"))}
+    assert out["S50"]["product_name"] == "Second" and out["S50"]["face_value"] == D("51.00")
+    assert out["S50"]["markup_amount"] == D("2.00") and out["S50"]["id"] == 1
+    assert out["T1"]["markup_amount"] == D("0.00") and out["T1"]["is_active"] is True
+    from counterbook.operators.listing import lookup_by_keys
+    cat = spark.createDataFrame([(1, True), (2, False)], "id bigint, is_active boolean")
+    keys = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
+    assert [r["id"] for r in rows(lookup_by_keys(cat, keys, "id", active_only=True))] == [1]
