@@ -213,3 +213,111 @@ FOREIGN_KEYS = [
     ("bank_deposits", "reversed_by", "users", "set_null"),
     ("bank_deposits", "deposited_by", "users", "set_null"),
 ]
+
+# Spark schemas of the back-office tables (DDL). Ids are text (UUIDs); money
+# is DECIMAL(12,2); timestamps are TIMESTAMP_NTZ in UTC; the cash breakdowns
+# are arrays of {denomination, quantity, amount}.
+_BREAKDOWN = "array<struct<denomination:decimal(12,2),quantity:int,amount:decimal(12,2)>>"
+TABLE_DDL = {
+    "branches": "id string, branch_name string, address string, phone string, is_main boolean, "
+                "created_at timestamp_ntz",
+    "sales_channels": "id string, channel_name string",
+    "users": "id string, full_name string, phone string, email string, password_hash string, role string, "
+             "branch_id string, is_active boolean, created_at timestamp_ntz",
+    "customers": "id string, full_name string, phone string, email string, address string, customer_type string, "
+                 "created_at timestamp_ntz",
+    "suppliers": "id string, supplier_name string, phone string, email string, address string, "
+                 "supplier_type string, notes string, created_at timestamp_ntz",
+    "categories": "id string, category_name string, parent_id string",
+    "products": "id string, product_name string, description string, photo_url string, category_id string, "
+                "brand string, status string, created_at timestamp_ntz",
+    "product_variants": "id string, product_id string, sku string, class string, product_type string, brand string, "
+                        "photo_url string, size string, color string, price decimal(12,2), "
+                        "cost_price decimal(12,2), is_active boolean, created_at timestamp_ntz",
+    "inventories": "id string, branch_id string, product_variant_id string, quantity_on_hand int, reorder_level int",
+    "inventory_movements": "id string, branch_id string, product_variant_id string, movement_type string, "
+                           "quantity int, reference_type string, reference_id string, created_at timestamp_ntz",
+    "orders": "id string, order_number string, customer_id string, branch_id string, sales_channel_id string, "
+              "order_status string, total_amount decimal(12,2), discount_percentage decimal(5,2), "
+              "discount_amount decimal(12,2), created_at timestamp_ntz",
+    "order_items": "id string, order_id string, product_variant_id string, quantity int, unit_price decimal(12,2), "
+                   "subtotal decimal(12,2)",
+    "payments": "id string, order_id string, payment_method string, amount decimal(12,2), received_by string, "
+                "payment_date timestamp_ntz",
+    "gcash_fee_rules": "id string, service_type string, min_amount decimal(12,2), max_amount decimal(12,2), "
+                       "fee_amount decimal(12,2), is_active boolean, effective_from timestamp_ntz, "
+                       "effective_to timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz",
+    "gcash_transactions": "id string, order_id string, branch_id string, customer_id string, service_type string, "
+                          "principal_amount decimal(12,2), fee_amount decimal(12,2), gross_amount decimal(12,2), "
+                          "cash_impact decimal(12,2), reference_number string, fee_rule_id string, "
+                          "received_by string, notes string, created_at timestamp_ntz",
+    "prepaid_load_products": "id string, carrier string, product_code string, product_name string, "
+                             "description string, load_type string, face_value decimal(12,2), "
+                             "markup_amount decimal(12,2), validity_days int, is_active boolean, source_url string, "
+                             "created_at timestamp_ntz, updated_at timestamp_ntz",
+    "prepaid_load_transactions": "id string, order_id string, branch_id string, customer_id string, "
+                                 "recipient_mobile_no string, carrier string, product_id string, "
+                                 "face_value decimal(12,2), markup_amount decimal(12,2), gross_amount decimal(12,2), "
+                                 "cash_impact decimal(12,2), reference_number string, received_by string, "
+                                 "notes string, created_at timestamp_ntz",
+    "returns": "id string, order_id string, branch_id string, reason string, return_status string, "
+               "created_at timestamp_ntz",
+    "return_items": "id string, return_id string, product_variant_id string, quantity int",
+    "purchase_orders": "id string, supplier_id string, branch_id string, po_number string, status string, "
+                       "total_cost decimal(12,2), created_at timestamp_ntz, shipping_cost decimal(12,2), "
+                       "tipping_cost decimal(12,2), miscellaneous_cost decimal(12,2)",
+    "purchase_order_items": "id string, purchase_order_id string, product_variant_id string, quantity int, "
+                            "cost_price decimal(12,2)",
+    "purchase_order_estimates": "id string, purchase_order_id string, product_id string, estimated_quantity int, "
+                                "estimated_total_cost decimal(12,2), notes string, created_at timestamp_ntz, "
+                                "updated_at timestamp_ntz",
+    "expenses": "id string, branch_id string, expense_type string, description string, amount decimal(12,2), "
+                "expense_date date",
+    "cash_reconciliations": f"id string, branch_id string, business_date date, "
+                            f"opening_cash_breakdown {_BREAKDOWN}, closing_cash_breakdown {_BREAKDOWN}, "
+                            "opening_cash_total decimal(12,2), closing_cash_total decimal(12,2), "
+                            "total_sales_amount decimal(12,2), cash_sales_amount decimal(12,2), "
+                            "other_cash_impact_amount decimal(12,2), gcash_cash_in_total decimal(12,2), "
+                            "gcash_cash_out_total decimal(12,2), expected_cash_on_hand decimal(12,2), "
+                            "actual_cash_on_hand decimal(12,2), variance_amount decimal(12,2), is_short boolean, "
+                            "notes string, opened_by string, closed_by string, opened_at timestamp_ntz, "
+                            "closed_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz",
+    "bank_deposits": "id string, branch_id string, cash_reconciliation_id string, business_date date, "
+                     "amount decimal(12,2), bank_account string, reference_number string, depositor_name string, "
+                     "photo_proof_url string, status string, reversal_of_id string, reversal_reason string, "
+                     "reversed_by string, reversed_at timestamp_ntz, notes string, deposited_by string, "
+                     "deposited_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz",
+}
+
+# Column defaults applied by inserts and additive migrations (literal values;
+# "now" columns are filled by the operators with their ``as_of``).
+DEFAULTS = {
+    "branches": {"is_main": False},
+    "users": {"role": "staff", "is_active": True},
+    "customers": {"customer_type": "walk-in"},
+    "suppliers": {"supplier_type": "physical"},
+    "products": {"status": "active"},
+    "product_variants": {"price": 0, "cost_price": 0, "is_active": True},
+    "inventories": {"quantity_on_hand": 0, "reorder_level": 0},
+    "orders": {"order_status": "pending", "total_amount": 0, "discount_percentage": 0, "discount_amount": 0},
+    "order_items": {"quantity": 1, "unit_price": 0, "subtotal": 0},
+    "gcash_fee_rules": {"is_active": True},
+    "prepaid_load_products": {"load_type": "regular", "markup_amount": 0, "is_active": True},
+    "returns": {"return_status": "pending"},
+    "return_items": {"quantity": 1},
+    "purchase_orders": {"shipping_cost": 0, "tipping_cost": 0, "miscellaneous_cost": 0},
+    "purchase_order_items": {"quantity": 1, "cost_price": 0},
+    "expenses": {"amount": 0},
+    "cash_reconciliations": {"opening_cash_total": 0, "closing_cash_total": 0, "total_sales_amount": 0,
+                             "cash_sales_amount": 0, "other_cash_impact_amount": 0, "gcash_cash_in_total": 0,
+                             "gcash_cash_out_total": 0, "expected_cash_on_hand": 0, "actual_cash_on_hand": 0,
+                             "variance_amount": 0, "is_short": False},
+    "bank_deposits": {"amount": 0, "status": "posted"},
+}
+
+
+def table_schema(name: str):
+    """``StructType`` of a back-office table (parsed by the active session)."""
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(TABLE_DDL[name])
