@@ -206,6 +206,8 @@ def q_read_envelopes(a):
     """Wallet requests written as JSON bodies in three envelope shapes (bare,
     wrapped, plural-wrapped) to the shared checkpoint folder and read back."""
     root = ensure_checkpoint_dir(a.spark)
+    if not root:
+        raise RuntimeError("read_envelopes needs spark.checkpoint.dir (a shared folder) to write the bodies")
     path = f"{root.rstrip('/')}/envelopes-{uuid.uuid4().hex}"
     r = a.r_wallet_requests
     body = F.struct("seq", "service_type", "reference_number", "principal_amount")

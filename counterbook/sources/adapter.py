@@ -455,7 +455,11 @@ class Adapter:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        key = (spark.sparkContext.applicationId, self.sf_dir)
+        try:
+            app = spark.sparkContext.applicationId
+        except Exception:  # noqa: BLE001 -- Spark Connect sessions have no SparkContext
+            app = f"session-{id(spark)}"
+        key = (app, self.sf_dir)
         self._cache = _VIEW_CACHE.setdefault(key, {})
 
     def table(self, name: str) -> DataFrame:
