@@ -371,3 +371,16 @@ FROM k LEFT JOIN firsts f ON f.ref = k.ref""")
 def q_post_prepaid_sales(a):
     """Prepaid sale batch against the current catalog and the ledger."""
     return P.post_prepaid_sales(a.r_prepaid_requests, a.r_catalog_current, a.r_prepaid)
+
+
+@register("deposit_register_filtered", ["r_deposits", "r_branches", "r_users"], """
+SELECT d.id, d.business_date, d.amount, b.branch_name, ro.reference_number AS reversal_of_reference_number
+FROM r_deposits d
+LEFT JOIN r_branches b ON b.id = d.branch_id
+LEFT JOIN r_deposits ro ON ro.id = d.reversal_of_id
+WHERE d.branch_id = 4 AND d.business_date >= DATE '1996-01-05' AND d.business_date <= DATE '1996-01-25'""")
+def q_deposit_register_filtered(a):
+    """Deposit register of one branch over a date range."""
+    return D.deposit_register(a.r_deposits, a.r_branches, a.r_users, branch_id=4, start="1996-01-05",
+                              end="1996-01-25", limit=None).select(
+        "id", "business_date", "amount", "branch_name", "reversal_of_reference_number")

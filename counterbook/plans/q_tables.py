@@ -216,3 +216,13 @@ def q_read_envelopes(a):
               .otherwise(F.to_json(F.struct(body.alias("gcash_transactions")))))
     r.select(shaped.alias("value")).write.text(path)
     return TB.read_envelopes(a.spark, path, "gcash_transaction", ENVELOPE_FIELDS)
+
+
+@register("lookup_active_products", ["r_catalog_current", "r_prepaid_catalog", "r_prepaid", "r_prepaid_requests"], """
+SELECT c.id, c.product_code FROM r_catalog_current c
+WHERE c.is_active AND c.id IN (SELECT product_id FROM r_prepaid_requests)""")
+def q_lookup_active_products(a):
+    """Active catalog products named by the sale requests (point reads of
+    active products, re-aimed at a batch of keys)."""
+    keys = a.r_prepaid_requests.select(F.col("product_id").alias("id"))
+    return L.lookup_by_keys(a.r_catalog_current, keys, "id", active_only=True).select("id", "product_code")
