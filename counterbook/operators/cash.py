@@ -130,8 +130,10 @@ def daily_cash_totals(orders: DataFrame, payments: DataFrame, gcash: DataFrame,
     The four per-day queries of the reference become one union of measure
     rows and a single aggregate (one shuffle on the branch-day key, combined
     map-side per source). ``start`` / ``end`` (inclusive days) restrict every
-    ledger by its own time column with predicates that reach the scans."""
+    ledger by its own time column with predicates that reach the scans; the
+    orders a window's cash payments belong to are looked up in all orders."""
     nul = F.lit(None).cast(MONEY)
+    live_all = orders.filter(not_cancelled("order_status"))  # payments may belong to older orders
     if start is not None or end is not None:
         orders = orders.filter(day_range("created_at", start, end))
         payments = payments.filter(day_range("payment_date", start, end))
@@ -144,7 +146,7 @@ def daily_cash_totals(orders: DataFrame, payments: DataFrame, gcash: DataFrame,
 
     live = orders.filter(not_cancelled("order_status"))
     sales = rows(live, "branch_id", "created_at", total_sales_amount=F.col("total_amount"))
-    o = live.select(F.col("id").alias("__oid"), F.col("branch_id").alias("__branch"))
+    o = live_all.select(F.col("id").alias("__oid"), F.col("branch_id").alias("__branch"))
     cash_pay = payments.filter(F.col("payment_method") == "cash")
     cash_pay = cash_pay.join(o, cash_pay["order_id"] == o["__oid"], "inner")
     cash = rows(cash_pay, "__branch", "payment_date", cash_sales_amount=F.col("amount"))

@@ -90,17 +90,21 @@ def q_append_rows(a):
 
 
 @register("apply_patches", ["r_variants", "r_estimates"], """
-, last AS (
-  SELECT product_id, arg_max(estimated_total_cost, id) AS price, arg_max(id % 2 <> 0, id) AS is_active
-  FROM r_estimates GROUP BY product_id
+, top AS (SELECT product_id, MAX(id) AS mid FROM r_estimates GROUP BY product_id),
+last AS (
+  SELECT e.product_id, MAX(e.estimated_total_cost) AS price, BOOL_OR(e.id % 2 <> 0) AS is_active
+  FROM r_estimates e JOIN top t ON t.product_id = e.product_id AND e.id = t.mid
+  GROUP BY e.product_id
 )
 SELECT v.id, COALESCE(l.price, v.price) AS price,
        CASE WHEN l.product_id IS NOT NULL THEN l.is_active ELSE v.is_active END AS is_active, v.sku
 FROM r_variants v LEFT JOIN last l ON l.product_id = v.id""")
 def q_apply_patches(a):
     """Variant price / active flag patched from the estimate rows (last patch wins)."""
+    # estimate ids repeat (lineitem has no unique key): order patches by (id, price)
     p = a.r_estimates.select(F.col("product_id").alias("id"), F.col("estimated_total_cost").alias("price"),
-                             (F.col("id") % 2 != 0).alias("is_active"), F.col("id").alias("seq"))
+                             (F.col("id") % 2 != 0).alias("is_active"),
+                             F.struct(F.col("id"), F.col("estimated_total_cost")).alias("seq"))
     _, table = CH.apply_patches(a.r_variants, p, "id", seq="seq", table="product_variants")
     return table.select("id", "price", "is_active", "sku")
 

@@ -203,3 +203,12 @@ def test_report_filters_reach_the_ledgers(spark):
     assert one[0]["prepaid_load_total"] == D("51.00")
     reg = rows(C.reconciliation_register(recons, deposits, start="2024-01-03", end="2024-01-03"))
     assert [(r["id"], r["total_bank_deposit_amount"]) for r in reg] == [(2, D("6.00"))]
+
+
+def test_windowed_totals_keep_payments_of_older_orders(spark):
+    orders, payments, gcash, prepaid = _ledgers(spark)
+    # payment 4 (cash, 2024-01-03) belongs to order 1 created on 2024-01-02
+    t = {(r["branch_id"], r["business_date"]): r
+         for r in rows(C.daily_cash_totals(orders, payments, gcash, prepaid, "2024-01-03", "2024-01-03"))}
+    assert t[(7, dt.date(2024, 1, 3))]["cash_sales_amount"] == D("5.00")
+    assert (7, dt.date(2024, 1, 2)) not in t
