@@ -30,6 +30,7 @@ ERR_REFERENCE_UNIQUE = "reference_number must be unique"
 ERR_NOT_FOUND = "bank deposit not found"
 ERR_REVERSAL_OF_REVERSAL = "cannot reverse a reversal entry"
 ERR_ALREADY_REVERSED = "bank deposit is already reversed"
+ERR_REQUIRED = "{field} is required"
 
 
 def _opt(df: DataFrame, name: str, dtype: T.DataType = T.StringType()) -> Column:
@@ -98,10 +99,10 @@ def post_deposits(requests: DataFrame, recons: DataFrame, ledger: DataFrame, as_
         F.when(has_recon, F.col("__rdate")).otherwise(_resolve_date(date_in, date_type, today)).alias("__date"),
     )
     reason = (F.when(F.col("__amount") <= 0, F.lit(ERR_AMOUNT))
-              .when(F.col("__bank_account").isNull(), F.lit("bank_account is required"))
-              .when(F.col("__reference_number").isNull(), F.lit("reference_number is required"))
-              .when(F.col("__depositor_name").isNull(), F.lit("depositor_name is required"))
-              .when(F.col("__photo_proof_url").isNull(), F.lit("photo_proof_url is required"))
+              .when(F.col("__bank_account").isNull(), F.lit(ERR_REQUIRED.format(field="bank_account")))
+              .when(F.col("__reference_number").isNull(), F.lit(ERR_REQUIRED.format(field="reference_number")))
+              .when(F.col("__depositor_name").isNull(), F.lit(ERR_REQUIRED.format(field="depositor_name")))
+              .when(F.col("__photo_proof_url").isNull(), F.lit(ERR_REQUIRED.format(field="photo_proof_url")))
               .when(has_recon & F.col("__rid").isNull(), F.lit(ERR_RECON_NOT_FOUND))
               .when(has_recon & branch_in.isNotNull() & (branch_in != F.col("__rbranch")), F.lit(ERR_BRANCH_MISMATCH))
               .when(F.col("__branch").isNull(), F.lit(ERR_BRANCH_REQUIRED)))
@@ -174,10 +175,10 @@ def reverse_deposits(requests: DataFrame, ledger: DataFrame, as_of="1970-01-01 0
     r = (r.join(orig, r["id"] == orig["__oid"], "left")
          .join(already, r["id"] == already["__rev_target"], "left")
          .join(refs, F.col("__ref") == refs["__lref"], "left"))
-    reason = (F.when(F.col("__reason").isNull(), F.lit("reversal_reason is required"))
-              .when(F.col("__ref").isNull(), F.lit("reference_number is required"))
-              .when(F.col("__dep_name").isNull(), F.lit("depositor_name is required"))
-              .when(F.col("__proof").isNull(), F.lit("photo_proof_url is required"))
+    reason = (F.when(F.col("__reason").isNull(), F.lit(ERR_REQUIRED.format(field="reversal_reason")))
+              .when(F.col("__ref").isNull(), F.lit(ERR_REQUIRED.format(field="reference_number")))
+              .when(F.col("__dep_name").isNull(), F.lit(ERR_REQUIRED.format(field="depositor_name")))
+              .when(F.col("__proof").isNull(), F.lit(ERR_REQUIRED.format(field="photo_proof_url")))
               .when(F.col("__oid").isNull(), F.lit(ERR_NOT_FOUND))
               .when(F.col("__o_rev_of").isNotNull(), F.lit(ERR_REVERSAL_OF_REVERSAL))
               .when(F.col("__o_status") == "reversed", F.lit(ERR_ALREADY_REVERSED))

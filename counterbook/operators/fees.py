@@ -16,6 +16,8 @@ assumed:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +26,19 @@ from ..functions.text import id_ok, id_or_null, new_id, required_text
 from ..session import cut_lineage
 from .joins import keys_present, mark_first_in_key, mark_greedy_conflicts
 
+# Rejection texts of fee-rule loading and wallet posting.
+ERR_SERVICE_TYPE = "service_type must be one of: cash_in, cash_out"
+ERR_NUMERIC = "{field} must be numeric"
+ERR_MIN_NEGATIVE = "min_amount must be greater than or equal to 0"
+ERR_MAX_BELOW_MIN = "max_amount must be greater than or equal to min_amount"
+ERR_OVERLAP = "fee range overlaps existing active rule ({min} - {max})"
+ERR_OVERLAP_OPEN_MAX = "infinity"
+ERR_WALLET_REF = "reference_number is required"
+ERR_PRINCIPAL = "principal_amount must be a positive number"
+ERR_NO_RULE = "No active fee rule found for {service_type} at amount {amount}"
+ERR_UUID = "{field} must be a UUID"
+ERR_DUPLICATE = "reference_number already exists"
+
 INLINE_RULES_MAX = 512
 BUCKETS_PER_RANGE = 1024
 SERVICE_TYPES = ("cash_in", "cash_out")
@@ -143,6 +158,17 @@ def _num(c: Column) -> Column:
     return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")), d)
 
 
+def _template(text: str, **cols: Column) -> Column:
+    """A message template with ``{name}`` slots filled from columns."""
+    parts = []
+    for piece in re.split(r"(\{\w+\})", text):
+        if piece.startswith("{") and piece.endswith("}"):
+            parts.append(cols[piece[1:-1]])
+        elif piece:
+            parts.append(F.lit(piece))
+    return F.concat(*parts)
+
+
 def _fmt_amount(c: Column) -> Column:
     s = c.cast("decimal(30,6)").cast("string")
     s = F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")).otherwise(s)
@@ -187,14 +213,12 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
     c = c.withColumn("__min", F.col("__mn").cast("decimal(30,6)").cast(MONEY)).withColumn(
         "__max", F.when(~F.col("__mx_blank"), F.col("__mxn").cast("decimal(30,6)").cast(MONEY))).withColumn(
         "__fee_m", F.col("__fee").cast("decimal(30,6)").cast(MONEY))
-    reason = (F.when(F.col("__mn").isNull(), F.lit("min_amount must be numeric"))
-              .when(~F.col("__mx_blank") & F.col("__mxn").isNull(), F.lit("max_amount must be numeric"))
-              .when(F.col("__fee").isNull(), F.lit("fee_amount must be numeric"))
-              .when(~F.coalesce(F.col("__st").isin(*SERVICE_TYPES), F.lit(False)),
-                    F.lit("service_type must be one of: cash_in, cash_out"))
-              .when(F.col("__min") < 0, F.lit("min_amount must be greater than or equal to 0"))
-              .when(F.col("__max").isNotNull() & (F.col("__max") < F.col("__min")),
-                    F.lit("max_amount must be greater than or equal to min_amount")))
+    reason = (F.when(F.col("__mn").isNull(), F.lit(ERR_NUMERIC.format(field="min_amount")))
+              .when(~F.col("__mx_blank") & F.col("__mxn").isNull(), F.lit(ERR_NUMERIC.format(field="max_amount")))
+              .when(F.col("__fee").isNull(), F.lit(ERR_NUMERIC.format(field="fee_amount")))
+              .when(~F.coalesce(F.col("__st").isin(*SERVICE_TYPES), F.lit(False)), F.lit(ERR_SERVICE_TYPE))
+              .when(F.col("__min") < 0, F.lit(ERR_MIN_NEGATIVE))
+              .when(F.col("__max").isNotNull() & (F.col("__max") < F.col("__min")), F.lit(ERR_MAX_BELOW_MIN)))
     c = c.withColumn("__pre", reason).withColumn("__cid", F.col(seq))
     # overlap with stored active rules (self excluded on update), first by min asc, created asc
     act_rules = rules.filter(F.col("is_active") == F.lit(True)).select(
@@ -230,8 +254,10 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
     c = c.join(named, "__cid", "left")
     h = F.coalesce(F.col("__h"), F.col("__hb"))
     # NUMERIC(12,2) values print with their two decimals
-    ovl_msg = F.concat(F.lit("fee range overlaps existing active rule ("), h["__o_min"].cast("string"),
-                       F.lit(" - "), F.coalesce(h["__o_max"].cast("string"), F.lit("infinity")), F.lit(")"))
+    head, rest = ERR_OVERLAP.split("{min}")
+    mid, tail = rest.split("{max}")
+    ovl_msg = F.concat(F.lit(head), h["__o_min"].cast("string"), F.lit(mid),
+                       F.coalesce(h["__o_max"].cast("string"), F.lit(ERR_OVERLAP_OPEN_MAX)), F.lit(tail))
     c = c.withColumn("reject_reason", F.coalesce(F.col("__pre"), F.when(h.isNotNull(), ovl_msg)))
     outcome = c.select(*[F.col(x) for x in candidates.columns if x in c.columns],
                        F.col("__st").alias("service_type_final"), F.col("__min").alias("min_amount_final"),
@@ -258,11 +284,6 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
     return outcome, updated.unionByName(inserted)
 
 
-# Rejection texts of wallet posting.
-ERR_SERVICE_TYPE = "service_type must be one of: cash_in, cash_out"
-ERR_WALLET_REF = "reference_number is required"
-ERR_PRINCIPAL = "principal_amount must be a positive number"
-ERR_DUPLICATE = "reference_number already exists"
 
 
 def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: DataFrame,
@@ -287,11 +308,10 @@ def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: Data
               .when(F.col("__ref").isNull(), F.lit(ERR_WALLET_REF))
               .when(F.col("__p").isNull() | (F.col("__p") <= 0), F.lit(ERR_PRINCIPAL))
               .when(F.col("__rule_id").isNull(),
-                    F.concat(F.lit("No active fee rule found for "), st, F.lit(" at amount "),
-                             _fmt_amount(F.col("__amt")))))
+                    _template(ERR_NO_RULE, service_type=st, amount=_fmt_amount(F.col("__amt")))))
     for f in ("order_id", "branch_id", "customer_id", "received_by"):
         if f in r.columns:
-            reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(f"{f} must be a UUID"))
+            reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(ERR_UUID.format(field=f)))
     m = matched.withColumn("__pre", reason)
     refs = keys_present(ledger, "reference_number", m, "__ref", "__lref")
     m = m.join(refs, F.col("__ref") == refs["__lref"], "left")

@@ -23,6 +23,7 @@ ERR_MOBILE_INVALID = "recipient_mobile_no must be a valid Philippine mobile numb
 ERR_PRODUCT_INACTIVE = "prepaid load product not found or inactive"
 ERR_FACE = "face_value must be a positive number"
 ERR_DUPLICATE = "reference_number already exists"
+ERR_UUID = "{field} must be a UUID"
 
 
 def upsert_catalog(catalog: DataFrame, incoming: DataFrame, as_of="1970-01-01 00:00:00", seq: str | None = None,
@@ -98,7 +99,7 @@ def post_prepaid_sales(requests: DataFrame, catalog: DataFrame, ledger: DataFram
               .when(F.col("__face").isNull() | (F.col("__face") <= 0), F.lit(ERR_FACE)))
     for f in ("order_id", "branch_id", "customer_id", "received_by"):
         if f in r.columns:
-            reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(f"{f} must be a UUID"))
+            reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(ERR_UUID.format(field=f)))
     j = j.withColumn("__pre", reason)
     refs = keys_present(ledger, "reference_number", j, "__ref", "__lref")
     j = j.join(refs, F.col("__ref") == refs["__lref"], "left")

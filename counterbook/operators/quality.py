@@ -49,9 +49,13 @@ def _type_error(c: Column, kind: str, dtype: T.DataType, values: list[str] | Non
     return F.lit(False)
 
 
+# Validation messages ("<table>.<field> " + text).
 _MESSAGES = {"string": "must be a string", "text": "must be a string", "number": "must be a number",
              "numeric": "must be numeric", "boolean": "must be boolean", "uuid": "must be a UUID",
              "date": "must be a valid date/time", "timestamp": "must be a valid date/time"}
+MSG_REQUIRED = "is required"
+MSG_NOT_NULL = "cannot be null"
+MSG_ENUM = "must be one of: "
 
 
 def validation_errors(df: DataFrame, table: str, require_all: bool = True) -> Column:
@@ -68,20 +72,20 @@ def validation_errors(df: DataFrame, table: str, require_all: bool = True) -> Co
         prefix = f"{table}.{field} "
         if field not in df.columns:
             if require_all and flag == "required":
-                msgs.append(F.lit(prefix + "is required"))
+                msgs.append(F.lit(prefix + MSG_REQUIRED))
             continue
         c = F.col(field)
         dtype = df.schema[field].dataType
         blank = c.isNull() | ((c == "") if isinstance(dtype, T.StringType) else F.lit(False))
         if require_all and flag == "required":
-            msgs.append(F.when(blank, F.lit(prefix + "is required")))
+            msgs.append(F.when(blank, F.lit(prefix + MSG_REQUIRED)))
         if flag == "not_null":
-            msgs.append(F.when(c.isNull(), F.lit(prefix + "cannot be null")))
+            msgs.append(F.when(c.isNull(), F.lit(prefix + MSG_NOT_NULL)))
         if require_all and flag == "required":
             bad = ~blank & _type_error(c, kind, dtype, values)
         else:
             bad = c.isNotNull() & _type_error(c, kind, dtype, values)
-        text = ("must be one of: " + ",".join(values)) if kind == "enum" and values else _MESSAGES.get(kind, "is invalid")
+        text = (MSG_ENUM + ",".join(values)) if kind == "enum" and values else _MESSAGES.get(kind, "is invalid")
         msgs.append(F.when(bad, F.lit(prefix + text)))
     return F.filter(F.array(*msgs), lambda m: m.isNotNull())
 
