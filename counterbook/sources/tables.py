@@ -86,3 +86,14 @@ def write_version(df: DataFrame, root: str, name: str, mode: str = "errorifexist
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
     w.parquet(path)
     return path
+
+
+def write_bucketed(df: DataFrame, table: str, bucket_by: list[str], num_buckets: int,
+                   mode: str = "overwrite") -> None:
+    """Save a catalog table bucketed (and sorted) by ``bucket_by``. Tables
+    bucketed the same way on their join key -- orders, order items and
+    payments on the order id -- are joined and aggregated on that key without
+    shuffling either side."""
+    (df.write.mode(mode).format("parquet")
+     .bucketBy(num_buckets, *bucket_by).sortBy(*bucket_by)
+     .saveAsTable(table))

@@ -257,3 +257,22 @@ def test_write_version_partitioned(spark):
     assert p1 != p2
     back = spark.read.parquet(p1).filter(F.col("business_date") == F.lit("2024-01-03").cast("date"))
     assert [r["id"] for r in back.collect()] == [2]
+
+
+def test_bucketed_tables_join_without_shuffle(spark):
+    loc = tempfile.mkdtemp(prefix="cb-wh-")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS cb_bucket_test LOCATION '{loc}'")
+    orders = spark.range(2000).select(F.col("id"), (F.col("id") % 7).alias("branch_id"))
+    items = spark.range(8000).select((F.col("id") % 2000).alias("order_id"), F.lit(1).alias("quantity"))
+    TB.write_bucketed(orders, "cb_bucket_test.orders", ["id"], 8)
+    TB.write_bucketed(items.withColumnRenamed("order_id", "id"), "cb_bucket_test.order_items", ["id"], 8)
+    o, i = spark.table("cb_bucket_test.orders"), spark.table("cb_bucket_test.order_items")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = o.join(i.groupBy("id").agg(F.sum("quantity").alias("q")), "id")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert joined.agg(F.sum("q")).first()[0] == 8000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
