@@ -96,15 +96,19 @@ def match_fee_rules(txns: DataFrame, rules: DataFrame, amount: str = "principal_
                        F.col("__best.min_amount").alias(prefix + "min_amount"),
                        F.col("__best.max_amount").alias(prefix + "max_amount"))
         return out
-    # large rule sets: bucketed equi-join on (service type, amount bucket)
-    hi = txns.agg(F.max(amt)).first()[0] or 0
-    top = max(float(hi), float(active.agg(F.max(F.coalesce("max_amount", "min_amount"))).first()[0] or 0))
+    # large rule sets: bucketed equi-join on (service type, amount bucket).
+    # Buckets span the rules' own boundaries (a small aggregate over the rule
+    # table); amounts beyond the last boundary share one overflow bucket that
+    # open-ended bands also cover, so the transactions are never pre-scanned.
+    top = float(active.agg(F.max(F.coalesce("max_amount", "min_amount"))).first()[0] or 0)
     width = max(top / BUCKETS_PER_RANGE, 0.01)
-    lo_b = F.floor(F.col("min_amount") / F.lit(width))
-    hi_b = F.floor(F.coalesce(F.col("max_amount"), F.lit(top)) / F.lit(width))
+    cap = int(top // width) + 1
+    lo_b = F.least(F.floor(F.col("min_amount") / F.lit(width)), F.lit(cap))
+    hi_b = F.when(F.col("max_amount").isNull(), F.lit(cap)).otherwise(
+        F.least(F.floor(F.col("max_amount") / F.lit(width)), F.lit(cap)))
     rb = active.withColumn("__bucket", F.explode(F.sequence(lo_b.cast("bigint"), F.greatest(lo_b, hi_b).cast("bigint"))))
     rb = rb.select("__st", "__bucket", F.struct(*RULE_FIELDS).alias("__r"))
-    t = txns.withColumn("__bucket", F.floor(amt / F.lit(width)).cast("bigint"))
+    t = txns.withColumn("__bucket", F.least(F.floor(amt / F.lit(width)), F.lit(cap)).cast("bigint"))
     j = t.join(rb, (t[service_type] == rb["__st"]) & (t["__bucket"] == rb["__bucket"])
                & _applies(F.col("__r"), amt, at), "left")
     w = Window.partitionBy(key).orderBy(F.desc_nulls_last("__r.min_amount"), F.desc_nulls_first("__r.created_at"),

@@ -341,3 +341,26 @@ def test_upsert_catalog_repeated_codes_last_wins(spark):
     cat = spark.createDataFrame([(1, True), (2, False)], "id bigint, is_active boolean")
     keys = spark.createDataFrame([(1,), (2,), (3,)], "id bigint")
     assert [r["id"] for r in rows(lookup_by_keys(cat, keys, "id", active_only=True))] == [1]
+
+
+def test_match_fee_rules_paths_agree_on_random_bands(spark, monkeypatch):
+    import random
+    rnd = random.Random(7)
+    rules = []
+    for i in range(40):
+        lo = D(rnd.randint(0, 500))
+        hi = None if rnd.random() < 0.15 else lo + D(rnd.randint(0, 200))
+        created = None if rnd.random() < 0.2 else ts(f"2024-01-{rnd.randint(1, 28):02d} 00:00:00")
+        rules.append((i, rnd.choice(["cash_in", "cash_out"]), lo, hi, D(rnd.randint(1, 30)), rnd.random() > 0.1,
+                      None, None, created))
+    txns = [(j, rnd.choice(["cash_in", "cash_out"]), D(rnd.randint(1, 90000)) / 100) for j in range(300)]
+    rdf = spark.createDataFrame(rules, RULES)
+    tdf = spark.createDataFrame(txns, "id bigint, service_type string, principal_amount decimal(12,2)")
+    inline = {r["id"]: r["rule_id"] for r in rows(FE.match_fee_rules(tdf, rdf, as_of="2024-02-01 00:00:00"))}
+    monkeypatch.setattr(FE, "INLINE_RULES_MAX", 0)
+    bucketed = {r["id"]: r["rule_id"] for r in rows(FE.match_fee_rules(tdf, rdf, as_of="2024-02-01 00:00:00"))}
+    assert inline == bucketed and len(inline) == 300
+    pairs_b = {(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rdf))}
+    monkeypatch.setattr(FE, "INLINE_RULES_MAX", 512)
+    pairs_i = {(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rdf))}
+    assert pairs_b == pairs_i
