@@ -126,7 +126,8 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
         state = cut_lineage(state)
         now_decided = state.filter(F.col("__msg").isNotNull() | F.col("__earliest")).select(
             "__s", *[f"__k{i}" for i in range(len(keys))], "__msg", F.col("__msg").isNull().alias("__acc"))
-        decided = now_decided if decided is None else cut_lineage(decided.unionByName(now_decided))
+        # unions of checkpointed round states: the lineage stays shallow
+        decided = now_decided if decided is None else decided.unionByName(now_decided)
         und = state.filter(F.col("__msg").isNull() & ~F.col("__earliest")).select(
             "__s", *[f"__k{i}" for i in range(len(keys))])
     if _ROUND_LOG is not None:
@@ -175,8 +176,9 @@ def mark_greedy_conflicts(cands: DataFrame, seq: str, pairs: DataFrame, out: str
         state = cut_lineage(state.select("__s", "__by", F.coalesce("__wait", F.lit(False)).alias("__wait")))
         new_rej = state.filter(F.col("__by").isNotNull()).select("__s", "__by")
         new_acc = state.filter(F.col("__by").isNull() & ~F.col("__wait")).select("__s")
-        rej = new_rej if rej is None else cut_lineage(rej.unionByName(new_rej))
-        acc = new_acc if acc is None else cut_lineage(acc.unionByName(new_acc))
+        # unions of checkpointed round states: the lineage stays shallow
+        rej = new_rej if rej is None else rej.unionByName(new_rej)
+        acc = new_acc if acc is None else acc.unionByName(new_acc)
         und = state.filter(F.col("__by").isNull() & F.col("__wait")).select("__s")
     if _ROUND_LOG is not None:
         _ROUND_LOG.append(rounds)
