@@ -228,3 +228,45 @@ def q_variants_with_product(a):
     the comparison)."""
     out = R.variants_with_product(a.r_variants, a.r_products, is_active="true", limit=None)
     return out.select(*[c for c in out.columns if c != "product"], F.col("product.name").alias("product_name"))
+
+
+@register("sales_summary_custom", ["r_orders", "r_items", "r_prepaid"], _summary_sql("day", True, True))
+def q_sales_summary_custom(a):
+    """'custom' period: day buckets over an explicit range (both dates required)."""
+    return R.sales_summary(a.r_orders, a.r_items, a.r_prepaid, "custom", FROM, TO, as_of=AS_OF)
+
+
+@register("sales_overview_by_channel", ["r_orders", "r_items", "r_prepaid"], f"""
+SELECT CAST(COUNT(DISTINCT o.id) AS BIGINT) AS order_count,
+       CAST(COALESCE(SUM(o.total_amount + COALESCE(o.discount_amount, 0)), 0) AS DECIMAL(38,2)) AS gross_sales,
+       CAST(COALESCE(SUM(o.discount_amount), 0) AS DECIMAL(38,2)) AS total_discounts,
+       CAST(COALESCE(SUM(o.total_amount), 0) AS DECIMAL(38,2)) AS net_sales,
+       CAST(COALESCE(SUM(i.quantity), 0) AS BIGINT) AS items_sold,
+       CASE WHEN COUNT(DISTINCT o.id) = 0 THEN 0.0
+            ELSE CAST(COALESCE(SUM(o.total_amount), 0) AS DOUBLE) / COUNT(DISTINCT o.id) END AS avg_order_value
+FROM r_orders o LEFT JOIN r_items i ON i.order_id = o.id
+WHERE o.order_status <> 'cancelled' AND o.sales_channel_id = '3-MEDIUM'
+  AND o.created_at >= DATE '{FROM}' AND o.created_at < DATE '{TO}' + INTERVAL 1 DAY""")
+def q_sales_overview_by_channel(a):
+    """KPI row for one sales channel: prepaid sales drop out (T2)."""
+    return R.sales_overview(a.r_orders, a.r_items, a.r_prepaid, FROM, TO, channel_id="3-MEDIUM")
+
+
+@register("payment_breakdown_branch", ["r_payments", "r_orders", "r_prepaid"], f"""
+SELECT payment_method, CAST(SUM(n) AS BIGINT) AS transaction_count,
+       CAST(COALESCE(SUM(amt), 0) AS DECIMAL(38,2)) AS total_amount
+FROM (
+  SELECT p.payment_method, COUNT(p.id) AS n, SUM(p.amount) AS amt
+  FROM r_payments p JOIN r_orders o ON o.id = p.order_id
+  WHERE p.payment_date >= DATE '{FROM}' AND p.payment_date < DATE '{TO}' + INTERVAL 1 DAY
+    AND o.order_status <> 'cancelled' AND o.branch_id = 11
+  GROUP BY p.payment_method
+  UNION ALL
+  SELECT 'cash', COUNT(id), SUM(gross_amount)
+  FROM r_prepaid
+  WHERE created_at >= DATE '{FROM}' AND created_at < DATE '{TO}' + INTERVAL 1 DAY AND branch_id = 11
+) x
+GROUP BY payment_method""")
+def q_payment_breakdown_branch(a):
+    """Payment methods of one branch (the branch filter applies to prepaid sales too)."""
+    return R.payment_breakdown(a.r_payments, a.r_orders, a.r_prepaid, FROM, TO, branch_id=11)
