@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY_OUT, money_out, zero_money
 from ..functions.periods import ReportArgumentError, check_date_range, resolve_report_dates
 from ..functions.predicates import day_range, not_cancelled, optional_filters, truthy_text
+from .joins import bounded_broadcast
 
 SALES_MEASURES = ["order_count", "gross_sales", "total_discounts", "net_sales", "items_sold"]
 
@@ -31,7 +32,16 @@ def _today(as_of) -> dt.date:
     return dt.date.fromisoformat(str(as_of)[:10])
 
 
-def _items_per_order(items: DataFrame) -> DataFrame:
+def _items_per_order(items: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """Item lines and quantity per order. When the report's orders are few
+    enough to broadcast (a bounded count decides), the items are first
+    semi-joined against their ids map-side, so a short window over a long
+    history aggregates and shuffles only its own items; beyond the bound all
+    items are pre-aggregated and joined."""
+    if orders is not None:
+        ids, small = bounded_broadcast(orders.select(F.col("id").alias("__oid")))
+        if small:
+            items = items.join(ids, items["order_id"] == ids["__oid"], "left_semi")
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("quantity").alias("line_qty"),
@@ -43,7 +53,7 @@ def _order_measure_rows(orders: DataFrame, items: DataFrame, start, end, branch_
     o = orders.filter(not_cancelled("order_status") & day_range("created_at", start, end))
     o = optional_filters(o, {"branch_id": branch_id, "sales_channel_id": channel_id})
     o = o.select("id", "created_at", "total_amount", "discount_amount")
-    per_order = o.join(_items_per_order(items), o["id"] == F.col("order_id"), "left")
+    per_order = o.join(_items_per_order(items, o), o["id"] == F.col("order_id"), "left")
     # T1: the reference sums order amounts after joining the items, so each
     # order counts once per item line (at least once).
     mult = F.greatest(F.coalesce(F.col("n_lines"), F.lit(0)), F.lit(1)) if fan_out else F.lit(1)
