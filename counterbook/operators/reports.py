@@ -153,8 +153,11 @@ def payment_breakdown(payments: DataFrame, orders: DataFrame, prepaid: DataFrame
     s, e = s or today, e or today
     o = optional_filters(orders.filter(not_cancelled("order_status")), {"branch_id": branch_id}).select("id")
     p = payments.filter(day_range("payment_date", s, e))
-    # orders.id is the primary key, so the inner join is an existence test
-    p = p.join(o, p["order_id"] == o["id"], "left_semi")
+    # orders.id is the primary key, so an inner join is the existence test;
+    # unlike a semi join it lets the planner broadcast either side, i.e. the
+    # window's payments rather than the whole order table
+    o = o.select(F.col("id").alias("__oid"))
+    p = p.join(o, p["order_id"] == o["__oid"], "inner").drop("__oid")
     by_method = p.groupBy(F.col("payment_method").cast("string").alias("payment_method")).agg(
         F.count("id").alias("transaction_count"),
         F.coalesce(F.sum("amount"), zero_money()).cast(MONEY_OUT).alias("total_amount"),
