@@ -32,12 +32,13 @@ def lookup_by_keys(df: DataFrame, keys: DataFrame, cols: list[str] | str, active
     return d.join(k, cols, "left_semi")
 
 
-def rows_by_parent(child: DataFrame, fk: str, parents: DataFrame, pk: str = "id", limit=None, offset=0,
-                   order: list | None = None) -> DataFrame:
-    """Children (order items, PO estimates ...) of the given parent rows."""
+def rows_by_parent(child: DataFrame, fk: str, parents: DataFrame, pk: str = "id", limit=None,
+                   offset=0) -> DataFrame:
+    """Children (order items, PO estimates ...) of the given parent rows; a
+    page uses the generic list order (newest ``created_at`` first, else
+    ``id`` descending)."""
     p = parents.select(F.col(pk).alias("__pk")).distinct()
     out = child.join(p, child[fk] == p["__pk"], "left_semi")
     if limit is None and not offset:
         return out
-    return _page(out, order or [F.desc_nulls_first("created_at") if "created_at" in child.columns else F.asc(fk)],
-                 limit, offset)
+    return recent_rows(out, None, limit, offset)

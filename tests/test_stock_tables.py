@@ -276,3 +276,9 @@ def test_bucketed_tables_join_without_shuffle(spark):
         assert joined.agg(F.sum("q")).first()[0] == 8000
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_rows_by_parent_page_order(spark):
+    items = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, 10)], "id bigint, order_id bigint")
+    orders = spark.createDataFrame([(10,)], "id bigint")
+    assert [r["id"] for r in L.rows_by_parent(items, "order_id", orders, limit=2).collect()] == [4, 2]
