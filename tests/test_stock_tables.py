@@ -230,7 +230,7 @@ def _serial(reqs, keys):
     return out
 
 
-@settings(max_examples=12, deadline=None)
+@settings(max_examples=12, deadline=None, derandomize=True)
 @given(st.lists(st.tuples(st.integers(0, 4), st.one_of(st.none(), st.integers(0, 4))), min_size=1, max_size=25))
 @example(reqs=[(0, 1), (0, 0), (1, 0), (1, 1)])  # message must wait for an undecided earlier key-a holder
 def test_greedy_unique_matches_serial_inserts(spark, reqs):
