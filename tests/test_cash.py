@@ -212,3 +212,58 @@ def test_windowed_totals_keep_payments_of_older_orders(spark):
          for r in rows(C.daily_cash_totals(orders, payments, gcash, prepaid, "2024-01-03", "2024-01-03"))}
     assert t[(7, dt.date(2024, 1, 3))]["cash_sales_amount"] == D("5.00")
     assert (7, dt.date(2024, 1, 2)) not in t
+
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+
+def _serial_open(stored, reqs, mode):
+    """Brute force: apply opening requests one at a time."""
+    state = {k: dict(v) for k, v in stored.items()}
+    out = {}
+    for seq, key, total, notes, by in sorted(reqs):
+        cur = state.get(key)
+        if mode == "insert":
+            if cur is not None:
+                out[seq] = C.ERR_OPEN_EXISTS
+                continue
+            state[key] = {"total": total, "notes": notes, "by": by, "closed": False}
+        else:
+            if cur is not None and cur["closed"]:
+                out[seq] = C.ERR_OPEN_CLOSED
+                continue
+            if cur is None:
+                state[key] = {"total": total, "notes": notes, "by": by, "closed": False}
+            else:
+                cur.update(total=total, notes=notes if notes is not None else cur["notes"],
+                           by=by if by is not None else cur["by"])
+        out[seq] = None
+    return out, state
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 3), st.one_of(st.none(), st.sampled_from(["a", "b"])),
+                          st.one_of(st.none(), st.integers(5, 6))), min_size=1, max_size=12),
+       st.sampled_from(["insert", "upsert"]))
+def test_open_days_matches_serial_model(spark, reqs, mode):
+    base = _recons(spark)  # (7, Jan 2) opening 1000, notes 'float', by 3; (7, Jan 3) opening 500
+    _, stored = C.close_days(base, spark.createDataFrame(
+        [(1, [], None, 9, ts("2024-01-02 20:00:00"), 1)],
+        f"id bigint, closing_cash_breakdown {BD}, notes string, closed_by bigint, closed_at timestamp_ntz, seq int"),
+        C.empty_recons(spark).select("branch_id", "business_date", *[F.lit(0).cast("decimal(38,2)").alias(c)
+                                                                     for c in C.TOTAL_COLUMNS]))
+    model_stored = {dt.date(2024, 1, 2): {"total": D("1000.00"), "notes": "float", "by": 3, "closed": True},
+                    dt.date(2024, 1, 3): {"total": D("500.00"), "notes": None, "by": 3, "closed": False}}
+    day = {1: dt.date(2024, 1, 2), 2: dt.date(2024, 1, 3), 3: dt.date(2024, 1, 4)}
+    rows_in = [(i, day[d], q, notes, by) for i, (d, q, notes, by) in enumerate(reqs)]
+    df = spark.createDataFrame([(7, d, [(D("100.00"), q)], notes, by, i) for i, d, q, notes, by in rows_in],
+                               f"branch_id bigint, business_date date, opening_cash_breakdown {BD}, notes string, "
+                               "opened_by bigint, seq int")
+    outcome, table = C.open_days(stored, df, mode, "2024-01-09 08:00:00", id_expr=F.lit(77).cast("bigint"))
+    want_out, want_state = _serial_open(model_stored, [(i, d, D(100 * q), n, b) for i, d, q, n, b in rows_in],
+                                        mode)
+    assert {r["seq"]: r["reject_reason"] for r in outcome.collect()} == want_out
+    got = {r["business_date"]: {"total": r["opening_cash_total"], "notes": r["notes"], "by": r["opened_by"],
+                                "closed": r["closed_at"] is not None} for r in table.collect()}
+    assert got == want_state
