@@ -267,3 +267,38 @@ def test_open_days_matches_serial_model(spark, reqs, mode):
     got = {r["business_date"]: {"total": r["opening_cash_total"], "notes": r["notes"], "by": r["opened_by"],
                                 "closed": r["closed_at"] is not None} for r in table.collect()}
     assert got == want_state
+
+
+@settings(max_examples=8, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.sampled_from([1, 2, 99]), st.integers(-1, 3),
+                          st.one_of(st.none(), st.sampled_from(["x", "y"])),
+                          st.one_of(st.none(), st.integers(8, 9))), min_size=1, max_size=10))
+def test_close_days_matches_serial_model(spark, reqs):
+    recons = _recons(spark)
+    totals = C.empty_recons(spark).select("branch_id", "business_date", *[F.lit(0).cast("decimal(38,2)").alias(c)
+                                                                          for c in C.TOTAL_COLUMNS])
+    df = spark.createDataFrame(
+        [(rid, [(D("10.00"), q)], notes, by, ts("2024-01-05 20:00:00"), i) for i, (rid, q, notes, by) in enumerate(reqs)],
+        f"id bigint, closing_cash_breakdown {BD}, notes string, closed_by bigint, closed_at timestamp_ntz, seq int")
+    outcome, table = C.close_days(recons, df, totals)
+    state = {1: {"actual": D(0), "notes": "float", "by": None, "closed": False, "opening": D("1000.00")},
+             2: {"actual": D(0), "notes": None, "by": None, "closed": False, "opening": D("500.00")}}
+    want = {}
+    for i, (rid, q, notes, by) in enumerate(reqs):
+        if q < 0:
+            want[i] = C.ERR_QUANTITY
+        elif rid not in state:
+            want[i] = C.ERR_RECON_NOT_FOUND
+        else:
+            want[i] = None
+            s = state[rid]
+            s.update(actual=D(10 * q), by=by, closed=True, notes=notes if notes is not None else s["notes"])
+    assert {r["seq"]: r["reject_reason"] for r in outcome.collect()} == want
+    got = {r["id"]: r for r in table.collect()}
+    for rid, s in state.items():
+        g = got[rid]
+        assert (g["closed_at"] is not None) == s["closed"]
+        if s["closed"]:
+            assert g["actual_cash_on_hand"] == s["actual"] and g["closed_by"] == s["by"]
+            assert g["variance_amount"] == s["actual"] - s["opening"]
+        assert g["notes"] == s["notes"]
