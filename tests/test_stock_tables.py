@@ -6,7 +6,7 @@ import tempfile
 from decimal import Decimal as D
 
 import pytest
-from hypothesis import example, given, settings
+from hypothesis import HealthCheck, example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -282,3 +282,29 @@ def test_rows_by_parent_page_order(spark):
     items = spark.createDataFrame([(1, 10), (2, 10), (3, 11), (4, 10)], "id bigint, order_id bigint")
     orders = spark.createDataFrame([(10,)], "id bigint")
     assert [r["id"] for r in L.rows_by_parent(items, "order_id", orders, limit=2).collect()] == [4, 2]
+
+
+@settings(max_examples=8, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])  # the fixture's frames are immutable
+@given(st.lists(st.tuples(st.sampled_from([1, 2, 3, 9]), st.sampled_from(["received", "ordered", "cancelled"])),
+                min_size=1, max_size=10))
+def test_receive_matches_serial_model(spark, po, changes):
+    pos, items, inv = po
+    trans = spark.createDataFrame([(p, s, i) for i, (p, s) in enumerate(changes)],
+                                  "purchase_order_id bigint, status string, seq int")
+    moves, new_inv, new_pos = S.receive_purchase_orders(pos, items, trans, inv, seq="seq")
+    status = {1: "ordered", 2: "received", 3: "draft"}
+    posts = {1: 0, 2: 0, 3: 0}
+    for p, s in changes:
+        if p not in status:
+            continue
+        if s == "received" and status[p] != "received":
+            posts[p] += 1
+        status[p] = s
+    assert {r["id"]: r["status"] for r in new_pos.collect()} == status
+    qty = {(7, 10): 5 * posts[1] + 1 * posts[2], (7, 11): 2 * posts[1], (8, 12): 4 * posts[3]}
+    want = {k: v for k, v in qty.items() if v}
+    want[(7, 10)] = 100 + qty[(7, 10)]
+    got = {(r["branch_id"], r["product_variant_id"]): r["quantity_on_hand"] for r in new_inv.collect()}
+    assert got == want
+    assert moves.count() == 2 * posts[1] + posts[2] + posts[3]
