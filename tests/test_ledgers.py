@@ -291,7 +291,7 @@ def _serial_intervals(cands):
     return out
 
 
-from hypothesis import given, settings  # noqa: E402
+from hypothesis import HealthCheck, given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
 
@@ -364,3 +364,27 @@ def test_match_fee_rules_paths_agree_on_random_bands(spark, monkeypatch):
     monkeypatch.setattr(FE, "INLINE_RULES_MAX", 512)
     pairs_i = {(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rdf))}
     assert pairs_b == pairs_i
+
+
+@settings(max_examples=8, deadline=None, derandomize=True,
+          suppress_health_check=[HealthCheck.function_scoped_fixture])  # the fixture's frames are immutable
+@given(st.lists(st.tuples(st.sampled_from(["R1", "N1", "N2", "N3"]), st.sampled_from([0.0, 5.0, 7.5])),
+                min_size=1, max_size=12))
+def test_post_deposits_matches_serial_model(spark, ledger, reqs):
+    recons = spark.createDataFrame([], "id bigint, branch_id bigint, business_date date")
+    df = spark.createDataFrame([(i, 7, ref, amt) for i, (ref, amt) in enumerate(reqs)],
+                               "seq int, branch_id bigint, reference_number string, amount double")
+    df = (df.withColumn("bank_account", F.lit("A")).withColumn("depositor_name", F.lit("Ann"))
+          .withColumn("photo_proof_url", F.lit("p")))
+    got = {r["seq"]: r["reject_reason"] for r in DP.post_deposits(df, recons, ledger).collect()}
+    used = {"R1", "R2", "R2-REV", "R4", "R5"}  # the ledger's references
+    want = {}
+    for i, (ref, amt) in enumerate(reqs):
+        if amt <= 0:
+            want[i] = DP.ERR_AMOUNT
+        elif ref in used:
+            want[i] = DP.ERR_REFERENCE_UNIQUE
+        else:
+            want[i] = None
+            used.add(ref)
+    assert got == want
