@@ -16,6 +16,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A side is broadcast only when a count proves it is at most this many rows.
 BROADCAST_MAX_ROWS = 1_000_000
@@ -52,7 +53,8 @@ def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_k
     One pass over ``left`` (no split and union)."""
     r = right.select(F.col(right_key).alias("__rk"), *[F.col(c).alias(o) for c, o in right_cols.items()])
     kt = left.schema[left_key].dataType
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salt_buckets)).cast(kt)
+    hashable = [F.col(f.name) for f in left.schema.fields if not isinstance(f.dataType, T.MapType)]
+    salt = F.pmod(F.xxhash64(*hashable), F.lit(salt_buckets)).cast(kt) if hashable else F.lit(0).cast(kt)
     probe = F.coalesce(F.col(left_key), salt)
     return left.join(r, (probe == r["__rk"]) & F.col(left_key).isNotNull(), "left").drop("__rk")
 

@@ -308,3 +308,10 @@ def test_receive_matches_serial_model(spark, po, changes):
     got = {(r["branch_id"], r["product_variant_id"]): r["quantity_on_hand"] for r in new_inv.collect()}
     assert got == want
     assert moves.count() == 2 * posts[1] + posts[2] + posts[3]
+
+
+def test_left_join_nullable_with_map_column(spark):
+    left = spark.createDataFrame([(1, 5, {"a": 1}), (2, None, {"b": 2})], "id bigint, uid bigint, m map<string,int>")
+    right = spark.createDataFrame([(5, "Ann")], "id bigint, name string")
+    out = {x["id"]: x["who"] for x in left_join_nullable(left, right, "uid", "id", {"name": "who"}).collect()}
+    assert out == {1: "Ann", 2: None}
