@@ -6,11 +6,13 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from counterbook.plans import registry
 from counterbook.plans.compare import compare, duckdb_connection
 
 SF = os.environ.get("COUNTERBOOK_TEST_SF", "/root/testdata/sf0.001")
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+registry.load_all()
+QUERIES = dict(registry.QUERIES)
+ORACLE = dict(registry.ORACLE)
 
 
 @pytest.fixture(scope="module")
