@@ -5,8 +5,9 @@ digest columns from the operator's output."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_lines
+from . import line_chunks, quality_lines
 from .shared import read_table
 
 QUERIES = {}
@@ -21,3 +22,11 @@ def query(fn):
 @query
 def op1_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lines.quality_report(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text after line dedup as its code points and digest, and the chunks taken out, per document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = line_chunks.line_dedup(docs)
+    return out.select("doc_id", "removed_chunks", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -31,3 +31,15 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with underscores until no column of ``taken`` has it (names differ only by case count as equal)."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
+def type_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
