@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_chunks, quality_lines
+from . import bbit_minhash, line_chunks, quality_lines
 from .shared import read_table
 
 QUERIES = {}
@@ -30,3 +30,9 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_chunks.line_dedup(docs)
     return out.select("doc_id", "removed_chunks", F.length(F.coalesce("text", F.lit(""))).cast("long").alias("kept_chars"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+@query
+def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bbit_minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
