@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, line_chunks, quality_lines
+from . import bbit_minhash, line_chunks, positional_index, quality_lines
 from .shared import read_table
 
 QUERIES = {}
@@ -36,3 +36,11 @@ def op3_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bbit_minhash.near_duplicates(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id") == F.col("component")).alias("kept"))
+
+
+@query
+def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")
+    out = positional_index.contamination_report(docs, items)
+    names = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda i: i.cast("string")))
+    return out.select("doc_id", "n_words", "n_hit", F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
