@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, line_chunks, positional_index, quality_lines
+from . import bbit_minhash, line_chunks, positional_index, quality_lines, word_bpe
 from .shared import read_table
 
 QUERIES = {}
@@ -44,3 +44,18 @@ def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = positional_index.contamination_report(docs, items)
     names = F.array_sort(F.transform(F.coalesce("items", F.array().cast("array<bigint>")), lambda i: i.cast("string")))
     return out.select("doc_id", "n_words", "n_hit", F.size(names).cast("long").alias("n_items"), F.sha2(F.concat_ws(",", names).cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op2_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_digests(word_bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary()))
