@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, line_chunks, positional_index, quality_lines, word_bpe
+from . import bbit_minhash, line_chunks, positional_index, quality_lines, rule_ensemble, word_bpe
 from .shared import read_table
 
 QUERIES = {}
@@ -59,3 +59,11 @@ def vocabulary() -> str:
 @query
 def op2_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_digests(word_bpe.encode(read_table(spark, sf_dir, "documents"), vocabulary()))
+
+
+@query
+def op4_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    model = rule_ensemble.train(docs, labels, allowed=fold != 0)
+    return rule_ensemble.scored(docs, model).select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
