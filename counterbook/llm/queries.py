@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, chat_render, line_chunks, positional_index, quality_lines, rule_ensemble, word_bpe
+from . import bbit_minhash, chat_render, licence_rules, line_chunks, positional_index, quality_lines, rule_ensemble, word_bpe
 from .shared import read_table
 
 QUERIES = {}
@@ -80,3 +80,12 @@ def op10_chat_render(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(text.cast("binary"), 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query
+def op5_licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licence_rules.licence_scan(read_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_known", F.concat_ws(",", "rules").alias("rules"), F.concat_ws(",", "licences").alias("licences"))
+
+
+ORACLE["op5_licence_rules"] = licence_rules.oracle_sql()
