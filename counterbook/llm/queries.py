@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, chat_render, licence_rules, line_chunks, positional_index, quality_lines, rule_ensemble, suffix_dedup, word_bpe
+from . import bbit_minhash, chat_render, html_blocks, licence_rules, line_chunks, positional_index, quality_lines, rule_ensemble, suffix_dedup, word_bpe
 from .shared import read_table
 
 QUERIES = {}
@@ -95,3 +95,9 @@ ORACLE["op5_licence_rules"] = licence_rules.oracle_sql()
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_blocks.extract(read_table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_content")
