@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from counterbook.llm import quality_lines
+from counterbook.llm import bbit_minhash, line_chunks, positional_index, quality_lines, queries, word_bpe
 from counterbook.llm.shared import read_table, shared_folder
 
 
@@ -17,7 +17,35 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_lines.keep_quality(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated chunks of lines are taken out of the texts (n_chars follows); a document that had words and keeps none goes."""
+    return line_chunks.line_dedup(docs, keep_empty=False).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id."""
+    found = bbit_minhash.near_duplicates(docs.select("doc_id", "text"))
+    copies = found.where("doc_id <> component").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a word inside a benchmark window go."""
+    return positional_index.clean_documents(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's token ids and what they decode to, as counts and digests."""
+    return queries.token_digests(word_bpe.encode(docs, queries.vocabulary()))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("bpe_encoding", bpe_encoding),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: The quality rules' decoding, the BPE encoding and others have no SQL form; tests/llm holds run() against a brute-force version.
+#: Decoding of the line labels, chunk borders and BPE have no SQL form; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 ORACLE: dict[str, str] = {}
