@@ -10,6 +10,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,10 @@ from .sources.schemas import CHECKS, DEFAULTS, DOMAINS, FOREIGN_KEYS, TABLE_DDL,
 from .sources.tables import read_table
 
 
+#: The HTTP rule for the top-products report; lists and registers default to pages of 100 there too.
+TOP_PRODUCTS_CAP = 100
+
+
 class BackOffice:
     def __init__(self, spark: SparkSession, root: str, as_of: str | dt.datetime | None = None):
         self.spark = spark
@@ -46,11 +51,14 @@ class BackOffice:
         return self._tables[name]
 
     def has(self, name: str) -> bool:
+        """Whether the table is there; any other failure to read it is raised."""
         try:
             self.table(name)
             return True
-        except Exception:  # noqa: BLE001 -- a table that is not there
-            return False
+        except AnalysisException as e:
+            if e.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
 
     # ------------------------------------------------------------------ reports
     def sales_summary(self, period="daily", from_=None, to=None, branch_id=None, sales_channel_id=None,
@@ -71,7 +79,8 @@ class BackOffice:
     def top_products(self, from_=None, to=None, branch_id=None, limit=10) -> DataFrame:
         return R.top_products(self.table("order_items"), self.table("orders"), self.table("product_variants"),
                               self.table("products"), self.table("prepaid_load_transactions"),
-                              self.table("prepaid_load_products"), from_, to, branch_id, limit, self.as_of)
+                              self.table("prepaid_load_products"), from_, to, branch_id, limit, self.as_of,
+                              cap=TOP_PRODUCTS_CAP)
 
     def cash_reconciliation(self, branch_id=None, business_date=None) -> DataFrame:
         rep = C.cash_reconciliation_report(self.table("cash_reconciliations"), self.table("branches"),
@@ -121,16 +130,18 @@ class BackOffice:
         lo, hi = C.closing_window(recons, closings)
         return C.close_days(recons, closings, self.daily_cash_totals(lo, hi), self.as_of, seq)
 
-    def post_gcash_transactions(self, requests: DataFrame, seq: str = "seq") -> DataFrame:
-        return FE.post_wallet_transactions(requests, self.table("gcash_fee_rules"), self.table("gcash_transactions"),
-                                           self.as_of, seq)
+    def post_gcash_transactions(self, requests: DataFrame, seq: str = "seq"):
+        ledger = self.table("gcash_transactions")
+        outcome = FE.post_wallet_transactions(requests, self.table("gcash_fee_rules"), ledger, self.as_of, seq)
+        return outcome, FE.append_wallet_transactions(ledger, outcome, as_of=self.as_of)
 
     def load_fee_rules(self, candidates: DataFrame, seq: str = "seq"):
         return FE.load_fee_rules(candidates, self.table("gcash_fee_rules"), self.as_of, seq=seq)
 
-    def post_prepaid_sales(self, requests: DataFrame, seq: str = "seq") -> DataFrame:
-        return P.post_prepaid_sales(requests, self.table("prepaid_load_products"),
-                                    self.table("prepaid_load_transactions"), seq)
+    def post_prepaid_sales(self, requests: DataFrame, seq: str = "seq"):
+        ledger = self.table("prepaid_load_transactions")
+        outcome = P.post_prepaid_sales(requests, self.table("prepaid_load_products"), ledger, seq)
+        return outcome, P.append_prepaid_sales(ledger, outcome, as_of=self.as_of)
 
     def post_deposits(self, requests: DataFrame, seq: str = "seq"):
         ledger = self.table("bank_deposits")
@@ -144,6 +155,41 @@ class BackOffice:
         return S.receive_purchase_orders(self.table("purchase_orders"), self.table("purchase_order_items"),
                                          transitions, self.table("inventories"), self.as_of, seq)
 
+    def post_received_items(self, new_items: DataFrame):
+        return S.post_received_items(new_items, self.table("purchase_orders"), self.table("inventories"), self.as_of)
+
+    def guard_estimates(self, changes: DataFrame) -> DataFrame:
+        return S.guard_estimates(changes, self.table("purchase_order_estimates"), self.table("purchase_orders"))
+
+    # ------------------------------------------------------------------ table changes
+    def append(self, name: str, incoming: DataFrame, key_cols: list[str] | None = None):
+        return CH.append_rows(self.table(name), incoming, name, key_cols=key_cols)
+
+    def patch(self, name: str, patches: DataFrame, seq: str | None = None):
+        return CH.apply_patches(self.table(name), patches, "id", seq, name)
+
+    def delete(self, name: str, keys: DataFrame) -> dict[str, DataFrame]:
+        """New versions of the table and of every table its foreign-key actions touch."""
+        tables = {t: self.table(t) for t in TABLE_DDL if self.has(t)}
+        out = CH.propagate_deletes(tables, name, keys)
+        return {t: df for t, df in out.items() if df is not tables[t]}
+
+    def retire_products(self, keys: DataFrame):
+        return S.retire_products(self.table("products"), self.table("product_variants"),
+                                 self.table("inventory_movements"), keys)
+
+    def retire_variants(self, keys: DataFrame):
+        return S.retire_variants(self.table("product_variants"), self.table("inventory_movements"), keys)
+
+    def upsert_catalog(self, incoming: DataFrame, seq: str | None = None) -> DataFrame:
+        return P.upsert_catalog(self.table("prepaid_load_products"), incoming, self.as_of, seq)
+
+    def repair_cash_out_impact(self) -> DataFrame:
+        return C.repair_cash_out_impact(self.table("gcash_transactions"))
+
+    def backfill_deposits(self) -> DataFrame:
+        return DP.backfill_deposits(self.table("bank_deposits"), self.as_of)
+
     # ------------------------------------------------------------------ audits
     def audit(self) -> DataFrame:
         """One data-quality report over every table present: enum domain

@@ -13,6 +13,8 @@ UUID_RFC = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA
 # Philippine mobile number forms.
 MOBILE_LOCAL = r"^09[0-9]{9}$"
 MOBILE_INTL = r"^639[0-9]{9}$"
+# Fixed value: decimal number text (no type suffix, no NaN or Infinity).
+NUMBER_TEXT = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
 def col_of(c: Column | str) -> Column:
@@ -32,6 +34,14 @@ def required_text(c: Column | str) -> Column:
     return F.when(t != "", t)
 
 
+def number(c: Column | str) -> Column:
+    """A finite number from a number or from trimmed decimal text, as DOUBLE; NULL for
+    anything else ('5d', 'NaN' and blank text are not numbers)."""
+    t = F.trim(col_of(c).cast("string"))
+    d = F.when(t.rlike(NUMBER_TEXT), t.try_cast("double"))
+    return F.when(F.abs(d) != float("inf"), d)
+
+
 def id_ok(c: Column | str, dtype: T.DataType, strict: bool = True) -> Column:
     """An optional id is acceptable when NULL/'' or, for text ids, when it has
     the UUID shape. Typed (numeric) keys are valid by construction."""

@@ -71,21 +71,23 @@ def cash_breakdown(df: DataFrame, col: str, total_col: str, error_col: str = "br
         c = d.isNull() | (d <= 0)
         if isinstance(dtype, (T.DoubleType, T.FloatType)):
             c = c | F.isnan(d)
-        return c
+        return c | d.try_cast(MONEY).isNull()
 
     def bad_qty(e):
         q = e["quantity"]
         c = q.isNull() | (q < 0)
         if isinstance(qtype, (T.DoubleType, T.FloatType, T.DecimalType)):
             c = c | (q != F.floor(q))
-        return c
+        if not isinstance(qtype, (T.ByteType, T.ShortType, T.IntegerType)):
+            c = c | q.try_cast("int").isNull()  # beyond the stored range
+        return F.coalesce(c, F.lit(True))
 
     errors = F.filter(F.transform(arr, lambda e: F.when(bad_denom(e), F.lit(ERR_DENOMINATION))
                                   .when(bad_qty(e), F.lit(ERR_QUANTITY))), lambda m: m.isNotNull())
     normalized = F.transform(arr, lambda e: F.struct(
-        e["denomination"].cast(MONEY).alias("denomination"),
-        e["quantity"].cast("int").alias("quantity"),
-        (e["denomination"].cast("decimal(20,4)") * e["quantity"].cast("decimal(20,4)")).cast(MONEY).alias("amount"),
+        e["denomination"].try_cast(MONEY).alias("denomination"),
+        e["quantity"].try_cast("int").alias("quantity"),
+        (e["denomination"].try_cast("decimal(18,4)") * e["quantity"].try_cast("decimal(18,4)")).try_cast(MONEY).alias("amount"),
     ))
     ordered = F.array_sort(normalized, lambda l, r: F.when(l["denomination"] > r["denomination"], -1)
                            .when(l["denomination"] < r["denomination"], 1).otherwise(0))
@@ -439,11 +441,14 @@ def audit_summary(report: DataFrame, out: str = "audit_summary") -> DataFrame:
 
 
 def reconciliation_register(recons: DataFrame, deposits: DataFrame, branch_id=None, start=None, end=None,
-                            limit=100, offset=0) -> DataFrame:
-    """Reconciliations with deposit totals and remaining cash, newest business
-    date first (then newest created, then id)."""
+                            limit=None, offset=0) -> DataFrame:
+    """Reconciliations (all, or a page) with deposit totals and remaining cash, newest business
+    date first (then newest created, then id). A page is taken first; only its branch-days' deposits are totalled."""
     r = optional_filters(recons, {"branch_id": branch_id}).filter(date_between("business_date", start, end))
     deposits = optional_filters(deposits, {"branch_id": branch_id}).filter(date_between("business_date", start, end))
-    r = _with_deposits(r, deposits)
-    return _page(r, [F.desc_nulls_first("business_date"), F.desc_nulls_first("created_at"), F.asc("id")],
-                 limit if limit is None else (int(limit) or 100), offset)
+    order = [F.desc_nulls_first("business_date"), F.desc_nulls_first("created_at"), F.asc("id")]
+    r = _page(r, order, limit, offset)
+    if limit is not None:
+        days = r.select("branch_id", "business_date").distinct()
+        deposits = deposits.join(days, ["branch_id", "business_date"], "left_semi")
+    return _with_deposits(r, deposits).orderBy(*order)

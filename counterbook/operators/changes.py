@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import new_id
-from ..sources.schemas import FOREIGN_KEYS
+from ..sources.schemas import DEFAULTS, FOREIGN_KEYS
 from .quality import validation_errors
 
 
@@ -21,9 +21,10 @@ def append_rows(target: DataFrame, incoming: DataFrame, table: str | None = None
                 ) -> tuple[DataFrame, DataFrame]:
     """Validated INSERT: rows are checked against the table's input rules
     (all required fields); keys that are not target columns are dropped;
-    columns not given take ``defaults`` (default: ``id`` derived from
+    columns not given, or not known to the batch, take ``defaults``, else the
+    table's declared defaults, else: ``id`` derived from
     ``key_cols`` when given, else uuid(),
-    ``created_at`` / ``updated_at`` = current time, else NULL). A batch with
+    ``created_at`` / ``updated_at`` = current time, else NULL. A batch with
     no target column at all is refused. Returns (outcome with ``errors``,
     new table)."""
     common = [c for c in incoming.columns if c in target.columns]
@@ -37,6 +38,7 @@ def append_rows(target: DataFrame, incoming: DataFrame, table: str | None = None
     row_id = (new_id(table or "row", target.schema["id"].dataType, *key_cols)
               if key_cols and "id" in target.columns else F.expr("uuid()"))
     dflt = {"id": row_id, "created_at": F.localtimestamp(), "updated_at": F.localtimestamp()}
+    dflt.update({c: F.lit(v) for c, v in DEFAULTS.get(table, {}).items()})
     dflt.update(defaults or {})
     rows = ok.select(*[
         (F.col(c) if c in common else dflt.get(c, F.lit(None))).cast(target.schema[c].dataType).alias(c)
@@ -44,11 +46,25 @@ def append_rows(target: DataFrame, incoming: DataFrame, table: str | None = None
     return checked, target.unionByName(rows)
 
 
+def append_accepted(ledger: DataFrame, outcome: DataFrame, namespace: str, id_expr: Column | None = None,
+                    as_of="1970-01-01 00:00:00") -> DataFrame:
+    """New ledger version: the ledger plus a posting job's accepted rows (``reject_reason`` NULL). Ids
+    come from the unique reference number unless ``id_expr`` is given; time stamps not in the outcome are ``as_of``."""
+    now = F.lit(str(as_of)).cast("timestamp_ntz")
+    ok = outcome.filter(F.col("reject_reason").isNull())
+    row_id = id_expr if id_expr is not None else (
+        new_id(namespace, ledger.schema["id"].dataType, "reference_number") if "id" in ledger.columns else None)
+    return ledger.unionByName(ok.select(*[
+        (row_id if c == "id" else F.col(c) if c in ok.columns else now if c in ("created_at", "updated_at") else F.lit(None))
+        .cast(ledger.schema[c].dataType).alias(c) for c in ledger.columns]))
+
+
 def apply_patches(target: DataFrame, patches: DataFrame, key: str = "id", seq: str | None = None,
                   table: str | None = None) -> tuple[DataFrame, DataFrame]:
     """UPDATE by key of the patch columns that exist in the target (other
     patch columns are ignored; a batch with none is refused). Several patches
-    of one key apply in ``seq`` order, so the last one wins. Patches are
+    of one key apply in ``seq`` order, so the last one wins; without ``seq`` their order is
+    that of their values (the largest wins), so a key never yields two rows. Patches are
     validated without the required-field rule. Returns (outcome with
     ``errors`` and ``matched``, new table)."""
     cols = [c for c in patches.columns if c in target.columns and c != key]
@@ -57,11 +73,9 @@ def apply_patches(target: DataFrame, patches: DataFrame, key: str = "id", seq: s
     checked = patches.withColumn("errors", validation_errors(patches, table, False) if table
                                  else F.array().cast("array<string>"))
     ok = checked.filter(F.size("errors") == 0)
-    if seq is not None:
-        last = ok.groupBy(F.col(key).alias("__pk")).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("__p"))
-        last = last.select("__pk", *[F.col("__p." + c).alias("__n_" + c) for c in cols])
-    else:
-        last = ok.select(F.col(key).alias("__pk"), *[F.col(c).alias("__n_" + c) for c in cols])
+    order = F.col(seq) if seq is not None else F.struct(*cols)
+    last = ok.groupBy(F.col(key).alias("__pk")).agg(F.max_by(F.struct(*cols), order).alias("__p"))
+    last = last.select("__pk", *[F.col("__p." + c).alias("__n_" + c) for c in cols])
     j = target.join(last, target[key] == last["__pk"], "left")
     hit = F.col("__pk").isNotNull()
     new = j.select(*[F.when(hit, F.col("__n_" + c).cast(target.schema[c].dataType)).otherwise(target[c]).alias(c)

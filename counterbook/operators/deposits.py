@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from ..functions.money import MONEY, MONEY_OUT
 from ..functions.predicates import date_between, optional_filters
-from ..functions.text import new_id, required_text
+from ..functions.text import new_id, number, required_text
+from .changes import append_accepted
 from .joins import keys_present, left_join_nullable, mark_first_in_key, mark_greedy_unique
 from .reports import _page
 
@@ -31,6 +32,7 @@ ERR_NOT_FOUND = "bank deposit not found"
 ERR_REVERSAL_OF_REVERSAL = "cannot reverse a reversal entry"
 ERR_ALREADY_REVERSED = "bank deposit is already reversed"
 ERR_REQUIRED = "{field} is required"
+ERR_RANGE = "{field} is out of range"
 
 
 def _opt(df: DataFrame, name: str, dtype: T.DataType = T.StringType()) -> Column:
@@ -43,10 +45,10 @@ def _ts(value) -> Column:
 
 
 def _money_in(c: Column) -> Column:
-    """Request amount to money: unparsable / non-finite / missing is 0."""
-    d = F.when(~F.isnan(c.cast("double")), c.cast("double"))
-    return F.coalesce(c.cast("string").try_cast("decimal(30,6)"), d.cast("decimal(30,6)"),
-                      F.lit(0)).cast(MONEY)
+    """Request amount to money: what is no number, or missing, is 0; a number too large for the ledger is NULL."""
+    text = F.trim(c.cast("string"))
+    exact = F.coalesce(text.try_cast("decimal(30,6)"), number(c).try_cast("decimal(30,6)"))
+    return F.when(number(c).isNull(), F.lit(0).cast(MONEY)).otherwise(exact.try_cast(MONEY))
 
 
 def deposit_net_by_day(deposits: DataFrame) -> DataFrame:
@@ -98,7 +100,8 @@ def post_deposits(requests: DataFrame, recons: DataFrame, ledger: DataFrame, as_
         F.when(has_recon, F.col("__rbranch")).otherwise(branch_in).alias("__branch"),
         F.when(has_recon, F.col("__rdate")).otherwise(_resolve_date(date_in, date_type, today)).alias("__date"),
     )
-    reason = (F.when(F.col("__amount") <= 0, F.lit(ERR_AMOUNT))
+    reason = (F.when(F.col("__amount").isNull(), F.lit(ERR_RANGE.format(field="amount")))
+              .when(F.col("__amount") <= 0, F.lit(ERR_AMOUNT))
               .when(F.col("__bank_account").isNull(), F.lit(ERR_REQUIRED.format(field="bank_account")))
               .when(F.col("__reference_number").isNull(), F.lit(ERR_REQUIRED.format(field="reference_number")))
               .when(F.col("__depositor_name").isNull(), F.lit(ERR_REQUIRED.format(field="depositor_name")))
@@ -134,17 +137,8 @@ def post_deposits(requests: DataFrame, recons: DataFrame, ledger: DataFrame, as_
 
 def append_deposits(ledger: DataFrame, outcome: DataFrame, id_expr: Column | None = None,
                     as_of="1970-01-01 00:00:00") -> DataFrame:
-    """New ledger version: the ledger plus the accepted rows of ``post_deposits``
-    (ids derived from the unique reference number unless ``id_expr`` is given)."""
-    now = _ts(as_of)
-    ok = outcome.filter(F.col("reject_reason").isNull())
-    new = ok.select(*[
-        (id_expr if id_expr is not None else new_id("bank_deposit", ledger.schema["id"].dataType, "reference_number"))
-        .cast(ledger.schema["id"].dataType).alias(c) if c == "id"
-        else F.col(c).cast(ledger.schema[c].dataType).alias(c) if c in ok.columns
-        else (now if c in ("created_at", "updated_at") else F.lit(None).cast(ledger.schema[c].dataType)).alias(c)
-        for c in ledger.columns])
-    return ledger.unionByName(new)
+    """New ledger version: the ledger plus the accepted rows of ``post_deposits``."""
+    return append_accepted(ledger, outcome, "bank_deposit", id_expr, as_of)
 
 
 def reverse_deposits(requests: DataFrame, ledger: DataFrame, as_of="1970-01-01 00:00:00", posting_date=None,
@@ -239,20 +233,22 @@ def reverse_deposits(requests: DataFrame, ledger: DataFrame, as_of="1970-01-01 0
 
 def deposit_register(deposits: DataFrame, branches: DataFrame, users: DataFrame, branch_id=None,
                      business_date=None, start=None, end=None, cash_reconciliation_id=None,
-                     limit=100, offset=0) -> DataFrame:
+                     limit=None, offset=0) -> DataFrame:
     """Deposits with branch_name, deposited_by_name, reversed_by_name and
-    reversal_of_reference_number, newest deposit first. The reverser and
-    reversal links are NULL on most rows: those rows bypass their joins."""
+    reversal_of_reference_number, newest deposit first (all, or a page). The reverser and
+    reversal links are NULL on most rows: those rows bypass their joins. A page is
+    taken from the deposits first: the joins are 1:1 and add no row."""
     d = optional_filters(deposits, {"branch_id": branch_id, "business_date": business_date,
                                     "cash_reconciliation_id": cash_reconciliation_id})
     d = d.filter(date_between("business_date", start, end))
+    order = [F.desc_nulls_first("deposited_at"), F.desc_nulls_first("created_at"), F.asc("id")]
+    d = _page(d, order, limit, offset)
     b = branches.select(F.col("id").alias("__bid"), "branch_name")
     d = d.join(b, d["branch_id"] == b["__bid"], "left").drop("__bid")
     d = left_join_nullable(d, users, "deposited_by", "id", {"full_name": "deposited_by_name"})
     d = left_join_nullable(d, users, "reversed_by", "id", {"full_name": "reversed_by_name"})
     d = left_join_nullable(d, deposits, "reversal_of_id", "id", {"reference_number": "reversal_of_reference_number"})
-    return _page(d, [F.desc_nulls_first("deposited_at"), F.desc_nulls_first("created_at"), F.asc("id")],
-                 limit, offset)
+    return d.orderBy(*order)
 
 
 def backfill_deposits(deposits: DataFrame, as_of="1970-01-01 00:00:00") -> DataFrame:

@@ -1,17 +1,12 @@
 """Wallet (cash-in / cash-out) fee bands: rule matching, overlap audit, rule
 loading and posting of wallet transactions.
 
-Matching a transaction amount to a fee band is a range join. The rule table
-is a business configuration (tens of rows), but its size is checked, never
-assumed:
-
-* up to ``INLINE_RULES_MAX`` active rules: the rules of each service type are
-  packed into one array, broadcast-joined on the service type, and each
-  transaction picks its band with array functions -- a map-only plan, no
-  shuffle of the transactions at all;
-* above that: rules are exploded into amount buckets and equi-joined on
-  (service type, bucket) with the range as residual, then one best row per
-  transaction is kept with a window on the transaction key.
+Matching an amount to a fee band is a range join. It is made an equi-join at any
+rule count by dyadic cells over cents: a band of finite width lies in one or two
+cells of the smallest power of two that is not below its width; an open-ended band
+is cut into the aligned cells from its minimum up to the next power of two, plus the tail beyond it.
+An amount lies in one cell of each size, so it meets each band at most once, on
+(service type, cell size, cell), and sizes that no rule uses are not probed.
 """
 
 from __future__ import annotations
@@ -22,9 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
-from ..functions.text import id_ok, id_or_null, new_id, required_text
-from ..session import cut_lineage
-from .joins import keys_present, mark_first_in_key, mark_greedy_conflicts
+from ..functions.text import id_ok, id_or_null, new_id, number, required_text
+from .changes import append_accepted
+from .joins import connected_components, keys_present, mark_first_in_key
 
 # Rejection texts of fee-rule loading and wallet posting.
 ERR_SERVICE_TYPE = "service_type must be one of: cash_in, cash_out"
@@ -38,9 +33,8 @@ ERR_PRINCIPAL = "principal_amount must be a positive number"
 ERR_NO_RULE = "No active fee rule found for {service_type} at amount {amount}"
 ERR_UUID = "{field} must be a UUID"
 ERR_DUPLICATE = "reference_number already exists"
+ERR_RANGE = "{field} is out of range"
 
-INLINE_RULES_MAX = 512
-BUCKETS_PER_RANGE = 1024
 SERVICE_TYPES = ("cash_in", "cash_out")
 
 RULE_FIELDS = ["id", "min_amount", "max_amount", "fee_amount", "effective_from", "effective_to", "created_at"]
@@ -52,16 +46,6 @@ def _as_of(as_of) -> Column:
     return F.lit(str(as_of)).cast("timestamp_ntz")
 
 
-def _better(l, r) -> Column:
-    """Comparator: larger min_amount first, then newest created_at with NULL
-    first (PostgreSQL DESC order), then smaller id."""
-    return (F.when(l["min_amount"] > r["min_amount"], -1).when(l["min_amount"] < r["min_amount"], 1)
-            .when(l["created_at"].isNull() & r["created_at"].isNotNull(), -1)
-            .when(l["created_at"].isNotNull() & r["created_at"].isNull(), 1)
-            .when(l["created_at"] > r["created_at"], -1).when(l["created_at"] < r["created_at"], 1)
-            .when(l["id"] < r["id"], -1).when(l["id"] > r["id"], 1).otherwise(0))
-
-
 def _applies(rule, amount: Column, at: Column) -> Column:
     return ((amount >= rule["min_amount"])
             & (rule["max_amount"].isNull() | (amount <= rule["max_amount"]))
@@ -69,97 +53,117 @@ def _applies(rule, amount: Column, at: Column) -> Column:
             & (rule["effective_to"].isNull() | (rule["effective_to"] >= at)))
 
 
+#: Cents that no amount reaches (amounts are cut to it before they are put into cells).
+TOP_CENTS = 2**62 - 1
+
+
+def _cents(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.least(F.floor(c * F.lit(100)), F.lit(TOP_CENTS)).cast("bigint"))
+
+
+def _pieces(rules: DataFrame, keep: list[str]) -> DataFrame:
+    """The cells of each active rule of a known service type: (service type ``st``, ``level``,
+    ``cell``, kept columns). Level k >= 0 has cells of 2^k cents; level -(m + 1) is the tail from 2^m cents on."""
+    a = rules.filter((F.col("is_active") == F.lit(True)) & F.col("service_type").isin(*SERVICE_TYPES))
+    low, high = F.greatest(_cents(F.col("min_amount")), F.lit(0)), _cents(F.col("max_amount"))
+    # a band stored the wrong way round is put into the cells between its ends
+    a = a.select(F.col("service_type").alias("st"), *keep, F.least(low, high).alias("lo"),
+                 F.when(high.isNotNull(), F.greatest(low, high)).alias("hi"), high.alias("end"))
+    size = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(F.length(F.bin(F.col("hi") - F.col("lo"))))
+    bounded = a.filter("hi is not null and lo >= 0").withColumn("level", size).withColumn(
+        "cell", F.explode(F.expr("sequence(shiftright(lo, level), shiftright(hi, level))")))
+    open_ended = a.filter("hi is null").withColumn("top", F.when(F.col("lo") > 0, F.length(F.bin("lo"))).otherwise(F.lit(0)))
+    # below the tail: cell ceil(lo / 2^k) where that number is odd; zero has the cell of its own cent
+    cells = F.expr("""filter(transform(sequence(0, greatest(top - 1, 0)),
+                             k -> struct(k as level, shiftright(lo + shiftleft(1L, k) - 1, k) as cell)),
+                      x -> if(lo = 0, true, x.cell % 2 = 1))""")
+    tail = F.struct((-F.col("top") - 1).alias("level"), F.lit(0).cast("bigint").alias("cell"))
+    open_ended = open_ended.withColumn("x", F.explode(F.concat(cells, F.array(tail)))).select("*", "x.level", "x.cell")
+    columns = ["st", *keep, "lo", "hi", "end", "level", "cell"]
+    return bounded.select(*columns).unionByName(open_ended.select(*columns))
+
+
+#: The cell of ``cents`` at ``level``; NULL where it has none.
+CELL_OF = """case when cents < 0 then null when level >= 0 then shiftright(cents, level)
+             when cents >= shiftleft(1L, -level - 1) then 0 end"""
+
+
+def _levels(pieces: DataFrame) -> DataFrame:
+    """The levels in use per service type: a row for each of SERVICE_TYPES at most, of at most 126 numbers, so it may be broadcast."""
+    return F.broadcast(pieces.groupBy("st").agg(F.collect_set("level").alias("levels")))
+
+
 def match_fee_rules(txns: DataFrame, rules: DataFrame, amount: str = "principal_amount",
                     service_type: str = "service_type", as_of: Column | str = "1970-01-01 00:00:00",
-                    key: str = "id", prefix: str = "rule_") -> DataFrame:
+                    prefix: str = "rule_") -> DataFrame:
     """Per transaction the applicable active rule: same service type,
     min ≤ amount ≤ max (NULL max = no upper bound), effective window
     containing ``as_of`` (a literal or a per-row column, e.g. the
-    transaction time). Best = largest min_amount, then newest. Adds
-    ``{prefix}id``, ``{prefix}fee_amount``, ``{prefix}min_amount``,
-    ``{prefix}max_amount`` (NULL when no rule applies)."""
-    active = rules.filter(F.col("is_active") == F.lit(True)).select(
-        F.col("service_type").alias("__st"), *RULE_FIELDS)
-    n = active.limit(INLINE_RULES_MAX + 1).count()
-    at = _as_of(as_of)
-    amt = F.col(amount)
-    if n <= INLINE_RULES_MAX:
-        packed = active.groupBy("__st").agg(F.collect_list(F.struct(*RULE_FIELDS)).alias("__rules"))
-        j = txns.join(F.broadcast(packed), txns[service_type] == packed["__st"], "left")
-        cand = F.filter(F.coalesce(F.col("__rules"), F.array().cast(packed.schema["__rules"].dataType)),
-                        lambda r: _applies(r, amt, at))
-        best = F.get(F.array_sort(cand, _better), 0)
-        j = j.withColumn("__best", best)
-        out = j.select(*[txns[c] for c in txns.columns],
-                       F.col("__best.id").alias(prefix + "id"),
-                       F.col("__best.fee_amount").alias(prefix + "fee_amount"),
-                       F.col("__best.min_amount").alias(prefix + "min_amount"),
-                       F.col("__best.max_amount").alias(prefix + "max_amount"))
-        return out
-    # large rule sets: bucketed equi-join on (service type, amount bucket).
-    # Buckets span the rules' own boundaries (a small aggregate over the rule
-    # table); amounts beyond the last boundary share one overflow bucket that
-    # open-ended bands also cover, so the transactions are never pre-scanned.
-    top = float(active.agg(F.max(F.coalesce("max_amount", "min_amount"))).first()[0] or 0)
-    width = max(top / BUCKETS_PER_RANGE, 0.01)
-    cap = int(top // width) + 1
-    lo_b = F.least(F.floor(F.col("min_amount") / F.lit(width)), F.lit(cap))
-    hi_b = F.when(F.col("max_amount").isNull(), F.lit(cap)).otherwise(
-        F.least(F.floor(F.col("max_amount") / F.lit(width)), F.lit(cap)))
-    rb = active.withColumn("__bucket", F.explode(F.sequence(lo_b.cast("bigint"), F.greatest(lo_b, hi_b).cast("bigint"))))
-    rb = rb.select("__st", "__bucket", F.struct(*RULE_FIELDS).alias("__r"))
-    t = txns.withColumn("__bucket", F.least(F.floor(amt / F.lit(width)), F.lit(cap)).cast("bigint"))
-    j = t.join(rb, (t[service_type] == rb["__st"]) & (t["__bucket"] == rb["__bucket"])
-               & _applies(F.col("__r"), amt, at), "left")
-    w = Window.partitionBy(key).orderBy(F.desc_nulls_last("__r.min_amount"), F.desc_nulls_first("__r.created_at"),
-                                        F.asc_nulls_last("__r.id"))
-    j = j.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1)
-    return j.select(*[t[c] for c in txns.columns],
-                    F.col("__r.id").alias(prefix + "id"), F.col("__r.fee_amount").alias(prefix + "fee_amount"),
-                    F.col("__r.min_amount").alias(prefix + "min_amount"),
-                    F.col("__r.max_amount").alias(prefix + "max_amount"))
+    transaction time). Best = largest min_amount, then newest (NULL created_at first, PostgreSQL's DESC
+    order), then smallest id. Adds ``{prefix}id``, ``{prefix}fee_amount``, ``{prefix}min_amount``,
+    ``{prefix}max_amount`` (NULL when no rule applies).
+
+    The best rule is found once per distinct (type, amount, time) and joined back, so every input
+    row comes out once, whatever its other columns hold."""
+    pieces = _pieces(rules, RULE_FIELDS)
+    t = txns.select("*", F.col(service_type).alias("__mst"), F.col(amount).try_cast("decimal(30,6)").alias("__mamt"),
+                    _as_of(as_of).alias("__mat"))
+    asked = t.filter(F.col("__mst").isNotNull() & F.col("__mamt").isNotNull()).select("__mst", "__mamt", "__mat").distinct()
+    levels = _levels(pieces)
+    probes = (asked.withColumn("cents", _cents(F.col("__mamt"))).join(levels, F.col("__mst") == F.col("st")).drop("st")
+              .withColumn("level", F.explode("levels")).drop("levels").withColumn("__cell", F.expr(CELL_OF))
+              .filter(F.col("__cell").isNotNull()))
+    cells = pieces.select(F.col("st").alias("__rst"), F.col("level").alias("__rlevel"), F.col("cell").alias("__rcell"),
+                          *[F.col(f).alias("__r_" + f) for f in RULE_FIELDS])
+    met = probes.join(cells, (F.col("__mst") == F.col("__rst")) & (F.col("level") == F.col("__rlevel"))
+                      & (F.col("__cell") == F.col("__rcell")))
+    met = met.filter(_applies({f: F.col("__r_" + f) for f in RULE_FIELDS}, F.col("__mamt"), F.col("__mat")))
+    met = met.select("__mst", "__mamt", "__mat", *[F.col("__r_" + f).alias(f) for f in RULE_FIELDS])
+    w = Window.partitionBy("__mst", "__mamt", "__mat").orderBy(
+        F.desc_nulls_last("min_amount"), F.desc_nulls_first("created_at"), F.asc_nulls_last("id"))
+    best = met.select("__mst", "__mamt", "__mat", *RULE_FIELDS, F.row_number().over(w).alias("__rn")).filter("__rn = 1")
+    best = best.select(F.col("__mst").alias("__bst"), F.col("__mamt").alias("__bamt"), F.col("__mat").alias("__bat"),
+                       *[F.col(f).alias(prefix + f) for f in ("id", "fee_amount", "min_amount", "max_amount")])
+    j = t.join(best, (F.col("__mst") == F.col("__bst")) & (F.col("__mamt") == F.col("__bamt"))
+               & F.col("__mat").eqNullSafe(F.col("__bat")), "left")
+    return j.drop("__mst", "__mamt", "__mat", "__bst", "__bamt", "__bat")
 
 
 def fee_rule_overlaps(rules: DataFrame) -> DataFrame:
     """Pairs of active rules of one service type whose bands overlap (ends
     inclusive, so touching bands overlap; NULL max = no upper bound;
     effective dates ignored, T24). One row per pair, ``rule_id < other_rule_id``.
-    Small rule tables: broadcast self join on the service type; large ones:
-    bucketed equi-join, each pair emitted only in the first bucket both share."""
-    a = rules.filter(F.col("is_active") == F.lit(True)).select(
-        "service_type", "id", "min_amount", "max_amount", "created_at")
-    n = a.limit(INLINE_RULES_MAX + 1).count()
-    left = a.select(*[F.col(c).alias("l_" + c) for c in a.columns])
-    right = a.select(*[F.col(c).alias("r_" + c) for c in a.columns])
-    overlap = ((F.col("l_max_amount").isNull() | (F.col("l_max_amount") >= F.col("r_min_amount")))
-               & (F.col("r_max_amount").isNull() | (F.col("r_max_amount") >= F.col("l_min_amount")))
-               & (F.col("l_id") < F.col("r_id")))
-    if n <= INLINE_RULES_MAX:
-        j = left.join(F.broadcast(right), (F.col("l_service_type") == F.col("r_service_type")) & overlap, "inner")
-    else:
-        top = float(a.agg(F.max(F.coalesce("max_amount", "min_amount"))).first()[0] or 0)
-        width = max(top / BUCKETS_PER_RANGE, 0.01)
-
-        def bucketed(df, p):
-            lo = F.floor(F.col(p + "min_amount") / F.lit(width))
-            hi = F.floor(F.coalesce(F.col(p + "max_amount"), F.lit(top)) / F.lit(width))
-            return df.withColumn(p + "bucket", F.explode(F.sequence(lo.cast("bigint"), F.greatest(lo, hi).cast("bigint"))))
-        lb, rb = bucketed(left, "l_"), bucketed(right, "r_")
-        first_shared = F.greatest(F.floor(F.col("l_min_amount") / F.lit(width)),
-                                  F.floor(F.col("r_min_amount") / F.lit(width))).cast("bigint")
-        j = lb.join(rb, (F.col("l_service_type") == F.col("r_service_type"))
-                    & (F.col("l_bucket") == F.col("r_bucket")) & overlap, "inner")
-        j = j.filter(F.col("l_bucket") == first_shared)
-    return j.select(F.col("l_service_type").alias("service_type"), F.col("l_id").alias("rule_id"),
-                    F.col("r_id").alias("other_rule_id"),
-                    F.col("l_min_amount").alias("rule_min_amount"), F.col("l_max_amount").alias("rule_max_amount"),
-                    F.col("r_min_amount").alias("other_min_amount"), F.col("r_max_amount").alias("other_max_amount"))
-
-
-def _num(c: Column) -> Column:
-    """JS ``Number(x)`` for a request field: finite numbers only."""
-    d = c.cast("string").try_cast("double")
-    return F.when(d.isNotNull() & ~F.isnan(d) & (F.abs(d) != float("inf")), d)
+
+    Two bounded bands meet in the cells of the wider one's level, in the cell where both begin to overlap; an open-ended band
+    holds a bounded one's maximum in just one of its cells; two open-ended bands always overlap."""
+    keep = ["id", "min_amount", "max_amount"]
+    pieces = _pieces(rules, keep)
+    wide = pieces.select(*[F.col(c).alias("w_" + c) for c in pieces.columns])
+    bands = pieces.filter("hi is not null").select("st", *keep, "lo", "hi", "end", F.col("level").alias("own")).distinct()
+    levels = _levels(pieces.filter("hi is not null")).withColumnRenamed("st", "lst")
+    narrow = (bands.join(levels, F.col("st") == F.col("lst")).withColumn("level", F.explode("levels")).filter("level >= own")
+              .withColumn("cell", F.explode(F.expr("sequence(shiftright(lo, level), shiftright(hi, level))"))))
+    both = narrow.join(wide, (F.col("st") == F.col("w_st")) & (F.col("level") == F.col("w_level")) & (F.col("cell") == F.col("w_cell")))
+    both = both.filter("w_hi is not null and lo <= w_hi and w_lo <= hi and cell = shiftright(greatest(lo, w_lo), level)"
+                       " and max_amount >= w_min_amount and w_max_amount >= min_amount and (own < level or id < w_id)")
+    open_levels = _levels(pieces.filter("hi is null")).withColumnRenamed("st", "lst")
+    ends = (bands.join(open_levels, F.col("st") == F.col("lst")).withColumn("level", F.explode("levels"))
+            .withColumn("cents", F.col("end")).withColumn("cell", F.expr(CELL_OF)).filter("cell is not null"))
+    tails = wide.filter("w_hi is null")
+    under = ends.join(tails, (F.col("st") == F.col("w_st")) & (F.col("level") == F.col("w_level")) & (F.col("cell") == F.col("w_cell")))
+    opened = pieces.filter("hi is null").select("st", *keep).distinct()
+    others = opened.select(*[F.col(c).alias("w_" + c) for c in opened.columns])
+    open_pairs = opened.join(others, (F.col("st") == F.col("w_st")) & (F.col("id") < F.col("w_id")))
+    fields = ["st", *keep, *["w_" + c for c in keep]]
+    j = both.select(*fields).unionByName(under.select(*fields)).unionByName(open_pairs.select(*fields))
+    first = F.col("id") < F.col("w_id")
+
+    def side(c, lower):
+        return F.when(first, F.col(c if lower else "w_" + c)).otherwise(F.col("w_" + c if lower else c))
+
+    return j.select(F.col("st").alias("service_type"), side("id", True).alias("rule_id"), side("id", False).alias("other_rule_id"),
+                    side("min_amount", True).alias("rule_min_amount"), side("max_amount", True).alias("rule_max_amount"),
+                    side("min_amount", False).alias("other_min_amount"), side("max_amount", False).alias("other_max_amount"))
 
 
 def _template(text: str, **cols: Column) -> Column:
@@ -179,115 +183,146 @@ def _fmt_amount(c: Column) -> Column:
     return s
 
 
+def _money_text(cents: int | None) -> str:
+    return ERR_OVERLAP_OPEN_MAX if cents is None else f"{cents // 100}.{cents % 100:02d}"
+
+
 def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00:00:00",
-                   id_expr: Column | None = None, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """Create or update fee rules. A candidate with the ``id`` of an existing
-    rule is an update: provided columns overlay the stored row. Checks:
-    numeric min/max/fee, known service type, min ≥ 0, max ≥ min; an active
-    rule may not overlap another active rule of its type (itself excluded on
-    update). Amounts are rounded to cents. Candidates apply in ``seq`` order:
-    the stored rules are those at the start of the batch, and an accepted
-    active candidate blocks later candidates whose bands overlap it (the
-    message names the blocking band). Returns (outcome, new rules)."""
+                   id_expr: Column | None = None, seq: str = "seq", clear: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Create or update fee rules, as serial requests in ``seq`` order would. A candidate with the
+    ``id`` of a stored rule is an update: fields given (not NULL) overlay the rule as it is by then; ``''`` as max_amount, or
+    the name in the ``clear`` column (an array of field names), removes the upper bound. Checks:
+    numeric min/max/fee (blank text is not a number), known service type, min ≥ 0, max ≥ min; an active
+    rule may not overlap another rule that is active by then (itself excluded on update; an earlier
+    update may have moved, opened or deactivated it). Amounts are rounded to cents. The message names the
+    overlapping band with the smallest minimum. Returns (outcome, new rules: one row per id).
+
+    What one candidate decides can matter to another only if their bands, in any
+    state that the batch can give them, overlap or they change the same rule. Rules and candidates
+    tied that way form components; each is walked in order, one component in one task."""
+    has = candidates.columns
     now = F.lit(str(as_of)).cast("timestamp_ntz")
-    c = candidates
-    cur = rules.select(*[F.col(x).alias("__old_" + x) for x in rules.columns])
-    key = "id" if "id" in c.columns else None
-    if key:
-        c = c.join(cur, c["id"] == cur["__old_id"], "left")
-    else:
-        c = c.select("*", *[F.lit(None).cast(cur.schema[x].dataType).alias(x) for x in cur.columns])
-
-    def merged(name):
-        """Update: a NULL (or absent) field keeps the stored value."""
-        old = F.col("__old_" + name)
-        if name not in candidates.columns:
-            return old
-        given = F.col(name)
-        return F.when(given.isNull(), old.cast(candidates.schema[name].dataType)).otherwise(given)
-
-    st = merged("service_type")
-    mn, mx, fee = _num(merged("min_amount")), merged("max_amount"), _num(merged("fee_amount"))
-    mx_blank = mx.isNull() | (mx.cast("string") == "")
-    mx_num = _num(mx)
-    act = F.coalesce(merged("is_active").cast("boolean"), F.lit(True))
-    c = c.select("*", st.alias("__st"), mn.alias("__mn"), mx_blank.alias("__mx_blank"), mx_num.alias("__mxn"),
-                 fee.alias("__fee"), act.alias("__act"),
-                 F.col("__old_id").isNotNull().alias("__is_update"))
-    c = c.withColumn("__min", F.col("__mn").cast("decimal(30,6)").cast(MONEY)).withColumn(
-        "__max", F.when(~F.col("__mx_blank"), F.col("__mxn").cast("decimal(30,6)").cast(MONEY))).withColumn(
-        "__fee_m", F.col("__fee").cast("decimal(30,6)").cast(MONEY))
-    reason = (F.when(F.col("__mn").isNull(), F.lit(ERR_NUMERIC.format(field="min_amount")))
-              .when(~F.col("__mx_blank") & F.col("__mxn").isNull(), F.lit(ERR_NUMERIC.format(field="max_amount")))
-              .when(F.col("__fee").isNull(), F.lit(ERR_NUMERIC.format(field="fee_amount")))
-              .when(~F.coalesce(F.col("__st").isin(*SERVICE_TYPES), F.lit(False)), F.lit(ERR_SERVICE_TYPE))
-              .when(F.col("__min") < 0, F.lit(ERR_MIN_NEGATIVE))
-              .when(F.col("__max").isNotNull() & (F.col("__max") < F.col("__min")), F.lit(ERR_MAX_BELOW_MIN)))
-    c = c.withColumn("__pre", reason).withColumn("__cid", F.col(seq))
-    # overlap with stored active rules (self excluded on update), first by min asc, created asc
-    act_rules = rules.filter(F.col("is_active") == F.lit(True)).select(
-        F.col("id").alias("__o_id"), F.col("service_type").alias("__o_st"), F.col("min_amount").alias("__o_min"),
-        F.col("max_amount").alias("__o_max"), F.col("created_at").alias("__o_created"))
-    probe = c.filter(F.col("__pre").isNull() & F.col("__act")).select("__cid", "__st", "__min", "__max", "__old_id")
-    hit = probe.join(F.broadcast(act_rules) if act_rules.limit(INLINE_RULES_MAX + 1).count() <= INLINE_RULES_MAX
-                     else act_rules,
-                     (probe["__st"] == act_rules["__o_st"])
-                     & (F.col("__o_max").isNull() | (F.col("__o_max") >= F.col("__min")))
-                     & (F.col("__max").isNull() | (F.col("__max") >= F.col("__o_min")))
-                     & (F.col("__old_id").isNull() | (F.col("__o_id") != F.col("__old_id"))), "inner")
-    first_hit = hit.groupBy("__cid").agg(F.min_by(F.struct("__o_min", "__o_max"),
-                                                  F.struct("__o_min", F.col("__o_created").isNull(), "__o_created",
-                                                           "__o_id")).alias("__h"))
-    c = c.join(first_hit, "__cid", "left")
-    # in-batch: an earlier accepted active candidate is an existing rule for
-    # the later ones (serial submission order)
-    live = c.filter(F.col("__pre").isNull() & F.col("__act") & F.col("__h").isNull()).select(
-        F.col("__cid").alias("id"), F.col("__st").alias("service_type"), F.col("__min").alias("min_amount"),
-        F.col("__max").alias("max_amount"), F.lit(True).alias("is_active"),
-        F.lit(None).cast("timestamp_ntz").alias("created_at"))
-    live = cut_lineage(live)
-    pairs = fee_rule_overlaps(live).select(F.col("rule_id").alias("a"), F.col("other_rule_id").alias("b"))
-    decided = cut_lineage(mark_greedy_conflicts(live.select(F.col("id").alias("__cid")), "__cid", pairs, "__by"))
-    # name the overlapping accepted band with the smallest min_amount
-    accepted = decided.filter(F.col("__by").isNull()).select(F.col("__cid").alias("a"))
-    bands = live.select(F.col("id").alias("a"), F.col("min_amount").alias("__o_min"),
-                        F.col("max_amount").alias("__o_max"))
-    named = (pairs.join(accepted, "a", "left_semi").join(bands, "a")
-             .groupBy(F.col("b").alias("__cid"))
-             .agg(F.min_by(F.struct("__o_min", "__o_max"), F.struct("__o_min", "a")).alias("__hb")))
-    c = c.join(named, "__cid", "left")
-    h = F.coalesce(F.col("__h"), F.col("__hb"))
-    # NUMERIC(12,2) values print with their two decimals
-    head, rest = ERR_OVERLAP.split("{min}")
-    mid, tail = rest.split("{max}")
-    ovl_msg = F.concat(F.lit(head), h["__o_min"].cast("string"), F.lit(mid),
-                       F.coalesce(h["__o_max"].cast("string"), F.lit(ERR_OVERLAP_OPEN_MAX)), F.lit(tail))
-    c = c.withColumn("reject_reason", F.coalesce(F.col("__pre"), F.when(h.isNotNull(), ovl_msg)))
-    outcome = c.select(*[F.col(x) for x in candidates.columns if x in c.columns],
-                       F.col("__st").alias("service_type_final"), F.col("__min").alias("min_amount_final"),
-                       F.col("__max").alias("max_amount_final"), F.col("__fee_m").alias("fee_amount_final"),
-                       F.col("__act").alias("is_active_final"), F.col("__is_update").alias("is_update"),
-                       "reject_reason")
-    ok = c.filter(F.col("reject_reason").isNull())
-    vals = {"service_type": F.col("__st"), "min_amount": F.col("__min"), "max_amount": F.col("__max"),
-            "fee_amount": F.col("__fee_m"), "is_active": F.col("__act"), "updated_at": now}
-    upd = ok.filter("__is_update").select(F.col("__old_id").alias("__uid"),
-                                          *[v.alias("__n_" + k) for k, v in vals.items()])
-    r = rules.join(upd, rules["id"] == upd["__uid"], "left")
-    updated = r.select(*[F.when(F.col("__uid").isNotNull(), F.col("__n_" + x)).otherwise(rules[x])
-                         .cast(rules.schema[x].dataType).alias(x) if x in vals else rules[x] for x in rules.columns])
-    ins = ok.filter(~F.col("__is_update"))
+
+    def given(name, kind="string"):
+        return (F.col(name) if name in has else F.lit(None)).cast(kind)
+
+    def cents(c):
+        return (number(c).try_cast("decimal(30,6)").try_cast(MONEY) * 100).cast("bigint")
+
+    known = rules.select(F.col("id").cast("string").alias("__rid")).distinct()
+    max_text = F.trim(given("max_amount"))
+    opened = F.coalesce(max_text == "", F.lit(False))
+    if clear is not None:
+        opened = opened | F.coalesce(F.array_contains(F.col(clear), "max_amount"), F.lit(False))
+    c = candidates.select(
+        F.col(seq).cast("bigint").alias("seq"), given("id").alias("__id"), given("service_type").alias("st"),
+        given("min_amount").isNotNull().alias("mn_given"), cents(given("min_amount")).alias("mn"),
+        (given("max_amount").isNotNull() & ~opened).alias("mx_given"), cents(given("max_amount")).alias("mx"), opened.alias("mx_open"),
+        given("fee_amount").isNotNull().alias("fee_given"), cents(given("fee_amount")).alias("fee"),
+        given("is_active", "boolean").alias("act"))
+    c = c.join(known, c["__id"] == known["__rid"], "left").withColumnRenamed("__rid", "rid").drop("__id")
+    c = c.withColumn("node", F.when(F.col("rid").isNotNull(), F.concat(F.lit("R"), F.col("rid")))
+                     .otherwise(F.concat(F.lit("C"), F.col("seq").cast("string"))))
+    stored = rules.select(
+        F.col("id").cast("string").alias("rid"), F.col("service_type").alias("st"), (F.col("min_amount") * 100).cast("bigint").alias("mn"),
+        (F.col("max_amount") * 100).cast("bigint").alias("mx"), (F.col("fee_amount") * 100).cast("bigint").alias("fee"),
+        F.col("is_active").alias("act"), F.col("created_at").cast("string").alias("created"),
+        F.concat(F.lit("R"), F.col("id").cast("string")).alias("node"))
+    # every band a node can have in the course of the batch lies in its hull
+    changed = c.filter("rid is not null").select("node").distinct()
+    hulls = (c.select("node", "st", "mn", "mx", (F.col("mx_open") | (~F.col("mx_given") & F.col("rid").isNull())).alias("open"))
+             .unionByName(stored.join(changed.withColumn("__c", F.lit(True)), "node", "left").filter("act or __c")
+                          .select("node", "st", "mn", "mx", F.col("mx").isNull().alias("open"))))
+    hulls = hulls.groupBy("node").agg(F.collect_set("st").alias("types"), F.min(F.least("mn", "mx")).alias("lo"),
+                                      F.max(F.greatest("mn", "mx")).alias("hi"), F.max("open").alias("open"))
+    hulls = hulls.select("node", F.explode("types").alias("st"), "lo", F.when(F.col("open"), F.lit(TOP_CENTS)).otherwise(F.col("hi")).alias("hi"))
+    before = Window.partitionBy("st").orderBy("lo", "hi", "node").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("st").orderBy("lo", "hi", "node").rowsBetween(Window.unboundedPreceding, 0)
+    begins = hulls.filter("lo is not null").withColumn("__reach", F.max("hi").over(before)).withColumn(
+        "__new", F.when(F.col("lo") <= F.col("__reach"), F.lit(0)).otherwise(F.lit(1)))
+    islands = begins.select("node", F.concat(F.lit("I"), F.col("st"), F.lit(":"), F.sum("__new").over(upto).cast("string")).alias("island"))
+    comp = connected_components(islands.select(F.col("node").alias("a"), F.col("island").alias("b"))).select(
+        F.col("node").alias("__n"), "component")
+    none = {"string": F.lit(None).cast("string"), "bigint": F.lit(None).cast("bigint"), "boolean": F.lit(None).cast("boolean")}
+    both = c.withColumn("created", none["string"]).unionByName(
+        stored.withColumns({"seq": none["bigint"], "mn_given": none["boolean"], "mx_given": none["boolean"],
+                            "mx_open": none["boolean"], "fee_given": none["boolean"]}))
+    both = both.join(comp, both["node"] == comp["__n"], "left").withColumn("component", F.coalesce("component", "node")).drop("__n")
+    # numbers as text: NULLs and 64-bit values survive the way through pandas
+    both = both.select("component", *[F.col(x).cast("string").alias(x) for x in _WALKED])
+    text = {"min": ERR_NUMERIC.format(field="min_amount"), "max": ERR_NUMERIC.format(field="max_amount"),
+            "fee": ERR_NUMERIC.format(field="fee_amount"), "type": ERR_SERVICE_TYPE, "neg": ERR_MIN_NEGATIVE, "below": ERR_MAX_BELOW_MIN}
+    types, overlap, shown, created_now = SERVICE_TYPES, ERR_OVERLAP, _money_text, str(as_of)
+
+    def walk(pdf):
+        """One component: stored rules first, then its candidates in order."""
+        table, out = {}, []
+        num = lambda v: None if v is None else int(v)
+        yes = lambda v: v == "true"
+        rows = pdf.to_dict("records")
+        for r in rows:
+            if r["seq"] is None:
+                rid = r["rid"]
+                table[rid] = {"st": r["st"], "mn": num(r["mn"]), "mx": num(r["mx"]), "fee": num(r["fee"]), "act": r["act"] is None or yes(r["act"]),
+                              "by": (r["created"] is None, r["created"] or "", 0, (0, int(rid), "") if rid.lstrip("-").isdigit() else (1, 0, rid)),
+                              "live": yes(r["act"])}
+        for r in sorted((r for r in rows if r["seq"] is not None), key=lambda r: int(r["seq"])):
+            old = table.get(r["rid"]) if r["rid"] is not None else None
+            kept = old or {"st": None, "mn": None, "mx": None, "fee": None, "act": True}
+            st = r["st"] if r["st"] is not None else kept["st"]
+            mn = num(r["mn"]) if yes(r["mn_given"]) else kept["mn"]
+            mx = None if yes(r["mx_open"]) else num(r["mx"]) if yes(r["mx_given"]) else kept["mx"]
+            fee = num(r["fee"]) if yes(r["fee_given"]) else kept["fee"]
+            act = yes(r["act"]) if r["act"] is not None else kept["act"]
+            why = (text["min"] if mn is None else text["max"] if yes(r["mx_given"]) and mx is None else text["fee"] if fee is None
+                   else text["type"] if st not in types else text["neg"] if mn < 0 else text["below"] if mx is not None and mx < mn else None)
+            if why is None and act:
+                hits = [(b["mn"], b["by"], b["mx"]) for k, b in table.items()
+                        if b["live"] and b["st"] == st and (old is None or b is not old)
+                        and (b["mx"] is None or b["mx"] >= mn) and (mx is None or mx >= b["mn"])]
+                if hits:
+                    first = min(hits, key=lambda h: h[:2])
+                    why = overlap.format(min=shown(first[0]), max=shown(first[2]))
+            if why is None:
+                rid = r["rid"] if old is not None else "+" + r["seq"]
+                by = old["by"] if old is not None else (False, created_now, 1, (0, int(r["seq"]), ""))
+                table[rid] = {"st": st, "mn": mn, "mx": mx, "fee": fee, "act": act, "by": by, "live": act}
+            out.append((int(r["seq"]), r["rid"] if old is not None else None, st, mn, mx, fee, act, why))
+        import pandas as pd
+
+        frame = pd.DataFrame(out, columns=["seq", "rid", "st", "mn", "mx", "fee", "act", "why"])
+        return frame.astype({"mn": "Int64", "mx": "Int64", "fee": "Int64"})
+
+    walked = both.groupBy("component").applyInPandas(
+        walk, "seq bigint, rid string, st string, mn bigint, mx bigint, fee bigint, act boolean, why string")
+
+    def money(name):
+        return (F.col(name).cast("decimal(20,0)") / 100).cast(MONEY)
+
+    done = walked.select(F.col("seq").alias("__seq"), "rid", F.col("st").alias("service_type_final"), money("mn").alias("min_amount_final"),
+                         money("mx").alias("max_amount_final"), money("fee").alias("fee_amount_final"), F.col("act").alias("is_active_final"),
+                         F.col("rid").isNotNull().alias("is_update"), F.col("why").alias("reject_reason"))
+    j = candidates.join(done, candidates[seq].cast("bigint") == done["__seq"], "left")
+    finals = ["service_type_final", "min_amount_final", "max_amount_final", "fee_amount_final", "is_active_final"]
+    outcome = j.select(*[candidates[x] for x in has], *finals, "is_update", "reject_reason")
+    ok = j.filter(F.col("reject_reason").isNull())
+    last = (ok.filter("is_update").groupBy(F.col("rid").alias("__uid")).agg(F.max_by(F.struct(*finals), F.col("__seq")).alias("__new")))
+    r = rules.join(last, rules["id"].cast("string") == last["__uid"], "left")
+    vals = {x.removesuffix("_final"): x for x in finals}
+    updated = r.select(*[
+        F.when(F.col("__uid").isNotNull(), F.col(f"__new.{vals[x]}") if x in vals else now).otherwise(rules[x])
+        .cast(rules.schema[x].dataType).alias(x) if x in vals or x == "updated_at" else rules[x] for x in rules.columns])
     # no natural key: the batch time and request order identify a new rule
     rule_id = (id_expr if id_expr is not None
-               else new_id("gcash_fee_rule", rules.schema["id"].dataType, F.lit(str(as_of)), F.col("__cid")))
-    other = {"effective_from": "effective_from", "effective_to": "effective_to"}
-    inserted = ins.select(*[
-        (vals[x] if x in vals else rule_id if x == "id" else now if x == "created_at"
-         else F.col(other[x]) if x in other and x in candidates.columns else F.lit(None))
+               else new_id("gcash_fee_rule", rules.schema["id"].dataType, F.lit(str(as_of)), F.col(seq)))
+    inserted = ok.filter(~F.col("is_update")).select(*[
+        (F.col(vals[x]) if x in vals else rule_id if x == "id" else now if x in ("created_at", "updated_at")
+         else F.col(x) if x in ("effective_from", "effective_to") and x in has else F.lit(None))
         .cast(rules.schema[x].dataType).alias(x) for x in rules.columns])
     return outcome, updated.unionByName(inserted)
 
 
+_WALKED = ["seq", "rid", "st", "mn_given", "mn", "mx_given", "mx", "mx_open", "fee_given", "fee", "act", "created"]
 
 
 def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: DataFrame,
@@ -296,21 +331,23 @@ def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: Data
     service type, reference given, principal a positive number, a rule
     applies, optional ids well-formed, reference new (ledger and earlier
     requests). fee = rule fee; gross = principal + fee (from the unrounded
-    principal, T26); cash_impact = gross for cash-in, −principal for cash-out.
+    principal, T26); cash_impact = gross for cash-in, −principal for cash-out. An amount
+    that is no number, or too large for the ledger, rejects its own row only.
     ``as_of`` may be a request-time column. Returns requests + priced
     columns + ``reject_reason``."""
     r = requests
     at = F.col(as_of) if isinstance(as_of, str) and as_of in r.columns else _as_of(as_of)
-    p = _num(F.col("principal_amount"))
+    p = number(F.col("principal_amount"))
     r = r.select("*", required_text(F.col("reference_number")).alias("__ref"), p.alias("__p"),
                  F.col("principal_amount").alias("__p_raw"))
-    r = r.withColumn("__amt", F.col("__p").cast("decimal(30,6)"))
-    matched = match_fee_rules(r, rules, amount="__amt", service_type="service_type", as_of=at, key=seq,
-                              prefix="__rule_")
+    r = r.withColumn("__amt", F.col("__p").try_cast("decimal(30,6)"))
+    matched = match_fee_rules(r, rules, amount="__amt", service_type="service_type", as_of=at, prefix="__rule_")
     st = F.col("service_type")
     reason = (F.when(~F.coalesce(st.isin(*SERVICE_TYPES), F.lit(False)), F.lit(ERR_SERVICE_TYPE))
               .when(F.col("__ref").isNull(), F.lit(ERR_WALLET_REF))
               .when(F.col("__p").isNull() | (F.col("__p") <= 0), F.lit(ERR_PRINCIPAL))
+              .when((F.col("__amt") + F.coalesce(F.col("__rule_fee_amount"), F.lit(0))).try_cast(MONEY).isNull(),
+                    F.lit(ERR_RANGE.format(field="principal_amount")))
               .when(F.col("__rule_id").isNull(),
                     _template(ERR_NO_RULE, service_type=st, amount=_fmt_amount(F.col("__amt")))))
     for f in ("order_id", "branch_id", "customer_id", "received_by"):
@@ -322,15 +359,21 @@ def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: Data
     m = m.withColumn("__pre", F.coalesce(F.col("__pre"), F.when(F.col("__lref").isNotNull(), F.lit(ERR_DUPLICATE))))
     m = mark_first_in_key(m, "__ref", seq, F.col("__pre").isNull(), "__first")
     fee = F.col("__rule_fee_amount").cast(MONEY)
-    gross = (F.col("__amt") + fee).cast(MONEY)
-    impact = F.when(st == "cash_in", gross).otherwise((-F.col("__amt")).cast(MONEY))
+    gross = (F.col("__amt") + fee).try_cast(MONEY)
+    impact = F.when(st == "cash_in", gross).otherwise((-F.col("__amt")).try_cast(MONEY))
     extra = [id_or_null(F.col(f), r.schema[f].dataType).alias(f) for f in ("order_id", "branch_id", "customer_id",
                                                                          "received_by") if f in r.columns]
     return m.select(
         F.col(seq), "service_type", *extra,
-        F.col("__amt").cast(MONEY).alias("principal_amount"),
+        F.col("__amt").try_cast(MONEY).alias("principal_amount"),
         fee.alias("fee_amount"), gross.alias("gross_amount"), impact.alias("cash_impact"),
         F.col("__ref").alias("reference_number"), F.col("__rule_id").alias("fee_rule_id"),
         *([F.nullif(F.col("notes").cast("string"), F.lit("")).alias("notes")] if "notes" in r.columns else []),
         F.coalesce(F.col("__pre"), F.when(~F.col("__first"), F.lit(ERR_DUPLICATE))).alias("reject_reason"),
     )
+
+
+def append_wallet_transactions(ledger: DataFrame, outcome: DataFrame, id_expr: Column | None = None,
+                               as_of="1970-01-01 00:00:00") -> DataFrame:
+    """New ledger version: the ledger plus the accepted rows of ``post_wallet_transactions``."""
+    return append_accepted(ledger, outcome, "gcash_transaction", id_expr, as_of)

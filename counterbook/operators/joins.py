@@ -7,7 +7,11 @@
 * ``mark_first_in_key``: "first request wins" per key (serial-insert semantics of a
   unique index inside one batch) with an aggregate + join instead of a window,
   so a hot key is combined map-side rather than sorted in one task.
-* ``bounded_broadcast``: broadcast only behind a row-count check.
+  NULL keys probe with a spread-out salt.
+* ``mark_greedy_unique``: the same over several unique keys at once.
+* ``connected_components``: the smallest node that edges reach.
+
+Nothing here forces a broadcast: the planner and AQE choose it from measured sizes.
 """
 
 from __future__ import annotations
@@ -18,18 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# A side is broadcast only when a count proves it is at most this many rows.
-BROADCAST_MAX_ROWS = 1_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """(df, True) wrapped in a broadcast hint when ``df`` has at most
-    ``max_rows`` rows; else (df, False) and the caller's shuffle plan is used."""
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df), True
-    return df, False
-
 
 def keys_present(ledger: DataFrame, ledger_col: str, probe: DataFrame, probe_col: str, out: str) -> DataFrame:
     """Distinct values of ``probe_col`` that already exist in ``ledger_col``,
@@ -66,13 +58,38 @@ def mark_first_in_key(df: DataFrame, key: str | list[str], seq: str, eligible: C
     tagged = df.withColumn("__elig", elig)
     not_null = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     firsts = (tagged.filter(F.col("__elig") & not_null)
-              .groupBy(*keys).agg(F.min(seq).alias("__min_seq")))
-    joined = tagged.join(firsts, keys, "left")
+              .groupBy(*keys).agg(F.min(seq).alias("__min_seq"))).withColumn("__salt", F.lit(0))
+    # rows with a NULL key match nothing: a salt spreads them over partitions
+    salt = F.when(not_null, F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(F.col(seq)), F.lit(4096)).cast("int"))
+    joined = tagged.withColumn("__salt", salt).join(firsts, [*keys, "__salt"], "left")
     return (joined.withColumn(out, F.when(F.col("__elig"), F.coalesce(F.col(seq) == F.col("__min_seq"), F.lit(True))))
-            .drop("__elig", "__min_seq"))
+            .drop("__elig", "__min_seq", "__salt"))
 
 
-_ROUND_LOG: list[int] | None = None  # tests and tuning read the rounds used
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for the nodes of ``edges`` (a, b): the smallest node reachable. Large-star and
+    small-star steps until nothing changes; each step's edges are checkpointed, and a hub's edges are
+    joined with its minimum, never gathered."""
+    from ..session import cut_lineage
+
+    e = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
+    before = None
+    while True:
+        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+        small = large.join(large.groupBy("b").agg(F.min("a").alias("x")), "b").select("x", "a", "b")
+        e = cut_lineage(small.select(F.col("x").alias("a"), F.col("a").alias("b"))
+                        .union(small.select(F.col("x").alias("a"), F.col("b"))).where("a < b").distinct())
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1000003)).first()
+        if now == before:
+            return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
+                e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
+        before = now
+
+
+#: Rounds of parallel decisions before the rest is settled component by component.
+PARALLEL_ROUNDS = 2
 
 
 def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eligible: Column,
@@ -82,113 +99,76 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
     value of any key; otherwise ``out`` gets the message of the first key (in
     the given check order) it shares. Ineligible rows get NULL.
 
-    Exact, computed in rounds: a row meeting an accepted row on key k is
-    rejected once no undecided earlier row shares any key checked before k; a
-    row that is the earliest undecided row of every key value it holds and
-    meets no accepted row is accepted. The globally earliest undecided row is
-    always decided, and in practice a few rounds settle a batch.
-    Each round's state is checkpointed to the shared checkpoint folder.
-    ``seq`` must be unique."""
+    Exact. First, parallel rounds: a row that is the earliest undecided row of every
+    key value it holds, and meets no accepted row, is accepted (so all rows that share nothing are, in the
+    first round); a row meeting an accepted row on key k is rejected once no undecided
+    earlier row shares any key checked before k. Two rounds settle everything a hot
+    key holds. What is left are chains, whose links depend on one another one by one: the rows
+    tied by shared key values form components, and each is walked in ``seq`` order in one
+    task, so a chain of any length takes the same number of jobs. ``seq`` must be unique."""
     from ..session import cut_lineage
 
     names = [k for k, _ in keys]
-    cand = df.filter(eligible).select(F.col(seq).alias("__s"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(names)])
-    decided = None  # (__s, __msg, __acc)
-    und = cand
-    rounds = 0
-    while True:
-        rounds += 1
-        if und.limit(1).count() == 0:
-            break
-        state = und
-        for i, (_, msg) in enumerate(keys):
-            k = f"__k{i}"
+    msgs = [m for _, m in keys]
+    ks = [f"__k{i}" for i in range(len(names))]
+    und = df.filter(eligible).select(F.col(seq).alias("__s"), *[F.col(k).alias(a) for k, a in zip(names, ks, strict=True)])
+    decided = None
+    for _ in range(PARALLEL_ROUNDS):
+        state = _with_hits(und, decided, ks)
+        for i, k in enumerate(ks):
             mins = und.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("__s").alias(f"__min{i}"))
             state = state.join(mins, k, "left")
-            if decided is not None:
-                acc = (decided.filter("__acc").select(F.col(k)).filter(F.col(k).isNotNull()).distinct()
-                       .withColumn(f"__hit{i}", F.lit(True)))
-                state = state.join(acc, k, "left")
-            else:
-                state = state.withColumn(f"__hit{i}", F.lit(None).cast("boolean"))
-        # early_i: no undecided earlier row shares key i. A hit on key k is
-        # final only when every key checked before k is early (an undecided
-        # earlier row sharing such a key could still be accepted and then be
-        # the first failing check).
-        early = [F.col(f"__k{i}").isNull() | (F.col("__s") == F.col(f"__min{i}")) for i in range(len(keys))]
-        hit_msg = None
-        for i, (_, msg) in enumerate(keys):
-            cond = F.coalesce(F.col(f"__hit{i}"), F.lit(False))
-            for j in range(i):
-                cond = cond & early[j]
-            hit_msg = F.when(cond, F.lit(msg)) if hit_msg is None else hit_msg.when(cond, F.lit(msg))
-        earliest = reduce(lambda a, b: a & b, early)
-        state = state.select("__s", *[f"__k{i}" for i in range(len(keys))],
-                             hit_msg.alias("__msg"), earliest.alias("__earliest"))
-        state = cut_lineage(state)
-        now_decided = state.filter(F.col("__msg").isNotNull() | F.col("__earliest")).select(
-            "__s", *[f"__k{i}" for i in range(len(keys))], "__msg", F.col("__msg").isNull().alias("__acc"))
-        # unions of checkpointed round states: the lineage stays shallow
-        decided = now_decided if decided is None else decided.unionByName(now_decided)
-        und = state.filter(F.col("__msg").isNull() & ~F.col("__earliest")).select(
-            "__s", *[f"__k{i}" for i in range(len(keys))])
-    if _ROUND_LOG is not None:
-        _ROUND_LOG.append(rounds)
-    if decided is None:
-        return df.withColumn(out, F.lit(None).cast("string"))
-    res = decided.select(F.col("__s"), F.col("__msg").alias(out))
+        # a hit on a key is final only when every key checked before it is early (an undecided earlier
+        # row sharing such a key could still be accepted and then be the first failing check)
+        early = [F.col(k).isNull() | (F.col("__s") == F.col(f"__min{i}")) for i, k in enumerate(ks)]
+        hit_msg = F.lit(None).cast("string")
+        for i in reversed(range(len(ks))):
+            cond = reduce(lambda x, y: x & y, early[:i], F.col(f"__hit{i}"))
+            hit_msg = F.when(cond, F.lit(msgs[i])).otherwise(hit_msg)
+        hits = reduce(lambda x, y: x | y, [F.col(f"__hit{i}") for i in range(len(ks))])
+        state = cut_lineage(state.select("__s", *ks, hit_msg.alias("__msg"),
+                                         (reduce(lambda x, y: x & y, early) & ~hits).alias("__accept")))
+        done = state.filter(F.col("__msg").isNotNull() | F.col("__accept")).select("__s", *ks, "__msg")
+        decided = done if decided is None else decided.unionByName(done)
+        und = state.filter(F.col("__msg").isNull() & ~F.col("__accept")).select("__s", *ks)
+    rest = _walk_components(cut_lineage(_with_hits(und, decided, ks)), ks, msgs, df.schema[seq].dataType.simpleString())
+    res = decided.select("__s", F.col("__msg").alias(out)).unionByName(rest.select("__s", F.col("__msg").alias(out)))
     return df.join(res, df[seq] == res["__s"], "left").drop("__s")
 
 
-def mark_greedy_conflicts(cands: DataFrame, seq: str, pairs: DataFrame, out: str = "conflict_with") -> DataFrame:
-    """Serial acceptance over a conflict graph: taking candidates in ``seq``
-    order, a candidate is accepted unless an earlier *accepted* candidate
-    conflicts with it. ``pairs`` holds conflicts as (``a``, ``b``) with
-    ``a < b`` (both ``seq`` values). Adds ``out``: NULL when accepted, else
-    the smallest accepted earlier ``seq`` it conflicts with.
-
-    Exact, in rounds: a candidate is decided rejected as soon as an earlier
-    neighbour is accepted, and accepted once all its earlier neighbours are
-    rejected; every round decides at least the earliest undecided candidate.
-    Each round's state is checkpointed to the shared checkpoint folder."""
-    from ..session import cut_lineage
-
-    p = pairs.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
-    und = cands.select(F.col(seq).alias("__s")).distinct()
-    acc = None   # (__s)
-    rej = None   # (__s, __by)
-    rounds = 0
-    while und.limit(1).count() > 0:
-        rounds += 1
-        edges = p.join(und.select(F.col("__s").alias("__b")), "__b", "left_semi")  # edges into undecided
-        if acc is not None:
-            hit = (edges.join(acc.select(F.col("__s").alias("__a")), "__a", "left_semi")
-                   .groupBy("__b").agg(F.min("__a").alias("__by")))
-        else:
-            hit = None
-        waiting = (edges.join(und.select(F.col("__s").alias("__a")), "__a", "left_semi")
-                   .select("__b").distinct())
-        state = und
-        if hit is not None:
-            state = state.join(hit, state["__s"] == hit["__b"], "left").drop("__b")
-        else:
-            state = state.withColumn("__by", F.lit(None).cast(und.schema["__s"].dataType))
-        state = state.join(waiting.withColumn("__wait", F.lit(True)), state["__s"] == waiting["__b"], "left") \
-            .drop("__b")
-        state = cut_lineage(state.select("__s", "__by", F.coalesce("__wait", F.lit(False)).alias("__wait")))
-        new_rej = state.filter(F.col("__by").isNotNull()).select("__s", "__by")
-        new_acc = state.filter(F.col("__by").isNull() & ~F.col("__wait")).select("__s")
-        # unions of checkpointed round states: the lineage stays shallow
-        rej = new_rej if rej is None else rej.unionByName(new_rej)
-        acc = new_acc if acc is None else acc.unionByName(new_acc)
-        und = state.filter(F.col("__by").isNull() & F.col("__wait")).select("__s")
-    if _ROUND_LOG is not None:
-        _ROUND_LOG.append(rounds)
-    if rej is None:
-        return cands.withColumn(out, F.lit(None).cast(cands.schema[seq].dataType))
-    # name the smallest accepted earlier neighbour from the final accepted set
-    # (a smaller one may have been accepted after the row was rejected)
-    by = (p.join(acc.select(F.col("__s").alias("__a")), "__a", "left_semi")
-          .join(rej.select(F.col("__s").alias("__b")), "__b", "left_semi")
-          .groupBy(F.col("__b").alias("__s")).agg(F.min("__a").alias(out)))
-    return cands.join(by, cands[seq] == by["__s"], "left").drop("__s")
+def _with_hits(rows: DataFrame, decided: DataFrame | None, ks: list[str]) -> DataFrame:
+    """Adds ``__hit{i}``: an accepted row holds the row's value of key i."""
+    for i, k in enumerate(ks):
+        if decided is None:
+            rows = rows.withColumn(f"__hit{i}", F.lit(False))
+            continue
+        acc = decided.filter(F.col("__msg").isNull() & F.col(k).isNotNull()).select(k).distinct().withColumn(f"__hit{i}", F.lit(True))
+        rows = rows.join(acc, k, "left").withColumn(f"__hit{i}", F.coalesce(F.col(f"__hit{i}"), F.lit(False)))
+    return rows
+
+
+def _walk_components(rows: DataFrame, ks: list[str], msgs: list[str], seq_type: str) -> DataFrame:
+    """(__s, __msg) of undecided rows, each component of rows that share key values walked in order."""
+    held = [rows.filter(F.col(k).isNotNull()).select(F.concat(F.lit("r:"), F.col("__s").cast("string")).alias("a"),
+                                                     F.concat(F.lit(f"k{i}:"), F.col(k).cast("string")).alias("b"))
+            for i, k in enumerate(ks)]
+    comp = connected_components(reduce(DataFrame.union, held))
+    tied = rows.join(comp, F.concat(F.lit("r:"), F.col("__s").cast("string")) == comp["node"])
+    n = len(ks)
+
+    def walk(pdf):
+        taken = [set() for _ in range(n)]
+        found = []
+        for row in pdf.sort_values("s").itertuples(index=False):
+            held = [getattr(row, f"k{i}") for i in range(n)]
+            hit = next((i for i in range(n) if getattr(row, f"h{i}") or (held[i] is not None and held[i] in taken[i])), None)
+            found.append(None if hit is None else msgs[hit])
+            if hit is None:
+                for i in range(n):
+                    taken[i].add(held[i])
+        return pdf.sort_values("s")[["s"]].assign(msg=found)
+
+    one = tied.select("component", F.col("__s").alias("s"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(ks)],
+                      *[F.col(f"__hit{i}").alias(f"h{i}") for i in range(n)])
+    return one.groupBy("component").applyInPandas(walk, f"s {seq_type}, msg string").select(
+        F.col("s").alias("__s"), F.col("msg").alias("__msg"))

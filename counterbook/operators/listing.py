@@ -6,11 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import bounded_broadcast
 from .reports import _page
 
 
-def recent_rows(df: DataFrame, where: str | None = None, limit=100, offset=0) -> DataFrame:
+def recent_rows(df: DataFrame, where: str | None = None, limit=None, offset=0) -> DataFrame:
     """Optional Spark boolean expression, newest ``created_at`` first (NULL
     first, as PostgreSQL sorts DESC) when the table has it, else ``id``
     descending; ``id`` breaks ties. ``limit=None`` returns the whole
@@ -24,10 +23,9 @@ def recent_rows(df: DataFrame, where: str | None = None, limit=100, offset=0) ->
 def lookup_by_keys(df: DataFrame, keys: DataFrame, cols: list[str] | str, active_only: bool = False) -> DataFrame:
     """Rows whose ``cols`` match a batch of lookup keys (point reads by id,
     order number, phone, (branch, variant) ... re-aimed at a key set).
-    The key set is broadcast only when a count bounds it."""
+    Whether the key set is broadcast is the planner's choice from its measured size."""
     cols = [cols] if isinstance(cols, str) else list(cols)
     k = keys.select(*cols).distinct()
-    k, _ = bounded_broadcast(k)
     d = df.filter(F.col("is_active") == F.lit(True)) if active_only else df
     return d.join(k, cols, "left_semi")
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.money import MONEY
 from ..functions.text import id_ok, id_or_null, new_id, normalize_mobile, required_text
+from .changes import append_accepted
 from .joins import keys_present, mark_first_in_key
 
 # Columns a re-seed overwrites on a product_code conflict; the others
@@ -116,3 +117,9 @@ def post_prepaid_sales(requests: DataFrame, catalog: DataFrame, ledger: DataFram
         gross.alias("gross_amount"), gross.alias("cash_impact"), F.col("__ref").alias("reference_number"),
         F.coalesce(F.col("__pre"), F.when(~F.col("__first"), F.lit(ERR_DUPLICATE))).alias("reject_reason"),
     )
+
+
+def append_prepaid_sales(ledger: DataFrame, outcome: DataFrame, id_expr: Column | None = None,
+                         as_of="1970-01-01 00:00:00") -> DataFrame:
+    """New ledger version: the ledger plus the accepted rows of ``post_prepaid_sales``."""
+    return append_accepted(ledger, outcome, "prepaid_load_transaction", id_expr, as_of)

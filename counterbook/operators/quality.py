@@ -6,14 +6,15 @@ collected to the driver."""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import UUID_ANY
-from ..sources.schemas import CHECKS, DOMAINS, ENUMS, VALIDATION
+from ..functions.text import UUID_ANY, number
+from ..sources.schemas import CHECKS, DOMAINS, ENUMS, TABLE_DDL, VALIDATION, table_schema
 
 _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -31,7 +32,7 @@ def _type_error(c: Column, kind: str, dtype: T.DataType, values: list[str] | Non
         if isinstance(dtype, _NUMERIC_TYPES):
             return F.lit(False)
         if is_str:
-            return (F.trim(c) == "") | F.trim(c).try_cast("double").isNull()
+            return number(c).isNull()
         return F.lit(True)
     if kind == "boolean":
         return F.lit(not isinstance(dtype, T.BooleanType))
@@ -102,35 +103,49 @@ def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def audit_domain(df: DataFrame, table: str, domains: dict[str, str] | None = None) -> DataFrame:
-    """Values outside each enum domain: (table_name, column_name, value, row_count)."""
-    doms = domains or DOMAINS.get(table, {})
-    parts = []
-    for col, enum in doms.items():
-        if col not in df.columns:
-            continue
-        v = F.col(col).cast("string")
-        parts.append(df.filter(v.isNotNull() & ~v.isin(*ENUMS[enum])).groupBy(v.alias("value")).agg(
-            F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(table).alias("table_name"), F.lit(col).alias("column_name"), "value", "row_count"))
-    if not parts:
+    """Values outside each enum domain: (table_name, column_name, value, row_count), in one pass over the table."""
+    doms = {c: e for c, e in (domains or DOMAINS.get(table, {})).items() if c in df.columns}
+    if not doms:
         return df.sparkSession.createDataFrame([], "table_name string, column_name string, value string, row_count bigint")
-    return reduce(DataFrame.unionByName, parts)
+    outside = [F.when(~F.col(c).cast("string").isin(*ENUMS[e]),
+                      F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value"))) for c, e in doms.items()]
+    found = df.select(F.explode(F.filter(F.array(*outside), lambda x: x.isNotNull())).alias("x"))
+    return found.groupBy("x.column_name", "x.value").agg(F.count(F.lit(1)).alias("row_count")).select(
+        F.lit(table).alias("table_name"), "column_name", "value", "row_count")
 
 
-def audit_checks(df: DataFrame, table: str, key: str = "id", checks: list[tuple[str, str]] | None = None) -> DataFrame:
-    """Rows breaking a CHECK constraint: (check_name, key). A NULL outcome
-    passes, as in SQL."""
-    parts = []
+def _columns_of(cond: str) -> set[str]:
+    """Names a CHECK condition mentions (its words that are not inside quotes)."""
+    return {w.lower() for w in re.findall(r"[A-Za-z_][A-Za-z_0-9]*", re.sub(r"'[^']*'", "", cond))}
+
+
+def applicable_checks(df: DataFrame, table: str, checks: list[tuple[str, str]] | None = None) -> tuple[list, list[str]]:
+    """(checks that the frame has every column for, names of the others). Which words of a
+    condition are columns is read from the table's declared schema."""
+    declared = {f.name.lower() for f in table_schema(table).fields} if table in TABLE_DDL else set()
+    have = {c.lower() for c in df.columns}
+    runs, skipped = [], []
     for name, cond in checks or CHECKS.get(table, []):
-        try:
-            expr = F.expr(cond)
-            parts.append(df.filter(F.coalesce(~expr, F.lit(False))).select(
-                F.lit(name).alias("check_name"), F.col(key).alias("row_key")))
-        except Exception:  # noqa: BLE001 -- a check over a column the frame lacks does not apply
-            continue
-    if not parts:
-        return df.sparkSession.createDataFrame([], "check_name string, row_key string")
-    return reduce(DataFrame.unionByName, parts)
+        if (_columns_of(cond) & declared) - have:
+            skipped.append(name)
+        else:
+            runs.append((name, cond))
+    return runs, skipped
+
+
+def audit_checks(df: DataFrame, table: str, key: str = "id", checks: list[tuple[str, str]] | None = None) -> DataFrame:
+    """Rows breaking a CHECK constraint: (check_name, row_key), in one pass over the table. A NULL outcome
+    passes, as in SQL. A check over a column that the frame lacks is reported as a row of
+    its own, with '(skipped)' after its name and a NULL key; any other failure of a condition is raised."""
+    runs, skipped = applicable_checks(df, table, checks)
+    kind = df.schema[key].dataType.simpleString()
+    broken = [F.when(F.coalesce(~F.expr(cond), F.lit(False)), F.lit(name)) for name, cond in runs]
+    names = F.filter(F.array(*broken), lambda x: x.isNotNull()) if broken else F.array().cast("array<string>")
+    out = df.select(F.explode(names).alias("check_name"), F.col(key).alias("row_key"))
+    if skipped:
+        missing = df.sparkSession.createDataFrame([(f"{n} (skipped)", None) for n in skipped], f"check_name string, row_key {kind}")
+        out = out.unionByName(missing)
+    return out
 
 
 def audit_unique(df: DataFrame, cols: list[str], where: str | None = None) -> DataFrame:

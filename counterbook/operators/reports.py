@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY_OUT, money_out, zero_money
 from ..functions.periods import ReportArgumentError, check_date_range, resolve_report_dates
 from ..functions.predicates import day_range, not_cancelled, optional_filters, truthy_text
-from .joins import bounded_broadcast
 
 SALES_MEASURES = ["order_count", "gross_sales", "total_discounts", "net_sales", "items_sold"]
 
@@ -32,16 +31,10 @@ def _today(as_of) -> dt.date:
     return dt.date.fromisoformat(str(as_of)[:10])
 
 
-def _items_per_order(items: DataFrame, orders: DataFrame | None = None) -> DataFrame:
-    """Item lines and quantity per order. When the report's orders are few
-    enough to broadcast (a bounded count decides), the items are first
-    semi-joined against their ids map-side, so a short window over a long
-    history aggregates and shuffles only its own items; beyond the bound all
-    items are pre-aggregated and joined."""
-    if orders is not None:
-        ids, small = bounded_broadcast(orders.select(F.col("id").alias("__oid")))
-        if small:
-            items = items.join(ids, items["order_id"] == ids["__oid"], "left_semi")
+def _items_per_order(items: DataFrame) -> DataFrame:
+    """Item lines and quantity per order, combined map-side. The report's order filter
+    stands on the other side of the join; which side is broadcast, and whether a
+    run-time filter prunes the items, is the planner's choice from measured sizes."""
     return items.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("quantity").alias("line_qty"),
@@ -53,7 +46,7 @@ def _order_measure_rows(orders: DataFrame, items: DataFrame, start, end, branch_
     o = orders.filter(not_cancelled("order_status") & day_range("created_at", start, end))
     o = optional_filters(o, {"branch_id": branch_id, "sales_channel_id": channel_id})
     o = o.select("id", "created_at", "total_amount", "discount_amount")
-    per_order = o.join(_items_per_order(items, o), o["id"] == F.col("order_id"), "left")
+    per_order = o.join(_items_per_order(items), o["id"] == F.col("order_id"), "left")
     # T1: the reference sums order amounts after joining the items, so each
     # order counts once per item line (at least once).
     mult = F.greatest(F.coalesce(F.col("n_lines"), F.lit(0)), F.lit(1)) if fan_out else F.lit(1)
@@ -63,9 +56,9 @@ def _order_measure_rows(orders: DataFrame, items: DataFrame, start, end, branch_
     return per_order.select(
         *cols,
         F.lit(1).cast("bigint").alias("order_count"),
-        money_out((total + F.coalesce(disc, F.lit(0))) * mult).alias("gross_sales"),
-        money_out(disc * mult).alias("total_discounts"),
-        money_out(total * mult).alias("net_sales"),
+        ((total + F.coalesce(disc, F.lit(0))) * mult).alias("gross_sales"),
+        (disc * mult).alias("total_discounts"),
+        (total * mult).alias("net_sales"),
         F.col("line_qty").cast("bigint").alias("items_sold"),
     )
 
@@ -174,15 +167,16 @@ def payment_breakdown(payments: DataFrame, orders: DataFrame, prepaid: DataFrame
             .orderBy(F.desc("total_amount"), F.asc("payment_method")))
 
 
-def resolve_limit(limit, default: int = 10, cap: int = 100) -> int:
-    """``min(Number(limit) || default, cap)``; negative limits are refused."""
+def resolve_limit(limit, default: int = 10, cap: int | None = None) -> int:
+    """``Number(limit) || default``, at most ``cap`` where one is given (the API's rule, not a
+    batch's); negative limits are refused."""
     try:
         n = int(float(limit)) if limit not in (None, "") else 0
     except (TypeError, ValueError):
         n = 0
     if n < 0:
         raise ReportArgumentError("limit must not be negative")
-    return min(n or default, cap)
+    return min(n or default, cap) if cap is not None else n or default
 
 
 TOP_PRODUCT_KEYS = ["product_variant_id", "sku", "product_name", "size", "color", "class"]
@@ -190,12 +184,12 @@ TOP_PRODUCT_KEYS = ["product_variant_id", "sku", "product_name", "size", "color"
 
 def top_products(items: DataFrame, orders: DataFrame, variants: DataFrame, products: DataFrame,
                  prepaid: DataFrame, catalog: DataFrame, start=None, end=None, branch_id=None,
-                 limit=10, as_of=None) -> DataFrame:
+                 limit=10, as_of=None, cap: int | None = None) -> DataFrame:
     """Top-k variants by revenue: units_sold and total_revenue of items of
     non-cancelled orders, with prepaid products mixed in (class
     'prepaid_load', sku = product code, size/color ''). Items whose variant is
     gone form one NULL group (T7). Ties are broken by class then id (T9)."""
-    k = resolve_limit(limit)
+    k = resolve_limit(limit, cap=cap)
     s, e = check_date_range(start, end)
     today = _today(as_of)
     s, e = s or today, e or today
@@ -233,22 +227,28 @@ def top_products(items: DataFrame, orders: DataFrame, variants: DataFrame, produ
 
 
 def _page(df: DataFrame, order: list[Column], limit, offset) -> DataFrame:
+    """The whole frame in order, or a page of it. A page is a top-k of ``offset + limit`` rows; an
+    offset without a limit would put everything into one task and is refused."""
+    if limit is None:
+        if offset:
+            raise ReportArgumentError("offset needs a limit")
+        return df.orderBy(*order)
     df = df.orderBy(*order)
-    if offset:
-        df = df.offset(int(offset))
-    if limit is not None:
-        df = df.limit(int(limit))
-    return df
+    return (df.offset(int(offset)) if offset else df).limit(int(limit))
 
 
 def purchase_orders_with_totals(pos: DataFrame, po_items: DataFrame, where: str | None = None,
-                                limit=100, offset=0) -> DataFrame:
+                                limit=None, offset=0) -> DataFrame:
     """All PO columns plus items_total = Σ quantity·cost_price (a NULL cost
-    drops the line, T29) and items_count, newest id first. ``where`` is a
+    drops the line, T29) and items_count, newest id first (all, or a page). ``where`` is a
     Spark boolean expression over PO columns (an expression, never a
-    statement: T31)."""
-    p = pos.filter(F.expr(where)) if where else pos
-    agg = po_items.groupBy(F.col("purchase_order_id").alias("__po")).agg(
+    statement: T31). A page is taken from the orders first, and only its items are totalled."""
+    p = _page(pos.filter(F.expr(where)) if where else pos, [F.desc("id")], limit, offset)
+    lines = po_items
+    if limit is not None:
+        ids = p.select(F.col("id").alias("__pid"))
+        lines = po_items.join(ids, po_items["purchase_order_id"] == ids["__pid"], "left_semi")
+    agg = lines.groupBy(F.col("purchase_order_id").alias("__po")).agg(
         F.sum(F.col("quantity") * F.col("cost_price")).alias("__total"),
         F.count(F.lit(1)).alias("__count"),
     )
@@ -256,7 +256,7 @@ def purchase_orders_with_totals(pos: DataFrame, po_items: DataFrame, where: str
            .withColumn("items_total", F.coalesce(F.col("__total"), zero_money()).cast(MONEY_OUT))
            .withColumn("items_count", F.coalesce(F.col("__count"), F.lit(0)).cast("bigint"))
            .drop("__po", "__total", "__count"))
-    return _page(out, [F.desc("id")], limit, offset)
+    return out.orderBy(F.desc("id"))
 
 
 def purchase_order_variance(pos: DataFrame, estimates: DataFrame, po_items: DataFrame) -> DataFrame:
@@ -277,8 +277,8 @@ def purchase_order_variance(pos: DataFrame, estimates: DataFrame, po_items: Data
 
 
 def variants_with_product(variants: DataFrame, products: DataFrame, product_id=None, is_active=None,
-                          limit=100, offset=0) -> DataFrame:
-    """Variant rows with a nested ``product: {name}``, newest first (NULL
+                          limit=None, offset=0) -> DataFrame:
+    """Variant rows (all, or a page) with a nested ``product: {name}``, newest first (NULL
     created_at first, as PostgreSQL sorts DESC), optional product and
     is_active ('true'/'1' text) filters."""
     v = variants
@@ -288,8 +288,10 @@ def variants_with_product(variants: DataFrame, products: DataFrame, product_id=N
         # any given value filters: 'true' / '1' (or True) mean active, anything else inactive
         flag = truthy_text(F.lit(str(is_active).lower() if isinstance(is_active, bool) else str(is_active)))
         v = v.filter(F.col("is_active") == flag)
+    order = [F.desc_nulls_first("created_at"), F.asc("id")]
+    v = _page(v, order, limit, offset)  # the join is 1:1 and adds no row
     p = products.select(F.col("id").alias("__p_id"), F.col("product_name").alias("__p_name"))
     out = (v.join(p, v["product_id"] == p["__p_id"], "left")
            .withColumn("product", F.struct(F.col("__p_name").alias("name")))
            .drop("__p_id", "__p_name"))
-    return _page(out, [F.desc_nulls_first("created_at"), F.asc("id")], limit, offset)
+    return out.orderBy(*order)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import new_id
 from ..session import cut_lineage
+from .joins import keys_present
 
 # Rejection texts.
 ERR_PO_REQUIRED = "purchase_order_id is required"
@@ -143,9 +144,9 @@ def retire_variants(variants: DataFrame, movements: DataFrame, keys: DataFrame,
     """Remove variants: one with stock history is deactivated, one without is
     deleted. Returns (outcome per key: action 'deactivated' | 'deleted' |
     'not_found', new variants table)."""
-    moved = movements.filter(F.col("product_variant_id").isNotNull()).select(
-        F.col("product_variant_id").alias("__mv")).distinct()
     k = keys.select(F.col(key).alias("__k")).distinct()
+    # only movements of the batch's variants are looked at
+    moved = keys_present(movements, "product_variant_id", k, "__k", "__mv")
     v = (variants.join(k, variants["id"] == k["__k"], "left")
          .join(moved, variants["id"] == moved["__mv"], "left"))
     target = F.col("__k").isNotNull()
@@ -167,11 +168,12 @@ def retire_products(products: DataFrame, variants: DataFrame, movements: DataFra
     archived and all its variants deactivated; otherwise the product is
     deleted and its variants go with it (ON DELETE CASCADE). Returns (outcome
     per key, new products, new variants)."""
-    moved = movements.filter(F.col("product_variant_id").isNotNull()).select(
-        F.col("product_variant_id").alias("__mv")).distinct()
+    k = keys.select(F.col(key).alias("__k")).distinct()
+    # only movements of the batch's products' variants are looked at
+    theirs = variants.join(k, variants["product_id"] == k["__k"], "left_semi").select(F.col("id").alias("__vid"))
+    moved = keys_present(movements, "product_variant_id", theirs, "__vid", "__mv")
     with_history = (variants.join(moved, variants["id"] == moved["__mv"], "left_semi")
                     .select(F.col("product_id").alias("__hp")).distinct())
-    k = keys.select(F.col(key).alias("__k")).distinct()
     p = (products.join(k, products["id"] == k["__k"], "left")
          .join(with_history, products["id"] == with_history["__hp"], "left"))
     target = F.col("__k").isNotNull()

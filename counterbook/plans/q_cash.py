@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cash as C
+from .q_reports import placed
 from .registry import register
 
 OPEN_AS_OF = "1996-01-01 06:00:00"
@@ -369,3 +370,32 @@ def q_breakdown_json(a):
     j = n.select("id", C.breakdown_to_json("b").alias("b_json"))
     back = j.select("id", F.posexplode(C.breakdown_from_json("b_json")).alias("pos", "e"))
     return back.select("id", F.col("pos").cast("int").alias("pos"), "e.denomination", "e.quantity", "e.amount")
+
+
+@register("open_days_table", ["r_recons"], OPENED_SQL + """
+, asked AS (
+  SELECT branch_id, CAST(business_date + INTERVAL 1 DAY AS DATE) AS business_date, opened_by,
+         1000 * open_q1000 + 500 * open_q500 + 100 * open_q100 + 20 * open_q20 + open_q1 AS total,
+         LEAST(open_q1000, open_q500, open_q100, open_q20, open_q1) >= 0 AS ok
+  FROM r_recons
+)
+SELECT branch_id, business_date, opening_cash_total, opened_by FROM opened
+UNION ALL
+SELECT branch_id, business_date, CAST(total AS DECIMAL(12,2)), opened_by FROM asked a
+WHERE ok AND NOT EXISTS (SELECT 1 FROM opened o WHERE o.branch_id = a.branch_id AND o.business_date = a.business_date)""")
+def q_open_days_table(a):
+    """The reconciliation table after the accepted openings were inserted."""
+    _, table = C.open_days(recons_opened(a), openings(a, 1), "insert", OPEN_AS_OF)
+    return table.select("branch_id", "business_date", "opening_cash_total", "opened_by")
+
+
+@register("reconciliation_register_page", ["r_recons", "r_deposits"], OPENED_SQL + """
+, page AS (SELECT * FROM opened ORDER BY business_date DESC NULLS FIRST, id LIMIT 45 OFFSET 10)
+SELECT page.id, page.business_date, ROW_NUMBER() OVER (ORDER BY page.business_date DESC NULLS FIRST, page.id) - 1 AS place,
+       CAST(COALESCE((SELECT SUM(amount) FROM r_deposits d WHERE d.branch_id = page.branch_id
+                      AND d.business_date = page.business_date), 0) AS DECIMAL(38,2)) AS total_bank_deposit_amount
+FROM page""")
+def q_reconciliation_register_page(a):
+    """A page of the reconciliation register, in order, with its branch-days' deposits."""
+    out = C.reconciliation_register(recons_opened(a), a.r_deposits, limit=45, offset=10)
+    return placed(out.select("id", "business_date", F.col("total_bank_deposit_amount").cast("decimal(38,2)").alias("total_bank_deposit_amount")))

@@ -12,52 +12,47 @@ from .registry import register
 FROM, TO, AS_OF = "1995-01-01", "2001-12-31", "2001-12-31"
 
 
-def _order_rows_sql(unit: str, fan_out: bool, extra: str = "") -> str:
-    if fan_out:
-        src = "r_orders o LEFT JOIN r_items i ON i.order_id = o.id"
-        cnt = "COUNT(DISTINCT o.id)"
-        qty = "SUM(i.quantity)"
-    else:
-        src = ("r_orders o LEFT JOIN (SELECT order_id, SUM(quantity) AS qty FROM r_items GROUP BY order_id) i "
-               "ON i.order_id = o.id")
-        cnt = "COUNT(o.id)"
-        qty = "SUM(i.qty)"
+def _facts_sql(start: str, stop: str, orders: str = "", prepaid: str | None = "") -> str:
+    """Facts one by one, before any grouping: ``sale`` has an order a row with its line count and units,
+    ``load`` a prepaid sale a row (none when ``prepaid`` is None)."""
+    window = f"created_at >= TIMESTAMP '{start} 00:00:00' AND created_at < TIMESTAMP '{stop} 00:00:00' + INTERVAL 1 DAY"
     return f"""
-    SELECT date_trunc('{unit}', o.created_at) AS period,
-           {cnt} AS n,
-           SUM(o.total_amount + COALESCE(o.discount_amount, 0)) AS gross,
-           SUM(o.discount_amount) AS disc,
-           SUM(o.total_amount) AS net,
-           {qty} AS qty
-    FROM {src}
-    WHERE (o.order_status <> 'cancelled') AND o.created_at >= DATE '{FROM}'
-      AND o.created_at < DATE '{TO}' + INTERVAL 1 DAY {extra}
-    GROUP BY 1"""
-
-
-def _prepaid_rows_sql(unit: str) -> str:
+, per_order AS (SELECT order_id, COUNT(*) AS lines, SUM(quantity) AS units FROM r_items GROUP BY order_id),
+sale AS (
+  SELECT created_at AS at, total_amount AS net, COALESCE(discount_amount, 0) AS disc, units,
+         GREATEST(COALESCE(lines, 0), 1) AS lines
+  FROM r_orders LEFT JOIN per_order ON order_id = id
+  WHERE COALESCE(order_status <> 'cancelled', FALSE) AND {window} {orders}
+),
+load AS (SELECT created_at AS at, gross_amount AS net FROM r_prepaid WHERE {window} {prepaid if prepaid is not None else 'AND FALSE'})"""
+
+
+def _measures_sql(s: str, p: str, weight: str) -> str:
+    """The five measures over filtered facts; ``weight`` repeats an order's money (T1)."""
     return f"""
-    SELECT date_trunc('{unit}', created_at) AS period, COUNT(id) AS n, SUM(gross_amount) AS gross,
-           CAST(0 AS DECIMAL(12,2)) AS disc, SUM(gross_amount) AS net, COUNT(id) AS qty
-    FROM r_prepaid
-    WHERE created_at >= DATE '{FROM}' AND created_at < DATE '{TO}' + INTERVAL 1 DAY
-    GROUP BY 1"""
+       (SELECT COUNT(*) FROM sale {s}) + (SELECT COUNT(*) FROM load {p}) AS order_count,
+       CAST(COALESCE((SELECT SUM((net + disc) * {weight}) FROM sale {s}), 0) + COALESCE((SELECT SUM(net) FROM load {p}), 0)
+            AS DECIMAL(38,2)) AS gross_sales,
+       CAST(COALESCE((SELECT SUM(disc * {weight}) FROM sale {s}), 0) AS DECIMAL(38,2)) AS total_discounts,
+       CAST(COALESCE((SELECT SUM(net * {weight}) FROM sale {s}), 0) + COALESCE((SELECT SUM(net) FROM load {p}), 0)
+            AS DECIMAL(38,2)) AS net_sales,
+       CAST(COALESCE((SELECT SUM(units) FROM sale {s}), 0) AS BIGINT) + (SELECT COUNT(*) FROM load {p}) AS items_sold"""
 
 
-def _summary_sql(unit: str, fan_out: bool, with_prepaid: bool, extra: str = "") -> str:
-    parts = _order_rows_sql(unit, fan_out, extra)
-    if with_prepaid:
-        parts += "\n    UNION ALL" + _prepaid_rows_sql(unit)
-    return f"""
-SELECT period,
-       CAST(COALESCE(SUM(n), 0) AS BIGINT) AS order_count,
-       CAST(COALESCE(SUM(gross), 0) AS DECIMAL(38,2)) AS gross_sales,
-       CAST(COALESCE(SUM(disc), 0) AS DECIMAL(38,2)) AS total_discounts,
-       CAST(COALESCE(SUM(net), 0) AS DECIMAL(38,2)) AS net_sales,
-       CAST(COALESCE(SUM(qty), 0) AS BIGINT) AS items_sold
-FROM ({parts}
-) u
-GROUP BY period"""
+def _summary_sql(unit: str, fan_out: bool, with_prepaid: bool, extra: str = "", start: str = FROM, stop: str = TO,
+                 prepaid: str = "") -> str:
+    """A spine of the periods that occur, and each measure looked up per period."""
+    of = f"WHERE date_trunc('{unit}', at) = spine.period"
+    return f"""{_facts_sql(start, stop, extra, prepaid if with_prepaid else None)},
+spine AS (SELECT DISTINCT date_trunc('{unit}', at) AS period FROM (FROM sale SELECT at UNION ALL FROM load SELECT at))
+SELECT period,{_measures_sql(of, of, "lines" if fan_out else "1")}
+FROM spine"""
+
+
+def _overview_sql(extra: str = "", with_prepaid: bool = True) -> str:
+    return f"""{_facts_sql(FROM, TO, extra, "" if with_prepaid else None)},
+kpi AS (SELECT{_measures_sql("", "", "lines")})
+SELECT *, CASE WHEN order_count = 0 THEN 0.0 ELSE CAST(net_sales AS DOUBLE) / order_count END AS avg_order_value FROM kpi"""
 
 
 @register("sales_summary", ["r_orders", "r_items", "r_prepaid"], _summary_sql("month", True, True))
@@ -73,105 +68,71 @@ def q_sales_summary_order_grain(a):
 
 
 @register("sales_summary_by_channel", ["r_orders", "r_items", "r_prepaid"],
-          _summary_sql("year", True, False, "AND o.sales_channel_id = '1-URGENT'"))
+          _summary_sql("year", True, False, "AND sales_channel_id = '1-URGENT'"))
 def q_sales_summary_by_channel(a):
     """Yearly summary for one sales channel: prepaid sales drop out (T2)."""
     return R.sales_summary(a.r_orders, a.r_items, a.r_prepaid, "yearly", FROM, TO, channel_id="1-URGENT",
                            as_of=AS_OF)
 
 
-@register("sales_summary_daily_branch", ["r_orders", "r_items", "r_prepaid"], f"""
-SELECT period,
-       CAST(COALESCE(SUM(n), 0) AS BIGINT) AS order_count,
-       CAST(COALESCE(SUM(gross), 0) AS DECIMAL(38,2)) AS gross_sales,
-       CAST(COALESCE(SUM(disc), 0) AS DECIMAL(38,2)) AS total_discounts,
-       CAST(COALESCE(SUM(net), 0) AS DECIMAL(38,2)) AS net_sales,
-       CAST(COALESCE(SUM(qty), 0) AS BIGINT) AS items_sold
-FROM (
-    SELECT date_trunc('day', o.created_at) AS period, COUNT(DISTINCT o.id) AS n,
-           SUM(o.total_amount + COALESCE(o.discount_amount, 0)) AS gross, SUM(o.discount_amount) AS disc,
-           SUM(o.total_amount) AS net, SUM(i.quantity) AS qty
-    FROM r_orders o LEFT JOIN r_items i ON i.order_id = o.id
-    WHERE o.order_status <> 'cancelled' AND o.branch_id = 7
-      AND o.created_at >= DATE '1995-12-03' AND o.created_at < DATE '1996-01-01' + INTERVAL 1 DAY
-    GROUP BY 1
-    UNION ALL
-    SELECT date_trunc('day', created_at), COUNT(id), SUM(gross_amount), CAST(0 AS DECIMAL(12,2)),
-           SUM(gross_amount), COUNT(id)
-    FROM r_prepaid
-    WHERE branch_id = 7 AND created_at >= DATE '1995-12-03' AND created_at < DATE '1996-01-01' + INTERVAL 1 DAY
-    GROUP BY 1
-) u
-GROUP BY period""")
+@register("sales_summary_daily_branch", ["r_orders", "r_items", "r_prepaid"],
+          _summary_sql("day", True, True, "AND branch_id = 7", "1995-12-03", "1996-01-01", "AND branch_id = 7"))
 def q_sales_summary_daily_branch(a):
     """Default 'daily' window (30 days back from as_of) for one branch."""
     return R.sales_summary(a.r_orders, a.r_items, a.r_prepaid, "daily", branch_id=7, as_of="1996-01-01")
 
 
-@register("sales_overview", ["r_orders", "r_items", "r_prepaid"], f"""
-, o AS (
-  SELECT COUNT(DISTINCT o.id) AS n, SUM(o.total_amount + COALESCE(o.discount_amount, 0)) AS gross,
-         SUM(o.discount_amount) AS disc, SUM(o.total_amount) AS net, SUM(i.quantity) AS qty
-  FROM r_orders o LEFT JOIN r_items i ON i.order_id = o.id
-  WHERE o.order_status <> 'cancelled' AND o.created_at >= DATE '{FROM}' AND o.created_at < DATE '{TO}' + INTERVAL 1 DAY
-), p AS (
-  SELECT COUNT(id) AS n, SUM(gross_amount) AS gross, SUM(gross_amount) AS net, COUNT(id) AS qty
-  FROM r_prepaid WHERE created_at >= DATE '{FROM}' AND created_at < DATE '{TO}' + INTERVAL 1 DAY
-)
-SELECT CAST(COALESCE(o.n, 0) + COALESCE(p.n, 0) AS BIGINT) AS order_count,
-       CAST(COALESCE(o.gross, 0) + COALESCE(p.gross, 0) AS DECIMAL(38,2)) AS gross_sales,
-       CAST(COALESCE(o.disc, 0) AS DECIMAL(38,2)) AS total_discounts,
-       CAST(COALESCE(o.net, 0) + COALESCE(p.net, 0) AS DECIMAL(38,2)) AS net_sales,
-       CAST(COALESCE(o.qty, 0) + COALESCE(p.qty, 0) AS BIGINT) AS items_sold,
-       CASE WHEN COALESCE(o.n, 0) + COALESCE(p.n, 0) = 0 THEN 0.0
-            ELSE CAST(COALESCE(o.net, 0) + COALESCE(p.net, 0) AS DOUBLE) / (COALESCE(o.n, 0) + COALESCE(p.n, 0))
-       END AS avg_order_value
-FROM o, p""")
+@register("sales_overview", ["r_orders", "r_items", "r_prepaid"], _overview_sql())
 def q_sales_overview(a):
     """KPI row over the whole order history."""
     return R.sales_overview(a.r_orders, a.r_items, a.r_prepaid, FROM, TO)
 
 
-@register("payment_breakdown", ["r_payments", "r_orders", "r_prepaid"], f"""
-SELECT payment_method, CAST(SUM(n) AS BIGINT) AS transaction_count,
-       CAST(COALESCE(SUM(amt), 0) AS DECIMAL(38,2)) AS total_amount
-FROM (
-  SELECT p.payment_method, COUNT(p.id) AS n, SUM(p.amount) AS amt
-  FROM r_payments p JOIN r_orders o ON o.id = p.order_id
-  WHERE p.payment_date >= DATE '{FROM}' AND p.payment_date < DATE '{TO}' + INTERVAL 1 DAY
-    AND o.order_status <> 'cancelled'
-  GROUP BY p.payment_method
-  UNION ALL
-  SELECT 'cash', COUNT(id), SUM(gross_amount)
-  FROM r_prepaid WHERE created_at >= DATE '{FROM}' AND created_at < DATE '{TO}' + INTERVAL 1 DAY
-) x
-GROUP BY payment_method""")
+def _payments_sql(branch: str = "") -> str:
+    """The methods that occur, cash always among them; each one's payments are counted by an EXISTS test on their order."""
+    window = f">= TIMESTAMP '{FROM} 00:00:00'", f"< TIMESTAMP '{TO} 00:00:00' + INTERVAL 1 DAY"
+    return f"""
+, paid AS (
+  SELECT payment_method AS m, amount FROM r_payments p
+  WHERE payment_date {window[0]} AND payment_date {window[1]}
+    AND EXISTS (SELECT 1 FROM r_orders o WHERE o.id = p.order_id AND COALESCE(o.order_status <> 'cancelled', FALSE) {branch})
+), loads AS (SELECT gross_amount FROM r_prepaid WHERE created_at {window[0]} AND created_at {window[1]} {branch}),
+methods AS (SELECT 'cash' AS m UNION SELECT m FROM paid)
+SELECT m AS payment_method,
+       COUNT(amount) + CASE WHEN m = 'cash' THEN (SELECT COUNT(*) FROM loads) ELSE 0 END AS transaction_count,
+       CAST(COALESCE(SUM(amount), 0) + CASE WHEN m = 'cash' THEN COALESCE((SELECT SUM(gross_amount) FROM loads), 0) ELSE 0 END
+            AS DECIMAL(38,2)) AS total_amount
+FROM methods LEFT JOIN paid USING (m)
+GROUP BY m"""
+
+
+@register("payment_breakdown", ["r_payments", "r_orders", "r_prepaid"], _payments_sql())
 def q_payment_breakdown(a):
     """Payment methods over the whole history; prepaid sales count as cash."""
     return R.payment_breakdown(a.r_payments, a.r_orders, a.r_prepaid, FROM, TO)
 
 
-def _top_sql(extra_o: str, extra_p: str, k: int) -> str:
+def _top_sql(branch: str, k: int) -> str:
+    """Units and revenue per variant key alone, named afterwards: a variant that is gone counts under no key."""
+    window = f"created_at >= TIMESTAMP '{FROM} 00:00:00' AND created_at < TIMESTAMP '{TO} 00:00:00' + INTERVAL 1 DAY {branch}"
     return f"""
-SELECT product_variant_id, sku, product_name, size, color, class,
-       CAST(SUM(units) AS BIGINT) AS units_sold, CAST(COALESCE(SUM(revenue), 0) AS DECIMAL(38,2)) AS total_revenue
-FROM (
-  SELECT v.id AS product_variant_id, v.sku, p.product_name, v.size, v.color, v.class,
-         COALESCE(SUM(i.quantity), 0) AS units, COALESCE(SUM(i.subtotal), 0) AS revenue
-  FROM r_items i
-  JOIN r_orders o ON o.id = i.order_id
-  LEFT JOIN r_variants v ON v.id = i.product_variant_id
-  LEFT JOIN r_products p ON p.id = v.product_id
-  WHERE o.order_status <> 'cancelled' AND o.created_at >= DATE '{FROM}'
-    AND o.created_at < DATE '{TO}' + INTERVAL 1 DAY {extra_o}
-  GROUP BY v.id, v.sku, p.product_name, v.size, v.color, v.class
-  UNION ALL
-  SELECT t.product_id, c.product_code, c.product_name, '', '', 'prepaid_load', COUNT(t.id), SUM(t.gross_amount)
-  FROM r_prepaid t LEFT JOIN r_prepaid_catalog c ON c.id = t.product_id
-  WHERE t.created_at >= DATE '{FROM}' AND t.created_at < DATE '{TO}' + INTERVAL 1 DAY {extra_p}
-  GROUP BY t.product_id, c.product_code, c.product_name
-) x
-GROUP BY product_variant_id, sku, product_name, size, color, class
+, sold AS (
+  SELECT CASE WHEN product_variant_id IN (SELECT id FROM r_variants) THEN product_variant_id END AS key,
+         SUM(quantity) AS units, SUM(subtotal) AS revenue
+  FROM r_items
+  WHERE order_id IN (SELECT id FROM r_orders WHERE COALESCE(order_status <> 'cancelled', FALSE) AND {window})
+  GROUP BY 1
+), loads AS (SELECT product_id AS key, COUNT(*) AS units, SUM(gross_amount) AS revenue FROM r_prepaid WHERE {window} GROUP BY 1),
+named AS (
+  SELECT key AS product_variant_id, sku, product_name, size, color, class, units, revenue
+  FROM sold LEFT JOIN (SELECT v.*, p.product_name FROM r_variants v LEFT JOIN r_products p ON p.id = v.product_id) d ON d.id = key
+  UNION ALL BY NAME
+  SELECT key AS product_variant_id, product_code AS sku, product_name, '' AS size, '' AS color, 'prepaid_load' AS class, units, revenue
+  FROM loads LEFT JOIN r_prepaid_catalog d ON d.id = key
+)
+SELECT product_variant_id, sku, product_name, size, color, class, CAST(units AS BIGINT) AS units_sold,
+       CAST(revenue AS DECIMAL(38,2)) AS total_revenue
+FROM named
 ORDER BY total_revenue DESC, class ASC NULLS LAST, product_variant_id ASC NULLS LAST, sku ASC NULLS LAST
 LIMIT {k}"""
 
@@ -179,16 +140,16 @@ LIMIT {k}"""
 _TOP_VIEWS = ["r_items", "r_orders", "r_variants", "r_products", "r_prepaid", "r_prepaid_catalog"]
 
 
-@register("top_products", _TOP_VIEWS, _top_sql("", "", 10))
+@register("top_products", _TOP_VIEWS, _top_sql("", 10))
 def q_top_products(a):
     """Top 10 variants (and prepaid products) by revenue over the whole history."""
     return R.top_products(a.r_items, a.r_orders, a.r_variants, a.r_products, a.r_prepaid,
                           a.r_prepaid_catalog, FROM, TO)
 
 
-@register("top_products_branch", _TOP_VIEWS, _top_sql("AND o.branch_id = 3", "AND t.branch_id = 3", 100))
+@register("top_products_branch", _TOP_VIEWS, _top_sql("AND branch_id = 3", 500))
 def q_top_products_branch(a):
-    """Top products of one branch; a limit above the cap is cut to 100 (T10)."""
+    """Top 500 products of one branch (the API's cap of 100 is not the batch's)."""
     return R.top_products(a.r_items, a.r_orders, a.r_variants, a.r_products, a.r_prepaid,
                           a.r_prepaid_catalog, FROM, TO, branch_id=3, limit=500)
 
@@ -236,37 +197,41 @@ def q_sales_summary_custom(a):
     return R.sales_summary(a.r_orders, a.r_items, a.r_prepaid, "custom", FROM, TO, as_of=AS_OF)
 
 
-@register("sales_overview_by_channel", ["r_orders", "r_items", "r_prepaid"], f"""
-SELECT CAST(COUNT(DISTINCT o.id) AS BIGINT) AS order_count,
-       CAST(COALESCE(SUM(o.total_amount + COALESCE(o.discount_amount, 0)), 0) AS DECIMAL(38,2)) AS gross_sales,
-       CAST(COALESCE(SUM(o.discount_amount), 0) AS DECIMAL(38,2)) AS total_discounts,
-       CAST(COALESCE(SUM(o.total_amount), 0) AS DECIMAL(38,2)) AS net_sales,
-       CAST(COALESCE(SUM(i.quantity), 0) AS BIGINT) AS items_sold,
-       CASE WHEN COUNT(DISTINCT o.id) = 0 THEN 0.0
-            ELSE CAST(COALESCE(SUM(o.total_amount), 0) AS DOUBLE) / COUNT(DISTINCT o.id) END AS avg_order_value
-FROM r_orders o LEFT JOIN r_items i ON i.order_id = o.id
-WHERE o.order_status <> 'cancelled' AND o.sales_channel_id = '3-MEDIUM'
-  AND o.created_at >= DATE '{FROM}' AND o.created_at < DATE '{TO}' + INTERVAL 1 DAY""")
+@register("sales_overview_by_channel", ["r_orders", "r_items", "r_prepaid"],
+          _overview_sql("AND sales_channel_id = '3-MEDIUM'", False))
 def q_sales_overview_by_channel(a):
     """KPI row for one sales channel: prepaid sales drop out (T2)."""
     return R.sales_overview(a.r_orders, a.r_items, a.r_prepaid, FROM, TO, channel_id="3-MEDIUM")
 
 
-@register("payment_breakdown_branch", ["r_payments", "r_orders", "r_prepaid"], f"""
-SELECT payment_method, CAST(SUM(n) AS BIGINT) AS transaction_count,
-       CAST(COALESCE(SUM(amt), 0) AS DECIMAL(38,2)) AS total_amount
-FROM (
-  SELECT p.payment_method, COUNT(p.id) AS n, SUM(p.amount) AS amt
-  FROM r_payments p JOIN r_orders o ON o.id = p.order_id
-  WHERE p.payment_date >= DATE '{FROM}' AND p.payment_date < DATE '{TO}' + INTERVAL 1 DAY
-    AND o.order_status <> 'cancelled' AND o.branch_id = 11
-  GROUP BY p.payment_method
-  UNION ALL
-  SELECT 'cash', COUNT(id), SUM(gross_amount)
-  FROM r_prepaid
-  WHERE created_at >= DATE '{FROM}' AND created_at < DATE '{TO}' + INTERVAL 1 DAY AND branch_id = 11
-) x
-GROUP BY payment_method""")
+@register("payment_breakdown_branch", ["r_payments", "r_orders", "r_prepaid"], _payments_sql("AND branch_id = 11"))
 def q_payment_breakdown_branch(a):
     """Payment methods of one branch (the branch filter applies to prepaid sales too)."""
     return R.payment_breakdown(a.r_payments, a.r_orders, a.r_prepaid, FROM, TO, branch_id=11)
+
+
+def placed(df):
+    """The rows with their place in the frame's own order (a page is small)."""
+    return df.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+@register("purchase_orders_page", ["r_pos", "r_po_items"], """
+, page AS (SELECT * FROM r_pos WHERE status <> 'cancelled' ORDER BY id DESC LIMIT 40 OFFSET 15)
+SELECT id, status, ROW_NUMBER() OVER (ORDER BY id DESC) - 1 AS place,
+       CAST(COALESCE((SELECT SUM(quantity * cost_price) FROM r_po_items i WHERE i.purchase_order_id = page.id), 0)
+            AS DECIMAL(38,2)) AS items_total
+FROM page""")
+def q_purchase_orders_page(a):
+    """A page of purchase orders, in order, with the totals of its items."""
+    out = R.purchase_orders_with_totals(a.r_pos, a.r_po_items, "status <> 'cancelled'", 40, 15)
+    return placed(out.select("id", "status", "items_total"))
+
+
+@register("variants_page", ["r_variants", "r_products"], """
+, page AS (SELECT * FROM r_variants ORDER BY created_at DESC NULLS FIRST, id LIMIT 50 OFFSET 30)
+SELECT page.id, sku, product_name, ROW_NUMBER() OVER (ORDER BY page.created_at DESC NULLS FIRST, page.id) - 1 AS place
+FROM page LEFT JOIN r_products p ON p.id = product_id""")
+def q_variants_page(a):
+    """A page of variants, newest first, unknown creation times leading."""
+    out = R.variants_with_product(a.r_variants, a.r_products, limit=50, offset=30)
+    return placed(out.select("id", "sku", F.col("product.name").alias("product_name")))

@@ -125,3 +125,67 @@ def q_retire_variants(a):
     """Retire every variant: deactivated when stock history exists, else deleted."""
     outcome, _ = S.retire_variants(a.r_variants, a.r_movements, a.r_variants)
     return outcome
+
+
+@register("receive_purchase_orders_movements", ["r_pos", "r_po_items"], """
+SELECT po.branch_id, i.product_variant_id, 'restock' AS movement_type, i.quantity, po.id AS reference_id
+FROM r_pos po JOIN r_po_items i ON i.purchase_order_id = po.id
+WHERE po.status = 'ordered' AND i.product_variant_id IS NOT NULL""")
+def q_receive_purchase_orders_movements(a):
+    """The restock movements that receiving posts."""
+    transitions = a.r_pos.filter(F.col("status") == "ordered").select(
+        F.col("id").alias("purchase_order_id"), F.lit("received").alias("status"))
+    movements, _, _ = S.receive_purchase_orders(a.r_pos, a.r_po_items, transitions, a.r_inventories, AS_OF)
+    return movements.select("branch_id", "product_variant_id", "movement_type", "quantity", "reference_id")
+
+
+@register("receive_purchase_orders_status", ["r_pos"], """
+SELECT id, po_number, CASE WHEN status = 'ordered' THEN 'received' ELSE status END AS status FROM r_pos""")
+def q_receive_purchase_orders_status(a):
+    """The purchase orders after receiving."""
+    transitions = a.r_pos.filter(F.col("status") == "ordered").select(
+        F.col("id").alias("purchase_order_id"), F.lit("received").alias("status"))
+    _, _, pos = S.receive_purchase_orders(a.r_pos, a.r_po_items, transitions, a.r_inventories, AS_OF)
+    return pos.select("id", "po_number", "status")
+
+
+@register("post_received_items_movements", ["r_estimates", "r_pos"], """
+SELECT p.branch_id, e.product_id AS product_variant_id, e.estimated_quantity AS quantity, p.id AS reference_id
+FROM r_estimates e JOIN r_pos p ON p.status = 'received'
+ AND p.id = CASE WHEN e.id % 50 <> 0 THEN CASE WHEN e.id % 70 = 1 THEN 0 ELSE e.purchase_order_id END END
+WHERE e.product_id IS NOT NULL""")
+def q_post_received_items_movements(a):
+    """The restock movements of the accepted items."""
+    _, movements, _ = S.post_received_items(_new_items(a), a.r_pos, a.r_inventories, AS_OF)
+    return movements.select("branch_id", "product_variant_id", "quantity", "reference_id")
+
+
+MOVED_SQL = "(SELECT product_variant_id FROM r_movements WHERE product_variant_id IS NOT NULL)"
+
+
+@register("retire_variants_table", ["r_variants", "r_movements"], f"""
+SELECT id, sku, CASE WHEN id % 3 = 0 THEN FALSE ELSE is_active END AS is_active
+FROM r_variants WHERE id % 3 <> 0 OR id IN {MOVED_SQL}""")
+def q_retire_variants_table(a):
+    """The variants after a third of them was retired."""
+    _, table = S.retire_variants(a.r_variants, a.r_movements, a.r_variants.filter(F.col("id") % 3 == 0))
+    return table.select("id", "sku", "is_active")
+
+
+@register("retire_products_table", ["r_products", "r_variants", "r_movements"], f"""
+SELECT id, CASE WHEN LENGTH(id) % 2 = 0 THEN 'archived' ELSE status END AS status FROM r_products p
+WHERE LENGTH(id) % 2 <> 0 OR EXISTS (SELECT 1 FROM r_variants v WHERE v.product_id = p.id AND v.id IN {MOVED_SQL})""")
+def q_retire_products_table(a):
+    """The products after a part of them was retired."""
+    _, products, _ = S.retire_products(a.r_products, a.r_variants, a.r_movements, a.r_products.filter(F.length("id") % 2 == 0))
+    return products.select("id", "status")
+
+
+@register("retire_products_variants", ["r_products", "r_variants", "r_movements"], f"""
+, kept AS (SELECT product_id FROM r_variants WHERE id IN {MOVED_SQL})
+SELECT id, product_id, CASE WHEN LENGTH(product_id) % 2 = 0 THEN FALSE ELSE is_active END AS is_active FROM r_variants
+WHERE LENGTH(product_id) % 2 <> 0 OR product_id IN (SELECT product_id FROM kept)""")
+def q_retire_products_variants(a):
+    """The variants after a part of the products was retired."""
+    _, _, variants = S.retire_products(a.r_products, a.r_variants, a.r_movements, a.r_products.filter(F.length("id") % 2 == 0))
+    return variants.select("id", "product_id", "is_active")

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import NUMBER_TEXT, UUID_ANY
 from ..operators import changes as CH
 from ..operators import listing as L
 from ..operators import quality as Q
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as TB
 from ..sources.schemas import ENUMS
+from .q_reports import placed
 from .registry import register
 
 ORDER_STATUSES = ",".join(ENUMS["order_status"])
@@ -20,12 +22,12 @@ ORDER_STATUSES = ",".join(ENUMS["order_status"])
 
 @register("validate_rows", ["r_order_batch"], f"""
 SELECT seq, concat_ws('; ',
-  CASE WHEN NOT regexp_matches(customer_id, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}$')
+  CASE WHEN NOT regexp_matches(customer_id, '{UUID_ANY}')
        THEN 'orders.customer_id must be a UUID' END,
   CASE WHEN order_status IS NULL THEN 'orders.order_status cannot be null' END,
-  CASE WHEN order_status NOT IN ('pending','partially_paid','paid','packed','shipped','completed','cancelled','returned')
+  CASE WHEN order_status NOT IN ('{"','".join(ENUMS["order_status"])}')
        THEN 'orders.order_status must be one of: {ORDER_STATUSES}' END,
-  CASE WHEN TRIM(total_amount) = '' OR TRY_CAST(TRIM(total_amount) AS DOUBLE) IS NULL
+  CASE WHEN NOT regexp_matches(TRIM(total_amount), '{NUMBER_TEXT}')
        THEN 'orders.total_amount must be numeric' END) AS errors
 FROM r_order_batch""")
 def q_validate_rows(a):
@@ -118,28 +120,104 @@ def q_delete_keys(a):
     return kept.select("id", "reference_number")
 
 
-@register("propagate_deletes", ["r_orders", "r_items", "r_payments"], """
-SELECT 'order_items' AS table_name, CAST(COUNT(*) AS BIGINT) AS row_count, CAST(SUM(quantity) AS BIGINT) AS total_qty
-FROM r_items WHERE order_id NOT IN (SELECT id FROM r_orders WHERE order_status = 'cancelled')
+CANCELLED_SQL = "(SELECT id FROM r_orders WHERE order_status = 'cancelled')"
+
+
+def _after_delete(a):
+    """Orders, items, payments and wallet rows after the cancelled orders are deleted: items and payments
+    go with them (CASCADE), wallet rows lose the link (SET NULL)."""
+    wallet = a.r_gcash.select("id", "service_type", (F.col("id") % 500).alias("order_id"))
+    tables = {"orders": a.r_orders, "order_items": a.r_items, "payments": a.r_payments, "gcash_transactions": wallet}
+    return CH.propagate_deletes(tables, "orders", a.r_orders.filter(F.col("order_status") == "cancelled").select("id"))
+
+
+@register("propagate_deletes", ["r_orders", "r_items", "r_payments", "r_gcash"], f"""
+SELECT 'orders' AS table_name, id AS row_id, NULL AS ref, total_amount AS amount FROM r_orders
+WHERE id NOT IN {CANCELLED_SQL}
 UNION ALL
-SELECT 'payments', COUNT(*), CAST(NULL AS BIGINT)
-FROM r_payments WHERE order_id NOT IN (SELECT id FROM r_orders WHERE order_status = 'cancelled')
+SELECT 'order_items', order_id, product_variant_id, subtotal FROM r_items WHERE order_id NOT IN {CANCELLED_SQL}
 UNION ALL
-SELECT 'orders', COUNT(*), NULL FROM r_orders WHERE order_status IS NULL OR order_status <> 'cancelled'""")
+SELECT 'payments', id, order_id, amount FROM r_payments WHERE order_id NOT IN {CANCELLED_SQL}
+UNION ALL
+SELECT 'gcash_transactions', id, CASE WHEN id % 500 NOT IN {CANCELLED_SQL} THEN id % 500 END, NULL FROM r_gcash""")
 def q_propagate_deletes(a):
-    """Cancelled orders deleted with their items and payments (ON DELETE CASCADE)."""
-    tables = {"orders": a.r_orders, "order_items": a.r_items, "payments": a.r_payments}
-    keys = a.r_orders.filter(F.col("order_status") == "cancelled").select("id")
-    out = CH.propagate_deletes(tables, "orders", keys)
-    items = out["order_items"].agg(F.count(F.lit(1)).alias("row_count"),
-                                   F.sum("quantity").cast("bigint").alias("total_qty"))
-    pays = out["payments"].agg(F.count(F.lit(1)).alias("row_count"))
-    orders = out["orders"].agg(F.count(F.lit(1)).alias("row_count"))
-    return (items.select(F.lit("order_items").alias("table_name"), "row_count", "total_qty")
-            .unionByName(pays.select(F.lit("payments").alias("table_name"), "row_count",
-                                     F.lit(None).cast("bigint").alias("total_qty")))
-            .unionByName(orders.select(F.lit("orders").alias("table_name"), "row_count",
-                                       F.lit(None).cast("bigint").alias("total_qty"))))
+    """Every row left after the cancelled orders were deleted, with the actions of the declared foreign keys."""
+    out = _after_delete(a)
+    money = "decimal(12,2)"
+
+    def rows(name, row_id, ref, amount):
+        return out[name].select(F.lit(name).alias("table_name"), F.col(row_id).cast("bigint").alias("row_id"),
+                                (F.col(ref) if ref else F.lit(None)).cast("bigint").alias("ref"),
+                                (F.col(amount) if amount else F.lit(None)).cast(money).alias("amount"))
+
+    return (rows("orders", "id", None, "total_amount").unionByName(rows("order_items", "order_id", "product_variant_id", "subtotal"))
+            .unionByName(rows("payments", "id", "order_id", "amount")).unionByName(rows("gcash_transactions", "id", "order_id", None)))
+
+
+@register("propagate_deletes_restrict", ["r_prepaid_catalog", "r_prepaid"], """
+, used AS (SELECT DISTINCT product_id FROM r_prepaid)
+SELECT c.id, c.id IN (SELECT product_id FROM used) AS refused FROM r_prepaid_catalog c
+WHERE NOT EXISTS (SELECT 1 FROM used) OR c.id IS NOT NULL""")
+def q_propagate_deletes_restrict(a):
+    """Deleting sold catalog products is refused as a whole (RESTRICT); unsold ones go. Every product with the outcome of its own kind of delete."""
+    tables = {"prepaid_load_products": a.r_prepaid_catalog, "prepaid_load_transactions": a.r_prepaid}
+    sold = a.r_prepaid.select(F.col("product_id").alias("id")).distinct()
+    try:
+        CH.propagate_deletes(tables, "prepaid_load_products", sold)
+        refused = False
+    except CH.DeleteRefused:
+        refused = True
+    unsold = a.r_prepaid_catalog.select("id").join(sold, "id", "left_anti")
+    left = CH.propagate_deletes(tables, "prepaid_load_products", unsold)["prepaid_load_products"]
+    kept = left.select("id").withColumn("refused", F.lit(refused))
+    return a.r_prepaid_catalog.select("id").join(kept, "id", "left").select("id", F.coalesce("refused", F.lit(False)).alias("refused"))
+
+
+@register("append_rows_outcome", ["r_deposit_requests"], """
+SELECT seq AS id, CASE WHEN seq % 7 = 0 THEN 1 ELSE 0 END AS n_errors FROM r_deposit_requests""")
+def q_append_rows_outcome(a):
+    """The outcome of the append: each row with the number of rules it breaks."""
+    outcome, _ = CH.append_rows(a.r_users, _new_users(a), "users")
+    return outcome.select("id", F.size("errors").alias("n_errors"))
+
+
+@register("append_rows_defaults", ["r_deposit_requests"], """
+SELECT seq AS id, branch_id, 'pending' AS order_status, CAST(0 AS DECIMAL(12,2)) AS total_amount,
+       CAST(0 AS DECIMAL(12,2)) AS discount_amount
+FROM r_deposit_requests""")
+def q_append_rows_defaults(a):
+    """Orders appended with a number and a branch only: status and amounts take the table's defaults."""
+    empty = a.r_orders.select("id", "branch_id", "order_status", "total_amount", "discount_amount").limit(0)
+    _, table = CH.append_rows(empty, a.r_deposit_requests.select(F.col("seq").alias("id"), "branch_id"), "orders")
+    return table
+
+
+@register("apply_patches_repeated", ["r_variants", "r_estimates"], """
+SELECT v.id, COALESCE(MAX(e.estimated_total_cost), MAX(v.price)) AS price
+FROM r_variants v LEFT JOIN r_estimates e ON e.product_id = v.id
+GROUP BY v.id""")
+def q_apply_patches_repeated(a):
+    """Many patches of one key without an order: one row a key, the largest value wins."""
+    p = a.r_estimates.select(F.col("product_id").alias("id"), F.col("estimated_total_cost").alias("price"))
+    _, table = CH.apply_patches(a.r_variants, p, "id")
+    return table.select("id", "price")
+
+
+@register("delete_keys_returned", ["r_deposits"], """
+SELECT id, reference_number, amount FROM r_deposits WHERE status = 'reversed'""")
+def q_delete_keys_returned(a):
+    """The rows that a delete returns."""
+    _, gone = CH.delete_keys(a.r_deposits, a.r_deposits.filter(F.col("status") == "reversed"))
+    return gone.select("id", "reference_number", "amount")
+
+
+@register("audit_checks_missing_column", ["r_fee_candidates"], """
+SELECT 'min_amount_nonnegative' AS check_name, seq AS row_key FROM r_fee_candidates WHERE min_amount < 0
+UNION ALL SELECT 'max_amount_not_below_min', seq FROM r_fee_candidates WHERE max_amount < min_amount
+UNION ALL SELECT 'fee_amount_nonnegative (skipped)', NULL""")
+def q_audit_checks_missing_column(a):
+    """CHECKs over a table that lacks a checked column: that check is reported as skipped."""
+    return Q.audit_checks(a.r_fee_candidates.drop("fee_amount"), "gcash_fee_rules", key="seq")
 
 
 DEPOSIT_SCHEMA = T.StructType([
@@ -200,7 +278,7 @@ def q_read_table(a):
 
 ENVELOPE_FIELDS = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("service_type", T.StringType()),
-    T.StructField("reference_number", T.StringType()), T.StructField("principal_amount", T.DoubleType()),
+    T.StructField("reference_number", T.StringType()), T.StructField("principal_amount", T.StringType()),
 ])
 
 
@@ -230,3 +308,11 @@ def q_lookup_active_products(a):
     active products, re-aimed at a batch of keys)."""
     keys = a.r_prepaid_requests.select(F.col("product_id").alias("id"))
     return L.lookup_by_keys(a.r_catalog_current, keys, "id", active_only=True).select("id", "product_code")
+
+
+@register("recent_rows_page", ["r_gcash"], """
+, page AS (SELECT * FROM r_gcash WHERE service_type = 'cash_in' ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT 70 OFFSET 20)
+SELECT id, reference_number, ROW_NUMBER() OVER (ORDER BY created_at DESC NULLS FIRST, id DESC) - 1 AS place FROM page""")
+def q_recent_rows_page(a):
+    """A page of the newest cash-in rows, in order."""
+    return placed(L.recent_rows(a.r_gcash, "service_type = 'cash_in'", 70, 20).select("id", "reference_number"))

@@ -16,12 +16,15 @@ from ..sources.adapter import Adapter, duckdb_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+#: The oracle texts as registered, without the adapter views before them.
+ORACLE_BODY: dict[str, str] = {}
 
 
-def register(name: str, views: list[str] | None = None, oracle: str | None = None):
+def register(name: str, views: list[str] | None = None, oracle: str | None = None, recursive: bool = False):
     """Register ``fn(adapter) -> DataFrame`` under ``name``; ``oracle`` is the
     SQL body (CTEs allowed, written after the adapter CTEs as ``, x AS (...)``
-    or a plain ``SELECT``) and ``views`` the adapter views it reads."""
+    or a plain ``SELECT``), ``views`` the adapter views it reads, ``recursive`` says
+    that one of its CTEs refers to itself."""
 
     def deco(fn: Callable[[Adapter], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,10 +34,10 @@ def register(name: str, views: list[str] | None = None, oracle: str | None = Non
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if oracle is not None:
-            body = oracle.strip()
+            body = ORACLE_BODY[name] = oracle.strip()
             head = duckdb_ctes(views or [])
             sql = head + "\n" + body
-            if "WITH RECURSIVE" not in sql and " walk AS (" in sql and sql.startswith("WITH "):
+            if recursive:
                 sql = "WITH RECURSIVE " + sql[len("WITH "):]
             ORACLE[name] = sql
         return fn

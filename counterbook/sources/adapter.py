@@ -273,8 +273,7 @@ SELECT l_orderkey * 8 + l_linenumber AS id,
        l_partkey AS product_id,
        CAST(l_quantity AS INT) AS estimated_quantity,
        CAST(l_extendedprice AS DECIMAL(12,2)) AS estimated_total_cost
-FROM {lineitem}
-WHERE l_linenumber = 1""", ("lineitem",)),
+FROM {lineitem}""", ("lineitem",)),
 
     # Stock history: one restock movement per item of a received purchase order.
     "r_movements": ("""
@@ -301,7 +300,9 @@ SELECT event_id AS seq,
             WHEN event_id % 10 = 1 THEN 999 END AS cash_reconciliation_id,
        CASE WHEN event_id % 6 = 0 THEN NULL WHEN event_id % 17 = 0 THEN '1996/01/05'
             ELSE CAST(d AS STRING) END AS business_date,
-       CASE WHEN event_id % 11 = 0 THEN -value ELSE value END AS amount,
+       CASE WHEN event_id % 53 = 0 THEN 'abc' WHEN event_id % 59 = 0 THEN '1d' WHEN event_id % 61 = 0 THEN 'NaN'
+            WHEN event_id % 67 = 0 THEN '100000000000' WHEN event_id % 11 = 0 THEN CAST(-value AS STRING)
+            ELSE CAST(value AS STRING) END AS amount,
        CASE WHEN event_id % 19 = 0 THEN '  ' ELSE CONCAT('ACCT-', CAST(user_id % 25 AS STRING)) END AS bank_account,
        CASE WHEN event_id % 23 = 0 THEN CONCAT('BD-', CAST(event_id - 1 AS STRING))
             ELSE CONCAT('DEP-', CAST(event_id - event_id % 2 AS STRING)) END AS reference_number,
@@ -334,7 +335,9 @@ SELECT event_id AS seq,
        CASE WHEN event_id % 37 = 0 THEN ' '
             WHEN event_id % 9 = 0 THEN CONCAT('GC-', CAST(event_id - 1 AS STRING))
             ELSE CONCAT('W-', CAST(event_id - event_id % 3 AS STRING)) END AS reference_number,
-       CASE WHEN event_id % 41 = 0 THEN -value ELSE value END AS principal_amount,
+       CASE WHEN event_id % 53 = 0 THEN 'abc' WHEN event_id % 59 = 0 THEN '5d' WHEN event_id % 61 = 0 THEN ' '
+            WHEN event_id % 67 = 0 THEN '100000000000000' WHEN event_id % 41 = 0 THEN CAST(-value AS STRING)
+            ELSE CAST(value AS STRING) END AS principal_amount,
        user_id % 25 AS branch_id,
        user_id AS customer_id,
        ts - INTERVAL '28' YEAR AS created_at
@@ -374,10 +377,10 @@ WHERE event_type = 'click'""", ("events",)),
     "r_fee_candidates": ("""
 SELECT event_id AS seq,
        CASE WHEN event_id % 17 = 0 THEN event_id % 9 + 1 END AS id,
-       CASE WHEN event_id % 23 = 0 THEN 'bogus' WHEN event_id % 2 = 0 THEN 'cash_in' ELSE 'cash_out' END
-         AS service_type,
+       CASE WHEN event_id % 34 = 0 THEN NULL WHEN event_id % 23 = 0 THEN 'bogus' WHEN event_id % 2 = 0 THEN 'cash_in'
+            ELSE 'cash_out' END AS service_type,
        CASE WHEN event_id % 19 = 0 THEN -5.0 ELSE value + FLOOR(event_id / 1000) * 1000.0 END AS min_amount,
-       CASE WHEN event_id % 13 = 0 THEN value + FLOOR(event_id / 1000) * 1000.0 - 10
+       CASE WHEN event_id % 51 = 0 THEN NULL WHEN event_id % 13 = 0 THEN value + FLOOR(event_id / 1000) * 1000.0 - 10
             ELSE value + FLOOR(event_id / 1000) * 1000.0 + event_id % 3 END AS max_amount,
        CAST(event_id % 10 AS DOUBLE) AS fee_amount,
        event_id % 3 <> 0 AS is_active
@@ -403,7 +406,7 @@ SELECT id AS seq, order_number,
        CONCAT(LPAD(LOWER(HEX(branch_id)), 8, '0'), '-0000-4000-8000-', LPAD(LOWER(HEX(branch_id)), 12, '0'))
          AS branch_id,
        CASE WHEN id % 89 = 0 THEN 'bogus' ELSE order_status END AS order_status,
-       CASE WHEN id % 83 = 0 THEN 'abc' WHEN id % 79 = 0 THEN ' ' ELSE CAST(total_amount AS STRING) END
+       CASE WHEN id % 83 = 0 THEN 'abc' WHEN id % 79 = 0 THEN ' ' WHEN id % 73 = 0 THEN '1d' WHEN id % 71 = 0 THEN 'NaN' ELSE CAST(total_amount AS STRING) END
          AS total_amount
 FROM {r_orders}""", ("r_orders",)),
 }

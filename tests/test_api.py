@@ -45,9 +45,10 @@ def test_reports_over_table_folder(office):
 def test_postings_and_audit(office, spark):
     a, bo = office
     req = a.r_wallet_requests
-    out = bo.post_gcash_transactions(req.withColumn("branch_id", F.lit(None).cast("string"))
+    out, ledger = bo.post_gcash_transactions(req.withColumn("branch_id", F.lit(None).cast("string"))
                                      .withColumn("customer_id", F.lit(None).cast("string")))
     assert out.count() == req.count()
+    assert ledger.count() == a.r_gcash.count() + out.filter("reject_reason is null").count()
     assert bo.audit().count() == 0  # the adapter tables are clean
 
 

@@ -151,7 +151,7 @@ def rules(spark):
     ], RULES)
 
 
-def test_match_fee_rules_edges_and_ties(spark, rules, monkeypatch):
+def test_match_fee_rules_edges_and_ties(spark, rules):
     txns = spark.createDataFrame([
         (1, "cash_in", D("100.00"), ts("2024-01-10 00:00:00")),   # edge: both bands, larger min wins, NULL created first
         (2, "cash_in", D("99.99"), ts("2024-01-10 00:00:00")),
@@ -163,17 +163,12 @@ def test_match_fee_rules_edges_and_ties(spark, rules, monkeypatch):
     ], "id bigint, service_type string, principal_amount decimal(12,2), created_at timestamp_ntz")
     inline = {r["id"]: r["rule_id"] for r in rows(FE.match_fee_rules(txns, rules, as_of=F.col("created_at")))}
     assert inline == {1: 3, 2: 1, 3: 4, 4: 6, 5: 7, 6: None, 7: None}
-    monkeypatch.setattr(FE, "INLINE_RULES_MAX", 0)  # force the bucketed equi-join plan
-    bucketed = {r["id"]: r["rule_id"] for r in rows(FE.match_fee_rules(txns, rules, as_of=F.col("created_at")))}
-    assert bucketed == inline
 
 
-def test_fee_rule_overlaps_touching_and_bucketed(spark, rules, monkeypatch):
+def test_fee_rule_overlaps_touching(spark, rules):
     pairs = {(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rules))}
     # touching bands (1: 0-100, 2: 100-500) overlap; 2 and 4 (500.01-) do not; inactive 5 is ignored
     assert pairs == {(1, 2), (1, 3), (2, 3), (6, 7)}
-    monkeypatch.setattr(FE, "INLINE_RULES_MAX", 0)
-    assert {(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rules))} == pairs
 
 
 def test_load_fee_rules(spark, rules):
@@ -280,32 +275,83 @@ def test_load_fee_rules_in_batch_serial_order(spark, rules):
     assert new.count() == 2 + 3
 
 
-def _serial_intervals(cands):
-    acc = []
+def _serial_rules(stored, cands):
+    """Brute force: one request after the other against the table as it is by then.
+    Rules and requests are (id or seq, type, min, max or None, active[, rule id])."""
+    table = {i: [t, lo, hi, act] for i, t, lo, hi, act in stored}
     out = {}
-    for s, lo, hi in sorted(cands):
-        hits = [a for a in acc if a[1] <= hi and lo <= a[2]]
-        out[s] = min(h[0] for h in hits) if hits else None
-        if not hits:
-            acc.append((s, lo, hi))
-    return out
+    for seq, t, lo, hi, act, rid in cands:
+        old = table.get(rid)
+        t, lo, act = (old[0] if t is None else t, old[1] if lo is None else lo, old[3] if act is None else act) if old else (t, lo, act)
+        hi = old[2] if old and hi is None else hi
+        why = "range" if hi is not None and hi < lo else None
+        if why is None and act:
+            hits = [(b[1], b[2]) for k, b in table.items() if k != (rid if old else None) and b[3] and b[0] == t
+                    and (b[2] is None or b[2] >= lo) and (hi is None or hi >= b[1])]
+            why = f"{min(h[0] for h in hits)}" if hits else None
+        out[seq] = why
+        if why is None:
+            table[rid if old else -1000 - seq] = [t, lo, hi, act]
+    return out, sorted((tuple(v) for v in table.values()), key=str)
 
 
 from hypothesis import HealthCheck, given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
 
-@settings(max_examples=15, deadline=None, derandomize=True)
-@given(st.lists(st.tuples(st.integers(0, 40), st.integers(0, 6)), min_size=1, max_size=20))
-def test_greedy_conflicts_match_serial(spark, spans):
-    from counterbook.operators.joins import mark_greedy_conflicts
-    cands = [(i, lo, lo + w) for i, (lo, w) in enumerate(spans)]
-    df = spark.createDataFrame(cands, "seq int, lo int, hi int")
-    l, r = df.alias("l"), df.alias("r")
-    pairs = l.join(r, (F.col("l.seq") < F.col("r.seq")) & (F.col("l.lo") <= F.col("r.hi"))
-                   & (F.col("r.lo") <= F.col("l.hi"))).select(F.col("l.seq").alias("a"), F.col("r.seq").alias("b"))
-    got = {x["seq"]: x["by"] for x in rows(mark_greedy_conflicts(df, "seq", pairs, "by"))}
-    assert got == _serial_intervals(cands)
+@settings(max_examples=10, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.sampled_from(["cash_in", "cash_out"]), st.integers(0, 40), st.integers(-1, 6),
+                          st.booleans(), st.sampled_from([None, None, 1, 2])), min_size=1, max_size=20))
+def test_load_fee_rules_matches_serial_requests(spark, spans):
+    stored = [(1, "cash_in", 0, 5, True), (2, "cash_in", 30, None, True), (3, "cash_out", 3, 9, True)]
+    rules = spark.createDataFrame([(i, t, D(lo), None if hi is None else D(hi), D(1), act, None, None, ts("2024-01-01 00:00:00"))
+                                   for i, t, lo, hi, act in stored], RULES)
+    cands = [(i, None if rid == 2 else t, lo, None if rid and w < 0 else lo + w, act, rid) for i, (t, lo, w, act, rid) in enumerate(spans)]
+    df = spark.createDataFrame([(s, rid, t, str(lo), None if hi is None else str(hi), "1", act) for s, t, lo, hi, act, rid in cands],
+                               "seq int, id bigint, service_type string, min_amount string, max_amount string, fee_amount string, is_active boolean")
+    outcome, new = FE.load_fee_rules(df, rules, "2024-02-01 00:00:00")
+    want, table = _serial_rules(stored, cands)
+    for r in rows(outcome):
+        got = r["reject_reason"]
+        expected = want[r["seq"]]
+        assert (got is None) == (expected is None), (r, expected)
+        if expected not in (None, "range"):
+            assert f"({expected}.00 - " in got
+    kept = sorted(((r["service_type"], int(r["min_amount"]), None if r["max_amount"] is None else int(r["max_amount"]), r["is_active"])
+                   for r in rows(new)), key=str)
+    assert kept == table
+
+
+def test_load_fee_rules_updates_are_serial(spark, rules):
+    cand = spark.createDataFrame([
+        (1, 4, None, "900", None, None),        # rule 4 (500.01 - infinity) moves up
+        (2, None, "cash_in", "600", "700", None),  # free since request 1
+        (3, 4, None, "650", None, None),        # back down: meets request 2
+        (4, 4, None, None, "950", None),        # gets an upper bound
+        (5, 4, None, None, None, ["max_amount"]),  # and loses it again
+        (6, 1, None, None, None, None),
+    ], "seq int, id bigint, service_type string, min_amount string, max_amount string, clear array<string>")
+    cand = cand.withColumn("fee_amount", F.lit("1"))
+    outcome, new = FE.load_fee_rules(cand, rules, "2024-02-01 00:00:00", clear="clear")
+    r = {x["seq"]: x["reject_reason"] for x in rows(outcome)}
+    assert r[1] is None and r[2] is None and r[4] is None and r[5] is None
+    assert r[3] == "fee range overlaps existing active rule (600.00 - 700.00)"
+    assert r[6] == "fee range overlaps existing active rule (100.00 - 500.00)"  # touches band 2, as stored
+    by_id = [x["id"] for x in rows(new)]
+    assert len(by_id) == len(set(by_id)) == 8
+    four = next(x for x in rows(new) if x["id"] == 4)
+    assert four["min_amount"] == D("900.00") and four["max_amount"] is None
+
+
+def test_bad_amounts_reject_their_own_row(spark, rules):
+    bad = ["abc", "5d", "NaN", "", None, "1e30", "100000000000000", "12.345"]
+    req = spark.createDataFrame([(i, "cash_in", f"W{i}", x) for i, x in enumerate(bad)],
+                                "seq int, service_type string, reference_number string, principal_amount string")
+    out = {r["seq"]: r["reject_reason"] for r in rows(FE.post_wallet_transactions(
+        req, rules, spark.createDataFrame([], "reference_number string"), "2024-01-10 00:00:00"))}
+    assert [out[i] for i in range(5)] == [FE.ERR_PRINCIPAL] * 5
+    assert out[6] == FE.ERR_RANGE.format(field="principal_amount") and out[7] is None
+    assert out[5] in (FE.ERR_PRINCIPAL, FE.ERR_RANGE.format(field="principal_amount"))
 
 
 def test_new_ids_are_stable_and_uuid_shaped(spark, ledger):
@@ -343,11 +389,11 @@ def test_upsert_catalog_repeated_codes_last_wins(spark):
     assert [r["id"] for r in rows(lookup_by_keys(cat, keys, "id", active_only=True))] == [1]
 
 
-def test_match_fee_rules_paths_agree_on_random_bands(spark, monkeypatch):
+def test_match_fee_rules_random_bands(spark):
     import random
     rnd = random.Random(7)
     rules = []
-    for i in range(40):
+    for i in range(700):
         lo = D(rnd.randint(0, 500))
         hi = None if rnd.random() < 0.15 else lo + D(rnd.randint(0, 200))
         created = None if rnd.random() < 0.2 else ts(f"2024-01-{rnd.randint(1, 28):02d} 00:00:00")
@@ -356,14 +402,18 @@ def test_match_fee_rules_paths_agree_on_random_bands(spark, monkeypatch):
     txns = [(j, rnd.choice(["cash_in", "cash_out"]), D(rnd.randint(1, 90000)) / 100) for j in range(300)]
     rdf = spark.createDataFrame(rules, RULES)
     tdf = spark.createDataFrame(txns, "id bigint, service_type string, principal_amount decimal(12,2)")
-    inline = {r["id"]: r["rule_id"] for r in rows(FE.match_fee_rules(tdf, rdf, as_of="2024-02-01 00:00:00"))}
-    monkeypatch.setattr(FE, "INLINE_RULES_MAX", 0)
-    bucketed = {r["id"]: r["rule_id"] for r in rows(FE.match_fee_rules(tdf, rdf, as_of="2024-02-01 00:00:00"))}
-    assert inline == bucketed and len(inline) == 300
-    pairs_b = {(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rdf))}
-    monkeypatch.setattr(FE, "INLINE_RULES_MAX", 512)
-    pairs_i = {(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rdf))}
-    assert pairs_b == pairs_i
+    got = rows(FE.match_fee_rules(tdf.withColumn("id", F.when(F.col("id") > 5, F.col("id"))), rdf, as_of="2024-02-01 00:00:00"))
+    live = [r for r in rules if r[5]]
+
+    def best(t, amt):
+        fits = [r for r in live if r[1] == t and r[2] <= amt and (r[3] is None or amt <= r[3])]
+        return min(fits, key=lambda r: (-r[2], r[8] is not None, -r[8].timestamp() if r[8] else 0, r[0]))[0] if fits else None
+    assert len(got) == 300  # repeated and NULL keys lose no row
+    assert {(r["service_type"], r["principal_amount"], r["rule_id"]) for r in got} == {(t, a, best(t, a)) for _, t, a in txns}
+    pairs = [(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rdf))]
+    expected = {(a[0], b[0]) for a in live for b in live if a[0] < b[0] and a[1] == b[1]
+                and (a[3] is None or a[3] >= b[2]) and (b[3] is None or b[3] >= a[2])}
+    assert len(pairs) == len(set(pairs)) and set(pairs) == expected
 
 
 @settings(max_examples=8, deadline=None, derandomize=True,

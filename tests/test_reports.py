@@ -116,7 +116,7 @@ def test_top_products_null_variant_group_T7_and_limit_T10(spark, frames):
     assert len(rows(R.top_products(i, o, variants, products, p, catalog, "2024-01-01", "2024-01-05", limit=2))) == 2
     with pytest.raises(ReportArgumentError):
         R.top_products(i, o, variants, products, p, catalog, limit=-1)
-    assert R.resolve_limit(500) == 100 and R.resolve_limit("abc") == 10
+    assert R.resolve_limit(500) == 500 and R.resolve_limit(500, cap=100) == 100 and R.resolve_limit("abc") == 10
 
 
 def test_report_windows_T11_T12():

@@ -241,6 +241,20 @@ def test_greedy_unique_matches_serial_inserts(spark, reqs):
     assert got == _serial(data, keys)
 
 
+def test_greedy_unique_chain_takes_a_bounded_number_of_jobs(spark):
+    # each row shares one key with its neighbour: every decision depends on the one before
+    data = [(i, f"a{(i + 1) // 2}", f"b{i // 2}") for i in range(64)]
+    keys = [("a", "dup a"), ("b", "dup b")]
+    df = spark.createDataFrame(data, "seq int, a string, b string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = {x["seq"]: x["r"] for x in rows(mark_greedy_unique(df, keys, "seq", F.lit(True), "r"))}
+    jobs = len(tracker.getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == _serial(data, keys)
+    assert jobs < 400  # AQE runs a job per stage; one round per request took thousands
+
+
 def test_first_in_key(spark):
     df = spark.createDataFrame([(1, "x", True), (2, "x", True), (3, None, True), (4, "y", False), (5, "y", True)],
                                "seq int, k string, ok boolean")
