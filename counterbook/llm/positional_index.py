@@ -8,9 +8,9 @@ every chosen term proposes survives, and its words are then compared one by one
 the phrase. Only DataFrame functions are used.
 
 Scale. Postings never leave their map task unless their term is among the
-rarest of some test phrase, so what is shuffled follows the matches, not the corpus. The table of chosen
-terms is broadcast while it has at most ``BROADCAST_ROWS`` rows (its rows are a hash, a number
-and two small integers); a larger one is joined by shuffle on the rare terms.
+rarest of some test window, and then propose one alignment for all the windows around it, so what is shuffled follows the matches,
+not the corpus. The tables of test terms and passages are broadcast while they have at most ``BROADCAST_ROWS`` rows;
+larger ones are joined by shuffle on the rare terms.
 
 Defined results: a null or empty text has no words and no hit; a test item
 without words has no window; equal items or windows count for each of their
@@ -23,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import forget, written
 
 WINDOW, CHOSEN = 10, 3
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 200_000
 AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -39,14 +39,13 @@ def words_of(text: Column) -> Column:
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (term, id, th, pos): th is a hash of the whole text, so different texts under one id are different documents."""
     words = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), words_of(docs[text_col]).alias("words"))
-    return written(words.select("id", "th", F.posexplode("words").alias("pos", "term")), "postings", "lz4")
+    return written(words.select("id", "th", F.posexplode("words").alias("pos", "term")), "postings", "zstd")
 
 
-def windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = WINDOW) -> DataFrame:
-    """(item, phrase) of each window of ``size`` consecutive words; an item of fewer words, but not none, is one window."""
-    words = items.select(items[id_col].alias("item"), words_of(items[text_col]).alias("w")).where(F.size("w") > 0)
-    starts = words.select("item", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0)))).alias("at"))
-    return starts.select("item", F.slice("w", F.col("at") + 1, size).alias("phrase")).distinct()
+def passages(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(item, key, words) of the items with words; equal word sequences have one key."""
+    words = items.select(items[id_col].alias("item"), words_of(items[text_col]).alias("words")).where(F.size("words") > 0)
+    return words.select("item", F.xxhash64("words").alias("key"), "words")
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -60,25 +59,44 @@ def term_counts(index: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def phrase_starts(docs: DataFrame, index: DataFrame, phrases: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, th, phrase, start) of every occurrence of a phrase (an array of words) in a document."""
-    phrases = written(phrases.select("phrase").distinct().withColumn("key", F.xxhash64("phrase")), "phrases")
-    places = phrases.select("key", "phrase", F.posexplode("phrase").alias("offset", "term"))
+def window_matches(docs: DataFrame, index: DataFrame, found: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, key, at, length, start): every place where the ``length`` words of a passage (columns key, words) from word ``at`` on
+    stand in a document from word ``start`` on, for each window of ``size`` words (a shorter passage is one window).
+
+    A posting at position p of a term at place t proposes the alignment p - t of its passage, for all the windows around
+    t at once; a window survives where each of its rarest terms proposes the same alignment."""
+    found = written(found.select("key", "words").dropDuplicates(["key"]), "passages")
+    places = found.select("key", F.posexplode("words").alias("t", "term"))
     counts = written(term_counts(index, written(places.select("term").distinct(), "terms")), "term-counts")
-    ranked = places.join(counts, "term").groupBy("key", "phrase").agg(F.array_sort(F.collect_list(F.struct("n", "offset", "term"))).alias("by_n"))
-    # a phrase with a term that no document has can't occur
-    chosen = ranked.where(F.element_at("by_n", 1)["n"] > 0).select("key", F.least(F.size("by_n"), F.lit(CHOSEN)).alias("need"), F.explode(F.slice("by_n", 1, CHOSEN)).alias("x"))
-    chosen = written(chosen.select(F.col("x.term").alias("term"), F.col("x.offset").alias("offset"), "key", "need"), "chosen-terms")
-    proposed = index.join(small(chosen), "term").select("id", "th", "key", "need", (F.col("pos") - F.col("offset")).alias("start"), "offset")
-    agreed = proposed.where("start >= 0").groupBy("id", "th", "key", "need", "start").agg(F.count_distinct("offset").alias("n")).where("n = need")
-    agreed = written(agreed.select("id", "th", "key", "start"), "agreed-starts")
+    ranked = places.join(counts, "term").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("by_n"))
+    starts = found.select("key", F.size("words").alias("size"), F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - size, F.lit(0)))).alias("at"))
+    starts = starts.select("key", "at", F.least("size", F.lit(size)).alias("length"))
+    mine = F.filter("by_n", lambda x: (x["t"] >= F.col("at")) & (x["t"] < F.col("at") + F.col("length")))
+    chosen = starts.join(ranked, "key").select("key", "at", "length", F.slice(mine, 1, CHOSEN).alias("rarest"))
+    # a window with a term that no document has can't occur
+    chosen = chosen.where(F.element_at("rarest", 1)["n"] > 0).select("key", F.struct("at", "length", F.col("rarest.t").alias("rarest")).alias("window"))
+    wanted = written(chosen.groupBy("key").agg(F.collect_list("window").alias("windows"), F.min(F.size("window.rarest")).alias("least")), "windows")
+    anchors = wanted.select("key", F.explode(F.array_distinct(F.flatten("windows.rarest"))).alias("t")).join(places, ["key", "t"]).select("term", "key", "t")
+    anchors = written(anchors, "anchors")
+    proposed = index.join(small(anchors), "term").select("id", "th", "key", (F.col("pos") - F.col("t")).alias("shift"), "t")
+    agreed = proposed.groupBy("id", "th", "key", "shift").agg(F.collect_set("t").alias("ts")).join(small(wanted), "key").where(F.size("ts") >= F.col("least"))
+    whole = F.filter("windows", lambda w: (F.col("shift") + w["at"] >= 0) & (F.size(F.array_except(w["rarest"], "ts")) == 0))
+    agreed = agreed.select("id", "th", "key", "shift", F.transform(whole, lambda w: F.struct(w["at"].alias("at"), w["length"].alias("length"))).alias("windows"))
+    agreed = written(agreed.where(F.size("windows") > 0), "agreed-shifts")
     # the remaining words, against the text itself
-    named = agreed.join(small(phrases.select("key", "phrase")), "key")
-    listed = named.groupBy("id", "th").agg(F.collect_list(F.struct("start", "phrase")).alias("starts"))
+    named = agreed.join(small(found), "key").groupBy("id", "th").agg(F.collect_list(F.struct("key", "shift", "windows", F.col("words").alias("passage"))).alias("all"))
     texts = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), docs[text_col].alias("text"))
-    both = texts.join(listed, texts["k"].eqNullSafe(listed["id"]) & (texts["kh"] == listed["th"])).select("id", "th", "starts", words_of(F.col("text")).alias("words"))
-    true = F.filter("starts", lambda s: F.slice("words", s["start"] + 1, F.size(s["phrase"])) == s["phrase"])
-    return both.dropDuplicates(["id", "th"]).select("id", "th", F.explode(true).alias("s")).select("id", "th", "s.phrase", "s.start")
+    both = texts.join(named, texts["k"].eqNullSafe(named["id"]) & (texts["kh"] == named["th"])).select("id", "th", "all", words_of(F.col("text")).alias("words"))
+    one = both.dropDuplicates(["id", "th"]).select("id", "th", "words", F.explode("all").alias("x"))
+    equal = F.filter("x.windows", lambda w: F.slice("words", F.col("x.shift") + w["at"] + 1, w["length"]) == F.slice("x.passage", w["at"] + 1, w["length"]))
+    return one.select("id", "th", "x.key", "x.shift", F.explode(equal).alias("w")).select("id", "th", "key", "w.at", "w.length", (F.col("shift") + F.col("w.at")).alias("start"))
+
+
+def phrase_matches(docs: DataFrame, index: DataFrame, phrases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(phrase, id, th, start) of every occurrence of a phrase (columns phrase, text) in a document."""
+    found = passages(phrases, "phrase", "text")
+    hits = window_matches(docs, index, found, 1 << 30, id_col, text_col)
+    return hits.join(found.select(F.col("item").alias("phrase"), "key"), "key").select("phrase", "id", "th", "start")
 
 
 def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
@@ -109,15 +127,16 @@ def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> Data
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = WINDOW) -> DataFrame:
     """(id, th, n_hit, items): per text with an occurring window its words inside windows and the ids of the windows' items."""
     index = build_index(docs, id_col, text_col)
-    wins = written(windows(items, item_col, item_text_col, size), "windows")
-    starts = written(phrase_starts(docs, index, wins, id_col, text_col), "phrase-starts")
-    spans = starts.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.size("phrase")).alias("stop")))).alias("spans"))
+    found = written(passages(items, item_col, item_text_col), "items")
+    hits = written(window_matches(docs, index, found, size, id_col, text_col), "window-matches")
+    forget(index)
+    spans = hits.groupBy("id", "th").agg(F.array_sort(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("stop")))).alias("spans"))
     begin = F.struct(F.lit(0).alias("n"), F.lit(0).alias("to"))
     step = lambda acc, s: F.struct((acc["n"] + F.greatest(s["stop"] - F.greatest(s["start"], acc["to"]), F.lit(0))).alias("n"), F.greatest(acc["to"], s["stop"]).alias("to"))
-    hits = spans.select("id", "th", F.aggregate("spans", begin, step)["n"].cast("long").alias("n_hit"))
-    of_item = starts.select("id", "th", "phrase").distinct().join(small(wins), "phrase").groupBy("id", "th").agg(F.collect_set("item").alias("items"))
-    same = hits["id"].eqNullSafe(of_item["id"]) & (hits["th"] == of_item["th"])
-    return hits.join(of_item, same).select(hits["id"], hits["th"], "n_hit", "items")
+    n_hit = spans.select("id", "th", F.aggregate("spans", begin, step)["n"].cast("long").alias("n_hit"))
+    of_item = hits.join(found.select("key", "item"), "key").groupBy("id", "th").agg(F.collect_set("item").alias("items"))
+    same = n_hit["id"].eqNullSafe(of_item["id"]) & (n_hit["th"] == of_item["th"])
+    return n_hit.join(of_item, same).select(n_hit["id"], n_hit["th"], "n_hit", "items")
 
 
 def contamination_report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
