@@ -19,12 +19,12 @@ def _facts_sql(start: str, stop: str, orders: str = "", prepaid: str | None = ""
     return f"""
 , per_order AS (SELECT order_id, COUNT(*) AS lines, SUM(quantity) AS units FROM r_items GROUP BY order_id),
 sale AS (
-  SELECT created_at AS at, total_amount AS net, COALESCE(discount_amount, 0) AS disc, units,
+  SELECT created_at AS sold_at, total_amount AS net, COALESCE(discount_amount, 0) AS disc, units,
          GREATEST(COALESCE(lines, 0), 1) AS lines
   FROM r_orders LEFT JOIN per_order ON order_id = id
   WHERE COALESCE(order_status <> 'cancelled', FALSE) AND {window} {orders}
 ),
-load AS (SELECT created_at AS at, gross_amount AS net FROM r_prepaid WHERE {window} {prepaid if prepaid is not None else 'AND FALSE'})"""
+load AS (SELECT created_at AS sold_at, gross_amount AS net FROM r_prepaid WHERE {window} {prepaid if prepaid is not None else 'AND FALSE'})"""
 
 
 def _measures_sql(s: str, p: str, weight: str) -> str:
@@ -42,9 +42,9 @@ def _measures_sql(s: str, p: str, weight: str) -> str:
 def _summary_sql(unit: str, fan_out: bool, with_prepaid: bool, extra: str = "", start: str = FROM, stop: str = TO,
                  prepaid: str = "") -> str:
     """A spine of the periods that occur, and each measure looked up per period."""
-    of = f"WHERE date_trunc('{unit}', at) = spine.period"
+    of = f"WHERE date_trunc('{unit}', sold_at) = spine.period"
     return f"""{_facts_sql(start, stop, extra, prepaid if with_prepaid else None)},
-spine AS (SELECT DISTINCT date_trunc('{unit}', at) AS period FROM (FROM sale SELECT at UNION ALL FROM load SELECT at))
+spine AS (SELECT DISTINCT date_trunc('{unit}', sold_at) AS period FROM (SELECT sold_at FROM sale UNION ALL SELECT sold_at FROM load))
 SELECT period,{_measures_sql(of, of, "lines" if fan_out else "1")}
 FROM spine"""
 

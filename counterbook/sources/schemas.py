@@ -112,6 +112,7 @@ VALIDATION = {
 }
 
 # Enum-typed columns of the stored tables (for domain audits).
+# Enum of each column.
 DOMAINS = {
     "users": {"role": "user_role"},
     "customers": {"customer_type": "customer_type"},
@@ -151,6 +152,7 @@ CHECKS = {
 }
 
 # Unique keys (a partial key carries its WHERE condition).
+# Unique keys.
 UNIQUE = {
     "sales_channels": [["channel_name"]],
     "users": [["phone"]],
@@ -167,6 +169,7 @@ UNIQUE = {
 }
 
 # Foreign keys: (child table, column, parent table, on delete).
+# Foreign keys with their delete actions.
 FOREIGN_KEYS = [
     ("users", "branch_id", "branches", "set_null"),
     ("categories", "parent_id", "categories", "set_null"),
@@ -218,6 +221,7 @@ FOREIGN_KEYS = [
 # is DECIMAL(12,2); timestamps are TIMESTAMP_NTZ in UTC; the cash breakdowns
 # are arrays of {denomination, quantity, amount}.
 _BREAKDOWN = "array<struct<denomination:decimal(12,2),quantity:int,amount:decimal(12,2)>>"
+# Declared columns.
 TABLE_DDL = {
     "branches": "id string, branch_name string, address string, phone string, is_main boolean, "
                 "created_at timestamp_ntz",
@@ -291,6 +295,7 @@ TABLE_DDL = {
 
 # Column defaults applied by inserts and additive migrations (literal values;
 # "now" columns are filled by the operators with their ``as_of``).
+# Declared column defaults.
 DEFAULTS = {
     "branches": {"is_main": False},
     "users": {"role": "staff", "is_active": True},

@@ -10,15 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path is there, asked of its own file system (the cluster's default one without a scheme)."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType | None = None,
                fmt: str = "parquet") -> DataFrame:
     """Full scan of one table by name (``root/name`` or ``root/name.parquet``).
     With a schema only those columns are read (projection reaches the scan)."""
     path = f"{root.rstrip('/')}/{name}"
-    if fmt == "parquet" and not name.endswith(".parquet") and "://" not in root:
-        import os
-        if not os.path.exists(path) and os.path.exists(path + ".parquet"):
-            path = path + ".parquet"  # single-file tables of the local test folders
+    if fmt == "parquet" and not name.endswith(".parquet") and not _exists(spark, path) and _exists(spark, path + ".parquet"):
+        path = path + ".parquet"  # single-file tables
     reader = spark.read.format(fmt)
     df = reader.load(path)
     if schema is not None:
