@@ -8,7 +8,8 @@ the same text) is removed. The work is done in five steps:
 2. The bytes of the other windows are cut from their texts and packed into shards of about ``SHARD_BYTES``.
 3. Each shard gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's method; where a
    common prefix reaches 100 bytes, all windows but the earliest are repeats. The earliest ones go on, by minimiser.
-4. Across shards, the sorted windows of two shards are merged by binary search, shard lists pairwise until one is left; the
+4. Across shards, runs of windows that are the same as a whole (by a 128-bit digest) are settled by the earliest one. Of the others, the
+   sorted windows of two shards are merged by binary search, shard lists pairwise until one is left; the
    later one of two equal windows is a repeat. A minimiser with more than ``HOT_ROWS`` rows left (texts that hold a
    common passage in different surroundings) is split: its windows are grouped by their 100 bytes, not by minimiser.
 5. Repeats are gathered by text and their bytes taken out.
@@ -21,6 +22,8 @@ null id comes before every other; columns beside id and text are not read.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import type_of, written
+from .shared import forget, type_of, written
 
 WINDOW, GRAM = 100, 24
 SHARD_BYTES, MERGE_WINDOWS, HOT_ROWS = 1 << 21, 150_000, 256
@@ -183,7 +186,7 @@ def ranges(owner: np.ndarray, value: np.ndarray):
     return owner[first], value[first], value[np.append(first[1:], len(value)) - 1]
 
 
-FOUND = "th long, first int, last int, hash long, reps binary, bytes binary"
+FOUND = "th long, first int, last int, hash long, d0 long, d1 long, reps binary, bytes binary"
 
 
 def shard_repeats(ids: pa.Array, th: np.ndarray, texts: list[np.ndarray], runs: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -237,13 +240,15 @@ def shard_repeats(ids: pa.Array, th: np.ndarray, texts: list[np.ndarray], runs:
         texts_out.append(data[a:b].tobytes())
         firsts.append(int(run_first[r] + mine[0]))
     n = len(reps)
+    digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in texts_out), np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays(
         [
             pa.concat_arrays([ids.take(pa.array(doc)), ids.take(pa.array(run_doc[some]))]), pa.array(np.concatenate([th[doc], th[run_doc[some]]])),
-            pa.array(np.concatenate([lo, np.array(firsts, np.int64)])).cast(pa.int32()), pa.array([*hi.tolist(), *[None] * n], pa.int32()),
-            pa.array([*[None] * len(lo), *hashes[some].tolist()], pa.int64()), pa.array([*[None] * len(lo), *reps], pa.binary()), pa.array([*[None] * len(lo), *texts_out], pa.binary()),
+            pa.array(np.concatenate([lo, np.array(firsts, np.int64)])).cast(pa.int32()),
+            pa.array(np.concatenate([hi, np.array([a + len(x) - WINDOW for a, x in zip(firsts, texts_out, strict=True)], np.int64)])).cast(pa.int32()),
+            pa.array([*[None] * len(lo), *hashes[some].tolist()], pa.int64()), *(pa.array([*[None] * len(lo), *digests[:, k].tolist()], pa.int64()) for k in range(2)), pa.array([*[None] * len(lo), *reps], pa.binary()), pa.array([*[None] * len(lo), *texts_out], pa.binary()),
         ],
-        ["id", "th", "first", "last", "hash", "reps", "bytes"],
+        ["id", "th", "first", "last", "hash", "d0", "d1", "reps", "bytes"],
     )
 
 
@@ -390,16 +395,29 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part << 20 | k] * len(batch), pa.int64())], [*batch.schema.names, "shard"])
 
     inside = written(cut.mapInArrow(shards, f"id {kind}, {FOUND}, shard long"), "shard-repeats", "zstd")
-    ahead = inside.where("hash is not null").select("id", "th", "first", "hash", "reps", "bytes", "shard")
-    counts = written(ahead.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1"), "minimiser-rows")
+    forget(found, twice)
+    # the same run of windows in several shards: all but the earliest are repeats (what a run holds beside its
+    # earliest windows are repeats inside its shard)
+    ahead = inside.where("hash is not null").select("id", "th", "first", "last", "hash", "d0", "d1")
+    key = ["hash", "d0", "d1"]
+    runs = written(ahead.groupBy(*key).agg(F.min(F.struct("id", "th", "first")).alias("earliest"), F.count("*").alias("n")), "runs")
+    later = ahead.join(runs.where("n > 1").select(*key, "earliest"), key).where(F.struct("id", "th", "first") > F.col("earliest"))
+    later = written(later.select("id", "th", "first", "last"), "later-runs")
+    # different runs with one minimiser may share windows
+    counts = runs.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1")
+    left = runs.join(counts, "hash").select(*key, "earliest", "rows")
+    left = inside.where("hash is not null").join(left, key).where(F.struct("id", "th", "first").eqNullSafe(F.col("earliest")))
+    left = written(left.select("id", "th", "first", "hash", "reps", "bytes", "shard", "rows"), "run-variants", "zstd")
     out = f"id {kind}, th long, first int, last int"
-    few = ahead.join(counts.where(F.col("rows") <= HOT_ROWS).select("hash"), "hash", "left_semi").select(*ahead.columns)
-    across = few.repartition("hash").sortWithinPartitions("hash").mapInArrow(_merges, out)
-    many = ahead.join(counts.where(F.col("rows") > HOT_ROWS).select("hash"), "hash", "left_semi").select(*ahead.columns)
+    few = left.where(F.col("rows") <= HOT_ROWS).drop("rows")
+    across = written(few.repartition("hash").sortWithinPartitions("hash").mapInArrow(_merges, out), "merged")
+    many = left.where(F.col("rows") > HOT_ROWS).drop("rows")
     single = written(many.mapInArrow(_hot, f"id {kind}, th long, first int, window binary"), "hot-windows", "zstd")
     firsts = written(single.groupBy("window").agg(F.min(F.struct("id", "th", "first")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"), "hot-firsts")
     split = single.join(firsts, "window").where(F.struct("id", "th", "first") > F.col("earliest")).select("id", "th", "first", F.col("first").alias("last"))
-    return inside.where("hash is null").select("id", "th", "first", "last").union(across).union(split)
+    every = written(inside.where("hash is null").select("id", "th", "first", "last").union(later).union(across).union(split), "repeats")
+    forget(inside, runs, later, left, across, single, firsts)
+    return every
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
