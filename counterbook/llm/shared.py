@@ -24,15 +24,16 @@ def shared_folder(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy", by: str | None = None) -> DataFrame:
     """``df`` written to a fresh folder of the shared place and read again: the
-    lineage is cut by files, not by blocks of one executor."""
+    lineage is cut by files, not by blocks of one executor. ``by``: a column with a folder for each value."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.option("compression", codec).parquet(path)
+        out = df.write.option("compression", codec)
+        (out.partitionBy(by) if by else out).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before) if before is not None else spark.conf.unset(CLEAN_UP)
     out = spark.read.schema(df.schema).parquet(path)
@@ -40,11 +41,11 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     return out
 
 
-def forget(*tables: DataFrame) -> None:
-    """Removes tables that ``written`` made, once all that was built on them is written itself."""
+def forget(*tables: DataFrame, part: str = "") -> None:
+    """Removes tables that ``written`` made, or one folder of each, once all that was built on them is written itself."""
     for t in tables:
         sc = t.sparkSession.sparkContext
-        path = sc._jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path = sc._jvm.org.apache.hadoop.fs.Path(f"{t.written_path}/{part}" if part else t.written_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 

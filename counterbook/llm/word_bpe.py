@@ -2,13 +2,13 @@ r"""Operator 2: BPE encoding and decoding over a table of distinct words.
 
 The texts of a block (consecutive rows of one task, up to ``BLOCK_CHARS`` characters) are split into
 words; the block keeps its distinct words in order of first use, and each text as the places of
-its words in that list. The words of all blocks meet in one table, where each distinct word is encoded
+its words in that list. The words of all blocks meet in one table, by hash bucket, where each distinct word is encoded
 once; its ids go back to the blocks, by place, and every text's ids are joined up from them. Decoding
 looks the ids up in the id-to-piece table and joins the pieces as the tokenizer does.
 
-Scale. What is shuffled are distinct words of blocks, not words: a frequent word is one row a block. Blocks
+Scale. What is shuffled are distinct words of blocks, not words: a frequent word is there once a block. Blocks
 and their word places are written once to the shared folder, so the lists that two jobs read are the same
-after the loss of an executor. The pieces are a table of the vocabulary's size.
+after the loss of an executor. A bucket's rows are read one by one; a task keeps the distinct words of one bucket. The pieces are a table of the vocabulary's size.
 
 Defined results: a null or empty text has no ids and decodes to the empty text; a text longer than a block is a block
 of its own; rows are encoded one by one, equal ids or texts or not; an empty table gives an empty table; columns
@@ -29,9 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import type_of, written
+from .shared import forget, type_of, written
 
-BLOCK_CHARS = 16_000_000
+#: Characters of a block, texts of a chunk, and hash buckets in which the words of all blocks meet.
+BLOCK_CHARS, CHUNK, BUCKETS = 16_000_000, 256, 1024
 #: Fixed values of the tokenizer format: the word pattern whose splitting is done here, and the normaliser before it. Other
 #: tokenizers, and texts with characters from U+0250 on, are normalised and split by the tokenizers library.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -105,9 +106,9 @@ class Block:
         return out
 
 
-def packed(places: list[int]) -> bytes:
-    """Places as compressed byte planes."""
-    return zlib.compress(np.array(places, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+def packed(numbers) -> bytes:
+    """Unsigned numbers as compressed byte planes."""
+    return zlib.compress(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -115,67 +116,83 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def split_blocks(docs: DataFrame, config, id_col: str, text_col: str) -> DataFrame:
-    """(block, row, id, places) of each text and (block, words) of each block, in one table of the shared folder."""
+    """One table of the shared folder with two kinds of rows. Texts, ``CHUNK`` at a time: (block, ids, sizes,
+    places), the sizes and places of their words. Words of a block, by bucket (a hash of the word): (block, bucket, words, places)."""
     kind = type_of(docs, id_col)
 
     def run(batches):
-        splitter, part, count, row, chars = Splitter(config.value), TaskContext.get().partitionId(), 0, 0, 0
-        block = Block(splitter)
-        id_type = pa.null()
+        splitter, part, count, chars, held = Splitter(config.value), TaskContext.get().partitionId(), 0, 0, False
+        block, id_type = Block(splitter), pa.null()
 
-        def rows(ids, places, words):
-            n = len(ids)
+        def table(rows, ids):
+            n = len(rows)
             return pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | count] * n, pa.int64()), pa.array(range(row - n, row) if words is None else [-1], pa.int64()), ids, pa.array(places, pa.binary()), pa.array([words] * n, pa.list_(pa.string()))],
-                ["block", "row", "id", "places", "words"],
+                [pa.array([part << 32 | count] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), ids, *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))],
+                ["block", "bucket", "ids", "sizes", "places", "words"],
             )
 
+        def texts(ids, each):
+            flat = [p for places in each for p in places]
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return table([(None, packed([len(p) for p in each]), packed(flat), None)], lists)
+
+        def words():
+            buckets: dict[int, list[str]] = {}
+            for w in block.words:
+                buckets.setdefault(zlib.crc32(w.encode()) % BUCKETS, []).append(w)
+            rows = [(b, None, packed([block.words[w] for w in ws]), zlib.compress("\n".join(ws).encode(), 4)) for b, ws in buckets.items()]
+            for k in range(0, len(rows), 1000):
+                yield table(rows[k : k + 1000], pa.nulls(len(rows[k : k + 1000]), pa.list_(id_type)))
+
         for batch in batches:
-            id_type, lo, places = batch.column(0).type, 0, []
+            id_type, lo, each = batch.column(0).type, 0, []
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
-                if row and chars + len(text) > BLOCK_CHARS:
-                    if places:
-                        yield rows(batch.column(0).slice(lo, k - lo), places, None)
-                    yield rows(pa.nulls(1, id_type), [None], list(block.words))
-                    block, count, row, chars, lo, places = Block(splitter), count + 1, 0, 0, k, []
-                places.append(packed(block.places(text)))
-                row, chars = row + 1, chars + len(text)
-            if places:
-                yield rows(batch.column(0).slice(lo), places, None)
-        if row:
-            yield rows(pa.nulls(1, id_type), [None], list(block.words))
-
-    texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return written(texts.mapInArrow(run, f"block long, row long, id {kind}, places binary, words array<string>"), "bpe-blocks", "zstd")
+                if each and len(each) >= CHUNK or held and chars + len(text) > BLOCK_CHARS:
+                    if each:
+                        yield texts(batch.column(0).slice(lo, k - lo), each)
+                    lo, each = k, []
+                    if chars + len(text) > BLOCK_CHARS:
+                        yield from words()
+                        block, count, chars, held = Block(splitter), count + 1, 0, False
+                each.append(block.places(text))
+                chars, held = chars + len(text), True
+            if each:
+                yield texts(batch.column(0).slice(lo), each)
+        if held:
+            yield from words()
+
+    split = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    rows = split.mapInArrow(run, f"block long, bucket int, ids array<{kind}>, sizes binary, places binary, words binary")
+    return written(rows.withColumn("kind", F.when(F.col("words").isNull(), F.lit("texts")).otherwise(F.lit("words"))), "bpe-blocks", "zstd", "kind")
 
 
 def encode_words(words: DataFrame, config) -> DataFrame:
-    """(block, at, ids) lists of the words of (word, block, at): rows of a word meet in one task, sorted, and each distinct word is encoded once."""
+    """(block, places, sizes, ids) of each row's words: all rows of a bucket meet in one task, one bucket after the other, and each distinct word is encoded once."""
 
     def run(batches):
         splitter = Splitter(config.value)
-        last, ids = None, []
+        known: dict[str, np.ndarray] = {}
+        bucket = None
+
+        def ids_of(w):
+            if w not in known:
+                t = splitter.tokenizer
+                known[w] = np.array([t.token_to_id(w[1:])] if w[0] == " " else [x.id for x in t.model.tokenize(w)], "<u4")
+            return known[w]
+
         for batch in batches:
-            column = batch.column(0).dictionary_encode()
-            each = []
-            for w in column.dictionary.to_pylist():
-                if w != last:
-                    last = w
-                    ids = [splitter.tokenizer.token_to_id(w[1:])] if w[0] == " " else [t.id for t in splitter.tokenizer.model.tokenize(w)]
-                each.append(np.array(ids, np.int32))
-            code, block, at = column.indices.to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            order = np.argsort(block, kind="stable")
-            size = np.array([len(x) for x in each], np.int32)
-            cut = np.flatnonzero(np.diff(block[order], prepend=block[order[0]] - 1)) if len(order) else []
-            for a, b in zip(cut, [*cut[1:], len(order)], strict=True):
-                rows = order[a:b]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block[rows[0]]]), pa.array([at[rows].astype("<u4").tobytes()], pa.binary()), pa.array([size[code[rows]].astype("<u4").tobytes()], pa.binary()), pa.array([np.concatenate([each[c] for c in code[rows]]).astype("<u4").tobytes()], pa.binary())],
-                    ["block", "at", "sizes", "ids"],
-                )
-
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block long, at binary, sizes binary, ids binary")
+            sizes, ids = [], []
+            for b, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if b != bucket:
+                    bucket, known = b, {}
+                each = [ids_of(w) for w in zlib.decompress(data).decode().split("\n")]
+                sizes.append(packed([len(x) for x in each]))
+                ids.append(packed(np.concatenate(each)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "places", "sizes", "ids"])
+
+    meet = words.select("block", "bucket", "places", "words").repartition("bucket").sortWithinPartitions("bucket")
+    return meet.mapInArrow(run, "block long, places binary, sizes binary, ids binary")
 
 
 def pieces(config: str) -> list[str]:
@@ -196,16 +213,16 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
     sc = docs.sparkSession.sparkContext
     config, table = sc.broadcast(text), sc.broadcast(pieces(text))
     blocks = split_blocks(docs, config, id_col, text_col)
-    words = blocks.where("row < 0").select("block", F.posexplode("words").alias("at", "word")).select("word", "block", "at")
-    answers = encode_words(words, config)
-    texts = blocks.where("row >= 0").select("block", "id", "places")
+    answers = written(encode_words(blocks.where("kind = 'words'"), config), "bpe-ids", "zstd")
+    forget(blocks, part="kind=words")
+    texts = blocks.where("kind = 'texts'").select("block", "ids", "sizes", "places")
     kind = type_of(docs, id_col)
 
     def join_up(key, left, right):
         """A block's texts with the ids of its words, by place."""
-        at, sizes, ids = (np.frombuffer(b"".join(right.column(c).to_pylist()), "<u4") for c in ("at", "sizes", "ids"))
-        order = np.argsort(at)  # every place of the block's list, once
+        at, sizes, ids = (np.concatenate([unpacked(x) for x in right.column(c).to_pylist()]) for c in ("places", "sizes", "ids")) if len(right) else [np.zeros(0, "<u4")] * 3
         sizes = sizes.astype(np.int64)
+        order = np.argsort(at)  # every place of the block's list, once
         begin = np.concatenate([[0], np.cumsum(sizes)])[:-1].astype(np.int64)
         size = sizes[order]
         off = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
@@ -214,17 +231,17 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
         names = pa.array(table.value, pa.large_string())
         word_text = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(off), names.take(of_word.values)), pa.scalar(" ", pa.large_string()))
         out = []
-        for lo in range(0, len(left), 512):
-            part = left.slice(lo, 512)
-            places = [unpacked(x) for x in part.column("places").to_pylist()]
-            flat = pa.array(np.concatenate(places).astype(np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(p) for p in places])]).astype(np.int64)
+        for row in range(len(left)):  # a chunk of texts at a time
+            flat = pa.array(unpacked(left.column("places")[row].as_py()).astype(np.int64))
+            n_words = unpacked(left.column("sizes")[row].as_py()).astype(np.int64)
+            ends = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int64)
             got = of_word.take(flat)
             cut = np.concatenate([[0], np.cumsum(pc.list_value_length(got).to_numpy())]).astype(np.int64)[ends]
             raw = got.flatten().to_numpy().astype("<u4").tobytes()
             decoded = pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), word_text.take(flat)), pa.scalar(" ", pa.large_string()))
-            out.append(pa.table({"id": part.column("id"), "n_tokens": pa.array(np.diff(cut)), "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:])], pa.binary()), "decoded": decoded.cast(pa.string())}))
-        return pa.concat_tables(out) if out else pa.table({"id": left.column("id"), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})
+            id_list = left.column("ids")[row].values
+            out.append(pa.table({"id": id_list, "n_tokens": pa.array(np.diff(cut)), "ids": pa.array([raw[4 * a : 4 * b] for a, b in zip(cut, cut[1:])], pa.binary()), "decoded": decoded.cast(pa.string())}))
+        return pa.concat_tables(out) if out else pa.table({"id": pa.array([], left.column("ids").type.value_type), "n_tokens": pa.array([], pa.int64()), "ids": pa.array([], pa.binary()), "decoded": pa.array([], pa.string())})
 
     both = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(join_up, f"id {kind}, n_tokens long, ids binary, decoded string")
     return both.withColumnRenamed("id", id_col)
