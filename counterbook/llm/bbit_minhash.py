@@ -7,12 +7,12 @@ collisions, estimates the similarity of a candidate pair. Candidates near or abo
 threshold are confirmed on their full shingle sets, so every link is exact.
 
 Scale. Documents with equal shingle sets are one class from the start, so a
-group of copies is one row however large it is. In a bucket, every class is first paired
-with the smallest class of the bucket only, and of these pairs each class confirms its likeliest one
-first; links are contracted to components. What is left are
-pairs of one bucket in different components: all of them are compared, one side being the classes outside the
-bucket's largest component, so a bucket that one large group fills costs its strays times its size and emits no pair inside the group.
-No bucket is capped and no candidate dropped.
+group of copies is one row however large it is. In a bucket, every class is paired with the bucket's
+head only: the class that meets most others in all its buckets, which in a group of near copies is
+the least changed one. Each class confirms its likeliest head; links are contracted to
+components. Classes that share a
+bucket across components are settled by an exact prefix filter on their rarest shingles. No bucket is capped, no candidate
+dropped, and no step emits the pairs of a group.
 
 Defined results: a text without words (or null) has an empty set, links with
 nothing and is its own component; with fewer words than a shingle the whole sequence is one
@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import type_of, written
+from .shared import forget, type_of, written
 
 SHINGLE, SIMILARITY = 5, 75  # words, hundredths
 HASHES, BAND_ROWS, BITS = 128, 4, 2
 LONGS = HASHES * BITS // 64
 #: Candidates whose estimate is lower than the threshold by more than so many standard errors are not confirmed.
-MARGIN_ERRORS = 4.0
+MARGIN_ERRORS = 3.5
 
 
 def shingle_sets(data, offsets, powers, table, words: int = SHINGLE):
@@ -187,51 +187,71 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) of each row: the smallest id that links reach."""
     feats = written(features(docs, id_col, text_col), "minhash")
-    # classes of equal sets
-    classes = written(feats.where("n_shingles > 0 and id is not null").groupBy("set_a", "set_b").agg(F.min("id").alias("node")), "classes")
-    own = feats.where("id is not null and n_shingles > 0").join(classes, ["set_a", "set_b"]).select("id", "node")
-    same = own.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))  # an id with two texts ties their classes
-    tied = own.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    reps = feats.select("id", "set_a", "set_b", "bands", "bits").join(classes, ["set_a", "set_b"]).where("id = node")
-    reps = reps.dropDuplicates(["node", "set_a", "set_b"])
-    buckets = reps.select("node", F.explode("bands").alias("bucket"), *[F.col("bits")[k].alias(f"s{k}") for k in range(LONGS)])
-    # a bucket's members, once more than one class is in it
-    members = written(buckets.select("bucket", "node").distinct(), "buckets")
-    shared = written(members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "shared-buckets")
-    in_shared = members.join(shared, "bucket").select("bucket", "node", "head")
-    bits = reps.select("node", *[F.col("bits")[k].alias(f"s{k}") for k in range(LONGS)]).dropDuplicates(["node"])
-    bits = written(bits.join(in_shared.select("node").distinct(), "node", "left_semi"), "bits")
-    star = in_shared.where("node <> head").groupBy("head", "node").agg(F.count("*").alias("bands"))
-    star = written(rated(star.select(F.col("head").alias("a"), F.col("node").alias("b")), bits), "star-pairs")
-    keyed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    # first each class's likeliest star pair
-    best = star.groupBy("b").agg(F.max(F.struct("same", F.negative("a").alias("a"))).alias("x")).select(F.negative("x.a").alias("a"), "b")
-    wanted = star.select(F.col("a").alias("node")).union(star.select(F.col("b").alias("node"))).distinct()
-    sets = written(full_sets(keyed, wanted, id_col), "sets", "lz4")
+    # classes of equal sets; an id with two texts ties their classes together
+    known = feats.where("id is not null and n_shingles > 0")
+    classes = written(known.groupBy("set_a", "set_b").agg(F.min("id").alias("node")), "classes")
+    own = known.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("id", "node")
+    same = own.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
+    reps = known.join(classes, ["set_a", "set_b"]).where("id = node").select("node", "bands", "bits").dropDuplicates(["node"])
+    # buckets with more than one class
+    members = written(reps.select("node", F.explode("bands").alias("bucket")), "buckets")
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    held = written(members.join(shared, "bucket").select("bucket", "node", "n"), "held")
+    nodes = written(held.groupBy("node").agg(F.sum("n").alias("weight")), "held-nodes")
+    bits = written(reps.join(nodes, "node", "left_semi").select("node", *[F.col("bits")[k].alias(f"s{k}") for k in range(LONGS)]), "bits")
+    sets = written(full_sets(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), nodes.select("node")), "sets", "lz4")
+    # each bucket's head is the class that meets most others in its buckets: the least changed copy of a group
+    heads = held.join(nodes, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
+    star = held.select("bucket", "node").join(written(heads, "heads"), "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    star = written(rated(star, bits), "star-pairs")
+    best = star.groupBy("b").agg(F.max(F.struct("same", "a"))["a"].alias("a")).select("a", "b")
     links = written(confirmed(best, sets), "links")
     comp = components(links, "components-1")
-    # then whatever pair of one bucket is still in two components
-    left = in_shared.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    left = written(left, "bucket-components")
-    mixed = left.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    left = written(left.join(mixed, "bucket", "left_semi"), "mixed-buckets")
-    sizes = left.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    largest = written(sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("largest")), "largest")
-    strays = left.join(largest, "bucket").where("component <> largest").select("bucket", F.col("node").alias("x"), F.col("component").alias("cx"))
-    strays = written(strays, "strays")
-    pairs = (
-        strays.join(left, "bucket").where("cx <> component").select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    )
-    rest = written(rated(pairs, bits).join(best, ["a", "b"], "left_anti"), "rest-pairs")
-    more = rest.select(F.col("a").alias("node")).union(rest.select(F.col("b").alias("node"))).distinct()
-    more = more.join(sets.select("node"), "node", "left_anti")
-    more_sets = written(full_sets(keyed, more, id_col), "more-sets", "lz4")
-    links2 = confirmed(rest.select("a", "b"), sets.union(more_sets))
-    comp = components(links.union(links2).union(same).union(tied), "components-2")
+    # whatever is left: classes that share a bucket across components
+    placed = written(held.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
+    sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    mixed = placed.join(written(mixed, "mixed-buckets"), "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
+    rest = prefix_pairs(written(mixed, "mixed-nodes"), sets)
+    links = links.union(confirmed(written(rest, "rest-pairs"), sets)).union(same)
+    comp = components(links, "components-2")
+    forget(members, held, bits, sets, star)
     out = feats.select("id", "n_shingles").join(comp, feats["id"] == comp["node"], "left")
     return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component")).withColumnRenamed("id", id_col)
 
 
+def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (columns node, component, stray) in different components, one of them a stray, that may have the similarity.
+    Exact: with shingles ordered from the rarest, two sets of that similarity share one of their first n - ceil(s * n) + 1, and
+    from their first common one on, enough are left to reach it. (A later common one may fall short; the first does not.) A changed
+    copy's rarest shingles are its changes, so a group's members propose few pairs however many they are."""
+
+    def shingles(batches):
+        for batch in batches:
+            for lo in range(0, len(batch), 200):
+                part = batch.slice(lo, 200)
+                each = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column(1)]
+                size = np.array([len(x) for x in each])
+                at = pa.array(np.repeat(np.arange(len(each)), size))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(at), pa.array(np.repeat(size, size)), pa.array(np.concatenate(each))], ["node", "size", "shingle"])
+
+    each = written(
+        sets.join(nodes, "node", "left_semi").select("node", "set").mapInArrow(shingles, f"node {type_of(sets, 'node')}, size long, shingle long"), "shingles"
+    )
+    often = written(each.groupBy("shingle").agg(F.count("*").alias("n")), "shingle-counts")
+    listed = each.join(often, "shingle").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("all"))
+    length = F.col("size") - F.ceil(F.col("size") * SIMILARITY / 100) + 1
+    first = listed.select("node", "size", F.posexplode(F.slice("all", F.lit(1), length.cast("int"))).alias("place", "x")).where("x.n > 1")
+    first = first.select("node", "size", "place", "x.shingle")
+    first = written(first.join(nodes, "node"), "prefixes")
+    x = first.where("stray").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("place").alias("px"))
+    y = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("ny"), F.col("place").alias("py"))
+    # what can still be common from here on must reach s / (1 + s) of the sizes' sum
+    rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
+    alike = (rest * (100 + SIMILARITY) >= (F.col("nx") + F.col("ny")) * SIMILARITY) & (F.col("cx") != F.col("cy"))
+    return x.join(y, "shingle").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def rated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs whose b-bit agreement doesn't rule the threshold out, with it."""
     a = bits.select(F.col("node").alias("a"), *[F.col(f"s{k}").alias(f"x{k}") for k in range(LONGS)])
@@ -240,8 +260,8 @@ def rated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return both.where(F.col("same") >= least_agreement())
 
 
-def full_sets(keyed: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
-    """(node, full shingle set) of the wanted ids."""
+def full_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, full shingle set) of the wanted ids; of different texts under one id, the set that is smallest in byte order."""
 
     def run(batches):
         table, powers = T.byte_table(), T.Powers()
@@ -252,4 +272,4 @@ def full_sets(keyed: DataFrame, wanted: DataFrame, id_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(values, pa.binary())], ["node", "set"])
 
     few = keyed.join(wanted, keyed["id"] == wanted["node"], "left_semi").select("id", "text")
-    return few.mapInArrow(run, f"node {type_of(keyed, 'id')}, set binary").dropDuplicates(["node"])
+    return few.mapInArrow(run, f"node {type_of(keyed, 'id')}, set binary").groupBy("node").agg(F.min("set").alias("set"))
