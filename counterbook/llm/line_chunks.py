@@ -1,10 +1,11 @@
-r"""Operator 3: line dedup by content-defined chunks.
+r"""Operator 3: line dedup by overlapping chunks of lines.
 
-A text's lines are cut into chunks where a rolling hash over the hashes of the
-last two lines hits a fixed residue, so a passage that two documents share is cut at the
-same lines wherever it stands in them. A chunk of at least two lines with a word whose
-bytes occur earlier (smaller id, or earlier in the same text) is removed: chunk
-hashes find the candidates, their bytes decide.
+A chunk goes from a line with a word to the next line with a word, blank lines between included, so one
+starts at every line with a word but the last and each run of lines that two documents share is covered by
+chunks that both hold, wherever it stands in them. A chunk whose bytes occur earlier (smaller id, or
+earlier in the same text) is removed: chunk hashes find the candidates, their bytes decide. What goes is thus
+exactly the lines of every run with two or more worded lines that stands earlier too; the
+earliest place of a line always stays.
 
 Defined results: a null or empty text has one line without a word, and stays as it is; a text
 of any length is cut whole; rows with the same id and the same text count as one document and get the same
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 from . import textops as T
 from .shared import fresh, type_of, written
 
-#: Lines under the rolling hash, and one border in so many lines on average.
+#: Of the former rule: lines under the rolling hash, and one border in so many lines on average.
 ROLLING_LINES, MEAN_LINES = 2, 3
 
 
 def chunk_ranges(data, offsets, h: T.Hasher):
-    """(start, end, lines, lines with a word, hash) of each chunk, and the first chunk of each text."""
+    """(start, end, lines, lines with a word, hash) of each chunk by the former rule, borders at a hash of two lines, and the
+    first chunk of each text. The operator does not use it; tests of that rule do."""
     ls, le, lf = T.line_ranges(data, offsets)
     lh = h.of(ls, le)
     line = np.arange(len(ls)) - lf[T.owners(lf)]
@@ -46,23 +48,33 @@ def chunk_ranges(data, offsets, h: T.Hasher):
     return start, end, last + 1 - begin, wordy[last + 1] - wordy[begin], h.of(start, end), np.searchsorted(begin, lf)
 
 
+def line_pairs(data, offsets):
+    """(first line, last line) of each overlapping chunk, the first chunk of each text, and the lines."""
+    ls, le, lf = T.line_ranges(data, offsets)
+    inside = T.counts(~T.SPACE[data])
+    worded = np.flatnonzero(inside[le] > inside[ls])
+    doc = T.owners(lf)[worded]
+    same = doc[1:] == doc[:-1]
+    return worded[:-1][same], worded[1:][same], np.searchsorted(doc[1:][same], np.arange(len(lf))), (ls, le, lf)
+
+
 def _each(batches, text_at: int, run):
     table, powers = T.byte_table(), T.Powers()
     for batch in batches:
         for lo, hi, data, offsets in T.slices(batch.column(text_at)):
-            found = chunk_ranges(data, offsets, T.Hasher(data, table, powers))
+            a, b, first, (ls, le, _) = line_pairs(data, offsets)
+            found = ls[a], le[b], T.Hasher(data, table, powers).of(ls[a], le[b]), first
             yield from run(batch.slice(lo, hi - lo), data, found)
 
 
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per chunk with two or more wordy lines: id, hash of the whole text, place, chunk hash."""
+    """One row per overlapping chunk: id, hash of the whole text, place, chunk hash."""
 
     def rows(batch, data, found):
-        start, end, lines, wordy, ch, first = found
-        take = np.flatnonzero(wordy > 1)
-        doc = T.owners(first)[take]
+        _, _, ch, first = found
+        doc = T.owners(first)
         at = pa.array(doc)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(take - first[doc]).cast(pa.int32()), pa.array(ch[take].view(np.int64))], ["id", "th", "chunk", "hash"])
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(np.arange(len(ch)) - first[doc]).cast(pa.int32()), pa.array(ch.view(np.int64))], ["id", "th", "chunk", "hash"])
 
     keyed = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), docs[text_col].alias("text"))
     return keyed.mapInArrow(lambda b: _each(b, 2, rows), f"id {type_of(docs, id_col)}, th long, chunk int, hash long")
@@ -76,7 +88,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = chunks.join(often, "hash", "left_semi").groupBy("id", "th").agg(F.collect_set("chunk").alias("wanted"))
 
     def rows(batch, data, found):
-        start, end, lines, wordy, ch, first = found
+        start, end, ch, first = found
         want = batch.column(3)
         row = np.repeat(np.arange(len(want)), np.diff(want.offsets.to_numpy()))
         chunk = want.flatten().to_numpy(zero_copy_only=False)
@@ -98,7 +110,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_chunks", keep_empty: bool = True) -> DataFrame:
     """``docs`` with the repeated chunks taken out of the text (a column
-    ``n_chars``, where there is one, follows it), and the number of chunks taken out.
+    ``n_chars``, where there is one, follows it), and the number of runs of lines taken out, each of overlapping chunks.
     ``keep_empty=False`` leaves out documents that had words and have none left."""
     gone = repeated_chunks(docs, id_col, text_col)
     names = docs.columns
@@ -110,20 +122,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_at, chars_at = names.index(text_col), names.index("n_chars") if "n_chars" in names and type_of(docs, "n_chars") == "bigint" else None
 
     def cleaned(batches):
-        table, powers = T.byte_table(), T.Powers()
         for batch in batches:
             texts, want = batch.column(text_at), batch.column(len(names))
             todo = np.flatnonzero(np.diff(want.offsets.to_numpy()) > 0) if len(want) else np.zeros(0, np.int64)
             new: dict[int, bytes] = {}
-            some = texts.take(pa.array(todo))
+            taken = np.zeros(len(batch), np.int64)
+            some, drops = texts.take(pa.array(todo)), want.take(pa.array(todo))
             for lo, hi, data, offsets in T.slices(some):
-                start, end, _, _, _, first = chunk_ranges(data, offsets, T.Hasher(data, table, powers))
-                for k in range(hi - lo):
-                    drop = set(want[int(todo[lo + k])].as_py())
-                    new[int(todo[lo + k])] = b"\n".join(data[start[c] : end[c]].tobytes() for j, c in enumerate(range(first[k], first[k + 1])) if j not in drop)
+                a, b, first, (ls, le, lf) = line_pairs(data, offsets)
+                for k in range(lo, hi):
+                    x, y = lf[k - lo], lf[k - lo + 1]
+                    c = first[k - lo] + drops[k].values.to_numpy()
+                    change = np.zeros(y - x + 1, np.int64)
+                    np.add.at(change, a[c] - x, 1)
+                    np.add.at(change, b[c] + 1 - x, -1)
+                    edge = np.diff(np.concatenate([[0], np.cumsum(change[:-1]) == 0, [0]]).astype(np.int8))
+                    begin, end = x + np.flatnonzero(edge > 0), x + np.flatnonzero(edge < 0) - 1
+                    new[int(todo[k])] = b"\n".join([data[ls[i] : le[j]].tobytes() for i, j in zip(begin, end, strict=True)])
+                    taken[todo[k]] = len(begin) + 1 - (len(begin) > 0 and begin[0] == x) - (len(begin) > 0 and end[-1] == y - 1)
             columns = list(batch.columns[: len(names)])
-            taken = np.zeros(len(batch), np.int64)
-            taken[todo] = np.diff(want.offsets.to_numpy())[todo]
             stays = np.ones(len(batch), bool)
             if new:
                 put = np.zeros(len(batch), bool)

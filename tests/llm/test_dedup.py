@@ -76,6 +76,48 @@ def test_line_dedup_follows_n_chars_and_drops_the_emptied(spark):
     assert out[1].text == text and out[2].n_chars == len(out[2].text) < len(text) and out[3].text == ""
 
 
+def brute_runs(rows):
+    """Every run of lines with two or more worded ones that stands earlier too goes: places with an equal line are
+    extended line by line. (runs taken out, text) by id."""
+    lines, at = [], []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        at.append((i, len(lines), len(lines) + len((text or "").split("\n"))))
+        lines += [*(text or "").split("\n"), None]  # None: the end of a text
+    worded = [bool(x and x.strip(" \t\n\x0b\x0c\r")) for x in lines]
+    gone, places = [False] * len(lines), defaultdict(list)
+    for p, line in enumerate(lines):
+        if not worded[p]:
+            continue
+        for q in places[line]:
+            n = 1
+            while lines[p + n] is not None and lines[q + n] == lines[p + n]:
+                n += 1
+            while not worded[p + n - 1]:
+                n -= 1
+            if sum(worded[p : p + n]) > 1:
+                gone[p : p + n] = [True] * n
+        places[line].append(p)
+    return {i: (sum(gone[k] and not (k > a and gone[k - 1]) for k in range(a, b)), "\n".join(lines[k] for k in range(a, b) if not gone[k])) for i, a, b in at}
+
+
+def test_every_repeated_run_of_lines_goes(spark, texts):
+    import random
+
+    r = random.Random(5)
+    rows = [(k, "\n".join(r.choice(["a", "b", "c", "d e", "", " "]) for _ in range(r.randrange(1, 9)))) for k in range(150)]
+    for n in range(2, 41):  # passages of 2 to 40 lines between lines of their own
+        passage = "\n".join(f"line {k} of passage {n}" + "\n" * (k % 5 == 4) for k in range(n))
+        rows += [(1000 * n + k, f"own {k} {n}\n{passage}\nend {k} {n}") for k in range(3)]
+    want = brute_runs(rows)
+    assert want[2001] == (1, "own 1 2\nend 1 2")
+    got = {x.doc_id: (x.removed_chunks, x.text) for x in L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert got == want
+    want = brute_runs(texts.items())
+    for x in queries.QUERIES["op3_line_chunks"](spark, SF).collect():
+        gone, kept = want[x.doc_id]
+        assert (x.removed_chunks, x.kept_chars, x.kept_sha256) == (gone, len(kept), hashlib.sha256(kept.encode()).hexdigest())
+
+
 # -- suffix arrays ------------------------------------------------------------------------------------------------------
 
 
