@@ -29,6 +29,17 @@ def test_run_matches_brute_force(spark):
         assert got[i] == (n, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
 
 
+def test_exact_copies_of_several_lines_go_whole(spark):
+    text = lambda n, own="": "\n".join(f"line {k} of text {n} {own} has words {k * n} of its own" for k in range(n))
+    rows = [(100 * copy + n, ("\n" if n % 3 == 0 else "") + text(n) + ("\n\n" if n % 4 == 0 else "")) for n in range(2, 41) for copy in (1, 2, 3)]
+    rows += [(1, text(30, "other")), (1002, text(6) + "\n" + text(8, "new"))]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").repartition(4)
+    left = corpus_pipeline.near_dedup(spark, corpus_pipeline.line_dedup(spark, docs, SMALL), SMALL)
+    got = {r.doc_id: r.text for r in left.collect()}
+    assert set(got) == {1, 1002, *(100 + n for n in range(2, 41))}
+    assert got[1002] == text(8, "new") and got[140] == dict(rows)[140]
+
+
 def test_stages_keep_the_columns_and_take_odd_rows(spark, odd):
     for docs in (odd, odd.limit(0)):
         for name, stage in corpus_pipeline.STAGES[:-1]:
