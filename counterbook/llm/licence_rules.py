@@ -1,8 +1,9 @@
 r"""Operator 5: licence scan by known sentences and ordered rules.
 
-A text is cut into sentences, each is normalised (A-Z lower-cased, everything but ASCII
-letters and digits one blank) and looked up among known licence sentences. The
-identifiers a document has, in order, are matched against licence rules: a rule holds where its
+A text is cut at sentence ends, and the lines of each piece are normalised (A-Z lower-cased, everything but ASCII
+letters and digits one blank, so comment marks and indents go). Lines that follow one another, one or several, are
+looked up among known licence sentences; no sentence goes over a line without a letter or digit, and one inside
+a longer one is dropped. The identifiers a document has, in order, are matched against licence rules: a rule holds where its
 identifiers follow one another in that sequence. A match inside a longer one is
 dropped. Only DataFrame functions are used.
 
@@ -104,9 +105,10 @@ RULES = {
     "mit-reserved": ("MIT", ["reserved", "mit-mention"]),
 }
 
-#: A single line break inside a sentence: between small letters, or between capitals.
+#: Of the oracle: a single line break inside a sentence, between small letters, or between capitals.
 WRAPPED = r"""([a-z,])\r?\n([a-z("])|([A-Z,])\r?\n([A-Z("])"""
-#: Where a sentence ends.
+#: Where a sentence ends; of the oracle, every line break that is not WRAPPED too.
+SENTENCE_END = r"[.!?]+[ \t\r\n]+"
 BORDER = r"[.!?]+[ \t\r\n]+|\n+"
 
 
@@ -132,12 +134,23 @@ def _plain(text: str) -> str:
 
 def known_sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, place, known): the known sentences of each document, numbered from 0 in order."""
-    known, _, _ = fixed_tables(docs.sparkSession)
-    joined = F.regexp_replace(docs[text_col], WRAPPED, "$1$3 $2$4")
-    cut = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), F.split(joined, BORDER).alias("sentences"))
-    found = cut.select("id", "th", F.posexplode("sentences").alias("pos", "raw")).select("id", "th", "pos", normalised(F.col("raw")).alias("sentence"))
-    hits = found.join(F.broadcast(known), "sentence").select("id", "th", "pos", "known").distinct()
-    return hits.select("id", "th", (F.row_number().over(Window.partitionBy("id", "th").orderBy("pos")) - 1).alias("place"), "known")
+    known, _, plain = fixed_tables(docs.sparkSession)
+    sentences = sorted(plain.values())
+    most, longest = max(len(t.split()) for t in sentences), max(map(len, sentences))
+    # a sentence starts at a line with its first two words, or with nothing but the first
+    starts = "^(?:" + "|".join(sorted({" ".join(t.split()[:2]) for t in sentences})) + ")(?: |$)|^(?:" + "|".join(sorted({t.split()[0] for t in sentences})) + ")$"
+    cut = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), F.split(docs[text_col], SENTENCE_END).alias("pieces"))
+    pieces = cut.select("id", "th", F.posexplode("pieces").alias("pos", "raw"))
+    lines = pieces.select("id", "th", "pos", F.transform(F.split("raw", "\n"), lambda x: F.substring(normalised(x), 1, longest + 1)).alias("lines"))
+    at = F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: F.get("lines", i - 1).rlike(starts))
+    to = lambda i, j: F.struct(i.alias("start"), j.alias("end"), F.array_join(F.slice("lines", i, j - i + 1), " ").alias("sentence"))
+    held = lambda i: F.filter(F.transform(F.sequence(i, F.least(i + (most - 1), F.size("lines"))), lambda j: to(i, j)), lambda x: x["sentence"].isin(sentences))
+    found = lines.where(F.exists("lines", lambda x: x.rlike(starts))).select("id", "th", "pos", F.explode(F.flatten(F.transform(at, held))).alias("x"))
+    hits = found.select("id", "th", "pos", "x.start", "x.end", "x.sentence").join(F.broadcast(known), "sentence").drop("sentence").distinct()
+    order = Window.partitionBy("id", "th").orderBy("pos", "start", F.desc("end"))
+    reach = F.max(F.struct("pos", "end")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    outer = hits.withColumn("reach", reach).where("reach is null or reach < struct(pos, end)")
+    return outer.select("id", "th", (F.row_number().over(Window.partitionBy("id", "th").orderBy("pos", "start")) - 1).alias("place"), "known")
 
 
 def rule_matches(known: DataFrame) -> DataFrame:
