@@ -34,7 +34,7 @@ from .shared import forget, type_of, written
 #: Characters of a block, texts of a chunk, and hash buckets in which the words of all blocks meet.
 BLOCK_CHARS, CHUNK, BUCKETS = 16_000_000, 256, 1024
 #: Fixed values of the tokenizer format: the word pattern whose splitting is done here, and the normaliser before it. Other
-#: tokenizers, and texts with characters from U+0250 on, are normalised and split by the tokenizers library.
+#: tokenizers, and texts with characters that are, or lower to, ones from U+0250 on, are normalised and split by the tokenizers library.
 KNOWN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 KNOWN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 LATIN_END = 0x250
@@ -64,7 +64,8 @@ class Splitter:
         self.known = parts["normalizer"] == KNOWN_NORMALIZER and steps[0].get("pattern") == {"Regex": KNOWN_PATTERN} and steps[0].get("invert") and steps[0].get("behavior") == "Removed" and len(steps) == 2 and steps[1]["type"] == "ByteLevel" and not steps[1]["add_prefix_space"]
         kind = {k: "".join(re.escape(chr(c)) for c in range(LATIN_END) if unicodedata.category(chr(c))[0] == k) for k in "LN"}
         self.pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{kind['L']}]+|[{kind['N']}]|[^ \\t-\\r{kind['L']}{kind['N']}]+")
-        self.unusual = re.compile("[\x1c-\x1f\x85\xa0İ%s-\U0010ffff]" % chr(LATIN_END))
+        far = "".join(chr(c) for c in range(LATIN_END) if max(chr(c).lower()) >= chr(LATIN_END))
+        self.unusual = re.compile("[\x1c-\x1f\x85\xa0%s%s-\U0010ffff]" % (far, chr(LATIN_END)))
         self.letters = byte_letters()
 
     def mapped(self, word: str) -> str:

@@ -43,3 +43,12 @@ def test_empty_table(odd):
 def test_packed_numbers_round_trip():
     for numbers in ([], [0], [1, 2**32 - 1, 70000]):
         assert list(word_bpe.unpacked(word_bpe.packed(numbers))) == numbers
+
+
+def test_every_character_of_the_fast_path_is_the_librarys(spark):
+    rows = [(c, "{0} BAK{0} {0}BAK b{0}k {0}1 {0}{0}".format(chr(c))) for c in range(word_bpe.LATIN_END)] + [(1000 + c, chr(c)) for c in range(word_bpe.LATIN_END)]
+    docs = spark.createDataFrame([*rows, (2000, "BAK\u018f"), (2001, "\u0186kwan \u0190nyin")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_tokens, bytes(r.ids), r.decoded) for r in word_bpe.encode(docs, queries.vocabulary()).collect()}
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = {r.doc_id: t.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+    assert got == {i: (len(ids), np.array(ids, "<u4").tobytes(), t.decode(ids, skip_special_tokens=False)) for i, ids in want.items()}
