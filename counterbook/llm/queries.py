@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, chat_render, html_blocks, licence_rules, line_chunks, positional_index, quality_lines, rule_ensemble, suffix_dedup, word_bpe
+from . import bbit_minhash, chat_render, html_blocks, licence_rules, line_chunks, positional_index, quality_lines, rule_ensemble, suffix_dedup, word_bpe, word_runs
 from .shared import read_table
 
 QUERIES = {}
@@ -101,3 +101,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = html_blocks.extract(read_table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_blocks", "n_content")
+
+
+@query
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", word_runs.periodic_copy("doc_id", "text").alias("text"))
+    out = word_runs.period_runs(docs).withColumn("best", word_runs.strongest("runs"))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"), "n_words",
+    )
