@@ -7,8 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bbit_minhash, chat_render, html_blocks, licence_rules, line_chunks, personal_data, positional_index, quality_lines, rule_ensemble, suffix_dedup, word_bpe, word_runs
-from .shared import read_table
+from . import bbit_minhash, chat_render, html_blocks, licence_rules, line_chunks, personal_data, positional_index, prefix_trie, quality_lines, rule_ensemble, suffix_dedup, word_bpe, word_runs
+from .shared import read_table, written
 
 QUERIES = {}
 ORACLE = {}
@@ -121,3 +121,46 @@ def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     counts = [F.expr(f"cast(size(filter(spans, s -> s.base and s.kind = '{k}')) as long)").alias(f"n_{k}") for k in personal_data.KINDS]
     return out.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed("spans").alias("spans"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations rebuilt so that they share beginnings: up to three first turns come from a neighbour."""
+    turns = written(prefix_trie.turn_sequences(read_table(spark, sf_dir, "conversations")), "turn-sequences")
+    rebuilt = prefix_trie.spliced(turns, 20, F.crc32(F.col("conv_id").cast("string").cast("binary")) % 4)
+    out = prefix_trie.prefix_trie(rebuilt)
+    return out.select("conv_id", F.col("depth").cast("long").alias("depth"), "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+ORACLE["op12_prefix_trie"] = r"""
+with crcs as (
+  select conv_id, xor(list_reduce(list_prepend(4294967295::bigint, flatten(list_transform(range(1, length(conv_id::varchar) + 1),
+      lambda i: [ord(substring(conv_id::varchar, i, 1))::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, x: case when x >= 0 then xor(c, x) when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end), 4294967295::bigint) % 4 as h
+  from (select distinct conv_id from conversations where conv_id is not null)),
+own as (
+  select conv_id, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i,
+    md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as turn_id,
+    length(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as words
+  from conversations where conv_id is not null),
+spliced as (
+  select c.conv_id, 0 as src, o.i, o.turn_id, o.words from crcs c join own o on o.conv_id = c.conv_id - c.conv_id % 20 and o.i <= c.h
+  union all select c.conv_id, 1, o.i, o.turn_id, o.words from crcs c join own o on o.conv_id = c.conv_id and o.i > c.h),
+prefixes as (
+  select conv_id, row_number() over w as depth, string_agg(turn_id, '') over w as path, words from spliced
+  window w as (partition by conv_id order by src, i rows between unbounded preceding and current row)
+  union all select conv_id, 0, '', 0 from crcs),
+nodes as (select path, any_value(depth) as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(words) as words from prefixes group by path),
+ends as (
+  select path, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as digest
+  from (select conv_id, arg_max(path, depth) as path from prefixes group by conv_id) group by path),
+counted as (
+  select n.*, coalesce(c.n, 0) as n_children from nodes n
+  left join (select left(path, length(path) - 32) as above, count(*) as n from nodes where depth > 0 group by all) c on c.above = n.path),
+below as (
+  select left(path, 32 * k) as path, sum(case when n_children = 0 then 1 else 0 end) as n_leaves, sum((n_convs - 1) * words) as saved_tokens
+  from (select *, unnest(range(0, depth + 1)) as k from counted) group by 1)
+select n.conv_id, n.depth::bigint as depth, p.conv_id as parent_conv_id, n.n_convs, n.n_children, b.n_leaves::bigint as n_leaves, b.saved_tokens::bigint as saved_tokens,
+  coalesce(e.digest, sha256('')) as ends_sha256
+from counted n join below b on b.path = n.path left join ends e on e.path = n.path left join nodes p on n.depth > 0 and p.path = left(n.path, length(n.path) - 32)
+"""
