@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from ..functions.money import MONEY
 from ..functions.text import id_ok, id_or_null, new_id, number, required_text
+from ..session import cut_lineage
+from . import serial_bands
 from .changes import append_accepted
-from .joins import connected_components, keys_present, mark_first_in_key
+from .joins import keys_present, mark_first_in_key
 
 # Rejection texts of fee-rule loading and wallet posting.
 ERR_SERVICE_TYPE = "service_type must be one of: cash_in, cash_out"
@@ -183,8 +185,9 @@ def _fmt_amount(c: Column) -> Column:
     return s
 
 
-def _money_text(cents: int | None) -> str:
-    return ERR_OVERLAP_OPEN_MAX if cents is None else f"{cents // 100}.{cents % 100:02d}"
+def _shown(cents: str) -> Column:
+    """An amount of cents as text with two decimals."""
+    return F.concat((F.col(cents).cast("bigint") / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((F.col(cents) % 100).cast("string"), 2, "0"))
 
 
 def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00:00:00",
@@ -197,9 +200,8 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
     update may have moved, opened or deactivated it). Amounts are rounded to cents. The message names the
     overlapping band with the smallest minimum. Returns (outcome, new rules: one row per id).
 
-    What one candidate decides can matter to another only if their bands, in any
-    state that the batch can give them, overlap or they change the same rule. Rules and candidates
-    tied that way form components; each is walked in order, one component in one task."""
+    What a candidate decides can matter to any later one whose band it meets: the serial decisions are found
+    by ``serial_bands.decide``, in rounds over blocks of amounts. ``seq`` must be unique."""
     has = candidates.columns
     now = F.lit(str(as_of)).cast("timestamp_ntz")
 
@@ -221,80 +223,34 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
         given("fee_amount").isNotNull().alias("fee_given"), cents(given("fee_amount")).alias("fee"),
         given("is_active", "boolean").alias("act"))
     c = c.join(known, c["__id"] == known["__rid"], "left").withColumnRenamed("__rid", "rid").drop("__id")
-    c = c.withColumn("node", F.when(F.col("rid").isNotNull(), F.concat(F.lit("R"), F.col("rid")))
-                     .otherwise(F.concat(F.lit("C"), F.col("seq").cast("string"))))
     stored = rules.select(
         F.col("id").cast("string").alias("rid"), F.col("service_type").alias("st"), (F.col("min_amount") * 100).cast("bigint").alias("mn"),
         (F.col("max_amount") * 100).cast("bigint").alias("mx"), (F.col("fee_amount") * 100).cast("bigint").alias("fee"),
-        F.col("is_active").alias("act"), F.col("created_at").cast("string").alias("created"),
-        F.concat(F.lit("R"), F.col("id").cast("string")).alias("node"))
-    # every band a node can have in the course of the batch lies in its hull
-    changed = c.filter("rid is not null").select("node").distinct()
-    hulls = (c.select("node", "st", "mn", "mx", (F.col("mx_open") | (~F.col("mx_given") & F.col("rid").isNull())).alias("open"))
-             .unionByName(stored.join(changed.withColumn("__c", F.lit(True)), "node", "left").filter("act or __c")
-                          .select("node", "st", "mn", "mx", F.col("mx").isNull().alias("open"))))
-    hulls = hulls.groupBy("node").agg(F.collect_set("st").alias("types"), F.min(F.least("mn", "mx")).alias("lo"),
-                                      F.max(F.greatest("mn", "mx")).alias("hi"), F.max("open").alias("open"))
-    hulls = hulls.select("node", F.explode("types").alias("st"), "lo", F.when(F.col("open"), F.lit(TOP_CENTS)).otherwise(F.col("hi")).alias("hi"))
-    before = Window.partitionBy("st").orderBy("lo", "hi", "node").rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy("st").orderBy("lo", "hi", "node").rowsBetween(Window.unboundedPreceding, 0)
-    begins = hulls.filter("lo is not null").withColumn("__reach", F.max("hi").over(before)).withColumn(
-        "__new", F.when(F.col("lo") <= F.col("__reach"), F.lit(0)).otherwise(F.lit(1)))
-    islands = begins.select("node", F.concat(F.lit("I"), F.col("st"), F.lit(":"), F.sum("__new").over(upto).cast("string")).alias("island"))
-    comp = connected_components(islands.select(F.col("node").alias("a"), F.col("island").alias("b"))).select(
-        F.col("node").alias("__n"), "component")
-    none = {"string": F.lit(None).cast("string"), "bigint": F.lit(None).cast("bigint"), "boolean": F.lit(None).cast("boolean")}
-    both = c.withColumn("created", none["string"]).unionByName(
-        stored.withColumns({"seq": none["bigint"], "mn_given": none["boolean"], "mx_given": none["boolean"],
-                            "mx_open": none["boolean"], "fee_given": none["boolean"]}))
-    both = both.join(comp, both["node"] == comp["__n"], "left").withColumn("component", F.coalesce("component", "node")).drop("__n")
-    # numbers as text: NULLs and 64-bit values survive the way through pandas
-    both = both.select("component", *[F.col(x).cast("string").alias(x) for x in _WALKED])
-    text = {"min": ERR_NUMERIC.format(field="min_amount"), "max": ERR_NUMERIC.format(field="max_amount"),
-            "fee": ERR_NUMERIC.format(field="fee_amount"), "type": ERR_SERVICE_TYPE, "neg": ERR_MIN_NEGATIVE, "below": ERR_MAX_BELOW_MIN}
-    types, overlap, shown, created_now = SERVICE_TYPES, ERR_OVERLAP, _money_text, str(as_of)
-
-    def walk(pdf):
-        """One component: stored rules first, then its candidates in order."""
-        table, out = {}, []
-        num = lambda v: None if v is None else int(v)
-        yes = lambda v: v == "true"
-        rows = pdf.to_dict("records")
-        for r in rows:
-            if r["seq"] is None:
-                rid = r["rid"]
-                table[rid] = {"st": r["st"], "mn": num(r["mn"]), "mx": num(r["mx"]), "fee": num(r["fee"]), "act": r["act"] is None or yes(r["act"]),
-                              "by": (r["created"] is None, r["created"] or "", 0, (0, int(rid), "") if rid.lstrip("-").isdigit() else (1, 0, rid)),
-                              "live": yes(r["act"])}
-        for r in sorted((r for r in rows if r["seq"] is not None), key=lambda r: int(r["seq"])):
-            old = table.get(r["rid"]) if r["rid"] is not None else None
-            kept = old or {"st": None, "mn": None, "mx": None, "fee": None, "act": True}
-            st = r["st"] if r["st"] is not None else kept["st"]
-            mn = num(r["mn"]) if yes(r["mn_given"]) else kept["mn"]
-            mx = None if yes(r["mx_open"]) else num(r["mx"]) if yes(r["mx_given"]) else kept["mx"]
-            fee = num(r["fee"]) if yes(r["fee_given"]) else kept["fee"]
-            act = yes(r["act"]) if r["act"] is not None else kept["act"]
-            why = (text["min"] if mn is None else text["max"] if yes(r["mx_given"]) and mx is None else text["fee"] if fee is None
-                   else text["type"] if st not in types else text["neg"] if mn < 0 else text["below"] if mx is not None and mx < mn else None)
-            if why is None and act:
-                hits = [(b["mn"], b["by"], b["mx"]) for k, b in table.items()
-                        if b["live"] and b["st"] == st and (old is None or b is not old)
-                        and (b["mx"] is None or b["mx"] >= mn) and (mx is None or mx >= b["mn"])]
-                if hits:
-                    first = min(hits, key=lambda h: h[:2])
-                    why = overlap.format(min=shown(first[0]), max=shown(first[2]))
-            if why is None:
-                rid = r["rid"] if old is not None else "+" + r["seq"]
-                by = old["by"] if old is not None else (False, created_now, 1, (0, int(r["seq"]), ""))
-                table[rid] = {"st": st, "mn": mn, "mx": mx, "fee": fee, "act": act, "by": by, "live": act}
-            out.append((int(r["seq"]), r["rid"] if old is not None else None, st, mn, mx, fee, act, why))
-        import pandas as pd
-
-        frame = pd.DataFrame(out, columns=["seq", "rid", "st", "mn", "mx", "fee", "act", "why"])
-        return frame.astype({"mn": "Int64", "mx": "Int64", "fee": "Int64"})
-
-    walked = both.groupBy("component").applyInPandas(
-        walk, "seq bigint, rid string, st string, mn bigint, mx bigint, fee bigint, act boolean, why string")
+        F.col("is_active").alias("act"), F.col("created_at").cast("string").alias("created"))
+
+    def order_of(no_date, made, is_new, rid):
+        numeric = rid.rlike("^-?[0-9]{1,18}$")
+        values = (no_date, made, is_new, F.when(numeric, 0).otherwise(1), F.when(numeric, rid.try_cast("bigint")).otherwise(F.lit(0).cast("bigint")), F.when(numeric, F.lit("")).otherwise(rid))
+        return [v.cast(t).alias(n) for n, t, v in zip(serial_bands.ORDER, serial_bands.ORDER_TYPES, values, strict=True)]
+
+    def faulty(st, mn, mx_told, mx, fee):
+        return (F.when(mn.isNull(), F.lit(ERR_NUMERIC.format(field="min_amount")))
+                .when(mx_told & mx.isNull(), F.lit(ERR_NUMERIC.format(field="max_amount")))
+                .when(fee.isNull(), F.lit(ERR_NUMERIC.format(field="fee_amount"))).when(~F.coalesce(st.isin(*SERVICE_TYPES), F.lit(False)), F.lit(ERR_SERVICE_TYPE))
+                .when(mn < 0, F.lit(ERR_MIN_NEGATIVE)).when(mx < mn, F.lit(ERR_MAX_BELOW_MIN)))
+
+    c = cut_lineage(c)
+    creates = c.filter("rid is null").withColumns({"act": F.coalesce("act", F.lit(True)), "mx": F.when(F.col("mx_given"), F.col("mx"))})
+    creates = creates.withColumn("why", faulty(F.col("st"), F.col("mn"), F.col("mx_given"), F.col("mx"), F.col("fee")))
+    live = creates.filter("why is null and act").select("seq", "st", "mn", "mx", *order_of(F.lit(0), F.lit(str(as_of)), F.lit(1), F.col("seq").cast("string")))
+    stored = stored.select("rid", "st", "mn", "mx", "fee", F.coalesce("act", F.lit(True)).alias("act"), F.coalesce("act", F.lit(False)).alias("live"),
+                           *order_of(F.col("created").isNull().cast("int"), F.coalesce("created", F.lit("")), F.lit(0), F.col("rid")))
+    updates = c.filter("rid is not null").select("seq", "rid", "st", F.col("st").isNotNull().alias("st_given"), "mn", "mn_given", F.when(F.col("mx_given"), F.col("mx")).alias("mx"),
+                                                 F.col("mx_given").alias("mx_told"), (F.col("mx_given") | F.col("mx_open")).alias("mx_given"), "fee", "fee_given", "act", F.col("act").isNotNull().alias("act_given"))
+    new_hits, moved = serial_bands.decide(live, updates, stored, faulty)
+    overlap = F.when(F.col("hit").isNotNull(), _template(ERR_OVERLAP, min=_shown("hit.mn"), max=F.coalesce(_shown("hit.mx"), F.lit(ERR_OVERLAP_OPEN_MAX))))
+    made = creates.join(new_hits, "seq", "left").select("seq", F.lit(None).cast("string").alias("rid"), "st", "mn", "mx", "fee", "act", F.coalesce("why", overlap).alias("why"))
+    walked = made.unionByName(moved.select("seq", "rid", "new.*", F.coalesce("why", overlap).alias("why")))
 
     def money(name):
         return (F.col(name).cast("decimal(20,0)") / 100).cast(MONEY)
@@ -322,9 +278,6 @@ def load_fee_rules(candidates: DataFrame, rules: DataFrame, as_of="1970-01-01 00
     return outcome, updated.unionByName(inserted)
 
 
-_WALKED = ["seq", "rid", "st", "mn_given", "mn", "mx_given", "mx", "mx_open", "fee_given", "fee", "act", "created"]
-
-
 def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: DataFrame,
                              as_of: Column | str = "1970-01-01 00:00:00", seq: str = "seq") -> DataFrame:
     """Price wallet requests with their fee band and check them: known

@@ -322,6 +322,55 @@ def test_load_fee_rules_matches_serial_requests(spark, spans):
     assert kept == table
 
 
+def test_load_fee_rules_across_blocks(spark, monkeypatch):
+    """Many blocks, bands that reach into several, rules that move from block to block, a rule that a third of the requests change."""
+    import random
+
+    from counterbook.operators import serial_bands
+
+    monkeypatch.setattr(serial_bands, "BLOCK_ROWS", 9)
+    r = random.Random(8)
+    stored = [(1, "cash_in", 0, 9, True), (2, "cash_in", 300, None, True), (3, "cash_out", 30, 60, True), (4, "cash_out", 10, 20, False)]
+    rules = spark.createDataFrame([(i, t, D(lo), None if hi is None else D(hi), D(1), act, None, None, ts("2024-01-01 00:00:00")) for i, t, lo, hi, act in stored], RULES)
+    cands = []
+    for i in range(160):
+        rid = 3 if i % 3 == 0 else r.choice([None, None, None, 1, 2, 4])
+        lo = r.randrange(200) if r.random() < 0.6 else r.randrange(4)
+        hi = None if r.random() < 0.05 or rid and r.random() < 0.3 else lo + r.choice([0, 1, 2, 3, 60])
+        cands.append((i, r.choice(["cash_in", "cash_out"]) if not rid or r.random() < 0.5 else None, lo if not rid or r.random() < 0.8 else None, hi, r.choice([True, True, None, False]), rid))
+    df = spark.createDataFrame([(s, rid, t, None if lo is None else str(lo), None if hi is None else str(hi), "1", act) for s, t, lo, hi, act, rid in cands],
+                               "seq int, id bigint, service_type string, min_amount string, max_amount string, fee_amount string, is_active boolean")
+    outcome, new = FE.load_fee_rules(df.repartition(5), rules, "2024-02-01 00:00:00")
+    want, table = _serial_rules(stored, [(s, t, lo, hi, True if act is None and not rid else act, rid) for s, t, lo, hi, act, rid in cands])
+    got = {x["seq"]: x["reject_reason"] for x in rows(outcome)}
+    assert {s: w is None for s, w in want.items()} == {s: g is None for s, g in got.items()}
+    assert all(f"({w}.00 - " in got[s] for s, w in want.items() if w not in (None, "range"))
+    kept = sorted(((x["service_type"], int(x["min_amount"]), None if x["max_amount"] is None else int(x["max_amount"]), x["is_active"]) for x in rows(new)), key=str)
+    assert kept == table
+
+
+def test_fee_rule_blocks_stay_small(spark, monkeypatch):
+    """No task of a round gets more than twice a block's share of a batch spread over the amounts."""
+    from counterbook.operators import serial_bands
+
+    monkeypatch.setattr(serial_bands, "BLOCK_ROWS", 50)
+    seen = []
+    plain = serial_bands.cut_lineage
+
+    def watched(df):
+        out = plain(df)
+        if "travels" in out.columns:
+            seen.append(max(x["count"] for x in out.groupBy("block").count().collect()))
+        return out
+
+    monkeypatch.setattr(serial_bands, "cut_lineage", watched)
+    rules = spark.createDataFrame([(1, "cash_in", D(0), D(5), D(1), True, None, None, None)], RULES)
+    df = spark.range(1000).selectExpr("id as seq", "'cash_in' as service_type", "cast(id * 37 % 1000 * 10 as string) as min_amount", "cast(id * 37 % 1000 * 10 + id % 15 as string) as max_amount", "'1' as fee_amount")
+    outcome, _ = FE.load_fee_rules(df, rules)
+    assert outcome.filter("reject_reason is null").count() > 300
+    assert seen and max(seen) <= 100
+
+
 def test_load_fee_rules_updates_are_serial(spark, rules):
     cand = spark.createDataFrame([
         (1, 4, None, "900", None, None),        # rule 4 (500.01 - infinity) moves up
