@@ -131,13 +131,29 @@ def match_fee_rules(txns: DataFrame, rules: DataFrame, amount: str = "principal_
     return j.drop("__mst", "__mamt", "__mat", "__bst", "__bamt", "__bat")
 
 
+#: Blocks that the open-ended bands of a service type are dealt to, for pairing.
+PAIR_BLOCKS = 24
+
+
+def _pairs_by_blocks(bands: DataFrame) -> DataFrame:
+    """Every two bands of one service type, the second one's columns with ``w_`` before their names. All of them are pairs, so
+    the bands are dealt to blocks and joined per pair of blocks: a type is B * (B + 1) / 2 keys, each a B-th of the bands against another."""
+    dealt = bands.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(PAIR_BLOCKS)).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.lit(PAIR_BLOCKS - 1))))
+    dealt = dealt.select(*bands.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    w = dealt.select(*[F.col(c).alias("w_" + c) for c in dealt.columns])
+    met = dealt.join(w, (F.col("st") == F.col("w_st")) & (F.col("low") == F.col("w_low")) & (F.col("high") == F.col("w_high"))
+                     & (F.col("id") < F.col("w_id")) & ((F.col("low") == F.col("high")) | (F.col("block") != F.col("w_block"))))
+    return met.drop("block", "low", "high", "w_block", "w_low", "w_high")
+
+
 def fee_rule_overlaps(rules: DataFrame) -> DataFrame:
     """Pairs of active rules of one service type whose bands overlap (ends
     inclusive, so touching bands overlap; NULL max = no upper bound;
     effective dates ignored, T24). One row per pair, ``rule_id < other_rule_id``.
 
     Two bounded bands meet in the cells of the wider one's level, in the cell where both begin to overlap; an open-ended band
-    holds a bounded one's maximum in just one of its cells; two open-ended bands always overlap."""
+    holds a bounded one's maximum in just one of its cells; two open-ended bands always overlap, and are paired block by block."""
     keep = ["id", "min_amount", "max_amount"]
     pieces = _pieces(rules, keep)
     wide = pieces.select(*[F.col(c).alias("w_" + c) for c in pieces.columns])
@@ -154,8 +170,7 @@ def fee_rule_overlaps(rules: DataFrame) -> DataFrame:
     tails = wide.filter("w_hi is null")
     under = ends.join(tails, (F.col("st") == F.col("w_st")) & (F.col("level") == F.col("w_level")) & (F.col("cell") == F.col("w_cell")))
     opened = pieces.filter("hi is null").select("st", *keep).distinct()
-    others = opened.select(*[F.col(c).alias("w_" + c) for c in opened.columns])
-    open_pairs = opened.join(others, (F.col("st") == F.col("w_st")) & (F.col("id") < F.col("w_id")))
+    open_pairs = _pairs_by_blocks(opened)
     fields = ["st", *keep, *["w_" + c for c in keep]]
     j = both.select(*fields).unionByName(under.select(*fields)).unionByName(open_pairs.select(*fields))
     first = F.col("id") < F.col("w_id")

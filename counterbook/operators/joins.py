@@ -9,7 +9,6 @@
   so a hot key is combined map-side rather than sorted in one task.
   NULL keys probe with a spread-out salt.
 * ``mark_greedy_unique``: the same over several unique keys at once.
-* ``connected_components``: the smallest node that edges reach.
 
 Nothing here forces a broadcast: the planner and AQE choose it from measured sizes.
 """
@@ -66,30 +65,8 @@ def mark_first_in_key(df: DataFrame, key: str | list[str], seq: str, eligible: C
             .drop("__elig", "__min_seq", "__salt"))
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of ``edges`` (a, b): the smallest node reachable. Large-star and
-    small-star steps until nothing changes; each step's edges are checkpointed, and a hub's edges are
-    joined with its minimum, never gathered."""
-    from ..session import cut_lineage
-
-    e = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    before = None
-    while True:
-        both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
-        small = large.join(large.groupBy("b").agg(F.min("a").alias("x")), "b").select("x", "a", "b")
-        e = cut_lineage(small.select(F.col("x").alias("a"), F.col("a").alias("b"))
-                        .union(small.select(F.col("x").alias("a"), F.col("b"))).where("a < b").distinct())
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1000003)).first()
-        if now == before:
-            return e.select(F.col("b").alias("node"), F.col("a").alias("component")).union(
-                e.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
-        before = now
-
-
-#: Rounds of parallel decisions before the rest is settled component by component.
-PARALLEL_ROUNDS = 2
+#: Rows that are left after a round and settled in one task: a fixed bound, whatever the batch.
+WALK_ROWS = 4096
 
 
 def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eligible: Column,
@@ -97,78 +74,96 @@ def mark_greedy_unique(df: DataFrame, keys: list[tuple[str, str]], seq: str, eli
     """Serial-insert semantics over several unique keys at once: taking rows
     in ``seq`` order, a row is accepted iff no earlier *accepted* row shares a
     value of any key; otherwise ``out`` gets the message of the first key (in
-    the given check order) it shares. Ineligible rows get NULL.
-
-    Exact. First, parallel rounds: a row that is the earliest undecided row of every
-    key value it holds, and meets no accepted row, is accepted (so all rows that share nothing are, in the
-    first round); a row meeting an accepted row on key k is rejected once no undecided
-    earlier row shares any key checked before k. Two rounds settle everything a hot
-    key holds. What is left are chains, whose links depend on one another one by one: the rows
-    tied by shared key values form components, and each is walked in ``seq`` order in one
-    task, so a chain of any length takes the same number of jobs. ``seq`` must be unique."""
+    the given check order) it shares. Ineligible rows get NULL. ``seq`` must be unique.
+
+    Exact. Rows whose keys occur once are accepted at once. The others go through rounds:
+
+    * a row that is the earliest undecided one of every key value it holds is accepted;
+    * a row with one undecided row before it, over all its keys, gets the opposite of that row's decision. Such rows
+      point at one another; pointer doubling brings a whole chain to its first row in log(length) joins;
+    * rows that share a key value with an accepted row are rejected.
+
+    A round decides the first row at least, all that a hot key holds once its first row is decided, and every chain. The last
+    ``WALK_ROWS`` rows are settled in order in one task."""
     from ..session import cut_lineage
 
-    names = [k for k, _ in keys]
-    msgs = [m for _, m in keys]
+    names, msgs = [k for k, _ in keys], [m for _, m in keys]
     ks = [f"__k{i}" for i in range(len(names))]
-    und = df.filter(eligible).select(F.col(seq).alias("__s"), *[F.col(k).alias(a) for k, a in zip(names, ks, strict=True)])
-    decided = None
-    for _ in range(PARALLEL_ROUNDS):
-        state = _with_hits(und, decided, ks)
-        for i, k in enumerate(ks):
-            mins = und.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("__s").alias(f"__min{i}"))
-            state = state.join(mins, k, "left")
-        # a hit on a key is final only when every key checked before it is early (an undecided earlier
-        # row sharing such a key could still be accepted and then be the first failing check)
-        early = [F.col(k).isNull() | (F.col("__s") == F.col(f"__min{i}")) for i, k in enumerate(ks)]
-        hit_msg = F.lit(None).cast("string")
-        for i in reversed(range(len(ks))):
-            cond = reduce(lambda x, y: x & y, early[:i], F.col(f"__hit{i}"))
-            hit_msg = F.when(cond, F.lit(msgs[i])).otherwise(hit_msg)
-        hits = reduce(lambda x, y: x | y, [F.col(f"__hit{i}") for i in range(len(ks))])
-        state = cut_lineage(state.select("__s", *ks, hit_msg.alias("__msg"),
-                                         (reduce(lambda x, y: x & y, early) & ~hits).alias("__accept")))
-        done = state.filter(F.col("__msg").isNotNull() | F.col("__accept")).select("__s", *ks, "__msg")
-        decided = done if decided is None else decided.unionByName(done)
-        und = state.filter(F.col("__msg").isNull() & ~F.col("__accept")).select("__s", *ks)
-    rest = _walk_components(cut_lineage(_with_hits(und, decided, ks)), ks, msgs, df.schema[seq].dataType.simpleString())
-    res = decided.select("__s", F.col("__msg").alias(out)).unionByName(rest.select("__s", F.col("__msg").alias(out)))
-    return df.join(res, df[seq] == res["__s"], "left").drop("__s")
-
-
-def _with_hits(rows: DataFrame, decided: DataFrame | None, ks: list[str]) -> DataFrame:
-    """Adds ``__hit{i}``: an accepted row holds the row's value of key i."""
-    for i, k in enumerate(ks):
-        if decided is None:
-            rows = rows.withColumn(f"__hit{i}", F.lit(False))
-            continue
-        acc = decided.filter(F.col("__msg").isNull() & F.col(k).isNotNull()).select(k).distinct().withColumn(f"__hit{i}", F.lit(True))
-        rows = rows.join(acc, k, "left").withColumn(f"__hit{i}", F.coalesce(F.col(f"__hit{i}"), F.lit(False)))
+    rows = df.filter(eligible).select(F.col(seq).alias("__s"), *[F.col(k).alias(a) for k, a in zip(names, ks, strict=True)])
+    for k in ks:  # a value that occurs once contests nothing
+        often = rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1")
+        rows = rows.join(often, k, "left").withColumn(k, F.when(F.col("__n").isNotNull(), F.col(k))).drop("__n")
+    contested = cut_lineage(rows.filter(F.coalesce(*[F.col(k).cast("string") for k in ks]).isNotNull()).select("__s", *ks))
+    undecided, taken = contested, []
+    while not undecided.isEmpty():
+        accepted, rejected = _round(undecided, ks)
+        left = undecided.join(accepted.unionByName(rejected).select("__s"), "__s", "left_anti")
+        undecided = cut_lineage(_untaken(left, accepted, ks))
+        taken.append(accepted)
+        if undecided.limit(WALK_ROWS + 1).count() <= WALK_ROWS:
+            taken.append(cut_lineage(_walked(undecided, ks)))
+            break
+    if not taken:
+        return df.withColumn(out, F.lit(None).cast("string"))
+    accepted = reduce(DataFrame.unionByName, taken)
+    failed = contested.join(accepted.select("__s"), "__s", "left_anti")
+    for i, k in enumerate(ks):  # of each key value one row at most was accepted, before all that are rejected for it
+        held = accepted.filter(F.col(k).isNotNull()).select(k, F.col("__s").alias(f"__by{i}"))
+        failed = failed.join(held, k, "left")
+    why = F.coalesce(*[F.when(F.col(f"__by{i}") < F.col("__s"), F.lit(m)) for i, m in enumerate(msgs)])
+    why = cut_lineage(failed.select("__s", why.alias(out)))
+    return df.join(why, df[seq] == why["__s"], "left").drop("__s")
+
+
+def _untaken(rows: DataFrame, accepted: DataFrame, ks: list[str]) -> DataFrame:
+    """The rows that share no key value with an accepted row."""
+    for k in ks:
+        held = accepted.filter(F.col(k).isNotNull()).select(F.col(k).alias("__held")).distinct()
+        rows = rows.join(held, F.col(k) == F.col("__held"), "left_anti")
     return rows
 
 
-def _walk_components(rows: DataFrame, ks: list[str], msgs: list[str], seq_type: str) -> DataFrame:
-    """(__s, __msg) of undecided rows, each component of rows that share key values walked in order."""
-    held = [rows.filter(F.col(k).isNotNull()).select(F.concat(F.lit("r:"), F.col("__s").cast("string")).alias("a"),
-                                                     F.concat(F.lit(f"k{i}:"), F.col(k).cast("string")).alias("b"))
-            for i, k in enumerate(ks)]
-    comp = connected_components(reduce(DataFrame.union, held))
-    tied = rows.join(comp, F.concat(F.lit("r:"), F.col("__s").cast("string")) == comp["node"])
+def _round(rows: DataFrame, ks: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(accepted, rejected) rows that a round can tell: the first of all their keys, and what chains to those."""
+    from ..session import cut_lineage
+
+    state = rows
+    for i, k in enumerate(ks):
+        first = rows.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min("__s").alias(f"__a{i}"))
+        state = state.join(first, k, "left")
+        second = state.filter(F.col("__s") > F.col(f"__a{i}")).groupBy(k).agg(F.min("__s").alias(f"__b{i}"))
+        state = state.join(second, k, "left")
+    late = [F.col(f"__a{i}") < F.col("__s") for i in range(len(ks))]
+    ahead = F.array_distinct(F.array_compact(F.array(*[F.when(x, F.col(f"__a{i}")) for i, x in enumerate(late)])))
+    only = reduce(lambda a, b: a & b, [F.coalesce(F.col(f"__s") <= F.col(f"__b{i}"), F.lit(True)) for i in range(len(ks))])
+    state = cut_lineage(state.select("__s", *ks, ahead.alias("__ahead"), only.alias("__only")))
+    accepted = state.filter(F.size("__ahead") == 0).select("__s", *ks)
+    links = state.filter((F.size("__ahead") == 1) & F.col("__only")).select("__s", F.col("__ahead")[0].alias("to"), F.lit(True).alias("turned"))
+    while True:
+        further = links.select(F.col("__s").alias("to"), F.col("to").alias("next"), F.col("turned").alias("again"))
+        hops = cut_lineage(links.join(further, "to", "left").select("__s", F.coalesce("next", "to").alias("to"), (F.col("turned") != F.coalesce("again", F.lit(False))).alias("turned"), F.col("next").isNotNull().alias("moved")))
+        links = hops.drop("moved")
+        if hops.filter("moved").isEmpty():
+            break
+    told = links.join(accepted.select(F.col("__s").alias("to")), "to", "left_semi")
+    more = state.join(told.filter("not turned").select("__s"), "__s", "left_semi").select("__s", *ks)
+    return cut_lineage(accepted.unionByName(more)), cut_lineage(told.filter("turned").select("__s").join(rows, "__s"))
+
+
+def _walked(rows: DataFrame, ks: list[str]) -> DataFrame:
+    """The rows accepted of a bounded number, walked in order in one task."""
     n = len(ks)
 
     def walk(pdf):
-        taken = [set() for _ in range(n)]
-        found = []
-        for row in pdf.sort_values("s").itertuples(index=False):
-            held = [getattr(row, f"k{i}") for i in range(n)]
-            hit = next((i for i in range(n) if getattr(row, f"h{i}") or (held[i] is not None and held[i] in taken[i])), None)
-            found.append(None if hit is None else msgs[hit])
-            if hit is None:
-                for i in range(n):
-                    taken[i].add(held[i])
-        return pdf.sort_values("s")[["s"]].assign(msg=found)
-
-    one = tied.select("component", F.col("__s").alias("s"), *[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(ks)],
-                      *[F.col(f"__hit{i}").alias(f"h{i}") for i in range(n)])
-    return one.groupBy("component").applyInPandas(walk, f"s {seq_type}, msg string").select(
-        F.col("s").alias("__s"), F.col("msg").alias("__msg"))
+        taken, good = [set() for _ in range(n)], []
+        for row in pdf.sort_values("__s").itertuples(index=False):
+            held = [None if v is None or v != v else v for v in row[1:]]
+            if not any(v in t for v, t in zip(held, taken, strict=True)):
+                good.append(row[0])
+                for v, t in zip(held, taken, strict=True):
+                    t.add(v) if v is not None else None
+        return pdf[pdf["__s"].isin(good)][["__s"]]
+
+    plain = rows.select("__s", *[F.col(k).cast("string").alias(k) for k in ks])
+    good = plain.groupBy(F.lit(0).alias("__one")).applyInPandas(lambda pdf: walk(pdf[["__s", *ks]]), f"__s {rows.schema['__s'].dataType.simpleString()}")
+    return rows.join(good, "__s", "left_semi").select("__s", *ks)

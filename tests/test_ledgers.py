@@ -487,3 +487,13 @@ def test_post_deposits_matches_serial_model(spark, ledger, reqs):
             want[i] = None
             used.add(ref)
     assert got == want
+
+
+def test_open_ended_bands_are_paired_once_over_many_keys(spark):
+    """Every two open-ended bands of a type overlap: each pair comes out once, and no join key holds a whole type."""
+    rdf = spark.createDataFrame([(i, "cash_in" if i % 3 else "cash_out", D(i % 7), None, D(1), True, None, None, None) for i in range(90)], RULES)
+    pairs = [(r["rule_id"], r["other_rule_id"]) for r in rows(FE.fee_rule_overlaps(rdf))]
+    assert len(pairs) == len(set(pairs)) == 60 * 59 // 2 + 30 * 29 // 2
+    bands = rdf.select(F.col("service_type").alias("st"), "id", "min_amount", "max_amount")
+    plan = FE._pairs_by_blocks(bands)._jdf.queryExecution().optimizedPlan().toString()
+    assert "(low" in plan and "w_low" in plan

@@ -255,6 +255,39 @@ def test_greedy_unique_chain_takes_a_bounded_number_of_jobs(spark):
     assert jobs < 400  # AQE runs a job per stage; one round per request took thousands
 
 
+def test_greedy_unique_settles_a_long_chain_in_parallel(spark, monkeypatch):
+    """A chain of 100,000 requests, each tied to the one before: pointer doubling, nothing left for one task to walk. A hot key beside it."""
+    from counterbook.operators import joins
+
+    walked = []
+    plain = joins._walked
+    monkeypatch.setattr(joins, "_walked", lambda rows, ks: walked.append(rows.count()) or plain(rows, ks))
+    n = 100_000
+    chain = spark.range(n).selectExpr("id as seq", "concat('a', (id + 1) div 2) as a", "concat('b', id div 2) as b")
+    hot = spark.range(n, 2 * n).selectExpr("id as seq", "'hot' as a", "concat('h', id) as b")
+    out = mark_greedy_unique(chain.union(hot).repartition(8), [("a", "dup a"), ("b", "dup b")], "seq", F.lit(True), "r")
+    got = {(x["kind"], x["r"]): x["count"] for x in rows(out.groupBy(F.expr(f"if(seq >= {n}, 'hot', if(seq % 2 = 0, 'even', 'odd'))").alias("kind"), "r").count())}
+    # row 0 is accepted, 1 shares b with it, 2 shares a with 1 only, ...
+    assert got == {("even", None): n // 2, ("odd", "dup b"): n // 2, ("hot", None): 1, ("hot", "dup a"): n - 1}
+    assert sum(walked) == 0
+
+
+@settings(max_examples=10, deadline=None, derandomize=True)
+@given(st.lists(st.tuples(st.integers(0, 6), st.one_of(st.none(), st.integers(0, 6)), st.one_of(st.none(), st.integers(0, 3))), min_size=1, max_size=30))
+def test_greedy_unique_by_rounds_alone(spark, reqs):
+    from counterbook.operators import joins
+
+    data = [(i, *r) for i, r in enumerate(reqs)]
+    keys = [("a", "dup a"), ("b", "dup b"), ("c", "dup c")]
+    df = spark.createDataFrame(data, "seq int, a int, b int, c int")
+    bound, joins.WALK_ROWS = joins.WALK_ROWS, -1
+    try:
+        got = {x["seq"]: x["r"] for x in rows(mark_greedy_unique(df, keys, "seq", F.lit(True), "r"))}
+    finally:
+        joins.WALK_ROWS = bound
+    assert got == _serial(data, keys)
+
+
 def test_first_in_key(spark):
     df = spark.createDataFrame([(1, "x", True), (2, "x", True), (3, None, True), (4, "y", False), (5, "y", True)],
                                "seq int, k string, ok boolean")
