@@ -1,11 +1,14 @@
-r"""Operator 3: line dedup by overlapping chunks of lines.
+r"""Operator 3: line dedup by content-defined chunks of lines.
 
-A chunk goes from a line with a word to the next line with a word, blank lines between included, so one
-starts at every line with a word but the last and each run of lines that two documents share is covered by
-chunks that both hold, wherever it stands in them. A chunk whose bytes occur earlier (smaller id, or
-earlier in the same text) is removed: chunk hashes find the candidates, their bytes decide. What goes is thus
-exactly the lines of every run with two or more worded lines that stands earlier too; the
-earliest place of a line always stays.
+A rolling hash runs over the hashes of a text's worded lines, ``ROLLING_LINES`` at a time. Bits of it choose the borders, so these depend on nothing but the
+lines beside them and stand where they stood when lines are put in before or after. There are four layers of borders, one for each value of two bits: in layer (o, c) a chunk
+opens at a line whose rolling hash, with the line after it, has o as its first bit, and closes at the next line whose rolling hash, with the line
+before it, has c as its second bit. A chunk has two worded lines or more (three on average), blank lines between included, and nothing outside it decides where it
+begins or ends. The layers complement one another: wherever two worded lines follow one another, one layer opens at the first and closes at the second, so a repeated run
+of lines is covered to its ends, however short, by chunks that both places hold.
+
+A chunk whose bytes occur earlier (smaller id, or earlier in the same text) is removed: chunk hashes find the candidates, their bytes decide. What goes is the union
+of such chunks, which is exactly the lines of every run with two or more worded lines that stands earlier too; the earliest place of a line always stays.
 
 Defined results: a null or empty text has one line without a word, and stays as it is; a text
 of any length is cut whole; rows with the same id and the same text count as one document and get the same
@@ -22,53 +25,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textops as T
-from .shared import fresh, type_of, written
+from .shared import forget, fresh, type_of, written
 
-#: Of the former rule: lines under the rolling hash, and one border in so many lines on average.
-ROLLING_LINES, MEAN_LINES = 2, 3
+#: Lines under the rolling hash.
+ROLLING_LINES = 2
 
 
-def chunk_ranges(data, offsets, h: T.Hasher):
-    """(start, end, lines, lines with a word, hash) of each chunk by the former rule, borders at a hash of two lines, and the
-    first chunk of each text. The operator does not use it; tests of that rule do."""
-    ls, le, lf = T.line_ranges(data, offsets)
-    lh = h.of(ls, le)
-    line = np.arange(len(ls)) - lf[T.owners(lf)]
-    rolled = lh.copy()
-    for k in range(1, ROLLING_LINES):
-        back = lh[np.maximum(np.arange(len(ls)) - k, 0)] * np.uint64(0x9E3779B97F4A7C15 + 2 * k)
-        rolled += np.where(line >= k, back, np.uint64(0))
-    cut = T.mix(rolled) % np.uint64(MEAN_LINES) == 0
-    cut[lf[1:] - 1] = True
-    last = np.flatnonzero(cut)
-    begin = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
-    inside = T.counts(~T.SPACE[data])
-    wordy = T.counts(inside[le] > inside[ls])
-    start, end = ls[begin], le[last]
-    return start, end, last + 1 - begin, wordy[last + 1] - wordy[begin], h.of(start, end), np.searchsorted(begin, lf)
+def rolling_hashes(lines: np.ndarray) -> np.ndarray:
+    """A hash of each ``ROLLING_LINES`` line hashes in a row, by the polynomial that slides over them."""
+    out = np.zeros(max(len(lines) - ROLLING_LINES + 1, 0), np.uint64)
+    for k in range(ROLLING_LINES):
+        out = out * T.BASE + lines[k : k + len(out)]
+    return T.mix(out)
 
 
-def line_pairs(data, offsets):
-    """(first line, last line) of each overlapping chunk, the first chunk of each text, and the lines."""
+def line_chunks_of(data, offsets, h: T.Hasher):
+    """(first line, last line) of the chunks of all layers, the first chunk of each text, and the lines."""
     ls, le, lf = T.line_ranges(data, offsets)
     inside = T.counts(~T.SPACE[data])
     worded = np.flatnonzero(inside[le] > inside[ls])
     doc = T.owners(lf)[worded]
-    same = doc[1:] == doc[:-1]
-    return worded[:-1][same], worded[1:][same], np.searchsorted(doc[1:][same], np.arange(len(lf))), (ls, le, lf)
+    rolled = rolling_hashes(h.of(ls[worded], le[worded]))
+    near = doc[1:] == doc[:-1]
+    opens, closes = (rolled & np.uint64(1)).astype(bool), (rolled & np.uint64(2)).astype(bool)
+    first, last = [], []
+    for o in (False, True):
+        for c in (False, True):
+            begin, stops = np.flatnonzero(near & (opens == o)), np.flatnonzero(near & (closes == c))
+            at = np.searchsorted(stops, begin)
+            begin, at = begin[at < len(stops)], at[at < len(stops)]
+            end = stops[at] + 1
+            whole = doc[begin] == doc[end]  # a chunk that nothing closes before its text ends is none
+            first.append(begin[whole])
+            last.append(end[whole])
+    first, last = np.concatenate(first), np.concatenate(last)
+    by = np.lexsort((last, first))
+    first, last = first[by], last[by]
+    return worded[first], worded[last], np.searchsorted(doc[first], np.arange(len(lf))), (ls, le, lf)
 
 
 def _each(batches, text_at: int, run):
     table, powers = T.byte_table(), T.Powers()
     for batch in batches:
         for lo, hi, data, offsets in T.slices(batch.column(text_at)):
-            a, b, first, (ls, le, _) = line_pairs(data, offsets)
-            found = ls[a], le[b], T.Hasher(data, table, powers).of(ls[a], le[b]), first
+            h = T.Hasher(data, table, powers)
+            a, b, first, (ls, le, _) = line_chunks_of(data, offsets, h)
+            found = ls[a], le[b], h.of(ls[a], le[b]), first
             yield from run(batch.slice(lo, hi - lo), data, found)
 
 
 def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per overlapping chunk: id, hash of the whole text, place, chunk hash."""
+    """One row per chunk: id, hash of the whole text, place, chunk hash."""
 
     def rows(batch, data, found):
         _, _, ch, first = found
@@ -105,12 +112,14 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "first-chunks",
     )
     later = found.join(firsts, ["hash", "bytes"]).where(~F.struct("id", "th", "chunk").eqNullSafe(F.col("first")))
-    return later.groupBy("id", "th").agg(F.collect_set("chunk").alias("chunks"))
+    gone = written(later.groupBy("id", "th").agg(F.collect_set("chunk").alias("chunks")), "repeated-chunks")
+    forget(chunks, often, found, firsts)
+    return gone
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str = "removed_chunks", keep_empty: bool = True) -> DataFrame:
     """``docs`` with the repeated chunks taken out of the text (a column
-    ``n_chars``, where there is one, follows it), and the number of runs of lines taken out, each of overlapping chunks.
+    ``n_chars``, where there is one, follows it), and the number of runs of lines taken out, each the union of overlapping chunks.
     ``keep_empty=False`` leaves out documents that had words and have none left."""
     gone = repeated_chunks(docs, id_col, text_col)
     names = docs.columns
@@ -122,6 +131,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text_at, chars_at = names.index(text_col), names.index("n_chars") if "n_chars" in names and type_of(docs, "n_chars") == "bigint" else None
 
     def cleaned(batches):
+        table, powers = T.byte_table(), T.Powers()
         for batch in batches:
             texts, want = batch.column(text_at), batch.column(len(names))
             todo = np.flatnonzero(np.diff(want.offsets.to_numpy()) > 0) if len(want) else np.zeros(0, np.int64)
@@ -129,7 +139,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             taken = np.zeros(len(batch), np.int64)
             some, drops = texts.take(pa.array(todo)), want.take(pa.array(todo))
             for lo, hi, data, offsets in T.slices(some):
-                a, b, first, (ls, le, lf) = line_pairs(data, offsets)
+                a, b, first, (ls, le, lf) = line_chunks_of(data, offsets, T.Hasher(data, table, powers))
                 for k in range(lo, hi):
                     x, y = lf[k - lo], lf[k - lo + 1]
                     c = first[k - lo] + drops[k].values.to_numpy()

@@ -17,39 +17,56 @@ from tests.llm.conftest import SF, lower_az
 # -- line chunks ------------------------------------------------------------------------------------------------------
 
 
-def cut(text):
-    """The chunks of a text as lists of lines, by the operator's own border rule read line by line."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    start, end, *_ = L.chunk_ranges(data, np.array([0, len(data)]), T.Hasher(data, T.byte_table(), T.Powers()))
-    return [bytes(data[a:b]).decode() for a, b in zip(start, end)]
+def brute_runs(rows):
+    """Every run of lines with two or more worded ones that stands earlier too goes: places with an equal line are
+    extended line by line. (runs taken out, text) by id."""
+    lines, at = [], []
+    for i, text in sorted(rows, key=lambda r: r[0]):
+        at.append((i, len(lines), len(lines) + len((text or "").split("\n"))))
+        lines += [*(text or "").split("\n"), None]  # None: the end of a text
+    worded = [bool(x and x.strip(" \t\n\x0b\x0c\r")) for x in lines]
+    gone, places = [False] * len(lines), defaultdict(list)
+    for p, line in enumerate(lines):
+        if not worded[p]:
+            continue
+        for q in places[line]:
+            n = 1
+            while lines[p + n] is not None and lines[q + n] == lines[p + n]:
+                n += 1
+            while not worded[p + n - 1]:
+                n -= 1
+            if sum(worded[p : p + n]) > 1:
+                gone[p : p + n] = [True] * n
+        places[line].append(p)
+    return {i: (sum(gone[k] and not (k > a and gone[k - 1]) for k in range(a, b)), "\n".join(lines[k] for k in range(a, b) if not gone[k])) for i, a, b in at}
 
 
-def brute_lines(rows):
-    seen, out = set(), {}
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        kept, gone = [], 0
-        for chunk in cut(text):
-            multi = sum(bool(line.strip(" \t\n\x0b\x0c\r")) for line in chunk.split("\n")) > 1
-            if multi and chunk in seen:
-                gone += 1
-                continue
-            seen.add(chunk)
-            kept.append(chunk)
-        out[i] = (gone, "\n".join(kept))
-    return out
+def chunks_of(text):
+    """The chunks of a text, as text."""
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    first, last, _, (start, end, _) = L.line_chunks_of(data, np.array([0, len(data)]), T.Hasher(data, T.byte_table(), T.Powers()))
+    return [bytes(data[start[a] : end[b]]).decode() for a, b in zip(first, last, strict=True)]
 
 
-def test_chunks_are_whole_and_resist_shifts(texts):
+def test_borders_are_chosen_by_content_and_resist_shifts(texts):
     passage = "\n".join(f"line {k} of a shared passage" for k in range(60))
-    a, b = cut("intro\n" + passage), cut("other\nheading\n\n" + passage + "\nend")
-    assert "\n".join(a) == "intro\n" + passage
-    assert len(set(a) & set(b)) >= len(a) - 3
+    a, b = chunks_of("intro\n" + passage), chunks_of("other\nheading\n\n" + passage + "\nend")
+    assert set(chunks_of(passage)) == {c for c in a if "intro" not in c} <= set(b)
+    sizes = Counter(c.count("\n") + 1 for c in chunks_of(passage))
+    assert sizes[2] == 59 and sum(sizes.values()) > 100 and max(sizes) > 4  # lengths are the hashes' choice
     for t in list(texts.values())[:50]:
-        assert "\n".join(cut(t)) == t
+        assert all(c in (t or "") and len([x for x in c.split("\n") if x.strip()]) > 1 for c in chunks_of(t))
+
+
+def test_rolling_hash_depends_on_its_lines_only():
+    lines = np.random.default_rng(1).integers(0, 2**63, 50, dtype=np.uint64)
+    whole, part = L.rolling_hashes(lines), L.rolling_hashes(lines[10:30])
+    assert (whole[10:29] == part).all() and len(set(whole.tolist())) == 49
+    assert len(L.rolling_hashes(lines[:1])) == 0
 
 
 def test_line_dedup_matches_brute_force(spark, texts):
-    want = brute_lines(texts.items())
+    want = brute_runs(texts.items())
     rows = queries.QUERIES["op3_line_chunks"](spark, SF).collect()
     assert len(rows) == len(texts) and any(r.removed_chunks for r in rows)
     for r in rows:
@@ -76,30 +93,6 @@ def test_line_dedup_follows_n_chars_and_drops_the_emptied(spark):
     assert out[1].text == text and out[2].n_chars == len(out[2].text) < len(text) and out[3].text == ""
 
 
-def brute_runs(rows):
-    """Every run of lines with two or more worded ones that stands earlier too goes: places with an equal line are
-    extended line by line. (runs taken out, text) by id."""
-    lines, at = [], []
-    for i, text in sorted(rows, key=lambda r: r[0]):
-        at.append((i, len(lines), len(lines) + len((text or "").split("\n"))))
-        lines += [*(text or "").split("\n"), None]  # None: the end of a text
-    worded = [bool(x and x.strip(" \t\n\x0b\x0c\r")) for x in lines]
-    gone, places = [False] * len(lines), defaultdict(list)
-    for p, line in enumerate(lines):
-        if not worded[p]:
-            continue
-        for q in places[line]:
-            n = 1
-            while lines[p + n] is not None and lines[q + n] == lines[p + n]:
-                n += 1
-            while not worded[p + n - 1]:
-                n -= 1
-            if sum(worded[p : p + n]) > 1:
-                gone[p : p + n] = [True] * n
-        places[line].append(p)
-    return {i: (sum(gone[k] and not (k > a and gone[k - 1]) for k in range(a, b)), "\n".join(lines[k] for k in range(a, b) if not gone[k])) for i, a, b in at}
-
-
 def test_every_repeated_run_of_lines_goes(spark, texts):
     import random
 

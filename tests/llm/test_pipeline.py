@@ -7,7 +7,7 @@ from counterbook.llm import queries
 from counterbook.llm import quality_lines as Q
 from tests.llm.test_bpe import library
 from tests.llm.test_decontamination import brute as contaminated
-from tests.llm.test_dedup import brute_components, brute_lines
+from tests.llm.test_dedup import brute_components, brute_runs
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -17,7 +17,7 @@ def test_run_matches_brute_force(spark):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
     kept = {r.doc_id for r in Q.quality_report(docs).collect() if r.kept}
     rows = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
-    rows = {i: t for i, (gone, t) in brute_lines(rows.items()).items() if not gone or t.strip()}
+    rows = {i: t for i, (gone, t) in brute_runs(rows.items()).items() if not gone or t.strip()}
     group = brute_components(rows.items())
     rows = {i: t for i, t in rows.items() if group[i][1] == i}
     hit = {r[0] for r in contaminated(rows.items(), items) if r[2]}
@@ -52,5 +52,5 @@ def test_stages_keep_the_columns_and_take_odd_rows(spark, odd):
 def test_every_query_is_registered():
     names = entry.queries()
     assert sorted(n for n in names if re.match(r"op[0-9]+_", n)) == sorted(queries.QUERIES) and "pipeline" in names
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert entry.oracle_sql()["op5_licence_rules"] == queries.ORACLE["op5_licence_rules"]
