@@ -89,7 +89,8 @@ def line_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, chunks) of the texts with chunks whose bytes occur earlier. Joins are on
-    chunk hashes of every occurrence, with both sides plainly exchanged, so AQE splits a chunk that a third of the texts hold."""
+    chunk hashes of every occurrence, with both sides plainly exchanged, so AQE splits a chunk that a third of the texts hold. The lists that meet the texts
+    grow with the corpus: they are merged at every size, never broadcast."""
     chunks = written(line_chunks(docs, id_col, text_col), "chunks")
     often = written(chunks.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "chunk-hashes")
     wanted = chunks.join(often, "hash", "left_semi").groupBy("id", "th").agg(F.collect_set("chunk").alias("wanted"))
@@ -105,7 +106,7 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(chunk).cast(pa.int32()), pa.array(ch[c].view(np.int64)), texts], ["id", "th", "chunk", "hash", "bytes"])
 
     keyed = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), docs[text_col].alias("text"))
-    joined = keyed.join(wanted, keyed["k"].eqNullSafe(wanted["id"]) & (keyed["kh"] == wanted["th"])).select("k", "kh", "text", "wanted")
+    joined = keyed.join(wanted.hint("merge"), keyed["k"].eqNullSafe(wanted["id"]) & (keyed["kh"] == wanted["th"])).select("k", "kh", "text", "wanted")
     found = written(joined.mapInArrow(lambda b: _each(b, 2, rows), f"id {type_of(docs, id_col)}, th long, chunk int, hash long, bytes binary"), "chunk-bytes")
     firsts = written(
         found.groupBy("hash", "bytes").agg(F.min(F.struct("id", "th", "chunk")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"),
@@ -127,7 +128,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed_col = fresh(removed_col, names)
     gone = gone.select(F.col("id").alias(fresh("_gid", names)), F.col("th").alias(fresh("_gth", names)), F.col("chunks").alias(chunks))
     keyed = docs.withColumn(th, F.xxhash64(docs[text_col]))
-    joined = keyed.join(gone, keyed[id_col].eqNullSafe(gone[gone.columns[0]]) & (keyed[th] == gone[gone.columns[1]]), "left").select(*names, chunks)
+    joined = keyed.join(gone.hint("merge"), keyed[id_col].eqNullSafe(gone[gone.columns[0]]) & (keyed[th] == gone[gone.columns[1]]), "left").select(*names, chunks)
     text_at, chars_at = names.index(text_col), names.index("n_chars") if "n_chars" in names and type_of(docs, "n_chars") == "bigint" else None
 
     def cleaned(batches):
