@@ -23,7 +23,7 @@ from .operators import prepaid as P
 from .operators import quality as Q
 from .operators import reports as R
 from .operators import stock as S
-from .sources.schemas import CHECKS, DEFAULTS, DOMAINS, FOREIGN_KEYS, TABLE_DDL, UNIQUE, table_schema
+from .sources.schemas import CHECKS, DEFAULTS, DOMAINS, TABLE_DDL, UNIQUE, table_schema
 from .sources.tables import read_table
 
 
@@ -127,8 +127,9 @@ class BackOffice:
 
     def close_days(self, closings: DataFrame, seq: str = "seq"):
         recons = self.table("cash_reconciliations")
-        lo, hi = C.closing_window(recons, closings)
-        return C.close_days(recons, closings, self.daily_cash_totals(lo, hi), self.as_of, seq)
+        totals = C.daily_cash_totals(self.table("orders"), self.table("payments"), self.table("gcash_transactions"),
+                                     self.table("prepaid_load_transactions"), days=C.closing_days(recons, closings))
+        return C.close_days(recons, closings, totals, self.as_of, seq)
 
     def post_gcash_transactions(self, requests: DataFrame, seq: str = "seq"):
         ledger = self.table("gcash_transactions")
@@ -214,13 +215,11 @@ class BackOffice:
                                       F.lit(",".join(cols)).alias("check_name"),
                                       F.concat_ws(",", *[F.col(c).cast("string") for c in cols]).alias("detail"),
                                       "row_count"))
-        for child, col, parent, _ in FOREIGN_KEYS:
-            if child in present and parent in present:
-                o = Q.audit_references(self.table(child), col, self.table(parent)).agg(
-                    F.count(F.lit(1)).alias("row_count")).filter(F.col("row_count") > 0)
-                parts.append(o.select(F.lit(child).alias("table_name"), F.lit("reference").alias("check_kind"),
-                                      F.lit(f"{col} -> {parent}").alias("check_name"),
-                                      F.lit(None).cast("string").alias("detail"), "row_count"))
+        orphans = Q.audit_all_references({t: self.table(t) for t in present})
+        if orphans is not None:
+            parts.append(orphans.select(F.col("child").alias("table_name"), F.lit("reference").alias("check_kind"),
+                                        F.concat("fk", F.lit(" -> "), "parent").alias("check_name"),
+                                        F.lit(None).cast("string").alias("detail"), "row_count"))
         if not parts:
             return self.spark.createDataFrame([], "table_name string, check_kind string, check_name string, "
                                                   "detail string, row_count bigint")

@@ -123,7 +123,7 @@ TOTAL_COLUMNS = ["total_sales_amount", "cash_sales_amount", "other_cash_impact_a
 
 
 def daily_cash_totals(orders: DataFrame, payments: DataFrame, gcash: DataFrame, prepaid: DataFrame,
-                      start=None, end=None) -> DataFrame:
+                      start=None, end=None, days: DataFrame | None = None, day_col: str | None = None) -> DataFrame:
     """Per (branch_id, business_date): total_sales_amount (orders by
     created_at), cash_sales_amount (cash payments by payment_date),
     other_cash_impact_amount (signed wallet effect + prepaid impact),
@@ -133,9 +133,24 @@ def daily_cash_totals(orders: DataFrame, payments: DataFrame, gcash: DataFrame,
     rows and a single aggregate (one shuffle on the branch-day key, combined
     map-side per source). ``start`` / ``end`` (inclusive days) restrict every
     ledger by its own time column with predicates that reach the scans; the
-    orders a window's cash payments belong to are looked up in all orders."""
+    orders a window's cash payments belong to are looked up in all orders.
+
+    ``days`` (branch_id, business_date) restricts every ledger to those branch-days by semi-joins inside the plan, so
+    that a late closing among recent ones does not read the years between. Ledgers stored in folders by day name the folder column as
+    ``day_col``; Spark then prunes their folders at run time by the days asked for."""
     nul = F.lit(None).cast(MONEY)
     live_all = orders.filter(not_cancelled("order_status"))  # payments may belong to older orders
+    if days is not None:
+        # any comparison on this side lets the planner prune folders by it at run time; every date passes this one
+        d = days.select(F.col("branch_id").alias("__db"), F.col("business_date").alias("__dd")).distinct().filter(F.col("__dd") <= F.lit("9999-12-31").cast("date"))
+
+        def asked(df, ts, branch=None):
+            day = F.col(day_col) if day_col is not None and day_col in df.columns else F.to_date(F.col(ts))
+            test = day == F.col("__dd")
+            return df.join(d if branch else d.select("__dd").distinct(), test & (F.col(branch) == F.col("__db")) if branch else test, "left_semi")
+
+        orders, payments = asked(orders, "created_at", "branch_id"), asked(payments, "payment_date")
+        gcash, prepaid = asked(gcash, "created_at", "branch_id"), asked(prepaid, "created_at", "branch_id")
     if start is not None or end is not None:
         orders = orders.filter(day_range("created_at", start, end))
         payments = payments.filter(day_range("payment_date", start, end))
@@ -301,14 +316,11 @@ def empty_recons(spark, id_type: T.DataType = T.LongType(), key_type: T.DataType
     return spark.createDataFrame([], schema)
 
 
-def closing_window(recons: DataFrame, closings: DataFrame) -> tuple:
-    """(first, last) business day among the reconciliations being closed --
-    one small aggregate whose two values bound the ledger scans of
-    ``daily_cash_totals`` for a closing run."""
+def closing_days(recons: DataFrame, closings: DataFrame) -> DataFrame:
+    """The branch-days of the reconciliations being closed: (branch_id, business_date). What ``daily_cash_totals`` takes as
+    ``days``, so a closing run is one plan and runs no job while it is built."""
     ids = closings.select(F.col("id").alias("__cid")).distinct()
-    r = recons.join(ids, recons["id"] == ids["__cid"], "left_semi")
-    row = r.agg(F.min("business_date").alias("lo"), F.max("business_date").alias("hi")).first()
-    return row["lo"], row["hi"]
+    return recons.join(ids, recons["id"] == ids["__cid"], "left_semi").select("branch_id", "business_date").distinct()
 
 
 def close_days(recons: DataFrame, closings: DataFrame, totals: DataFrame, as_of="1970-01-01 00:00:00",

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import UUID_ANY, number
-from ..sources.schemas import CHECKS, DOMAINS, ENUMS, TABLE_DDL, VALIDATION, table_schema
+from ..sources.schemas import CHECKS, DOMAINS, ENUMS, FOREIGN_KEYS, TABLE_DDL, VALIDATION, table_schema
 
 _NUMERIC_TYPES = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -161,3 +161,24 @@ def audit_references(child: DataFrame, fk: str, parent: DataFrame, pk: str = "id
     p = parent.select(F.col(pk).alias("__pk"))
     c = child.filter(F.col(fk).isNotNull())
     return c.join(p, c[fk] == p["__pk"], "left_anti")
+
+
+def audit_all_references(tables: dict[str, DataFrame], edges: list[tuple] | None = None, pk: str = "id") -> DataFrame | None:
+    """Orphan counts of every declared foreign key between the tables given, (child, fk, parent, row_count) where there are any, in one pass: all
+    tables are read once, each row gives a claim for every reference it holds and an offer of its own key for every edge that
+    points at its table, and one aggregate by (edge, key) over all of them finds the keys that are claimed and not offered. Claims are
+    counted before the shuffle, so a parent that a third of all rows refer to is one row for each task. None without edges."""
+    used = [(n, *e[:3]) for n, e in enumerate(edges if edges is not None else FOREIGN_KEYS) if e[0] in tables and e[2] in tables]
+    parts = []
+    for name, df in tables.items():
+        claims = [F.struct(F.lit(n).alias("edge"), F.col(fk).cast("string").alias("key"), F.lit(False).alias("offer")) for n, child, fk, _ in used if child == name]
+        offers = [F.struct(F.lit(n).alias("edge"), F.col(pk).cast("string").alias("key"), F.lit(True).alias("offer")) for n, _, _, parent in used if parent == name]
+        if claims or offers:
+            parts.append(df.select(F.explode(F.array(*claims, *offers)).alias("x")).select("x.*"))
+    if not parts:
+        return None
+    rows = reduce(DataFrame.unionByName, parts).filter(F.col("key").isNotNull())
+    keys = rows.groupBy("edge", "key").agg(F.bool_or("offer").alias("offered"), F.count_if(~F.col("offer")).alias("claims"))
+    missing = keys.filter(~F.col("offered")).groupBy("edge").agg(F.sum("claims").alias("row_count"))
+    names = F.create_map(*[x for n, child, fk, parent in used for x in (F.lit(n), F.struct(F.lit(child).alias("child"), F.lit(fk).alias("fk"), F.lit(parent).alias("parent")))])
+    return missing.select(names[F.col("edge")].alias("e"), "row_count").select("e.*", "row_count")

@@ -50,12 +50,10 @@ def totals(a):
 
 
 def recons_closed(a):
-    """Closing run: ledger totals only for the days being closed (the window
-    reaches the ledger scans), then the close itself."""
+    """Closing run: ledger totals only for the branch-days being closed, then the close itself."""
     recons, close = recons_opened(a), closings(a)
-    lo, hi = C.closing_window(recons, close)
-    window_totals = C.daily_cash_totals(a.r_orders, a.r_payments, a.r_gcash, a.r_prepaid, lo, hi)
-    _, table = C.close_days(recons, close, window_totals)
+    day_totals = C.daily_cash_totals(a.r_orders, a.r_payments, a.r_gcash, a.r_prepaid, days=C.closing_days(recons, close))
+    _, table = C.close_days(recons, close, day_totals)
     return table
 
 

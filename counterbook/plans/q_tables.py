@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.text import NUMBER_TEXT, UUID_ANY
 from ..operators import changes as CH
 from ..operators import listing as L
+from ..operators import partitions as PA
 from ..operators import quality as Q
 from ..session import ensure_checkpoint_dir
 from ..sources import tables as TB
@@ -316,3 +317,68 @@ SELECT id, reference_number, ROW_NUMBER() OVER (ORDER BY created_at DESC NULLS F
 def q_recent_rows_page(a):
     """A page of the newest cash-in rows, in order."""
     return placed(L.recent_rows(a.r_gcash, "service_type = 'cash_in'", 70, 20).select("id", "reference_number"))
+
+
+def _stored_by_day(a):
+    """The deposits written in folders by business date, in the shared checkpoint folder."""
+    root = ensure_checkpoint_dir(a.spark)
+    path = f"{root.rstrip('/')}/deposits-{uuid.uuid4().hex}"
+    a.r_deposits.select("id", "business_date", "amount", "status").write.partitionBy("business_date").parquet(path)
+    return path
+
+
+@register("apply_patches_partitioned", ["r_deposits"], """
+SELECT id, CASE WHEN status = 'reversed' AND id % 40 = 0 THEN business_date + 3 ELSE business_date END AS business_date, amount,
+       CASE WHEN status = 'reversed' THEN 'checked' ELSE status END AS status
+FROM r_deposits""")
+def q_apply_patches_partitioned(a):
+    """Reversed deposits patched where they are stored, some moved to another day's folder; only folders with changed rows are rewritten."""
+    path = _stored_by_day(a)
+    gone = a.r_deposits.filter(F.col("status") == "reversed")
+    moved = F.when(F.col("id") % 40 == 0, F.date_add("business_date", 3)).otherwise(F.col("business_date"))
+    PA.patch_partitions(a.spark, path, ["business_date"], gone.select("id", F.lit("checked").alias("status"), moved.alias("business_date")))
+    return a.spark.read.parquet(path).select("id", "business_date", "amount", "status")
+
+
+@register("delete_keys_partitioned", ["r_deposits"], """
+SELECT id, business_date, 'kept' AS what FROM r_deposits WHERE status <> 'reversed'
+UNION ALL SELECT id, business_date, 'returned' FROM r_deposits WHERE status = 'reversed'""")
+def q_delete_keys_partitioned(a):
+    """Reversed deposits deleted where they are stored: the rows left and the rows returned."""
+    path = _stored_by_day(a)
+    gone = PA.delete_from_partitions(a.spark, path, ["business_date"], a.r_deposits.filter(F.col("status") == "reversed"))
+    kept = a.spark.read.parquet(path)
+    return kept.select("id", "business_date", F.lit("kept").alias("what")).unionByName(gone.select("id", "business_date", F.lit("returned").alias("what")))
+
+
+@register("read_envelopes_malformed", ["r_wallet_requests"], """
+SELECT CASE WHEN seq % 7 = 0 OR seq % 11 = 0 THEN NULL ELSE seq END AS seq,
+       CASE WHEN seq % 7 = 0 THEN 'not a JSON object' WHEN seq % 11 = 0 THEN 'a field has another type' END AS reason
+FROM r_wallet_requests""")
+def q_read_envelopes_malformed(a):
+    """Wallet requests as JSON bodies, some cut off and some with text for a number: each line is a row or is set aside, once."""
+    root = ensure_checkpoint_dir(a.spark)
+    path = f"{root.rstrip('/')}/envelopes-{uuid.uuid4().hex}"
+    body = F.to_json(F.struct("seq", "service_type", "reference_number", "principal_amount"))
+    body = F.when(F.col("seq") % 2 == 0, F.concat(F.lit('{"gcash_transaction":'), body, F.lit("}"))).otherwise(body)
+    lines = a.r_wallet_requests.select("seq", body.alias("body"))
+    cut = F.expr("""CASE WHEN seq % 7 = 0 THEN substring(body, 1, length(body) - 2)
+                         WHEN seq % 11 = 0 THEN regexp_replace(body, '"seq":([0-9]+)', '"seq":"no $1"') ELSE body END""")
+    lines.select(cut.alias("value")).write.text(path)
+    rows, malformed = TB.read_envelopes_checked(a.spark, path, "gcash_transaction", ENVELOPE_FIELDS)
+    return rows.select("seq", F.lit(None).cast("string").alias("reason")).unionByName(
+        malformed.select(F.lit(None).cast("bigint").alias("seq"), "reason"))
+
+
+AUDITED = [("order_items", "order_id", "orders"), ("payments", "order_id", "orders"), ("prepaid_requests", "product_id", "prepaid_catalog"),
+           ("order_items", "product_variant_id", "variants"), ("deposits", "branch_id", "branches"), ("variants", "product_id", "products")]
+AUDITED_VIEWS = {"order_items": "r_items", "payments": "r_payments", "orders": "r_orders", "prepaid_requests": "r_prepaid_requests",
+                 "prepaid_catalog": "r_prepaid_catalog", "variants": "r_variants", "deposits": "r_deposits", "branches": "r_branches", "products": "r_products"}
+
+
+@register("audit_all_references", list(AUDITED_VIEWS.values()), "SELECT * FROM (" + " UNION ALL ".join(
+    f"""SELECT '{child}' AS child, '{fk}' AS fk, '{parent}' AS parent, COUNT(*) AS row_count FROM {AUDITED_VIEWS[child]} c
+WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {AUDITED_VIEWS[parent]} p WHERE p.id = c.{fk})""" for child, fk, parent in AUDITED) + ") WHERE row_count > 0")
+def q_audit_all_references(a):
+    """Orphans of six foreign keys over nine tables, by one shuffle."""
+    return Q.audit_all_references({name: getattr(a, view) for name, view in AUDITED_VIEWS.items()}, AUDITED)

@@ -55,6 +55,23 @@ def read_envelopes(spark: SparkSession, path: str, resource: str, schema: T.Stru
     return envelope_body(raw, resource, schema, names)
 
 
+def read_envelopes_checked(spark: SparkSession, path: str, resource: str, schema: T.StructType,
+                           wrappers: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Like ``read_envelopes``, with malformed bodies set aside: (rows, malformed). A line is malformed if it is no JSON object, or if a field cannot be read as
+    its declared type; it comes out once in ``malformed`` (body, reason: 'not a JSON object' or 'a field has another type') and not
+    as a row. Blank lines are no bodies."""
+    names = wrappers or [resource, resource + "s"]
+    kept = envelope_schema(resource, schema, names)
+    bad = "__malformed"
+    wide = T.StructType([*kept.fields, T.StructField(bad, T.StringType())])
+    lines = spark.read.text(path).filter(F.trim("value") != "")
+    parsed = lines.select("value", F.from_json("value", wide, {"columnNameOfCorruptRecord": bad}).alias("__body"))
+    broken = F.col("__body").isNull() | F.col(f"__body.{bad}").isNotNull() | ~F.ltrim("value").startswith("{")
+    whole = F.try_parse_json("value").isNotNull() & F.ltrim("value").startswith("{")
+    rows = envelope_body(parsed.filter(~broken).select("__body.*").drop(bad), resource, schema, names)
+    return rows, parsed.filter(broken).select(F.col("value").alias("body"), F.when(whole, F.lit("a field has another type")).otherwise(F.lit("not a JSON object")).alias("reason"))
+
+
 def envelope_schema(resource: str, schema: T.StructType, wrappers: list[str] | None = None) -> T.StructType:
     """Read schema covering the bare and the wrapped shapes of a body."""
     names = wrappers or [resource, resource + "s"]
