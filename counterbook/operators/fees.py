@@ -95,6 +95,18 @@ def _levels(pieces: DataFrame) -> DataFrame:
     return F.broadcast(pieces.groupBy("st").agg(F.collect_set("level").alias("levels")))
 
 
+#: Active rules up to which all of a service type travel to every task, as one row for each type.
+FEW_RULES = 256
+
+
+def _listed(rules: DataFrame) -> DataFrame:
+    """(st, listed): the active rules of each service type, best first. For ``FEW_RULES`` at most, so it may be broadcast."""
+    keys = [(-F.col("min_amount")).alias("k1"), F.col("created_at").isNotNull().alias("k2"), (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("k3")]
+    rule = F.struct(F.col("min_amount").isNull().alias("k0"), *keys, F.col("id").isNull().alias("k4"), F.col("id").alias("k5"), F.struct(*RULE_FIELDS).alias("rule"))
+    listed = rules.groupBy(F.col("service_type").alias("__st")).agg(F.sort_array(F.collect_list(rule)).alias("__sorted"))
+    return F.broadcast(listed.select("__st", F.transform("__sorted", lambda r: r["rule"]).alias("__rules")))
+
+
 def match_fee_rules(txns: DataFrame, rules: DataFrame, amount: str = "principal_amount",
                     service_type: str = "service_type", as_of: Column | str = "1970-01-01 00:00:00",
                     prefix: str = "rule_") -> DataFrame:
@@ -105,8 +117,16 @@ def match_fee_rules(txns: DataFrame, rules: DataFrame, amount: str = "principal_
     order), then smallest id. Adds ``{prefix}id``, ``{prefix}fee_amount``, ``{prefix}min_amount``,
     ``{prefix}max_amount`` (NULL when no rule applies).
 
-    The best rule is found once per distinct (type, amount, time) and joined back, so every input
+    A table of ``FEW_RULES`` active rules at most (counted first) is carried to the transactions, which then do not move.
+    Beyond that, cells: the best rule is found once per distinct (type, amount, time) and joined back, so every input
     row comes out once, whatever its other columns hold."""
+    active = rules.filter((F.col("is_active") == F.lit(True)) & F.col("service_type").isin(*SERVICE_TYPES))
+    out = ("id", "fee_amount", "min_amount", "max_amount")
+    if active.limit(FEW_RULES + 1).count() <= FEW_RULES:
+        t = txns.select("*", F.col(amount).try_cast("decimal(30,6)").alias("__mamt"), _as_of(as_of).alias("__mat"))
+        t = t.join(_listed(active), F.col(service_type) == F.col("__st"), "left")
+        best = F.try_element_at(F.filter("__rules", lambda r: _applies({f: r[f] for f in RULE_FIELDS}, F.col("__mamt"), F.col("__mat"))), F.lit(1))
+        return t.withColumn("__best", best).select(*[txns[c] for c in txns.columns], *[F.col("__best")[f].alias(prefix + f) for f in out])
     pieces = _pieces(rules, RULE_FIELDS)
     t = txns.select("*", F.col(service_type).alias("__mst"), F.col(amount).try_cast("decimal(30,6)").alias("__mamt"),
                     _as_of(as_of).alias("__mat"))
@@ -125,7 +145,7 @@ def match_fee_rules(txns: DataFrame, rules: DataFrame, amount: str = "principal_
         F.desc_nulls_last("min_amount"), F.desc_nulls_first("created_at"), F.asc_nulls_last("id"))
     best = met.select("__mst", "__mamt", "__mat", *RULE_FIELDS, F.row_number().over(w).alias("__rn")).filter("__rn = 1")
     best = best.select(F.col("__mst").alias("__bst"), F.col("__mamt").alias("__bamt"), F.col("__mat").alias("__bat"),
-                       *[F.col(f).alias(prefix + f) for f in ("id", "fee_amount", "min_amount", "max_amount")])
+                       *[F.col(f).alias(prefix + f) for f in out])
     j = t.join(best, (F.col("__mst") == F.col("__bst")) & (F.col("__mamt") == F.col("__bamt"))
                & F.col("__mat").eqNullSafe(F.col("__bat")), "left")
     return j.drop("__mst", "__mamt", "__mat", "__bst", "__bamt", "__bat")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.money import MONEY_OUT, money_out, zero_money
 from ..functions.periods import ReportArgumentError, check_date_range, resolve_report_dates
 from ..functions.predicates import day_range, not_cancelled, optional_filters, truthy_text
+from ..session import cut_lineage
 
 SALES_MEASURES = ["order_count", "gross_sales", "total_discounts", "net_sales", "items_sold"]
 
@@ -226,17 +227,39 @@ def top_products(items: DataFrame, orders: DataFrame, variants: DataFrame, produ
             .limit(k))
 
 
+#: Rows before a page's end up to which it is a top-k; beyond it, partitions are counted instead.
+DEEP = 10_000
+
+
 def _page(df: DataFrame, order: list[Column], limit, offset) -> DataFrame:
-    """The whole frame in order, or a page of it. A page is a top-k of ``offset + limit`` rows; an
-    offset without a limit would put everything into one task and is refused."""
+    """The whole frame in order, or a page of it: a top-k of ``offset + limit`` rows near the beginning, else
+    ``_deep_page``. An offset without a limit is refused."""
     if limit is None:
         if offset:
             raise ReportArgumentError("offset needs a limit")
         return df.orderBy(*order)
+    if int(offset or 0) + int(limit) > DEEP:
+        return _deep_page(df, order, int(limit), int(offset or 0))
     df = df.orderBy(*order)
     return (df.offset(int(offset)) if offset else df).limit(int(limit))
 
 
+def _deep_page(df: DataFrame, order: list[Column], limit: int, offset: int) -> DataFrame:
+    """A page far into the order, no row of which passes through one task: the rows are ranged by the order into
+    sorted partitions (checkpointed, so that their borders stay), the partitions are counted, and the page's rows are picked by
+    partition and place in it. The driver gets one count for each partition."""
+    ranged = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = ranged.withColumn("__at", F.monotonically_increasing_id())  # partition << 33 | place
+    counts = placed.groupBy(F.shiftright("__at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    page, before = F.lit(False), 0
+    for c in counts:
+        low, high = max(offset - before, 0), min(offset + limit - before, c.n)
+        if low < high:
+            page = page | F.col("__at").between((c.part << 33) + low, (c.part << 33) + high - 1)
+        before += c.n
+    return placed.filter(page).drop("__at").orderBy(*order)
+
+
 def purchase_orders_with_totals(pos: DataFrame, po_items: DataFrame, where: str | None = None,
                                 limit=None, offset=0) -> DataFrame:
     """All PO columns plus items_total = Σ quantity·cost_price (a NULL cost

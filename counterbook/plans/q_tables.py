@@ -382,3 +382,10 @@ WHERE c.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {AUDITED_VIEWS[parent]} p
 def q_audit_all_references(a):
     """Orphans of six foreign keys over nine tables, by one shuffle."""
     return Q.audit_all_references({name: getattr(a, view) for name, view in AUDITED_VIEWS.items()}, AUDITED)
+
+
+@register("recent_rows_deep", ["r_orders"], """
+SELECT id, order_number FROM r_orders ORDER BY created_at DESC NULLS FIRST, id DESC LIMIT 60 OFFSET 11000""")
+def q_recent_rows_deep(a):
+    """A page far down the orders: partitions are counted, no task sees the rows before it."""
+    return L.recent_rows(a.r_orders, None, 60, 11_000).select("id", "order_number")

@@ -497,3 +497,14 @@ def test_open_ended_bands_are_paired_once_over_many_keys(spark):
     bands = rdf.select(F.col("service_type").alias("st"), "id", "min_amount", "max_amount")
     plan = FE._pairs_by_blocks(bands)._jdf.queryExecution().optimizedPlan().toString()
     assert "(low" in plan and "w_low" in plan
+
+
+def test_few_rules_and_cells_agree(spark, rules, monkeypatch):
+    txn = spark.range(3000).selectExpr("id", "case when id % 11 = 0 then null when id % 2 = 0 then 'cash_in' else 'cash_out' end as service_type",
+                                       "cast(id % 700 as decimal(12,2)) + case when id % 5 = 0 then 0.005 else 0.01 end as principal_amount",
+                                       "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 60 as int)) as at")
+    rules = rules.unionByName(spark.createDataFrame([(90, "cash_in", None, D(5), D(1), True, None, None, None), (91, "cash_in", D(500), D(500), D(2), True, ts("2024-01-10 00:00:00"), None, None)], RULES))
+    few = sorted(map(tuple, FE.match_fee_rules(txn, rules, as_of=F.col("at")).collect()))
+    monkeypatch.setattr(FE, "FEW_RULES", -1)
+    assert few == sorted(map(tuple, FE.match_fee_rules(txn, rules, as_of=F.col("at")).collect()))
+    assert sum(r[4] is not None for r in few) > 500

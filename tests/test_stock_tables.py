@@ -362,3 +362,15 @@ def test_left_join_nullable_with_map_column(spark):
     right = spark.createDataFrame([(5, "Ann")], "id bigint, name string")
     out = {x["id"]: x["who"] for x in left_join_nullable(left, right, "uid", "id", {"name": "who"}).collect()}
     assert out == {1: "Ann", 2: None}
+
+
+def test_deep_pages_pick_rows_by_partition_counts(spark):
+    from counterbook.operators.listing import recent_rows
+
+    df = spark.range(60_000).selectExpr("id", "case when id % 9 = 0 then null else timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, cast(id % 3 as int)) end as created_at")
+    ordered = [r.id for r in recent_rows(df).collect()]
+    for offset, limit in ((59_990, 50), (20_000, 7), (0, 15_000), (70_000, 5), (19_999, 10_001)):
+        page = recent_rows(df, None, limit, offset)
+        assert [r.id for r in page.collect()] == ordered[offset : offset + limit]
+    plan = recent_rows(df, None, 20, 40_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Limit" not in plan and "Offset" not in plan
