@@ -7,11 +7,14 @@ read)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import new_id
+from ..session import cut_lineage
 from ..sources.schemas import DEFAULTS, FOREIGN_KEYS
 from .quality import validation_errors
 
@@ -98,38 +101,65 @@ class DeleteRefused(ValueError):
     pass
 
 
+def _cascade_order(tables: dict[str, DataFrame], table: str) -> list[str]:
+    """The tables given that cascades reach from ``table``, each after all those it takes deletes from."""
+    order: list[str] = []
+
+    def visit(name):
+        if name in order:
+            return
+        for child, _, parent, action in FOREIGN_KEYS:
+            if parent == name and action == "cascade" and child in tables and child != name:
+                visit(child)
+        order.insert(0, name)
+
+    visit(table)
+    return order
+
+
 def propagate_deletes(tables: dict[str, DataFrame], table: str, keys: DataFrame, key: str = "id",
                       check_restrict: bool = True) -> dict[str, DataFrame]:
     """Delete ``keys`` from ``table`` and apply the declared foreign-key
     actions to the tables given: CASCADE deletes child rows (recursively),
     SET NULL clears the reference, RESTRICT / NO ACTION refuses the whole
-    delete when any child still refers to a deleted key (checked with one
-    bounded ``limit(1)`` probe per such edge). Returns the new versions of
-    every table touched."""
-    out = dict(tables)
-    pending = [(table, keys.select(F.col(key).alias("__dk")).distinct())]
-    while pending:
-        name, dk = pending.pop(0)
-        kept, _ = delete_keys(out[name], dk.withColumnRenamed("__dk", key), key)
-        out[name] = kept
-        for child, col, parent, action in FOREIGN_KEYS:
-            if parent != name or child not in out:
-                continue
-            c = out[child]
-            if action == "restrict":
-                if check_restrict and c.join(dk, c[col] == dk["__dk"], "left_semi").limit(1).count() > 0:
-                    raise DeleteRefused(f"{child}.{col} still references {name}")
-            elif action == "set_null":
-                flag = dk.withColumnRenamed("__dk", "__sn")
-                j = c.join(flag, c[col] == flag["__sn"], "left")
-                out[child] = j.select(*[F.when(F.col("__sn").isNotNull(), F.lit(None).cast(c.schema[x].dataType))
-                                        .otherwise(c[x]).alias(x) if x == col else c[x] for x in c.columns])
-            elif action == "cascade":
-                doomed = c.join(dk, c[col] == dk["__dk"], "left_semi")
-                if "id" in c.columns:
-                    pending.append((child, doomed.select(F.col("id").alias("__dk")).distinct()))
-                else:
-                    out[child] = c.join(dk, c[col] == dk["__dk"], "left_anti")
+    delete when a child row that is left still refers to a deleted key. Returns the new versions of
+    every table.
+
+    Tables are taken in the order of their cascades, so each one's set of deleted keys is found once, from its parents' sets, and checkpointed: the plan grows with
+    the foreign keys, not with the ways through them. All RESTRICT keys are checked on the final sets by one aggregate."""
+    order = _cascade_order(tables, table)
+    doomed = {table: cut_lineage(keys.select(F.col(key).alias("__dk")).distinct())}
+
+    def edges(kind, child=None):
+        return [e for e in FOREIGN_KEYS if e[3] == kind and e[0] in tables and e[2] in doomed and (child is None or e[0] == child)]
+
+    def left(name):
+        """The table without its deleted rows."""
+        df = tables[name]
+        own = "id" if name != table else key
+        if name in doomed and own in df.columns:
+            return df.join(doomed[name], df[own] == F.col("__dk"), "left_anti")
+        for _, col, parent, _ in edges("cascade", name):
+            df = df.join(doomed[parent], df[col] == F.col("__dk"), "left_anti")
+        return df
+
+    for name in order[1:]:
+        df = tables[name]
+        if "id" in df.columns:  # a child without an id is parent to none
+            hit = [df.join(doomed[parent], df[col] == F.col("__dk"), "left_semi").select("id") for _, col, parent, _ in edges("cascade", name)]
+            doomed[name] = cut_lineage(reduce(DataFrame.unionByName, hit).select(F.col("id").alias("__dk")).distinct())
+    kept = {name: left(name) for name in tables if name in order}
+    if check_restrict and (bars := edges("restrict")):
+        probes = [kept.get(child, tables[child]).join(doomed[parent], F.col(col) == F.col("__dk"), "left_semi").select(F.lit(n).alias("n")) for n, (child, col, parent, _) in enumerate(bars)]
+        held = reduce(DataFrame.unionByName, probes).agg(F.min("n").alias("n")).first()["n"]
+        if held is not None:
+            child, col, parent, _ = bars[held]
+            raise DeleteRefused(f"{child}.{col} still references {parent}")
+    out = {**tables, **kept}
+    for child, col, parent, _ in edges("set_null"):
+        c = out[child]
+        j = c.join(doomed[parent], c[col] == F.col("__dk"), "left")
+        out[child] = j.select(*[F.when(F.col("__dk").isNotNull(), F.lit(None).cast(c.schema[x].dataType)).otherwise(c[x]).alias(x) if x == col else c[x] for x in c.columns])
     return out
 
 

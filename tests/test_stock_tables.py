@@ -374,3 +374,22 @@ def test_deep_pages_pick_rows_by_partition_counts(spark):
         assert [r.id for r in page.collect()] == ordered[offset : offset + limit]
     plan = recent_rows(df, None, 20, 40_000)._jdf.queryExecution().optimizedPlan().toString()
     assert "Limit" not in plan and "Offset" not in plan
+
+
+def test_deletes_meet_over_two_ways_and_restrict_looks_at_what_is_left(spark):
+    """A branch delete reaches its deposits, whose reversal goes with them (nothing left refers); one in another branch refuses. A row deleted along two cascades goes once."""
+    branches = spark.createDataFrame([(1,), (2,)], "id bigint")
+    deposits = spark.createDataFrame([(10, 1, None), (11, 1, 10), (12, 2, None)], "id bigint, branch_id bigint, reversal_of_id bigint")
+    products = spark.createDataFrame([(7, 5), (8, None)], "id bigint, category_id bigint")
+    variants = spark.createDataFrame([(70, 7), (80, 8)], "id bigint, product_id bigint")
+    stock = spark.createDataFrame([(1, 1, 70), (2, 2, 80), (3, 2, 70)], "id bigint, branch_id bigint, product_variant_id bigint")
+    tables = {"branches": branches, "bank_deposits": deposits, "products": products, "product_variants": variants, "inventories": stock}
+    one = spark.createDataFrame([(1,)], "id bigint")
+    out = CH.propagate_deletes(tables, "branches", one)
+    assert [x["id"] for x in rows(out["bank_deposits"])] == [12] and sorted(x["id"] for x in rows(out["inventories"])) == [2, 3]
+    abroad = deposits.unionByName(spark.createDataFrame([(13, 2, 10)], deposits.schema))
+    with pytest.raises(CH.DeleteRefused, match="bank_deposits.reversal_of_id"):
+        CH.propagate_deletes({**tables, "bank_deposits": abroad}, "branches", one)
+    assert CH.propagate_deletes({**tables, "bank_deposits": abroad}, "branches", one, check_restrict=False)["bank_deposits"].count() == 2
+    out = CH.propagate_deletes(tables, "products", spark.createDataFrame([(7,)], "id bigint"))
+    assert [x["id"] for x in rows(out["product_variants"])] == [80] and [x["id"] for x in rows(out["inventories"])] == [2]
