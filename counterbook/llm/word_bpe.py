@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import forget, type_of, written
 
-#: Characters of a block, texts of a chunk, and hash buckets in which the words of all blocks meet.
+#: Characters of a block, texts of a chunk, and the least number of hash buckets in which the words of all blocks meet (a cluster set to more shuffle partitions has as many buckets).
 BLOCK_CHARS, CHUNK, BUCKETS = 16_000_000, 256, 1024
 #: Fixed values of the tokenizer format: the word pattern whose splitting is done here, and the normaliser before it. Other
 #: tokenizers, and texts with characters that are, or lower to, ones from U+0250 on, are normalised and split by the tokenizers library.
@@ -107,19 +107,35 @@ class Block:
         return out
 
 
+def squeezed(data: bytes) -> bytes:
+    """Compressed bytes, their length before them."""
+    return len(data).to_bytes(4, "little") + pa.Codec("zstd", 6).compress(data, asbytes=True)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(data[4:], int.from_bytes(data[:4], "little"), asbytes=True)
+
+
 def packed(numbers) -> bytes:
-    """Unsigned numbers as compressed byte planes."""
-    return zlib.compress(np.asarray(numbers, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 4)
+    """Unsigned numbers, small ones the commonest: a byte each, and byte planes of those that do not fit one."""
+    x = np.asarray(numbers, "<u4")
+    large = x[x >= 255] - np.uint32(255)
+    return squeezed(len(x).to_bytes(4, "little") + np.minimum(x, 255).astype(np.uint8).tobytes() + large.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    raw = unsqueezed(data)
+    n = int.from_bytes(raw[:4], "little")
+    out = np.frombuffer(raw, np.uint8, n, 4).astype("<u4")
+    out[out == 255] += np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=4 + n).reshape(4, -1).T).view("<u4").ravel()
+    return out
 
 
 def split_blocks(docs: DataFrame, config, id_col: str, text_col: str) -> DataFrame:
     """One table of the shared folder with two kinds of rows. Texts, ``CHUNK`` at a time: (block, ids, sizes,
     places), the sizes and places of their words. Words of a block, by bucket (a hash of the word): (block, bucket, words, places)."""
     kind = type_of(docs, id_col)
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches):
         splitter, part, count, chars, held = Splitter(config.value), TaskContext.get().partitionId(), 0, 0, False
@@ -132,36 +148,45 @@ def split_blocks(docs: DataFrame, config, id_col: str, text_col: str) -> DataFra
                 ["block", "bucket", "ids", "sizes", "places", "words"],
             )
 
-        def texts(ids, each):
-            flat = [p for places in each for p in places]
-            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            return table([(None, packed([len(p) for p in each]), packed(flat), None)], lists)
-
-        def words():
-            buckets: dict[int, list[str]] = {}
+        def done():
+            """The block's texts and words; the commonest word has place 0, the next 1, ... so that places are small."""
+            counts = np.zeros(len(block.words), np.int64)
+            for _, _, flat in chunks:
+                np.add.at(counts, flat, 1)
+            place = np.empty(len(counts), np.int64)
+            place[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+            for ids, sizes, flat in chunks:
+                yield table([(None, packed(sizes), packed(place[flat]), None)], pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids))
+            parts: dict[int, list[str]] = {}
             for w in block.words:
-                buckets.setdefault(zlib.crc32(w.encode()) % BUCKETS, []).append(w)
-            rows = [(b, None, packed([block.words[w] for w in ws]), zlib.compress("\n".join(ws).encode(), 4)) for b, ws in buckets.items()]
+                parts.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
+            rows = [(b, None, packed(place[[block.words[w] for w in ws]]), squeezed("\n".join(ws).encode())) for b, ws in parts.items()]
             for k in range(0, len(rows), 1000):
                 yield table(rows[k : k + 1000], pa.nulls(len(rows[k : k + 1000]), pa.list_(id_type)))
 
+        chunks: list[tuple] = []
+
+        def chunk(ids, each):
+            chunks.append((ids, [len(p) for p in each], np.fromiter((p for places in each for p in places), "<u4")))
+
         for batch in batches:
             id_type, lo, each = batch.column(0).type, 0, []
             for k, text in enumerate(batch.column(1)):
                 text = text.as_py() or ""
                 if each and len(each) >= CHUNK or held and chars + len(text) > BLOCK_CHARS:
                     if each:
-                        yield texts(batch.column(0).slice(lo, k - lo), each)
+                        chunk(batch.column(0).slice(lo, k - lo), each)
                     lo, each = k, []
                     if chars + len(text) > BLOCK_CHARS:
-                        yield from words()
+                        yield from done()
                         block, count, chars, held = Block(splitter), count + 1, 0, False
+                        chunks.clear()
                 each.append(block.places(text))
                 chars, held = chars + len(text), True
             if each:
-                yield texts(batch.column(0).slice(lo), each)
+                chunk(batch.column(0).slice(lo), each)
         if held:
-            yield from words()
+            yield from done()
 
     split = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     rows = split.mapInArrow(run, f"block long, bucket int, ids array<{kind}>, sizes binary, places binary, words binary")
@@ -187,7 +212,7 @@ def encode_words(words: DataFrame, config) -> DataFrame:
             for b, data in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if b != bucket:
                     bucket, known = b, {}
-                each = [ids_of(w) for w in zlib.decompress(data).decode().split("\n")]
+                each = [ids_of(w) for w in unsqueezed(data).decode().split("\n")]
                 sizes.append(packed([len(x) for x in each]))
                 ids.append(packed(np.concatenate(each)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], ["block", "places", "sizes", "ids"])
