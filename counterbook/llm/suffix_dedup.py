@@ -5,13 +5,14 @@ the same text) is removed. The work is done in five steps:
 
 1. Each 100-byte window gets the smallest hash of its 24-byte grams (a minimiser). Equal windows have equal
    minimisers, so windows whose minimiser is found once in the corpus are done with: nothing is lost.
-2. The bytes of the other windows are cut from their texts and packed into shards of about ``SHARD_BYTES``.
+2. Texts that are copies of an earlier one as a whole are done with too. The bytes of the other texts' remaining windows are cut out and packed into shards of about ``SHARD_BYTES``.
 3. Each shard gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai's method; where a
    common prefix reaches 100 bytes, all windows but the earliest are repeats. The earliest ones go on, by minimiser.
 4. Across shards, runs of windows that are the same as a whole (by a 128-bit digest) are settled by the earliest one. Of the others, the
    sorted windows of two shards are merged by binary search, shard lists pairwise until one is left; the
    later one of two equal windows is a repeat. A minimiser with more than ``HOT_ROWS`` rows left (texts that hold a
-   common passage in different surroundings) is split: its windows are grouped by their 100 bytes, not by minimiser.
+   common passage in different surroundings) is split by a second minimiser over ``SECOND``-byte grams: runs by it are settled by digest like
+   the first ones, and of what is left windows are grouped by their 100 bytes.
 5. Repeats are gathered by text and their bytes taken out.
 
 Defined results: a null or empty text has no bytes; a text under 100 bytes has no window; a text of any length is read whole (a text
@@ -23,6 +24,7 @@ null id comes before every other; columns beside id and text are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ from .shared import forget, type_of, written
 
 WINDOW, GRAM = 100, 24
 SHARD_BYTES, MERGE_WINDOWS, HOT_ROWS = 1 << 21, 150_000, 256
+#: Bytes of the grams of the second minimiser, which tells the windows of a hot first one apart.
+SECOND = 88
 
 
 # -- windows and their minimisers ------------------------------------------------------------------------------------
@@ -103,18 +107,21 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
     """Suffixes in order of at least their first ``depth`` bytes, and whether each agrees with the one before it as far as they are ordered. Larsson-Sadakane: groups that share h bytes are refined by
     the group of the suffix h further on, h doubles, and groups of one suffix are never touched again."""
     n = len(data)
-    # the first order is by four bytes, 9 bits each: the end of the text sorts before every byte
-    one = np.zeros(n + 4, np.uint64)
+    # the first order is by seven bytes, 9 bits each: the end of the text sorts before every byte
+    one = np.zeros(n + 7, np.uint64)
     one[:n] = data.astype(np.uint64) + np.uint64(1)
-    key = one[:n] << np.uint64(27) | one[1 : n + 1] << np.uint64(18) | one[2 : n + 2] << np.uint64(9) | one[3 : n + 3]
-    order = np.argsort(key, kind="stable")
+    key = one[:n].copy()
+    for k in range(1, 7):
+        key <<= np.uint64(9)
+        key |= one[k : n + k]
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 4
+    h = 7
     while h < depth:
         alone = new & np.append(new[1:], True)
         todo = np.flatnonzero(~alone)
@@ -367,6 +374,41 @@ def _merges(batches):
         yield merge_shards(pa.Table.from_batches(held))
 
 
+def _seconds(batches):
+    """Of the rows of hot minimisers, the runs of windows with one smallest hash of their ``SECOND``-byte grams, and a digest of each run's bytes."""
+    table, powers, grams = T.byte_table(7), T.Powers(), WINDOW - SECOND + 1
+    for batch in batches:
+        for lo in range(0, len(batch), 4000):
+            part = pa.Table.from_batches([batch.slice(lo, 4000)])
+            reps = [np.frombuffer(x.as_buffer(), "<u4") for x in part.column("reps")]
+            raw = [x.as_buffer() for x in part.column("bytes")]
+            base = np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+            data = np.frombuffer(b"".join(raw), np.uint8)
+            row = np.repeat(np.arange(len(reps)), [len(x) for x in reps])
+            inside = np.concatenate(reps).astype(np.int64)
+            at = base[row] + inside
+            every = np.arange(max(len(data) - SECOND + 1, 0))
+            gram = T.Hasher(data, table, powers).of(every, every + SECOND)
+            low = gram[at]
+            for k in range(1, grams):
+                low = np.minimum(low, gram[at + k])
+            new = np.ones(len(row), bool)
+            new[1:] = (row[1:] != row[:-1]) | (inside[1:] != inside[:-1] + 1) | (low[1:] != low[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(row)) - 1
+            texts = [data[a : b + WINDOW].tobytes() for a, b in zip(at[first], at[last], strict=True)]
+            digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in texts), np.int64).reshape(-1, 2)
+            owner = pa.array(row[first])
+            start = part.column("first").to_numpy()[row[first]].astype(np.int64) + inside[first]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("id").combine_chunks().take(owner), part.column("th").combine_chunks().take(owner), pa.array(start).cast(pa.int32()), pa.array(start + inside[last] - inside[first]).cast(pa.int32()),
+                    pa.array(low[first].view(np.int64)), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([np.arange(n, dtype="<u4").tobytes() for n in (last - first + 1).tolist()], pa.binary()), pa.array(texts, pa.binary()),
+                ],
+                ["id", "th", "first", "last", "hash", "d0", "d1", "reps", "bytes"],
+            )
+
+
 def _hot(batches):
     for batch in batches:
         for lo in range(0, len(batch), 500):
@@ -377,6 +419,29 @@ def _hot(batches):
             yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(at), part.column("th").combine_chunks().take(at), pa.array(start).cast(pa.int32()), flat], ["id", "th", "first", "window"])
 
 
+def _settled(rows: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Runs of windows, equal ones by ``key``, its first part their minimiser: (the distinct ones, the later of equal ones, the earliest rows of distinct ones that share a minimiser, with the number ``rows`` of these)."""
+    ahead = rows.select("id", "th", "first", "last", *key)
+    runs = written(ahead.groupBy(*key).agg(F.min(F.struct("id", "th", "first")).alias("earliest"), F.count("*").alias("n")), "runs")
+    later = ahead.join(runs.where("n > 1").select(*key, "earliest"), key).where(F.struct("id", "th", "first") > F.col("earliest"))
+    later = written(later.select("id", "th", "first", "last"), "later-runs")
+    counts = runs.groupBy(key[0]).agg(F.count("*").alias("rows")).where("rows > 1")
+    left = runs.join(counts, key[0]).select(*key, "earliest", "rows")
+    return runs, later, rows.join(left, key).where(F.struct("id", "th", "first").eqNullSafe(F.col("earliest")))
+
+
+def later_copies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, first, last): all windows of the texts that are, by their SHA-256, copies of an earlier one."""
+    text = docs[text_col].cast("binary")
+    each = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[text_col]).alias("th"), F.octet_length(text).alias("size"), F.sha2(text, 256).alias("digest")).where(F.col("size") >= WINDOW)
+    each = written(each, "digests")
+    firsts = each.groupBy("digest").agg(F.min(F.struct("id", "th")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = each.join(firsts, "digest").where(F.struct("id", "th") > F.col("earliest"))
+    later = written(later.select("id", "th", F.lit(0).alias("first"), (F.col("size") - WINDOW).cast("int").alias("last")).distinct(), "later-copies")
+    forget(each)
+    return later
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, th, first, last): runs of window starts whose 100 bytes start earlier too."""
     kind = type_of(docs, id_col)
@@ -386,6 +451,9 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each = found.select("doc", F.explode("runs").alias("r")).select("doc", F.col("r.hash").alias("hash"), F.col("r.span").alias("span"))
     wanted = each.join(twice, "hash", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("hash", "span")).alias("runs"))
     wanted = wanted.join(found.select("doc", "id", "th"), "doc").select("id", "th", "runs").dropDuplicates(["id", "th"])
+    copies = later_copies(docs, id_col, text_col)  # they bring no window that their first copy does not
+    gone = copies.select(F.col("id").alias("c_id"), F.col("th").alias("c_th"))
+    wanted = wanted.join(gone, wanted["id"].eqNullSafe(gone["c_id"]) & (wanted["th"] == gone["c_th"]), "left_anti")
     texts = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), docs[text_col].alias("text"))
     cut = texts.join(wanted, texts["k"].eqNullSafe(wanted["id"]) & (texts["kh"] == wanted["th"])).select("id", "th", "text", "runs")
 
@@ -397,26 +465,24 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     inside = written(cut.mapInArrow(shards, f"id {kind}, {FOUND}, shard long"), "shard-repeats", "zstd")
     forget(found, twice)
     # the same run of windows in several shards: all but the earliest are repeats (what a run holds beside its
-    # earliest windows are repeats inside its shard)
-    ahead = inside.where("hash is not null").select("id", "th", "first", "last", "hash", "d0", "d1")
+    # earliest windows are repeats inside its shard); different runs with one minimiser may share windows
     key = ["hash", "d0", "d1"]
-    runs = written(ahead.groupBy(*key).agg(F.min(F.struct("id", "th", "first")).alias("earliest"), F.count("*").alias("n")), "runs")
-    later = ahead.join(runs.where("n > 1").select(*key, "earliest"), key).where(F.struct("id", "th", "first") > F.col("earliest"))
-    later = written(later.select("id", "th", "first", "last"), "later-runs")
-    # different runs with one minimiser may share windows
-    counts = runs.groupBy("hash").agg(F.count("*").alias("rows")).where("rows > 1")
-    left = runs.join(counts, "hash").select(*key, "earliest", "rows")
-    left = inside.where("hash is not null").join(left, key).where(F.struct("id", "th", "first").eqNullSafe(F.col("earliest")))
+    runs, later, left = _settled(inside.where("hash is not null"), key)
     left = written(left.select("id", "th", "first", "hash", "reps", "bytes", "shard", "rows"), "run-variants", "zstd")
     out = f"id {kind}, th long, first int, last int"
     few = left.where(F.col("rows") <= HOT_ROWS).drop("rows")
     across = written(few.repartition("hash").sortWithinPartitions("hash").mapInArrow(_merges, out), "merged")
-    many = left.where(F.col("rows") > HOT_ROWS).drop("rows")
-    single = written(many.mapInArrow(_hot, f"id {kind}, th long, first int, window binary"), "hot-windows", "zstd")
+    many = left.where(F.col("rows") > HOT_ROWS).drop("rows", "hash")
+    # a hot minimiser's windows by a second, longer one: windows that reach beyond a common passage mostly hold a gram that is found once,
+    # and what the passage holds itself are equal runs again
+    second = written(many.mapInArrow(_seconds, f"id {kind}, {FOUND}"), "second-runs", "zstd")
+    again, later_again, variants = _settled(second, key)
+    single = written(variants.mapInArrow(_hot, f"id {kind}, th long, first int, window binary"), "hot-windows", "zstd")
     firsts = written(single.groupBy("window").agg(F.min(F.struct("id", "th", "first")).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n"), "hot-firsts")
     split = single.join(firsts, "window").where(F.struct("id", "th", "first") > F.col("earliest")).select("id", "th", "first", F.col("first").alias("last"))
-    every = written(inside.where("hash is null").select("id", "th", "first", "last").union(later).union(across).union(split), "repeats")
-    forget(inside, runs, later, left, across, single, firsts)
+    here = inside.where("hash is null").select("id", "th", "first", "last")
+    every = written(reduce(DataFrame.union, [copies, here, later, across, later_again, split]), "repeats")
+    forget(inside, runs, later, left, across, second, again, later_again, single, firsts)
     return every
 
 

@@ -152,7 +152,7 @@ def split_blocks(docs: DataFrame, config, id_col: str, text_col: str) -> DataFra
             """The block's texts and words; the commonest word has place 0, the next 1, ... so that places are small."""
             counts = np.zeros(len(block.words), np.int64)
             for _, _, flat in chunks:
-                np.add.at(counts, flat, 1)
+                counts += np.bincount(flat, minlength=len(counts))
             place = np.empty(len(counts), np.int64)
             place[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
             for ids, sizes, flat in chunks:
