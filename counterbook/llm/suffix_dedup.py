@@ -38,6 +38,8 @@ from .shared import forget, type_of, written
 
 WINDOW, GRAM = 100, 24
 SHARD_BYTES, MERGE_WINDOWS, HOT_ROWS = 1 << 21, 150_000, 256
+#: Bytes of text whose minimisers are found at a time: the arrays beside them stay in a processor's cache.
+MINIMISER_BYTES = 1 << 17
 #: Bytes of the grams of the second minimiser, which tells the windows of a hot first one apart.
 SECOND = 88
 
@@ -83,7 +85,7 @@ def minimisers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         table, powers, number = T.byte_table(), T.Powers(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for lo, hi, data, offsets in T.slices(batch.column(2), SHARD_BYTES // 2):
+            for lo, hi, data, offsets in T.slices(batch.column(2), MINIMISER_BYTES):
                 first, last, value, occurrences, cut = minimiser_runs(data, offsets, T.Hasher(data, table, powers))
                 doc = T.owners(cut)
                 spans = (first - offsets[:-1][doc]) << 32 | (last - first + 1)
@@ -103,8 +105,9 @@ def minimisers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 # -- one shard ---------------------------------------------------------------------------------------------------------
 
 
-def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of at least their first ``depth`` bytes, and whether each agrees with the one before it as far as they are ordered. Larsson-Sadakane: groups that share h bytes are refined by
+def refined(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes in order of at least their first ``depth`` bytes; whether each agrees with the one before it as far as they are ordered; and whether the two
+    were already apart at a depth below ``depth``. Larsson-Sadakane: groups that share h bytes are refined by
     the group of the suffix h further on, h doubles, and groups of one suffix are never touched again."""
     n = len(data)
     # the first order is by seven bytes, 9 bits each: the end of the text sorts before every byte
@@ -121,7 +124,7 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h = 7
+    h, early = 7, new.copy()
     while h < depth:
         alone = new & np.append(new[1:], True)
         todo = np.flatnonzero(~alone)
@@ -138,18 +141,29 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
         new[todo] = start
         rank[order[todo]] = np.maximum.accumulate(np.where(start, todo, 0))
         h *= 2
-    return order, ~new
+        if h < depth:
+            early = new.copy()
+    return order, ~new, early
+
+
+def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``refined``, and whether each suffix agrees with the one before it as far as they are ordered."""
+    return refined(data, depth)[:2]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, cap: int = WINDOW, lanes: int = 8192) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, early: np.ndarray | None = None, cap: int = WINDOW, lanes: int = 8192) -> np.ndarray:
     """Kasai: the common prefix, up to ``cap`` bytes, of each suffix with the one before it in the order. The text is dealt
     to lanes that walk their suffixes from left to right, each one's prefix starting from its left neighbour's less one; all lanes
-    take a step together. Tied suffixes agree in ``cap`` bytes; they stand in no order among themselves, so after one of them a lane starts from nothing."""
+    take a step together. Tied suffixes agree in ``cap`` bytes; they stand in no order among themselves, so after one of them a lane starts from nothing. Suffixes that
+    are ``early`` apart have a shorter prefix for sure: they get 0 and are passed over."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
     whole = np.zeros(n, bool)
     whole[order] = tied
+    passed = whole.copy()
+    if early is not None:
+        passed[order] |= early
     padded = np.append(data, np.zeros(cap + 1, np.uint8))
     prefix = np.zeros(n, np.int32)
     at = np.unique(np.linspace(0, n, min(lanes, max(1, n // 64)) + 1).astype(np.int64))
@@ -158,11 +172,11 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, cap:
     while len(at):
         other = before[at]
         reach = np.minimum(n - np.maximum(at, other), cap)
-        skip = whole[at]
+        skip = passed[at]
         same = ~skip & (other >= 0) & (h < reach) & (padded[at + h] == padded[other + h])
         h += same
         done = ~same
-        prefix[at[done]] = np.where(skip, cap, h)[done]
+        prefix[at[done]] = np.where(skip, np.where(whole[at], cap, 0), h)[done]
         h[done] = np.where(skip, 0, np.maximum(h - 1, 0))[done]
         at[done] += 1
         live = at < stop
@@ -222,8 +236,8 @@ def shard_repeats(ids: pa.Array, th: np.ndarray, texts: list[np.ndarray], runs:
     window = np.arange(begin[-1]) + np.repeat(run_at - begin[:-1], run_len)
     valid = np.zeros(len(data), bool)
     valid[window] = True
-    order, tied = suffix_array(data)
-    group = np.cumsum(common_prefixes(data, order, tied) < WINDOW)
+    order, tied, early = refined(data)
+    group = np.cumsum(common_prefixes(data, order, tied, early) < WINDOW)
     held = valid[order]
     suffix, group = order[held], group[held]
     place = np.searchsorted(starts, suffix, "right") - 1
@@ -287,11 +301,14 @@ def _shards(batches):
 # -- across shards -----------------------------------------------------------------------------------------------------
 
 
-def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], when: np.ndarray, repeat: np.ndarray):
-    """Two sorted lists of distinct windows (bytes, number) as one; of two equal windows the later is marked in ``repeat``. The places of b's windows in a are found by binary search."""
+def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], when: np.ndarray, repeat: np.ndarray, text: np.ndarray):
+    """Two lists of distinct windows (hash, number), sorted by hash, as one; of two equal windows the later is marked in ``repeat``. The places of b's windows in a are
+    found by binary search, and their bytes (``text``) compared."""
     at = np.searchsorted(a[0], b[0])
     near = np.minimum(at, len(a[0]) - 1)
     equal = a[0][near] == b[0]
+    met = np.flatnonzero(equal)
+    equal[met] = (text[a[1][near[met]]] == text[b[1][met]]).all(1)
     x, y = a[1][near[equal]], b[1][equal]
     repeat[y[when[y] > when[x]]] = True
     repeat[x[when[x] > when[y]]] = True
@@ -302,15 +319,17 @@ def merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], w
 
 
 def windows_of(table: pa.Table):
-    """The (row, start, 100 bytes) of each window that the rows bring."""
+    """The (row, start, 100 bytes, hash of these) of each window that the rows bring."""
     reps = [np.frombuffer(x.as_buffer(), "<u4") for x in table.column("reps")]
     row = np.repeat(np.arange(len(reps)), [len(x) for x in reps])
     inside = np.concatenate(reps).astype(np.int64) if reps else np.zeros(0, np.int64)
     raw = [x.as_buffer() for x in table.column("bytes")]
     base = np.concatenate([[0], np.cumsum([len(x) for x in raw])])[:-1]
     data = np.frombuffer(b"".join(raw), np.uint8)
-    text = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[base[row] + inside] if len(row) else np.zeros((0, WINDOW), np.uint8)
-    return row, table.column("first").to_numpy()[row].astype(np.int64) + inside, np.ascontiguousarray(text)
+    at = base[row].astype(np.int64) + inside
+    text = np.lib.stride_tricks.sliding_window_view(data, WINDOW)[at] if len(row) else np.zeros((0, WINDOW), np.uint8)
+    hashes = T.Hasher(data, T.byte_table(), T.Powers()).of(at, at + WINDOW)
+    return row, table.column("first").to_numpy()[row].astype(np.int64) + inside, np.ascontiguousarray(text), hashes
 
 
 def merge_shards(table: pa.Table) -> pa.RecordBatch:
@@ -318,10 +337,8 @@ def merge_shards(table: pa.Table) -> pa.RecordBatch:
     table = table.combine_chunks()
     ids, th = table.column("id").combine_chunks(), table.column("th").to_numpy()
     rank = ranks_of(ids, th)
-    row, start, text = windows_of(table)
+    row, start, text, keys = windows_of(table)
     when = rank[row] << 40 | start
-    # b"\0" at the end would be lost in a fixed-width string, but all have one width: equal strings are equal bytes
-    keys = text.view(f"S{WINDOW}").ravel()
     shard = np.unique(table.column("shard").to_numpy(), return_inverse=True)[1][row]
     repeat = np.zeros(len(row), bool)
     lists = []
@@ -332,11 +349,13 @@ def merge_shards(table: pa.Table) -> pa.RecordBatch:
         mine = mine[np.lexsort((when[mine], keys[mine]))]
         new = np.ones(len(mine), bool)
         new[1:] = keys[mine][1:] != keys[mine][:-1]
+        alike = np.flatnonzero(~new)
+        new[alike] = (text[mine[alike]] != text[mine[alike - 1]]).any(1)
         head = np.maximum.accumulate(np.where(new, np.arange(len(mine)), 0))
         repeat[mine[when[mine] > when[mine[head]]]] = True  # equal rows of one document only
         lists.append((keys[mine[new]], mine[new]))
     while len(lists) > 1:
-        lists = [merged(*lists[k : k + 2], when, repeat) if k + 1 < len(lists) else lists[k] for k in range(0, len(lists), 2)]
+        lists = [merged(*lists[k : k + 2], when, repeat, text) if k + 1 < len(lists) else lists[k] for k in range(0, len(lists), 2)]
     hit = np.flatnonzero(repeat)
     hit = hit[np.lexsort((start[hit], row[hit]))]
     owner, lo, hi = ranges(row[hit], start[hit])
@@ -413,7 +432,7 @@ def _hot(batches):
     for batch in batches:
         for lo in range(0, len(batch), 500):
             part = pa.Table.from_batches([batch.slice(lo, 500)])
-            row, start, text = windows_of(part)
+            row, start, text, _ = windows_of(part)
             at = pa.array(row)
             flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(WINDOW), len(row), [None, pa.py_buffer(text.tobytes())]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks().take(at), part.column("th").combine_chunks().take(at), pa.array(start).cast(pa.int32()), flat], ["id", "th", "first", "window"])
