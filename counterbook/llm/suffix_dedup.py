@@ -39,7 +39,7 @@ from .shared import forget, type_of, written
 WINDOW, GRAM = 100, 24
 SHARD_BYTES, MERGE_WINDOWS, HOT_ROWS = 1 << 21, 150_000, 256
 #: Bytes of text whose minimisers are found at a time: the arrays beside them stay in a processor's cache.
-MINIMISER_BYTES = 1 << 17
+MINIMISER_BYTES = 1 << 16
 #: Bytes of the grams of the second minimiser, which tells the windows of a hot first one apart.
 SECOND = 88
 
@@ -151,7 +151,7 @@ def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.
     return refined(data, depth)[:2]
 
 
-def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, early: np.ndarray | None = None, cap: int = WINDOW, lanes: int = 8192) -> np.ndarray:
+def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, early: np.ndarray | None = None, cap: int = WINDOW, lanes: int = 16384) -> np.ndarray:
     """Kasai: the common prefix, up to ``cap`` bytes, of each suffix with the one before it in the order. The text is dealt
     to lanes that walk their suffixes from left to right, each one's prefix starting from its left neighbour's less one; all lanes
     take a step together. Tied suffixes agree in ``cap`` bytes; they stand in no order among themselves, so after one of them a lane starts from nothing. Suffixes that
@@ -469,10 +469,10 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     twice = written(twice, "repeated-minimisers")
     each = found.select("doc", F.explode("runs").alias("r")).select("doc", F.col("r.hash").alias("hash"), F.col("r.span").alias("span"))
     wanted = each.join(twice, "hash", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("hash", "span")).alias("runs"))
-    wanted = wanted.join(found.select("doc", "id", "th"), "doc").select("id", "th", "runs").dropDuplicates(["id", "th"])
     copies = later_copies(docs, id_col, text_col)  # they bring no window that their first copy does not
     gone = copies.select(F.col("id").alias("c_id"), F.col("th").alias("c_th"))
-    wanted = wanted.join(gone, wanted["id"].eqNullSafe(gone["c_id"]) & (wanted["th"] == gone["c_th"]), "left_anti")
+    named = found.select("doc", "id", "th").join(gone, F.col("id").eqNullSafe(F.col("c_id")) & (F.col("th") == F.col("c_th")), "left_anti")
+    wanted = wanted.join(named.dropDuplicates(["id", "th"]), "doc").select("id", "th", "runs")
     texts = docs.select(docs[id_col].alias("k"), F.xxhash64(docs[text_col]).alias("kh"), docs[text_col].alias("text"))
     cut = texts.join(wanted, texts["k"].eqNullSafe(wanted["id"]) & (texts["kh"] == wanted["th"])).select("id", "th", "text", "runs")
 
