@@ -10,7 +10,7 @@ turn's text is found inside its span by rendering the turn twice more with marke
 Scale. Conversations are gathered by id, one conversation in one task (it is one training
 record), and rendered as pieces stream. Rendering every prefix costs the square of the turns for any black box; templates
 that declare ``window`` (a turn's rendering depends on the turns since the last ``window`` ones only and on whether it is first) are rendered on
-that window and the common beginning is compared there.
+that window, and the joined pieces are compared once with the rendering of the whole conversation; if they differ every prefix is rendered after all.
 
 Defined results: a null text is empty, a null role is the role ``""``; turns are ordered by number, then role, then text, nulls first, so
 repeated turn numbers have one order; a conversation without an assistant has no loss; rows with a null conversation id are one
@@ -25,7 +25,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import type_of
@@ -77,9 +77,8 @@ def common(a: str, b: str) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
-def rendered_pieces(turns: list[Turn], template: Callable[[list[Turn]], str]) -> Iterator[str]:
-    """What the empty conversation renders to, then what each turn adds. Raises RewritesHistory."""
-    window = getattr(template, "window", None)
+def rendered_pieces(turns: list[Turn], template: Callable[[list[Turn]], str], window: int | None = None) -> Iterator[str]:
+    """What the empty conversation renders to, then what each turn adds, rendered with the last ``window`` turns only where one is given. Raises RewritesHistory."""
     before = template([])
     yield before
     for k in range(len(turns)):
@@ -112,8 +111,12 @@ class Formatted:
 
 
 def format_chat(turns: list[Turn], template=instruction_template) -> Formatted:
+    """The conversation's rendering and where its turns stand. What a declared window gives is compared with the whole rendering once; where they differ, the declaration is not trusted."""
     at, parts, spans, texts = 0, [], [], []
-    for k, piece in enumerate(rendered_pieces(turns, template)):
+    pieces = list(rendered_pieces(turns, template, getattr(template, "window", None)))
+    if "".join(pieces) != template(turns):
+        pieces = list(rendered_pieces(turns, template))
+    for k, piece in enumerate(pieces):
         parts.append(piece)
         if k:
             spans.append((at, at + len(piece)))
@@ -155,13 +158,21 @@ def format_conversations(rows: DataFrame, template=instruction_template, id_col:
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("text_start", pa.int32()), ("text_stop", pa.int32()), ("loss", pa.bool_())]))
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Adds turns (role, text), read from the formatted text by the spans, and loss_text: the unescaped texts under the mask, in order."""
+def instruction_role(piece: Column) -> Column:
+    """The role of a turn, from what ``instruction_template`` adds for it: its text is escaped, so only markup looks like markup."""
+    named = F.regexp_replace(F.regexp_extract(piece, r"(?s)^\[ROLE\](.*?)\[/ROLE\]", 1), UNESCAPE, "$1")
+    return F.when(piece.startswith("[INST] "), F.lit("user")).when(piece.startswith("[ROLE]"), named).otherwise(F.lit("assistant"))
+
+
+#: What undoes ``escape`` in Spark, as ``_ESCAPED`` does in Python.
+UNESCAPE = r"(?s)\\(.)"
+
+
+def read_back(formatted: DataFrame, role_of: Callable[[Column], Column] = instruction_role) -> DataFrame:
+    """Adds turns (role, text, loss), read from the formatted text by the spans (the role from the markup, by ``role_of``), and loss_text: the unescaped texts under the mask, in order."""
 
     def of(s):
-        raw = F.substring(F.col("formatted"), s["text_start"] + 1, s["text_stop"] - s["text_start"])
-        return F.regexp_replace(raw, r"(?s)\\(.)", "$1")
+        cut = lambda a, b: F.substring(F.col("formatted"), s[a] + 1, s[b] - s[a])
+        return F.struct(role_of(cut("start", "stop")).alias("role"), F.regexp_replace(cut("text_start", "text_stop"), UNESCAPE, "$1").alias("text"), s["loss"].alias("loss"))
 
-    return formatted.withColumn("turns", F.zip_with("roles", "spans", lambda r, s: F.struct(r.alias("role"), of(s).alias("text"), s["loss"].alias("loss")))).withColumn(
-        "loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), "")
-    )
+    return formatted.withColumn("turns", F.transform("spans", of)).withColumn("loss_text", F.array_join(F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: t["text"]), ""))

@@ -66,3 +66,27 @@ def test_odd_rows(spark):
     assert len(got[1].turns) == 2 and got[1].loss_text == "" and [t.role for t in got[None].turns] == [""]
     assert got[3].loss_text == "w " * 30_000
     assert C.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_a_false_window_is_found_out():
+    def counted(turns):
+        return f"{len(turns) // 3}|" + "".join(f"<{r}>{t}" for r, t in turns)
+
+    def late(turns):
+        return "".join(f"<{r}>{t}" for r, t in turns) + ("" if len(turns) < 4 else "!")
+
+    counted.window = late.window = 1
+    turns = [("user", "a"), ("assistant", "b"), ("user", "c"), ("assistant", "d")]
+    with pytest.raises(C.RewritesHistory) as e:
+        C.format_chat(turns, counted)
+    assert e.value.turn == 2
+    f = C.format_chat(turns, late)  # nothing rewritten, but a turn depends on more than its window
+    assert f.text == late(turns) and f.spans[-1][1] == len(f.text)
+
+
+def test_roles_are_read_from_the_output(spark):
+    roles = ["user", "assistant", "system", "", "[ROLE]", "a[/ROLE]b", "[INST] ", "\\", "us\ner"]
+    rows = [(1, k, r, f"[INST] {r}[/ROLE] x") for k, r in enumerate(roles)] + [(2, 0, None, None)]
+    out = C.format_conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).drop("roles")
+    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in C.read_back(out).collect()}
+    assert got == {1: [(r, f"[INST] {r}[/ROLE] x") for r in roles], 2: [("", "")]}
