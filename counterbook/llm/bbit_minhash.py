@@ -65,6 +65,15 @@ def shingle_sets(data, offsets, powers, table, words: int = SHINGLE):
     return h, np.searchsorted(owner, np.arange(len(n) + 1))
 
 
+def set_keys(sets, first):
+    """The 128-bit key of each text's set, as two arrays of longs."""
+    keys = []
+    for mult in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
+        c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(sets * np.uint64(mult)), dtype=np.uint64)])
+        keys.append(T.mix(c[first[1:]] - c[first[:-1]]).view(np.int64))
+    return keys
+
+
 def _constants(seed: int = 3):
     r = np.random.default_rng(seed)
     return r.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1), r.integers(1, 2**63, HASHES, dtype=np.uint64)
@@ -105,10 +114,6 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for lo, hi, data, offsets in T.slices(batch.column(1)):
                 sets, first = shingle_sets(data, offsets, powers, table)
                 some, bands, packed = signatures(sets, first)
-                key = []
-                for mult in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9):
-                    c = np.concatenate([np.zeros(1, np.uint64), np.cumsum(T.mix(sets * np.uint64(mult)), dtype=np.uint64)])
-                    key.append(T.mix(c[first[1:]] - c[first[:-1]]).view(np.int64))
 
                 def lists(values):
                     off = np.zeros(hi - lo + 1, np.int32)
@@ -116,7 +121,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                     return pa.ListArray.from_arrays(pa.array(np.cumsum(off, dtype=np.int32)), pa.array(values.view(np.int64).ravel()))
 
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(key[0]), pa.array(key[1]), lists(bands), lists(packed)],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), *map(pa.array, set_keys(sets, first)), lists(bands), lists(packed)],
                     ["id", "n_shingles", "set_a", "set_b", "bands", "bits"],
                 )
 
@@ -155,14 +160,17 @@ def components(nodes_edges: DataFrame, name: str) -> DataFrame:
         large = written(large, name)
         small_low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(small_low, "b").select(F.col("m").alias("x"), "a", "b")
-        edges = written(
+        last, edges = edges, written(
             small.select(F.col("x").alias("a"), F.col("a").alias("b")).union(small.select(F.col("x").alias("a"), F.col("b"))).where("a < b").distinct(), name
         )
+        forget(last, large)
         seen = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1000003), F.countDistinct("b")).first()
         if seen == before or seen[0] == seen[2] and edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").limit(1).count() == 0:
             break
         before = seen
-    return edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    out = edges.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    out.written_path = edges.written_path
+    return out
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,40 +192,59 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, pairs.select("a", "b").schema)
 
 
+def equal_sets(known: DataFrame) -> DataFrame:
+    """(set_a, set_b, node) of the classes of equal sets. A node is a struct: the smallest id of the class, and a part that is 0 unless
+    several classes have that smallest id (an id with several texts); nodes are ordered by their ids first."""
+    least = written(known.groupBy("set_a", "set_b").agg(F.min("id").alias("id")), "least-ids")
+    several = least.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    part = F.when(F.col("n").isNotNull(), F.col("set_a")).otherwise(F.lit(0))
+    classes = written(least.join(several, "id", "left").select("set_a", "set_b", F.struct("id", part.alias("part")).alias("node")), "classes")
+    forget(least)
+    return classes
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component) of each row: the smallest id that links reach."""
     feats = written(features(docs, id_col, text_col), "minhash")
-    # classes of equal sets; an id with two texts ties their classes together
     known = feats.where("id is not null and n_shingles > 0")
-    classes = written(known.groupBy("set_a", "set_b").agg(F.min("id").alias("node")), "classes")
-    own = known.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("id", "node")
-    same = own.where("id <> node").select(F.col("node").alias("a"), F.col("id").alias("b"))
-    reps = known.join(classes, ["set_a", "set_b"]).where("id = node").select("node", "bands", "bits").dropDuplicates(["node"])
+    classes = equal_sets(known)
+    # each id's classes; copies stay out of the graph, only the classes of an id with several texts are tied together
+    members = written(known.select("id", "set_a", "set_b").join(classes, ["set_a", "set_b"]).select("id", "node"), "members")
+    own = written(members.groupBy("id").agg(F.min("node").alias("node"), F.max("node").alias("other")), "own")
+    tied = members.join(own.where("node < other").select("id", F.col("node").alias("a")), "id").select("a", F.col("node").alias("b")).where("a < b").distinct()
+    tied = written(tied, "tied")
+    reps = known.join(classes, ["set_a", "set_b"]).where("id = node.id").select("node", "bands", "bits").dropDuplicates(["node"])
+    forget(members)
     # buckets with more than one class
-    members = written(reps.select("node", F.explode("bands").alias("bucket")), "buckets")
-    shared = written(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
-    held = written(members.join(shared, "bucket").select("bucket", "node", "n"), "held")
+    buckets = written(reps.select("node", F.explode("bands").alias("bucket")), "buckets")
+    shared = written(buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
+    held = written(buckets.join(shared, "bucket").select("bucket", "node", "n"), "held")
+    forget(buckets, shared)
     nodes = written(held.groupBy("node").agg(F.sum("n").alias("weight")), "held-nodes")
     bits = written(reps.join(nodes, "node", "left_semi").select("node", *[F.col("bits")[k].alias(f"s{k}") for k in range(LONGS)]), "bits")
-    sets = written(full_sets(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), nodes.select("node")), "sets", "lz4")
+    wanted = written(classes.join(nodes, "node", "left_semi").select(F.col("node.id").alias("id"), "set_a", "set_b", "node"), "wanted")
+    sets = written(full_sets(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), wanted), "sets", "lz4")
     # each bucket's head is the class that meets most others in its buckets: the least changed copy of a group
     heads = held.join(nodes, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node"))["node"].alias("head"))
-    star = held.select("bucket", "node").join(written(heads, "heads"), "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    heads = written(heads, "heads")
+    star = held.select("bucket", "node").join(heads, "bucket").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     star = written(rated(star, bits), "star-pairs")
     best = star.groupBy("b").agg(F.max(F.struct("same", "a"))["a"].alias("a")).select("a", "b")
     links = written(confirmed(best, sets), "links")
-    comp = components(links, "components-1")
+    forget(heads, star, bits, nodes, classes)
+    near = components(links, "components-1")
     # whatever is left: classes that share a bucket across components
-    placed = written(held.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
+    placed = written(held.select("bucket", "node").join(near, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component")), "bucket-components")
     sizes = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = placed.join(written(mixed, "mixed-buckets"), "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
-    rest = prefix_pairs(written(mixed, "mixed-nodes"), sets)
-    links = links.union(confirmed(written(rest, "rest-pairs"), sets)).union(same)
-    comp = components(links, "components-2")
-    forget(members, held, bits, sets, star)
-    out = feats.select("id", "n_shingles").join(comp, feats["id"] == comp["node"], "left")
-    return out.select("id", "n_shingles", F.coalesce("component", "id").alias("component")).withColumnRenamed("id", id_col)
+    mixed = written(mixed, "mixed-buckets")
+    strays = placed.join(mixed, "bucket").groupBy("node", "component").agg(F.max(F.col("component") != F.col("largest")).alias("stray"))
+    strays = written(strays, "mixed-nodes")
+    rest = prefix_pairs(strays, sets)
+    comp = components(links.union(confirmed(rest, sets)).union(tied), "components-2")
+    forget(wanted, held, near, placed, mixed, strays, rest, links, sets, tied)
+    out = feats.select("id", "n_shingles").join(own.select(F.col("id").alias("own_id"), "node"), F.col("id") == F.col("own_id"), "left").join(comp, "node", "left")
+    return out.select("id", "n_shingles", F.coalesce("component.id", "node.id", "id").alias("component")).withColumnRenamed("id", id_col)
 
 
 def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,12 +271,15 @@ def prefix_pairs(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     first = listed.select("node", "size", F.posexplode(F.slice("all", F.lit(1), length.cast("int"))).alias("place", "x")).where("x.n > 1")
     first = first.select("node", "size", "place", "x.shingle")
     first = written(first.join(nodes, "node"), "prefixes")
+    forget(each, often)
     x = first.where("stray").select("shingle", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("size").alias("nx"), F.col("place").alias("px"))
     y = first.select("shingle", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("size").alias("ny"), F.col("place").alias("py"))
     # what can still be common from here on must reach s / (1 + s) of the sizes' sum
     rest = F.least(F.col("nx") - F.col("px"), F.col("ny") - F.col("py"))
     alike = (rest * (100 + SIMILARITY) >= (F.col("nx") + F.col("ny")) * SIMILARITY) & (F.col("cx") != F.col("cy"))
-    return x.join(y, "shingle").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = written(x.join(y, "shingle").where(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "rest-pairs")
+    forget(first)
+    return pairs
 
 
 def rated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
@@ -261,7 +291,7 @@ def rated(pairs: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def full_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, full shingle set) of the wanted ids; of different texts under one id, the set that is smallest in byte order."""
+    """(node, full shingle set) of the wanted classes (id, set_a, set_b, node), from the texts (id, text) of their smallest ids."""
 
     def run(batches):
         table, powers = T.byte_table(), T.Powers()
@@ -269,7 +299,10 @@ def full_sets(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo, hi, data, offsets in T.slices(batch.column(1)):
                 sets, first = shingle_sets(data, offsets, powers, table)
                 values = [sets[first[k] : first[k + 1]].tobytes() for k in range(hi - lo)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(values, pa.binary())], ["node", "set"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), *map(pa.array, set_keys(sets, first)), pa.array(values, pa.binary())], ["id", "set_a", "set_b", "set"]
+                )
 
-    few = keyed.join(wanted, keyed["id"] == wanted["node"], "left_semi").select("id", "text")
-    return few.mapInArrow(run, f"node {type_of(keyed, 'id')}, set binary").groupBy("node").agg(F.min("set").alias("set"))
+    few = keyed.join(wanted, "id", "left_semi").select("id", "text")
+    each = few.mapInArrow(run, f"id {type_of(keyed, 'id')}, set_a long, set_b long, set binary")
+    return each.join(wanted, ["id", "set_a", "set_b"]).groupBy("id", "set_a", "set_b", "node").agg(F.min("set").alias("set")).select("node", "set")

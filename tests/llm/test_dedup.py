@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -233,5 +234,25 @@ def test_near_duplicates_odd_rows(odd, odd_rows):
     assert M.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_texts_under_one_id_tie_their_groups(spark):
+    r = random.Random(11)
+    one, two = ([f"w{r.randrange(10**6)}" for _ in range(200)] for _ in range(2))
+    near = lambda ws, k: " ".join([*ws[:k], "changed", *ws[k + 1 :]])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (5, near(one, 40)), (6, near(two, 90)), (6, None), (7, near(two, 90)), (8, "something else altogether, of six words")]
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "component").collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (1, 1), (5, 1), (6, 1), (6, 1), (7, 1), (8, 8)]
+
+
+def test_a_near_duplicate_run_leaves_only_what_its_last_step_reads(spark):
+    from pathlib import Path
+
+    from counterbook.llm.shared import shared_folder
+
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    M.near_duplicates(spark.createDataFrame([(1, "a b c d e f g"), (2, "a b c d e f g"), (3, "a b c d e f h")], "doc_id long, text string")).collect()
+    assert sorted(p.name.rsplit("-", 1)[0] for p in folder.iterdir() if p.name not in before) == ["components-2", "minhash", "own"]
+
+
 def test_estimate_is_corrected_for_chance():
     assert M.least_agreement() < M.HASHES * (0.75 + 0.25 / 2**M.BITS) < M.HASHES
