@@ -2,7 +2,8 @@ r"""Operator 1: quality rules with a line-labelling conditional random field.
 
 Every line with a word is one step of a linear-chain CRF with two labels,
 content and boilerplate. Emission features are read from the line's bytes
-(symbols, capitals, separators, repeats, length); transitions tie neighbouring
+(symbols, capitals, separators, repeats, length) and from a list of words that menus, notices,
+share and login lines of web pages are made of; transitions tie neighbouring
 lines together, so a one-word line inside prose stays content. Viterbi decoding
 gives the best label sequence of each document, and the share of its
 word characters in content lines decides whether it stays.
@@ -33,8 +34,21 @@ FEATURES = (
     "bias", "some symbols", "symbols over 1/20", "symbols over 1/8", "exclamation marks over 1/20", "capitals over half of the ASCII letters",
     "one word", "two to four words", "twelve words or more", "equal to an earlier line", "a third of the words equal their predecessor",
     "digits over 3/10", "ends like a sentence", "a separator bar for every third word", "bytes a word over 14",
+    "a word of site furniture", "two such words or more", "a third of the words are", "two thirds are",
 )
 
+# Words of navigation, cookie, share, login and copyright lines, lower-cased.
+FURNITURE = (
+    "home menu navigation sitemap search login log logout sign register account password forgot username remember profile settings dashboard cart basket checkout wishlist "
+    "about contact help faq support careers press blog news archive categories tags category previous next back top skip main more read comments reply "
+    "cookie cookies consent accept decline preferences privacy policy policies terms conditions disclaimer legal imprint accessibility advertisement advertise sponsored "
+    "share tweet facebook twitter instagram linkedin pinterest youtube whatsapp reddit telegram email print rss follow subscribe newsletter unsubscribe inbox "
+    "© copyright rights reserved powered wordpress trademarks "
+    "startseite impressum datenschutz datenschutzerklärung kontakt anmelden abmelden registrieren suche warenkorb agb teilen folgen weiter zurück einstellungen akzeptieren ablehnen rechte vorbehalten passwort benutzername vergessen "
+    "accueil connexion déconnexion inscription mentions légales contactez rechercher recherche panier partager suivez confidentialité accepter refuser réservés droits suivant précédent abonnez "
+    "inicio contacto iniciar sesión cerrar buscar carrito compartir síguenos privacidad aceptar rechazar derechos reservados siguiente anterior suscríbete contraseña aviso"
+).split()
+
 
 @dataclass(frozen=True)
 class LineCrf:
@@ -44,6 +58,15 @@ class LineCrf:
     transition: np.ndarray
 
 
+def furniture_words(data, offsets, table, powers) -> np.ndarray:
+    """Where the words of FURNITURE start: runs of letters, digits and other scripts, A-Z lower-cased."""
+    _, _, listed, ends = next(iter(T.slices(pa.array([" ".join(FURNITURE)]))))
+    start, end, _ = T.runs(~T.SPACE[listed], ends)
+    wanted = T.Hasher(listed, table, powers).of(start, end)
+    start, end, _ = T.runs((data >= 128) | (LOWER | UPPER | DIGIT)[data], offsets)
+    return start[np.isin(T.Hasher(T.lower_az(data), table, powers).of(start, end), wanted)]
+
+
 def line_features(h: T.Hasher, data, offsets, words, table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(features [line, feature], first line of each text, word characters of each line, equal to an earlier line), for lines with a word."""
     ws, we, wf = words
@@ -66,6 +89,8 @@ def line_features(h: T.Hasher, data, offsets, words, table) -> tuple[np.ndarray,
     if len(ws) > 1:
         same[2:] = np.cumsum(wh[1:] == wh[:-1])
     again = same[b] - same[np.minimum(a + 1, b)]
+    furniture = furniture_words(data, offsets, table, h.powers)
+    furniture = np.searchsorted(furniture, le) - np.searchsorted(furniture, ls)
     doc = T.owners(first)
     key = T.mix(h.of(ls, le) + doc.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     _, at = np.unique(key, return_index=True)
@@ -75,6 +100,7 @@ def line_features(h: T.Hasher, data, offsets, words, table) -> tuple[np.ndarray,
         np.ones(len(ls), bool), sym > 0, sym * 20 > chars, sym * 8 > chars, bang * 20 > chars, up * 2 > np.maximum(up + low, 1),
         n == 1, (n > 1) & (n < 5), n >= 12, repeated, again * 3 > n,
         dig * 10 > chars * 3, TERMINAL[data[we[b - 1] - 1]] if len(ls) else np.zeros(0, bool), bars * 3 >= n, (le - ls) > 15 * n,
+        furniture > 0, furniture > 1, furniture * 3 >= n, furniture * 3 >= 2 * n,
     ], axis=1)
     return x, first, chars, repeated
 
@@ -106,8 +132,32 @@ def viterbi(emission: np.ndarray, transition: np.ndarray, first: np.ndarray) ->
     return labels
 
 
-def generated_lines(seed: int = 5, texts: int = 500) -> list[tuple[list[str], list[int]]]:
-    """Labelled line sequences for training: prose of made-up words in several alphabets with short lines, data and notices, and runs of five kinds of junk lines."""
+#: Kinds of junk lines that ``generated_lines`` makes; the last five are furniture of web pages.
+KINDS = ("shouting", "symbols", "bars", "repeats", "marks", "navigation", "cookies", "share", "login", "copyright")
+
+
+def furniture_line(kind: str, r: random.Random, word) -> str:
+    """A line of a kind of web-page furniture, in one of four languages; ``word`` makes a name."""
+    name = " ".join(word().capitalize() for _ in range(r.randint(1, 3)))
+    if kind == "navigation":
+        items = r.choice((("Home", "About us", "Contact", "News", "Blog", "Help", "FAQ", "Search", "Sitemap", "Careers", "Back to top", "Previous", "Next", "Read more", "Skip to main content"),
+                          ("Startseite", "Kontakt", "Suche", "Impressum", "Datenschutz", "AGB", "Zurück", "Weiter"), ("Accueil", "Contactez-nous", "Recherche", "Mentions légales", "Panier"),
+                          ("Inicio", "Contacto", "Buscar", "Carrito", "Aviso legal", "Siguiente", "Anterior")))
+        return r.choice((" ", " | ", " » ", " · ")).join(r.choice(items) for _ in range(r.choice((1, 1, 1, 2, 4, 8))))
+    if kind == "cookies":
+        return r.choice(("We use cookies to improve your experience", "Accept all cookies", "Cookie preferences", "Read our privacy policy", "By using this site you accept our cookie policy and terms",
+                         "Alle Cookies akzeptieren", "Cookie Einstellungen", "Accepter les cookies", "Politique de confidentialité", "Aceptar cookies", "Privacidad y cookies")) + r.choice(("", "."))
+    if kind == "share":
+        nets = ("Facebook", "Twitter", "LinkedIn", "Pinterest", "WhatsApp", "Reddit", "Email", "Instagram", "YouTube")
+        return r.choice(("Share on ", "Share this: ", "Follow us on ", "Tweet ", "Teilen: ", "Partager sur ", "Compartir en ", "Subscribe to our newsletter ", "")) + r.choice((" ", ", ")).join(r.sample(nets, r.choice((1, 1, 2, 4))))
+    if kind == "login":
+        return r.choice(("Login", "Log in / Register", "Sign in to your account", "Forgot password?", "Remember me", "Username", "Password", "Anmelden", "Passwort vergessen?", "Connexion", "Iniciar sesión", "My account", "Cart (0)", "Logout"))
+    return r.choice((f"© 2024 {name}. All rights reserved.", f"Copyright 2019 {name}", f"© {name}. Alle Rechte vorbehalten.", f"© 2021 {name} - Tous droits réservés", f"© {name}. Todos los derechos reservados.", "Powered by WordPress", "Terms and conditions", "Privacy policy | Terms"))
+
+
+def generated_lines(seed: int = 5, texts: int = 800, kinds: tuple[str, ...] = KINDS) -> list[tuple[list[str], list[int]]]:
+    """Labelled line sequences for training: prose of made-up words in several alphabets with short lines, data, notices and words that
+    furniture has too, and runs of junk lines of the kinds."""
     r = random.Random(seed)
     alphabets = ("abcdefghijklmnoprstuvw", "aeiouéèêçlmnrst", "äöüßacehnrstui", "ñíóaeiolrscdt")
     word = lambda a: "".join(r.choice(a) for _ in range(min(12, 1 + int(r.expovariate(0.22)))))
@@ -116,28 +166,31 @@ def generated_lines(seed: int = 5, texts: int = 500) -> list[tuple[list[str], li
         a = r.choice(alphabets)
 
         def prose(most=60, a=a):
-            ws = [word(a) + ("," if r.random() < 0.06 else ". " if r.random() < 0.1 else "") for _ in range(r.choice((1, 2, 3, 6, 12, 30, most)))]
+            ws = [(r.choice(FURNITURE) if r.random() < 0.03 else word(a)) + ("," if r.random() < 0.06 else ". " if r.random() < 0.1 else "") for _ in range(r.choice((1, 2, 3, 6, 12, 30, most)))]
             if r.random() < 0.12:
                 ws.insert(r.randrange(len(ws) + 1), r.choice(("a.b7@mail.example.org", "+1 (555) 555-0142", "token = \"9f3a77c01b\"", "https://example.org/a?b=1", "10.0.0.7", "4111 1111 1111 1111")))
             return " ".join(ws).capitalize() + r.choice((".", ".", ".", "!", "?", ""))
 
         def junk(kind, a=a):
             ws = [word(a) for _ in range(r.choice((3, 8, 20, 50)))]
-            if kind == 0:
+            if kind == "shouting":
                 return " ".join(w.upper() + "!!" for w in ws) + r.choice(("", "."))
-            if kind == 1:
+            if kind == "symbols":
                 return " ".join(w + r.choice(("***", "$$$", "%%%", "&&&", "###", "")) for w in ws)
-            if kind == 2:
+            if kind == "bars":
                 return " | ".join(ws) + r.choice(("", "."))
-            if kind == 3:
+            if kind == "repeats":
                 return " ".join(w for w in ws[:8] for _ in range(r.randint(4, 30))).capitalize() + r.choice(("", "."))
-            return r.choice((" > ".join(ws[:6]), "<" + "> <".join(ws[:8]) + ">", "# # # # #", "||||||||", "*" * 40, "$ 1 | % 2 | # 3"))
+            if kind == "marks":
+                return r.choice((" > ".join(ws[:6]), "<" + "> <".join(ws[:8]) + ">", "# # # # #", "||||||||", "*" * 40, "$ 1 | % 2 | # 3"))
+            return furniture_line(kind, r, lambda: word(a))
 
         lines, labels = [], []
         for _ in range(r.randint(1, 5)):
-            bad, kind = r.random() < 0.35, r.randrange(5)
+            bad, kind = r.random() < 0.35, r.choice(kinds)
+            web = [k for k in kinds if k in KINDS[5:]]
             for _ in range(r.randint(1, 6)):
-                lines.append(junk(kind) if bad else prose())
+                lines.append(junk(r.choice(web) if kind in web and r.random() < 0.5 else kind) if bad else prose())
                 labels.append(BOILERPLATE if bad else CONTENT)
         out.append((lines, labels))
     return out

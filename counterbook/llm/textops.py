@@ -89,6 +89,7 @@ class Hasher:
     """64-bit hashes of byte ranges of one slice."""
 
     def __init__(self, data: np.ndarray, table: np.ndarray, powers: Powers):
+        self.powers = powers
         up, self.down = powers.upto(len(data))
         self.sums = np.empty(len(data) + 1, np.uint64)
         self.sums[0] = 0

@@ -52,6 +52,40 @@ def test_viterbi_is_the_best_labelling():
     assert list(Q.viterbi(np.zeros((0, 2)), t, np.array([0, 0, 0]))) == []
 
 
+PAGE = """Home
+About us
+Products
+Contact
+Log in / Register
+Search this site
+We use cookies to improve your experience on our site
+Accept all cookies
+Share on Facebook
+Follow us on Twitter and Instagram
+Subscribe to our newsletter
+Privacy policy and terms of use
+© 2023 Example Widgets Ltd. All rights reserved."""
+NOTE = "The committee met on Tuesday to read the policy on water rights, and about forty people came to the main hall to follow the terms of the deal.\nNobody was ready to accept it.\nA search for a better answer goes on, said the mayor, who will contact the press again next week."
+
+
+def test_page_furniture_is_boilerplate_and_prose_about_it_is_not(spark):
+    rows = Q.quality_report(spark.createDataFrame([(1, PAGE), (2, NOTE), (3, NOTE + "\n© 2023 Example. All rights reserved.")], "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert not got[1].kept and got[1].n_boilerplate_lines >= 11
+    assert got[2].kept and got[2].n_boilerplate_lines == 0
+    assert got[3].kept and got[3].n_boilerplate_lines <= 1
+
+
+def test_kinds_of_furniture_that_training_did_not_see(spark):
+    for kind in Q.KINDS[5:]:
+        model = Q.fit_crf(Q.generated_lines(texts=300, kinds=tuple(k for k in Q.KINDS if k != kind)), steps=120)
+        unseen = Q.generated_lines(seed=77, texts=120, kinds=(kind,))
+        docs = spark.createDataFrame([(k, "\n".join(lines)) for k, (lines, _) in enumerate(unseen)], "doc_id long, text string")
+        truth = {(k, n): label == Q.CONTENT for k, (_, labels) in enumerate(unseen) for n, label in enumerate(labels)}
+        right = [truth[r.doc_id, r.line] == r.content for r in Q.line_labels(docs, model=model).collect()]
+        assert len(right) == len(truth) and sum(right) >= 0.9 * len(right), (kind, sum(right) / len(right))
+
+
 def test_odd_rows(odd, odd_rows):
     rows = Q.quality_report(odd).collect()
     assert sorted(map(as_tuple, rows)) == sorted(counts(t) for _, t in odd_rows)
