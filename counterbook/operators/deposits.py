@@ -1,7 +1,7 @@
 """Bank deposit ledger: posting, reversal (contra entries), register, backfill.
 
 Batch form of the per-request transactions: every request of a batch is
-checked with column expressions, uniqueness against the ledger is an anti /
+checked with column expressions, uniqueness against the ledger is a
 left join on the reference number, and "first request wins" inside the batch
 follows request order (``seq``), as serial inserts against a unique index
 would. Each operator returns one outcome frame (requests + ``reject_reason``)
@@ -19,7 +19,7 @@ from ..functions.money import MONEY, MONEY_OUT
 from ..functions.predicates import date_between, optional_filters
 from ..functions.text import new_id, number, required_text
 from .changes import append_accepted
-from .joins import keys_present, left_join_nullable, mark_first_in_key, mark_greedy_unique
+from .joins import keys_present, left_join_nullable, mark_greedy_unique, mark_taken
 from .reports import _page
 
 # Rejection texts.
@@ -110,13 +110,9 @@ def post_deposits(requests: DataFrame, recons: DataFrame, ledger: DataFrame, as_
               .when(has_recon & branch_in.isNotNull() & (branch_in != F.col("__rbranch")), F.lit(ERR_BRANCH_MISMATCH))
               .when(F.col("__branch").isNull(), F.lit(ERR_BRANCH_REQUIRED)))
     out = out.withColumn("__pre", reason)
-    refs = keys_present(ledger, "reference_number", out, "__reference_number", "__lref")
-    out = out.join(refs, out["__reference_number"] == refs["__lref"], "left")
-    out = out.withColumn("__pre", F.coalesce(F.col("__pre"),
-                                             F.when(F.col("__lref").isNotNull(), F.lit(ERR_REFERENCE_UNIQUE))))
-    out = mark_first_in_key(out, "__reference_number", seq, F.col("__pre").isNull(), "__first")
+    out = mark_taken(out, "__reference_number", seq, F.col("__pre").isNull(), ledger, "reference_number", "__taken")
     out = out.withColumn("reject_reason", F.coalesce(F.col("__pre"),
-                                                     F.when(~F.col("__first"), F.lit(ERR_REFERENCE_UNIQUE))))
+                                                     F.when(F.col("__taken"), F.lit(ERR_REFERENCE_UNIQUE))))
     return out.select(
         F.col(seq),
         F.col("__branch").alias("branch_id"),

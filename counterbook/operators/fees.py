@@ -21,7 +21,7 @@ from ..functions.text import id_ok, id_or_null, new_id, number, required_text
 from ..session import cut_lineage
 from . import serial_bands
 from .changes import append_accepted
-from .joins import keys_present, mark_first_in_key
+from .joins import mark_taken
 
 # Rejection texts of fee-rule loading and wallet posting.
 ERR_SERVICE_TYPE = "service_type must be one of: cash_in, cash_out"
@@ -342,10 +342,7 @@ def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: Data
         if f in r.columns:
             reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(ERR_UUID.format(field=f)))
     m = matched.withColumn("__pre", reason)
-    refs = keys_present(ledger, "reference_number", m, "__ref", "__lref")
-    m = m.join(refs, F.col("__ref") == refs["__lref"], "left")
-    m = m.withColumn("__pre", F.coalesce(F.col("__pre"), F.when(F.col("__lref").isNotNull(), F.lit(ERR_DUPLICATE))))
-    m = mark_first_in_key(m, "__ref", seq, F.col("__pre").isNull(), "__first")
+    m = mark_taken(m, "__ref", seq, F.col("__pre").isNull(), ledger, "reference_number", "__taken")
     fee = F.col("__rule_fee_amount").cast(MONEY)
     gross = (F.col("__amt") + fee).try_cast(MONEY)
     impact = F.when(st == "cash_in", gross).otherwise((-F.col("__amt")).try_cast(MONEY))
@@ -357,7 +354,7 @@ def post_wallet_transactions(requests: DataFrame, rules: DataFrame, ledger: Data
         fee.alias("fee_amount"), gross.alias("gross_amount"), impact.alias("cash_impact"),
         F.col("__ref").alias("reference_number"), F.col("__rule_id").alias("fee_rule_id"),
         *([F.nullif(F.col("notes").cast("string"), F.lit("")).alias("notes")] if "notes" in r.columns else []),
-        F.coalesce(F.col("__pre"), F.when(~F.col("__first"), F.lit(ERR_DUPLICATE))).alias("reject_reason"),
+        F.coalesce(F.col("__pre"), F.when(F.col("__taken"), F.lit(ERR_DUPLICATE))).alias("reject_reason"),
     )
 
 

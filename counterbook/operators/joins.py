@@ -8,6 +8,7 @@
   unique index inside one batch) with an aggregate + join instead of a window,
   so a hot key is combined map-side rather than sorted in one task.
   NULL keys probe with a spread-out salt.
+* ``mark_taken``: the same for a key that must also be new to a ledger, with one lookup for both.
 * ``mark_greedy_unique``: the same over several unique keys at once.
 
 Nothing here forces a broadcast: the planner and AQE choose it from measured sizes.
@@ -24,13 +25,18 @@ from pyspark.sql import types as T
 
 def keys_present(ledger: DataFrame, ledger_col: str, probe: DataFrame, probe_col: str, out: str) -> DataFrame:
     """Distinct values of ``probe_col`` that already exist in ``ledger_col``,
-    as a one-column frame named ``out``. The (large) ledger is semi-joined
+    as a one-column frame named ``out``."""
+    return _hits(ledger, ledger_col, probe, probe_col, out).distinct()
+
+
+def _hits(ledger: DataFrame, ledger_col: str, probe: DataFrame, probe_col: str, out: str) -> DataFrame:
+    """The values of ``ledger_col`` that ``probe_col`` holds too, one for each ledger row. The (large) ledger is semi-joined
     against the (small) batch of probe keys first, so only matching ledger
     rows are shuffled; the planner / AQE broadcasts the batch keys when their
     measured size allows."""
     batch = probe.select(F.col(probe_col).alias("__probe")).filter(F.col("__probe").isNotNull()).distinct()
     hits = ledger.select(F.col(ledger_col).alias(out))
-    return hits.join(batch, hits[out] == batch["__probe"], "left_semi").distinct()
+    return hits.join(batch, hits[out] == batch["__probe"], "left_semi")
 
 
 def left_join_nullable(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
@@ -65,6 +71,24 @@ def mark_first_in_key(df: DataFrame, key: str | list[str], seq: str, eligible: C
             .drop("__elig", "__min_seq", "__salt"))
 
 
+def mark_taken(df: DataFrame, key: str, seq: str, eligible: Column, ledger: DataFrame, ledger_col: str, out: str) -> DataFrame:
+    """Serial inserts against a ledger's unique key: ``out`` is true where ``ledger_col`` holds the key already or where an eligible
+    row of ``df`` with a smaller ``seq`` has it (told for eligible rows; the others claim nothing). ``df`` is joined once: the ledger's
+    hits and the first claims are gathered to one narrow row per key in stages of their own, so that no task sorts the wide rows
+    beside the inputs of both lookups. NULL keys are not taken; a salt that no row of the lookup has spreads them over partitions."""
+    hits = _hits(ledger, ledger_col, df, key, "__hit")
+    hits = hits.select(F.col("__hit").cast(df.schema[key].dataType).alias("__key"), F.lit(None).cast(df.schema[seq].dataType).alias("__claim"), F.lit(True).alias("__held"))
+    hits = hits.hint("rebalance")  # the semi join is a stage of its own, whose tasks AQE sizes without the rows of ``df``
+    claims = df.filter(eligible & F.col(key).isNotNull()).select(F.col(key).alias("__key"), F.col(seq).alias("__claim"), F.lit(False).alias("__held"))
+    known = claims.unionByName(hits).groupBy("__key").agg(
+        F.min("__claim").alias("__min_seq"), F.max("__held").alias("__held"), F.max(F.lit(0)).alias("__zero"))  # an aggregate: a literal would be folded out of the join keys
+    salt = F.when(F.col(key).isNotNull(), F.lit(0)).otherwise(F.lit(1) + F.pmod(F.xxhash64(F.col(seq)), F.lit(4096)).cast("int"))
+    tagged = df.withColumn("__salt", salt)
+    joined = tagged.join(known, (tagged[key] == known["__key"]) & (tagged["__salt"] == known["__zero"]), "left")
+    late = F.coalesce(F.col(seq) != F.col("__min_seq"), F.lit(False))
+    return joined.withColumn(out, F.coalesce(F.col("__held"), F.lit(False)) | late).drop("__key", "__min_seq", "__held", "__zero", "__salt")
+
+
 #: Rows that are left after a round and settled in one task: a fixed bound, whatever the batch.
 WALK_ROWS = 4096
 

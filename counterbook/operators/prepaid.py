@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from ..functions.money import MONEY
 from ..functions.text import id_ok, id_or_null, new_id, normalize_mobile, required_text
 from .changes import append_accepted
-from .joins import keys_present, mark_first_in_key
+from .joins import mark_taken
 
 # Columns a re-seed overwrites on a product_code conflict; the others
 # (markup_amount, is_active, description, ids, created_at) are kept.
@@ -102,10 +102,7 @@ def post_prepaid_sales(requests: DataFrame, catalog: DataFrame, ledger: DataFram
         if f in r.columns:
             reason = reason.when(~id_ok(F.col(f), r.schema[f].dataType), F.lit(ERR_UUID.format(field=f)))
     j = j.withColumn("__pre", reason)
-    refs = keys_present(ledger, "reference_number", j, "__ref", "__lref")
-    j = j.join(refs, F.col("__ref") == refs["__lref"], "left")
-    j = j.withColumn("__pre", F.coalesce(F.col("__pre"), F.when(F.col("__lref").isNotNull(), F.lit(ERR_DUPLICATE))))
-    j = mark_first_in_key(j, "__ref", seq, F.col("__pre").isNull(), "__first")
+    j = mark_taken(j, "__ref", seq, F.col("__pre").isNull(), ledger, "reference_number", "__taken")
     markup = F.coalesce(F.col("__markup"), F.lit(0)).cast(MONEY)
     gross = (F.col("__face") + markup).cast(MONEY)
     extra = [id_or_null(F.col(f), r.schema[f].dataType).alias(f) for f in ("order_id", "branch_id", "customer_id",
@@ -115,7 +112,7 @@ def post_prepaid_sales(requests: DataFrame, catalog: DataFrame, ledger: DataFram
         F.col("__mobile").alias("recipient_mobile_no"), F.col("__carrier").alias("carrier"),
         F.col("__face").cast(MONEY).alias("face_value"), markup.alias("markup_amount"),
         gross.alias("gross_amount"), gross.alias("cash_impact"), F.col("__ref").alias("reference_number"),
-        F.coalesce(F.col("__pre"), F.when(~F.col("__first"), F.lit(ERR_DUPLICATE))).alias("reject_reason"),
+        F.coalesce(F.col("__pre"), F.when(F.col("__taken"), F.lit(ERR_DUPLICATE))).alias("reject_reason"),
     )
 
 

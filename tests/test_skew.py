@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from counterbook.operators import cash as C
+from counterbook.operators import deposits as DP
 from counterbook.operators import reports as R
-from counterbook.operators.joins import mark_first_in_key
+from counterbook.operators.joins import mark_first_in_key, mark_taken
 
 N = 30000
 
@@ -91,3 +92,46 @@ def test_hot_branch_day_cash_totals(spark, skew_conf):
     assert t[1]["gcash_cash_in_total"] == D(11) * n_in and t[1]["gcash_cash_out_total"] == D(10) * n_out
     assert t[1]["other_cash_impact_amount"] == D(11) * n_in - D(10) * n_out
     assert len(t) == g["branch_id"].nunique()
+
+
+def _sorts_by_stage(node, counts, stage=0):
+    """Sorts of each stretch of a physical plan between exchanges."""
+    name = node.nodeName()
+    if name == "Exchange":
+        stage = max(counts) + 1
+        counts[stage] = 0
+    counts[stage] = counts.get(stage, 0) + (name == "Sort")
+    for k in range(node.children().size()):
+        _sorts_by_stage(node.children().apply(k), counts, stage)
+    return counts
+
+
+def test_posting_sorts_few_inputs_in_one_task(spark, skew_conf):
+    """The lookups of a posting batch end in stages of their own: one task sorting all their inputs beside the wide requests had 13 sorts."""
+    ledger = spark.sql("select concat('R', id) as reference_number, id as deposited_by from range(50)")
+    ledger = ledger.union(spark.sql("select concat('S', id), id from range(50)"))
+    recons = spark.createDataFrame([], "id bigint, branch_id bigint, business_date date")
+    req = spark.sql("""select id as seq, 7L as branch_id, case when id % 10 = 0 then null when id % 3 = 0 then 'R1' else concat('N', id % 400) end as reference_number,
+                       5.0 as amount, 'A' as bank_account, 'Ann' as depositor_name, 'p' as photo_proof_url from range(1000)""")
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = DP.post_deposits(req, recons, ledger)
+        assert max(_sorts_by_stage(out._jdf.queryExecution().executedPlan(), {0: 0}).values()) <= 4
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    used, want = {f"R{i}" for i in range(50)}, {}
+    for i in range(1000):
+        ref = None if i % 10 == 0 else "R1" if i % 3 == 0 else f"N{i % 400}"
+        want[i] = "reference_number is required" if ref is None else DP.ERR_REFERENCE_UNIQUE if ref in used else None
+        used.add(ref)
+    assert {r["seq"]: r["reject_reason"] for r in out.collect()} == want
+
+
+def test_taken_keys_with_odd_rows(spark, skew_conf):
+    """NULL keys and NULL sequence numbers are never taken, rows that share the first number both stay, ineligible rows claim nothing, a ledger key may repeat."""
+    df = spark.createDataFrame([(1, "a", False), (2, "a", True), (2, "a", True), (3, "a", True), (None, "a", True), (4, None, True), (5, "h", True), (6, "b", True)],
+                               "seq int, k string, ok boolean")
+    ledger = spark.createDataFrame([("h",), ("h",), (None,), ("z",)], "ref string")
+    got = sorted((r["seq"] or 0, r["k"] or "", r["t"]) for r in mark_taken(df, "k", "seq", F.col("ok"), ledger, "ref", "t").filter("ok").collect())
+    assert got == [(0, "a", False), (2, "a", False), (2, "a", False), (3, "a", True), (4, "", False), (5, "h", True), (6, "b", False)]
