@@ -107,16 +107,16 @@ def minimisers(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def refined(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Suffixes in order of at least their first ``depth`` bytes; whether each agrees with the one before it as far as they are ordered; and whether the two
-    were already apart at a depth below ``depth``. Larsson-Sadakane: groups that share h bytes are refined by
-    the group of the suffix h further on, h doubles, and groups of one suffix are never touched again."""
+    are apart at a depth of at most ``depth``. Larsson-Sadakane: groups that share h bytes are refined by
+    the group of the suffix h further on, h doubles, and groups of one suffix are never touched again. The last step is as long as ``depth``
+    needs, so that it tells exactly which suffixes share that many bytes."""
     n = len(data)
     # the first order is by seven bytes, 9 bits each: the end of the text sorts before every byte
     one = np.zeros(n + 7, np.uint64)
     one[:n] = data.astype(np.uint64) + np.uint64(1)
-    key = one[:n].copy()
-    for k in range(1, 7):
-        key <<= np.uint64(9)
-        key |= one[k : n + k]
+    two = one[:-1] << np.uint64(9) | one[1:]
+    key = two[:n] << np.uint64(18) | two[2 : n + 2]
+    key = key << np.uint64(27) | two[4 : n + 4] << np.uint64(9) | one[6 : n + 6]
     order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
@@ -124,7 +124,7 @@ def refined(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarr
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    h, early = 7, new.copy()
+    h = 7
     while h < depth:
         alone = new & np.append(new[1:], True)
         todo = np.flatnonzero(~alone)
@@ -132,7 +132,8 @@ def refined(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarr
             break
         suffix = order[todo]
         group = rank[suffix]
-        ahead = rank[np.minimum(suffix + h, n)]
+        step = min(h, depth - h)
+        ahead = rank[np.minimum(suffix + step, n)]
         inner = np.argsort(group * np.int64(n + 1) + ahead + 1)
         order[todo] = suffix[inner]
         ahead, group = ahead[inner], group[inner]
@@ -140,10 +141,8 @@ def refined(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarr
         start[1:] = (group[1:] != group[:-1]) | (ahead[1:] != ahead[:-1])
         new[todo] = start
         rank[order[todo]] = np.maximum.accumulate(np.where(start, todo, 0))
-        h *= 2
-        if h < depth:
-            early = new.copy()
-    return order, ~new, early
+        h += step
+    return order, ~new, new
 
 
 def suffix_array(data: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +154,7 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, early
     """Kasai: the common prefix, up to ``cap`` bytes, of each suffix with the one before it in the order. The text is dealt
     to lanes that walk their suffixes from left to right, each one's prefix starting from its left neighbour's less one; all lanes
     take a step together. Tied suffixes agree in ``cap`` bytes; they stand in no order among themselves, so after one of them a lane starts from nothing. Suffixes that
-    are ``early`` apart have a shorter prefix for sure: they get 0 and are passed over."""
+    are ``early`` apart have a shorter prefix for sure: they get 0 and are passed over, and lanes without other suffixes are not walked."""
     n = len(data)
     before = np.full(n, -1, np.int64)
     before[order[1:]] = order[:-1]
@@ -165,9 +164,12 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, tied: np.ndarray, early
     if early is not None:
         passed[order] |= early
     padded = np.append(data, np.zeros(cap + 1, np.uint8))
-    prefix = np.zeros(n, np.int32)
+    prefix = np.where(whole, np.int32(cap), np.int32(0))
     at = np.unique(np.linspace(0, n, min(lanes, max(1, n // 64)) + 1).astype(np.int64))
     stop, at = at[1:].copy(), at[:-1].copy()
+    if len(at):
+        walked = ~np.logical_and.reduceat(passed, at)
+        stop, at = stop[walked], at[walked]
     h = np.zeros(len(at), np.int64)
     while len(at):
         other = before[at]
@@ -251,23 +253,26 @@ def shard_repeats(ids: pa.Array, th: np.ndarray, texts: list[np.ndarray], runs:
     place = np.searchsorted(starts, again, "right") - 1
     doc, lo, hi = ranges(doc_at[place], again - starts[place] + text_at[place])
     # runs with a window that is not a repeat
-    fresh = ~repeat[window]
-    some = np.add.reduceat(fresh, begin[:-1]) > 0 if len(begin) > 1 else np.zeros(0, bool)
-    reps, texts_out, firsts = [], [], []
-    for r in np.flatnonzero(some):
-        mine = np.flatnonzero(fresh[begin[r] : begin[r + 1]])
-        a, b = int(run_at[r] + mine[0]), int(run_at[r] + mine[-1]) + WINDOW
-        reps.append((mine - mine[0]).astype("<u4").tobytes())
-        texts_out.append(data[a:b].tobytes())
-        firsts.append(int(run_first[r] + mine[0]))
-    n = len(reps)
+    left = np.flatnonzero(~repeat[window])
+    each = np.searchsorted(left, begin)
+    count = np.diff(each)
+    some = count > 0
+    head, tail = left[each[:-1][some]], left[each[1:][some] - 1]
+    reps = (left - np.repeat(head, count[some])).astype("<u4")
+    reps_at = (np.append(0, np.cumsum(count[some])) * 4).astype(np.int64)
+    firsts = run_first[some] + head - begin[:-1][some]
+    lasts = firsts + tail - head
+    raw = data.tobytes()
+    texts_out = [raw[a:b] for a, b in zip(window[head].tolist(), (window[tail] + WINDOW).tolist(), strict=True)]
+    reps = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(head), [None, pa.py_buffer(reps_at), pa.py_buffer(reps)]).cast(pa.binary())
+    none = len(lo)
     digests = np.frombuffer(b"".join(hashlib.blake2b(x, digest_size=16).digest() for x in texts_out), np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays(
         [
             pa.concat_arrays([ids.take(pa.array(doc)), ids.take(pa.array(run_doc[some]))]), pa.array(np.concatenate([th[doc], th[run_doc[some]]])),
-            pa.array(np.concatenate([lo, np.array(firsts, np.int64)])).cast(pa.int32()),
-            pa.array(np.concatenate([hi, np.array([a + len(x) - WINDOW for a, x in zip(firsts, texts_out, strict=True)], np.int64)])).cast(pa.int32()),
-            pa.array([*[None] * len(lo), *hashes[some].tolist()], pa.int64()), *(pa.array([*[None] * len(lo), *digests[:, k].tolist()], pa.int64()) for k in range(2)), pa.array([*[None] * len(lo), *reps], pa.binary()), pa.array([*[None] * len(lo), *texts_out], pa.binary()),
+            pa.array(np.concatenate([lo, firsts])).cast(pa.int32()),
+            pa.array(np.concatenate([hi, lasts])).cast(pa.int32()),
+            *(pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array(x)]) for x in (hashes[some], digests[:, 0], digests[:, 1])), pa.concat_arrays([pa.nulls(none, pa.binary()), reps]), pa.array([*[None] * none, *texts_out], pa.binary()),
         ],
         ["id", "th", "first", "last", "hash", "d0", "d1", "reps", "bytes"],
     )
@@ -280,14 +285,15 @@ def _shards(batches):
         return shard_repeats(pa.concat_arrays(ids), np.array(th, np.int64), texts, runs)
 
     for batch in batches:
-        column = T.strings(batch.column(2))
+        column, listed, keys = T.strings(batch.column(2)), batch.column(3).flatten(), batch.column(1).to_numpy()
+        hashes, spans = listed.field(0).to_numpy(), listed.field(1).to_numpy()
+        cut = np.append(0, np.cumsum(pc.list_value_length(batch.column(3)).to_numpy())).tolist()
         for k in range(len(batch)):
-            listed = batch.column(3)[k].values
-            h, s = listed.field(0).to_numpy(), listed.field(1).to_numpy()
+            h, s = hashes[cut[k] : cut[k + 1]], spans[cut[k] : cut[k + 1]]
             order = np.argsort(s, kind="stable")
             text = np.frombuffer(column[k].as_buffer(), np.uint8)
             ids.append(batch.column(0).slice(k, 1))
-            th.append(batch.column(1)[k].as_py())
+            th.append(keys[k])
             texts.append(text)
             runs.append((h[order], s[order]))
             size += min(len(text), int((s & 0xFFFFFFFF).sum()) + len(s) * WINDOW)

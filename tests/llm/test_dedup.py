@@ -130,6 +130,15 @@ def test_suffix_array_and_prefixes(piece, times):
     assert list(S.common_prefixes(data, order, tied)) == [0, *(prefix(a, b) for a, b in zip(heads, heads[1:]))]
 
 
+def test_the_order_tells_exactly_who_shares_a_window():
+    """The last refinement stops at the window's length, so no common prefix is left to be walked."""
+    block = np.random.default_rng(5).integers(0, 256, S.WINDOW + 5, dtype=np.uint8)
+    data = np.concatenate([block, np.array([1], np.uint8), block, np.array([2], np.uint8)])
+    order, tied, apart = S.refined(data)
+    assert sorted(order[tied] % (S.WINDOW + 6)) == list(range(6)) and (apart == ~tied).all()
+    assert ((S.common_prefixes(data, order, tied, apart) < S.WINDOW) == apart).all()
+
+
 def brute_bytes(rows):
     seen, out = {}, {}
     for i, text in sorted(rows, key=lambda r: r[0]):
